@@ -45,7 +45,7 @@ class Settings:
     max_features: int = 2_000
     swaps: int = 2
     min_z: float = 4.5
-    l2: float = 4e-6
+    l2: float = 1e-6
     counterfactual: float = 5.0
     threshold: float = 0.7
     steps: int = 1000
@@ -131,7 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     counted = sample.filter("toxic = 1").select("text").mapInArrow(toxic_features, "f string").groupBy("f").agg(F.count("*").alias("n"))
     names = [r["f"] for r in counted.filter(F.col("n") >= settings.min_toxic).orderBy(F.col("n").desc(), "f").limit(settings.max_candidates).collect()]
-    names = sorted({*names, *(x for g in IDENTITY_GROUPS for t in g for x in word_features(t))})
+    identity = sorted({x for g in IDENTITY_GROUPS for t in g for x in word_features(t)})
+    names = sorted({*names, *identity})
+    every = {n: i for i, n in enumerate(names)}
+
+    def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, n = _Reader(every), np.zeros((2, len(every)), np.int64)
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n[y, sorted(reader.features(t or ""))] += 1
+        seen = np.flatnonzero(n.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[1, seen]), pa.array(n[0, seen])], ["f", "pos", "neg"])
+
+    # Bounded: one row of three numbers for each candidate.
+    counts = sample.select("text", "toxic").mapInArrow(class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    names = _telling({names[r["f"]]: (r["pos"], r["neg"]) for r in counts}, sizes, set(identity), settings)
     index = {n: i for i, n in enumerate(names)}
     swaps = [swap_table(k) for k in range(1, settings.swaps + 1)]
     terms = frozenset(swaps[0]) if swaps else frozenset()
@@ -149,12 +164,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                     ["doc_id", "variant", "toxic", "weight", "features"],
                 )
 
-    # Bounded: max_rows rows, (1 + swaps) variants, features of the table only.
+    # Bounded: max_rows rows, (1 + swaps) variants, of at most max_features features and the groups' terms.
     got = sorted(sample.mapInArrow(rows, "doc_id long, variant long, toxic int, weight double, features array<int>").collect(), key=lambda r: (r["doc_id"], r["variant"]))
     sample.unpersist()
     return _fitted([tuple(r) for r in got], names, settings)
 
 
+def _telling(counts: dict[str, tuple[int, int]], sizes: dict[int, int], identity: set[str], settings: Settings) -> list[str]:
+    """The features with the largest z-scores of their log odds, and the groups' terms that are in three rows or more."""
+    names = sorted(counts)
+    pos, neg = np.array([counts[n] for n in names], float).reshape(-1, 2).T + 0.5
+    odds = np.log(pos / (sizes.get(1, 0) + 1 - pos).clip(0.5)) - np.log(neg / (sizes.get(0, 0) + 1 - neg).clip(0.5))
+    z = odds / np.sqrt(1 / pos + 1 / neg)
+    best = [i for i in np.lexsort((np.arange(len(names)), -z))[: settings.max_features] if z[i] > settings.min_z]
+    return sorted({names[i] for i in best} | {n for n in identity if sum(counts.get(n, (0, 0))) > 2})
+
+
 def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Model:
     rows = list(rows)
     base = [r for r in rows if r[1] == 0]
@@ -165,26 +190,14 @@ def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Mode
     weight /= weight.sum()
     at = np.repeat(np.arange(len(base)), [len(r[4]) for r in base])
     cols = np.concatenate([np.array(r[4], np.int64) for r in base])
-    pos = np.bincount(cols, y[at], len(names)) + 0.5
-    neg = np.bincount(cols, 1 - y[at], len(names)) + 0.5
-    odds = np.log(pos / (y.sum() + 1 - pos).clip(0.5)) - np.log(neg / ((1 - y).sum() + 1 - neg).clip(0.5))
-    z = odds / np.sqrt(1 / pos + 1 / neg)
-    order = np.lexsort((np.arange(len(names)), -z))
-    keep = order[: settings.max_features]
-    keep = keep[z[keep] > settings.min_z]
-    identity = {n for g in IDENTITY_GROUPS for t in g for n in word_features(t)}
-    keep = np.array(sorted({*keep.tolist(), *(i for i in np.flatnonzero(pos + neg > 2) if names[i] in identity)}), np.int64)
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    used = place[cols] >= 0
-    at, cols, n, k = at[used], place[cols[used]], len(base), len(keep)
+    n, k = len(base), len(names)
     # Changes of the features under each swap, as signed entries.
     row_of = {r[0]: i for i, r in enumerate(base)}
     d_at, d_col, d_sign, owner = [], [], [], []
     features = {r[0]: set(r[4]) for r in base}
     for r in (r for r in rows if r[1]):
         before, after = features[r[0]], set(r[4])
-        changed = [(place[c], s) for cs, s in ((after - before, 1.0), (before - after, -1.0)) for c in sorted(cs) if place[c] >= 0]
+        changed = [(c, s) for cs, s in ((after - before, 1.0), (before - after, -1.0)) for c in sorted(cs)]
         if changed:
             d_at += [len(owner)] * len(changed)
             d_col += [c for c, _ in changed]
@@ -204,7 +217,7 @@ def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Mode
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (1 - step / (settings.steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:k], b - move[k]
-    return Model(b, {names[i]: float(x) for i, x in zip(keep, w)}, settings.threshold)
+    return Model(b, {x: float(v) for x, v in zip(names, w)}, settings.threshold)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
