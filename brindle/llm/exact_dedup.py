@@ -23,6 +23,11 @@ def _id_of(rank: Column) -> Column:
     return F.when(rest > 0, (top - rest).cast("long"))
 
 
+def content_hash(text_col: str = "text") -> Column:
+    """text_sha256 of a row: the SHA-256 of its text without white space."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, ""), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # Identity terms by group. A term is swapped for the next ones of its group.
 IDENTITY_GROUPS = (
@@ -220,24 +221,31 @@ def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Mode
     return Model(b, {x: float(v) for x, v in zip(names, w)}, settings.threshold)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row's whole text; other columns are no input.
-
-    A null or empty text has no features and gets the score of the bias. Repeated rows and null ids (held_out false) are kept; an
-    empty table gives an empty result. One pass, no shuffle; the model has at most max_features weights.
-    """
+def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with all its columns and _score; only the text is read for it. A column of that name gives way."""
     names = sorted(model.weights)
     weights, bias = np.array([model.weights[n] for n in names]), model.bias
     index = {n: i for i, n in enumerate(names)}
+    docs = docs.drop("_score")
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(index)
         for b in batches:
-            z = np.array([bias + weights[sorted(f)].sum() if (f := reader.features(t or "")) else bias for t in b.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
+            z = np.array([bias + weights[sorted(f)].sum() if (f := reader.features(t or "")) else bias for t in b.column(place).to_pylist()], float)
+            yield b.append_column("_score", pa.array(1 / (1 + np.exp(-z))))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= model.threshold).cast("int").alias("predicted"))
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row's whole text; other columns are no input.
+
+    A null or empty text has no features and gets the score of the bias. Repeated rows and null ids (held_out false) are kept; an
+    empty table gives an empty result. One pass, no shuffle; the model has at most max_features weights.
+    """
+    scored = score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= model.threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
