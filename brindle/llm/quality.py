@@ -36,7 +36,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """
     ids = trusted.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    hashed = texts.join(ids, "_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
+    # A sort-merge join at every size: the ids grow with the corpus, and one plan for all sizes shuffles in proportion.
+    hashed = texts.join(ids.hint("merge"), "_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
     counted = hashed.select("_trusted", F.explode(_features("_h")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good"))
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["_raw", "_good"])
