@@ -85,13 +85,66 @@ def _uncode(codes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 _LISTS = pa.list_(pa.int64())
-_NAMES = ["part", "name", "place", "k1", "k2", "codes", "blob"]
-_SENT = "part int, name long, place int, k1 long, k2 long, codes array<long>, blob binary"
+#: What the exchanges carry: a run's keys and what it knows itself (part by name), or its entries in a range.
+_NAMES = ["part", "name", "keys", "owners", "codes", "blob"]
+_SENT = "part int, name long, keys binary, owners binary, codes binary, blob binary"
+_FOUND = "name long, keys binary, owners binary, codes binary"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), _LISTS, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _NAMES)
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kind = {"part": pa.int32(), "name": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind.get(n, pa.binary())) for k, n in enumerate(names)], names)
+
+
+def _own(name: int, parts: int, keys: list[tuple[int, int]], owners: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """The row of a run that stays with its name."""
+    return _rows([(name % parts, name, np.array(keys, np.int64).tobytes(), owners.astype(np.int32).tobytes(), codes.astype(np.int64).tobytes(), None)], _NAMES)
+
+
+def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of runs that stay with their names."""
+    own = batch.filter(pa.compute.is_null(batch.column(5)))
+    if own.num_rows:
+        yield pa.RecordBatch.from_arrays([own.column(k) for k in range(1, 5)], _NAMES[1:5])
+
+
+def _sent_back(names: list[int], run: np.ndarray, owners: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each run: its owners and their codes."""
+    order = np.argsort(run, kind="stable")
+    at = np.searchsorted(run[order], np.arange(len(names) + 1))
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        if b > a:
+            mine = order[a:b]
+            yield _rows([(names[k], None, owners[mine].astype(np.int32).tobytes(), codes[mine].astype(np.int64).tobytes())], _NAMES[1:5])
+
+
+def _by_text(found: DataFrame) -> DataFrame:
+    """(k1, k2, codes) of the texts that have codes: what their run and all ranges found, one run after the other."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keys = next(np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in rows if r[1] is not None)
+            owners = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64)
+            codes = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+            lists = list(_lists_by(owners, codes))
+            for k in range(0, len(lists), 2000):
+                piece = lists[k : k + 2000]
+                of = keys[[o for o, _ in piece]]
+                yield pa.RecordBatch.from_arrays([pa.array(of[:, 0]), pa.array(of[:, 1]), pa.array([c for _, c in piece], _LISTS)], ["k1", "k2", "codes"])
+
+        rows: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if rows and row[0] != rows[0][0]:
+                    yield from told(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from told(rows)
+
+    texts = found.repartition("name").sortWithinPartitions("name").mapInArrow(gather, "k1 long, k2 long, codes array<long>")
+    # Rows equal in id and text are one key; their codes are the same.
+    return texts.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
 
 
 def _lists_by(owner: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
@@ -129,14 +182,14 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             first = np.concatenate([[True], (a["g"][1:] != a["g"][:-1]) | (a["c"][1:] != a["c"][:-1])])
             alone = first & np.concatenate([first[1:], [True]])
             # Contexts that the run holds twice are repeated; one of each is sent, to be shown to others.
-            own = dict(_lists_by(a["owner"][~alone].astype(np.int64), a["code"][~alone] | REPEATED))
+            owners, codes = a["owner"][~alone].astype(np.int64), a["code"][~alone] | REPEATED
             a["many"] = ~alone
             a = a[first]
             at = np.searchsorted(a["g"] >> np.uint64(64 - bits) if bits else np.zeros(len(a), np.uint64), np.arange(2**bits + 1, dtype=np.uint64))
-            sent = [(p, name, None, None, None, None, a[i:j].tobytes()) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+            sent = [(p, name, None, None, None, a[i:j].tobytes()) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
             for k in range(0, len(sent), 64):
-                yield _rows(sent[k : k + 64])
-            yield _rows([((task * 31 + k) % 2**bits, name, k, *key, own.get(k, []), None) for k, key in enumerate(keys)])
+                yield _rows(sent[k : k + 64], _NAMES)
+            yield _own(name, 2**bits, keys, owners, codes)
 
         for batch in batches:
             texts = _bytes(batch.column(2))
@@ -163,19 +216,16 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list[tuple[int, np.ndarray]]] = {}
         for b in batches:
-            blob = b.column(6)
-            texts = b.filter(pa.compute.is_null(blob))
-            if texts.num_rows:
-                yield pa.RecordBatch.from_arrays([texts.column(k) for k in (1, 2, 3, 4, 5)], _NAMES[1:6])
-            runs = b.filter(pa.compute.is_valid(blob))
-            for part, name, raw in zip(*(runs.column(k).to_pylist() for k in (0, 1, 6))):
+            yield from _passed_on(b)
+            runs = b.filter(pa.compute.is_valid(b.column(5)))
+            for part, name, raw in zip(*(runs.column(k).to_pylist() for k in (0, 1, 5))):
                 ranges.setdefault(part, []).append((name, np.frombuffer(raw, _RUN)))
         for part in sorted(ranges):
             got = ranges.pop(part)
             a = np.concatenate([r for _, r in got])
-            name = np.repeat(np.array([n for n, _ in got]), [len(r) for _, r in got])
+            run = np.repeat(np.arange(len(got)), [len(r) for _, r in got])
             order = np.lexsort((a["c"], a["g"]))
-            a, name = a[order], name[order]
+            a, run = a[order], run[order]
             new_gram = np.concatenate([[True], a["g"][1:] != a["g"][:-1]])
             new = new_gram | np.concatenate([[True], a["c"][1:] != a["c"][:-1]])
             context = np.cumsum(new) - 1
@@ -183,18 +233,12 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             of_gram = np.cumsum(new_gram) - 1
             several = (np.bincount(of_gram, new) >= 2)[of_gram]
             out = [(copies & (a["many"] == 0), REPEATED), (~copies & several, OPEN), (copies & several & new, SHOWN)]
-            owners = np.concatenate([name[m] << 16 | a["owner"][m].astype(np.int64) for m, _ in out])
-            codes = np.concatenate([a["code"][m] | s for m, s in out])
-            lists = list(_lists_by(owners, codes))
-            for k in range(0, len(lists), 5000):
-                piece = lists[k : k + 5000]
-                n = len(piece)
-                yield pa.RecordBatch.from_arrays([pa.array([o >> 16 for o, _ in piece]), pa.array([o & 0xFFFF for o, _ in piece], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([c for _, c in piece], _LISTS)], _NAMES[1:6])
-
-    found = rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, "name long, place int, k1 long, k2 long, codes array<long>")
-    texts = found.groupBy("name", "place").agg(F.max("k1").alias("k1"), F.max("k2").alias("k2"), F.flatten(F.collect_list("codes")).alias("codes")).filter(F.size("codes") > 0)
-    # Rows equal in id and text are one key; their states are the same.
-    return texts.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+            runs = np.concatenate([run[m] for m, _ in out])
+            owners = np.concatenate([a["owner"][m] for m, _ in out])
+            codes = np.concatenate([a["code"][m] | state for m, state in out])
+            yield from _sent_back([n for n, _ in got], runs, owners, codes)
+
+    return _by_text(rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND))
 
 
 def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -327,8 +371,8 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
                 info = np.array([i[3] for i in items], head)
                 pieces = [*front_coded([i[1] for i in items]), b"".join(i[2].rjust(length, b"\0") for i in items), info.tobytes()]
                 lengths = np.array([len(p) for p in pieces], "<i4").tobytes()
-                yield _rows([(part, name, None, None, None, None, lengths + b"".join(pieces))])
-            yield _rows([((task * 31 + k) % parts, name, k, *key, [], None) for k, key in enumerate(keys)])
+                yield _rows([(part, name, None, None, None, lengths + b"".join(pieces))], _NAMES)
+            yield _own(name, parts, keys, np.zeros(0), np.zeros(0))
 
         for batch in batches:
             texts = _bytes(batch.column(2))
@@ -348,12 +392,9 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list[tuple[int, bytes]]] = {}
         for b in batches:
-            blob = b.column(6)
-            texts = b.filter(pa.compute.is_null(blob))
-            if texts.num_rows:
-                yield pa.RecordBatch.from_arrays([texts.column(k) for k in (1, 2, 3, 4, 5)], _NAMES[1:6])
-            runs = b.filter(pa.compute.is_valid(blob))
-            for part, name, raw in zip(*(runs.column(k).to_pylist() for k in (0, 1, 6))):
+            yield from _passed_on(b)
+            runs = b.filter(pa.compute.is_valid(b.column(5)))
+            for part, name, raw in zip(*(runs.column(k).to_pylist() for k in (0, 1, 5))):
                 ranges.setdefault(part, []).append((name, raw))
         for part in sorted(ranges):
             runs, lefts, infos, names = [], [], [], []
@@ -369,7 +410,6 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
             base = np.cumsum([0, *map(len, infos)])
             at = base[order[:, 0]] + order[:, 1]
             info, left = np.concatenate(infos)[at], np.concatenate(lefts)[at]
-            name = np.array(names)[order[:, 0]]
             twice = repeated_starts(order[:, 2], left, info["near"].astype(int), info["far"].astype(int), length)
             twice[info["state"] != OPEN] = False
             edge = np.diff(np.pad(twice.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -377,15 +417,9 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
             _, after = np.nonzero(edge == -1)
             x = info["x"][i].astype(np.int64)
             codes = (x - after + 1) << 24 | (after - first - 1)
-            lists = list(_lists_by(name[i] << 24 | info["owner"][i].astype(np.int64), codes))
-            for k in range(0, len(lists), 5000):
-                piece = lists[k : k + 5000]
-                n = len(piece)
-                yield pa.RecordBatch.from_arrays([pa.array([o >> 24 for o, _ in piece], pa.int64()), pa.array([o & 0xFFFFFF for o, _ in piece], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([c for _, c in piece], _LISTS)], _NAMES[1:6])
-
-    found = rows.mapInArrow(send, _SENT).repartition(parts, "part").mapInArrow(merge, "name long, place int, k1 long, k2 long, codes array<long>")
-    texts = found.groupBy("name", "place").agg(F.max("k1").alias("k1"), F.max("k2").alias("k2"), F.flatten(F.collect_list("codes")).alias("codes")).filter(F.size("codes") > 0)
-    return texts.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+            yield from _sent_back(names, order[i, 0], info["owner"][i], codes)
+
+    return _by_text(rows.mapInArrow(send, _SENT).repartition(parts, "part").mapInArrow(merge, _FOUND))
 
 
 def spans_of(starts: Iterable[tuple[int, int]], length: int) -> list[tuple[int, int]]:
