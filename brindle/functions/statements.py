@@ -12,8 +12,8 @@ DEPTH = 6
 CLAUSES = ("from", "where", "group by", "having", "order by", "limit", "offset", "fetch", "union", "intersect", "except", "window", "qualify", "returning", "for")
 _STOP = r"(?:\b(?:" + "|".join(c.replace(" ", r"\s+") for c in CLAUSES) + r")\b|;|$)"
 
-#: (pattern, replacement) pairs that empty comments, strings and brackets; the SQL of the queries uses the same ones.
-STRIPS = [(r"--[^\n]*", " "), (r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " "), (r"'[^']*(?:''[^']*)*'", "?")]
+#: (pattern, replacement) pairs that empty comments and strings. No group repeats, so that long ones need no recursion.
+STRIPS = [(r"--[^\n]*", " "), (r"(?s)/\*.*?\*/", " "), (r"'[^']*'", "?"), (r"\?\?+", "?")]
 BRACKETS = (r"\([^()]*\)", "§")
 
 

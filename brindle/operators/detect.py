@@ -24,7 +24,7 @@ CONTEXT_LINES = 6
 INDENTED = frozenset("py pyi pyx rb ex exs coffee".split())
 LOOP_INDENTED = re.compile(r"^\s*(?:for|while|until)\b|\.\s*(?:each|each_with_index|each_slice|map|collect|find_each|in_batches|times|upto|downto)\b\s*(?:\{|do\b)|\bEnum\.(?:each|map|reduce|flat_map)\b")
 LOOP_BRACED = re.compile(r"^\s*(?:for|while|do)\b|\bfor\s*\(|\bwhile\s*\(|\.\s*(?:forEach|map|flatMap|filter|reduce)\s*\(|\bforeach\s*\(|\brange\s+")
-NAMED = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:def|class|module|function|func|interface|struct|defp|defmodule)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w.:]*)")
+NAMED = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:def|class|module|function|func|interface|struct|defp|defmodule)\s+(?:\([^)]*\)\s*)?([A-Za-z_$]\w*(?:(?:::|\.)\w+)*)")
 DECORATED = re.compile(r"@(?:app|blueprint|bp|router|api)\.(?:route|get|post|put|patch|delete)\b|@(?:Get|Post|Put|Patch|Delete|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping)\s*\(|@rpc_method\b|@api_view\b|\[Http(?:Get|Post)\]")
 
 

@@ -24,7 +24,7 @@ _STATEMENTS = """(SELECT o_orderkey, o_custkey, 'SELECT ' || lower(regexp_replac
 
 
 def _sql_shape(col: str) -> str:
-    out = f"regexp_replace({col}, '''[^'']*(?:''''[^'']*)*''', '?', 'g')"
+    out = rf"regexp_replace(regexp_replace({col}, '''[^'']*''', '?', 'g'), '\?\?+', '?', 'g')"
     out = rf"regexp_replace({out}, '\$[0-9]+', '?', 'g')"
     out = rf"regexp_replace({out}, '\b[0-9]+(?:\.[0-9]+)?\b', '?', 'g')"
     out = rf"regexp_replace({out}, '(?i)\bin\s*\(\s*\?(?:\s*,\s*\?)*\s*\)', 'IN (?)', 'g')"
