@@ -68,13 +68,15 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 _BITS = 48
 _KNOWN, _FILLER = 65535, 65534
-_NAMES = ["part", "name", "place", "gaps", "owners", "doc_id", "n"]
-_SENT = "part int, name long, place int, gaps binary, owners binary, doc_id long, n long"
+#: What the exchange carries: a run's ids and what it knows itself (part by name), or its hashes in a range and whose they are.
+_NAMES = ["part", "name", "ids", "counts", "gaps", "owners"]
+_SENT = "part int, name long, ids binary, counts binary, gaps binary, owners binary"
+_FOUND = "name long, ids binary, counts binary, owners binary"
 
 
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _NAMES)
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kind = {"part": pa.int32(), "name": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind.get(n, pa.binary())) for k, n in enumerate(names)], names)
 
 
 def _packed(h: np.ndarray, o: np.ndarray, base: int) -> tuple[bytes, bytes]:
@@ -125,10 +127,10 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
             h, o = h[keep], np.where(alone[keep], o[keep], _KNOWN).astype(np.uint16)
             name = (task << 20) + run
             at = np.searchsorted(h, edges)
-            rows = [(p, name, None, *_packed(h[a:b], o[a:b], int(edges[p])), None, None) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+            rows = [(p, name, None, None, *_packed(h[a:b], o[a:b], int(edges[p]))) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
             for k in range(0, len(rows), 64):
-                yield _sent(rows[k : k + 64])
-            yield _sent([((task * 31 + k) % 2**bits, name, k, None, None, i, n) for k, (i, n) in enumerate(zip(ids, local.tolist()))])
+                yield _rows(rows[k : k + 64], _NAMES)
+            yield _rows([(name % 2**bits, name, np.array(ids, np.int64).tobytes(), local.astype(np.int64).tobytes(), None, None)], _NAMES)
 
         size = 0
         for batch in batches:
@@ -147,18 +149,17 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for b in batches:
-            texts = b.filter(pa.compute.is_null(b.column(3)))
-            if texts.num_rows:
-                yield pa.RecordBatch.from_arrays([texts.column(1), texts.column(2), texts.column(5), texts.column(6)], ["name", "place", "doc_id", "n"])
-            lists = b.filter(pa.compute.is_valid(b.column(3)))
-            for part, name, gaps, owners in zip(*(lists.column(k).to_pylist() for k in (0, 1, 3, 4))):
+            for part, name, ids, counts, gaps, owners in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if gaps is None:
+                    yield _rows([(name, ids, counts, None)], ["name", "ids", "counts", "owners"])
+                    continue
                 h = np.cumsum(np.frombuffer(gaps, np.uint32).astype(np.uint64)) + edges[part]
                 o = np.frombuffer(owners, np.uint16)
                 real = o != _FILLER
                 runs.setdefault(part, []).append((h[real], o[real], name))
         for got in runs.values():
             h, o = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-            name = np.repeat(np.array([x[2] for x in got], np.int64), [len(x[0]) for x in got])
+            name = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
             order = np.argsort(h, kind="stable")
             h = h[order]
             first = np.concatenate([[True], h[1:] != h[:-1]])
@@ -166,12 +167,36 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
             back = order[~alone]
             back = back[o[back] != _KNOWN]
             key, n = np.unique(name[back] << 16 | o[back].astype(np.int64), return_counts=True)
-            for k in range(0, len(key), 20_000):
-                part = key[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part >> 16), pa.array((part & 0xFFFF).astype(np.int32)), pa.nulls(len(part), pa.int64()), pa.array(n[k : k + 20_000].astype(np.int64))], ["name", "place", "doc_id", "n"])
+            at = np.searchsorted(key, np.arange(len(got) + 1) << 16)
+            out = [(got[k][2], None, n[a:b].astype(np.uint32).tobytes(), (key[a:b] & 0xFFFF).astype(np.uint16).tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+            for k in range(0, len(out), 256):
+                yield _rows(out[k : k + 256], ["name", "ids", "counts", "owners"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One run after the other: what its own task and every range counted for its texts."""
+
+        def summed(rows: list[tuple]) -> pa.RecordBatch:
+            ids = next(np.frombuffer(r[1], np.int64) for r in rows if r[1] is not None)
+            total = np.zeros(len(ids), np.int64)
+            for _, own, counts, owners in rows:
+                if own is not None:
+                    total += np.frombuffer(counts, np.int64)
+                else:
+                    total[np.frombuffer(owners, np.uint16)] += np.frombuffer(counts, np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["doc_id", "shared"])
+
+        rows: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if rows and row[0] != rows[0][0]:
+                    yield summed(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield summed(rows)
 
-    counted = docs.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, "name long, place int, doc_id long, n long")
-    return counted.groupBy("name", "place").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("shared")).select("doc_id", "shared")
+    counted = docs.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND)
+    return counted.repartition("name").sortWithinPartitions("name").mapInArrow(add, "doc_id long, shared long")
 
 
 class PrefixTree:
@@ -408,7 +433,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
 
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
