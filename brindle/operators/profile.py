@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.probes import MAX_CHARS, PROBES
+
 # Engines that hold no primary data, and engines that are one dialect.
 AUXILIARY = ("redis", "memcached", "elasticsearch", "opensearch", "etcd")
 
 
+def declarations(files: DataFrame) -> DataFrame:
+    """(path, engine, authority, quote, ord): what the configuration files and manifests among files (path, content) declare, with the line that says so.
+
+    A file's declarations are one array of the patterns that its kind has; files of no kind are filtered by their path, before their content is read.
+    """
+    kinds = F.array(*[F.when(F.col("path").rlike(f"(?i){p}"), F.lit(k)) for k, (_, p, _) in enumerate(PROBES)])
+    read = files.withColumn("_kinds", F.filter(kinds, lambda k: k.isNotNull())).filter((F.size("_kinds") > 0) & (F.length("content") <= MAX_CHARS))
+
+    def said(k: int, n: int) -> Column:
+        authority, _, signals = PROBES[k]
+        engine, pattern = signals[n]
+        line = F.regexp_extract("content", rf"(?im)^.*?(?:{pattern.replace('^', '')}).*$", 0)
+        found = F.array_contains("_kinds", k) & F.col("content").rlike(f"(?im){pattern}")
+        return F.when(found, F.struct(F.lit(engine).alias("engine"), F.lit(authority).alias("authority"), F.left(F.trim(line), F.lit(160)).alias("quote"), F.lit(k * 100 + n).alias("ord")))
+
+    every = F.array(*[said(k, n) for k, (_, _, signals) in enumerate(PROBES) for n in range(len(signals))])
+    return read.select("path", F.explode(F.filter(every, lambda d: d.isNotNull())).alias("d")).select("path", "d.*")
+
+
 def engine_profile(declared: DataFrame, engine: str, authority: str, order: str) -> DataFrame:
     """(engine, authority, first_seen, primary, ambiguous): each engine with its highest authority, at the place where it was first declared.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.calls import orm_shape, query_dsl
-from brindle.operators import ddl, detect
+from brindle.operators import ddl, detect, profile
 from brindle.tables import table
 
 
@@ -67,6 +67,14 @@ def call_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("path", "s.dialect", F.col("s.calls").cast("long").alias("calls"), "s.batched", "s.per_iteration", "dsl")
 
 
+def engine_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the services of parts declare: a manifest or a configuration file for each part."""
+    k, c = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("svc"), c, F.when(k == 0, "/requirements.txt").when(k == 1, "/package.json").when(k == 2, "/docker-compose.yml").when(k == 3, "/application.yml").otherwise("/README.md"))
+    content = F.when(k == 0, F.concat(F.lit("flask\n  psycopg2=="), c)).when(k == 1, F.lit('{"mysql2": "3"}')).when(k == 2, F.lit("a:\n  image: redis:7\n")).otherwise(F.lit("url: jdbc:oracle:thin"))
+    return profile.declarations(table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))).select("path", "engine", "authority", "quote")
+
+
 def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the response that follows them, and requests without one."""
     c = table(spark, sf_dir, "conversations")
@@ -75,7 +83,7 @@ def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"], "left")
 
 
-QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, ddl_indexes, index_advice, call_shapes, paired_turns)}
+QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, ddl_indexes, index_advice, call_shapes, engine_declarations, paired_turns)}
 _DECLARED = "(SELECT o_orderkey AS ord, 't' || (o_orderkey % 20) AS tab, ['a', 'b' || (o_orderkey % 3)] AS cols FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3)"
 ORACLE_SQL = {
     "relevant_files": """SELECT CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path, 'django-model,django-manager' AS reasons
@@ -86,5 +94,8 @@ ORACLE_SQL = {
     "call_shapes": """WITH f AS (SELECT o_custkey AS c, o_custkey % 4 AS k, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
         SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' WHEN 1 THEN 'src/s' || c || '.ts' WHEN 2 THEN 'jobs/j' || c || '.rb' ELSE 'db/migrate/m' || c || '.sql' END AS path, CASE k WHEN 1 THEN 'prisma' WHEN 2 THEN 'activerecord' END AS dialect,
           CASE WHEN k IN (1, 2) THEN n ELSE 0 END AS calls, false AS batched, k IN (1, 2) AS per_iteration, CAST(NULL AS VARCHAR) AS dsl FROM f""",
+    "engine_declarations": """SELECT 'svc' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/package.json' WHEN 2 THEN '/docker-compose.yml' ELSE '/application.yml' END AS path,
+        CASE p_partkey % 5 WHEN 0 THEN 'postgres' WHEN 1 THEN 'mysql' WHEN 2 THEN 'redis' ELSE 'oracle' END AS engine, CAST(CASE p_partkey % 5 WHEN 2 THEN 60 WHEN 3 THEN 100 ELSE 70 END AS INTEGER) AS authority,
+        CASE p_partkey % 5 WHEN 0 THEN 'psycopg2==' || p_partkey WHEN 1 THEN '{"mysql2": "3"}' WHEN 2 THEN 'image: redis:7' ELSE 'url: jdbc:oracle:thin' END AS quote FROM part WHERE p_partkey % 5 <> 4""",
     "paired_turns": "SELECT a.conv_id, a.turn, CAST(length(a.text) AS INTEGER) AS asked, CAST(length(b.text) AS INTEGER) AS said FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'",
 }

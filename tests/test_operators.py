@@ -203,6 +203,12 @@ def test_profile_and_support(spark):
     assert {r["site"]: (r["flagged"], r["samples"], r["verdict"]) for r in profile.triage_support(v, "site", "sample", F.col("f")).collect()} == {1: (1, 3, "problem"), 2: (0, 3, "clean")}
 
 
+def test_declarations(spark):
+    files = [("app/settings.py", "X = 1\n  ENGINE = 'django.db.backends.postgresql'\n"), ("requirements.txt", "redis>=4\n# pymongo\nno-psycopg2\n"), ("docker-compose.yml", "image: mysql:8"), ("src/a.py", "jdbc:mysql:"), ("package.json", '{"pg": "8"}')]
+    got = {(r["path"], r["engine"], r["authority"], r["quote"]) for r in profile.declarations(spark.createDataFrame(files, "path string, content string")).collect()}
+    assert got == {("app/settings.py", "postgres", 100, "ENGINE = 'django.db.backends.postgresql'"), ("requirements.txt", "redis", 70, "redis>=4"), ("docker-compose.yml", "mysql", 60, "image: mysql:8"), ("package.json", "postgres", 70, '{"pg": "8"}')}
+
+
 def test_metrics_ignore_what_is_not_there(spark):
     runs = spark.createDataFrame([Row(c="a", p=0.5, r=None), Row(c="a", p=1.0, r=None)], "c string, p double, r double")
     got = {r["metric"]: (r["mean"], r["low"], r["high"], r["n"]) for r in metrics.summary(runs, ["c"], ["p", "r"]).collect()}
