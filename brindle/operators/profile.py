@@ -24,7 +24,7 @@ def declarations(files: DataFrame) -> DataFrame:
         engine, pattern = signals[n]
         line = F.regexp_extract("content", rf"(?im)^.*?(?:{pattern.replace('^', '')}).*$", 0)
         found = F.array_contains("_kinds", k) & F.col("content").rlike(f"(?im){pattern}")
-        return F.when(found, F.struct(F.lit(engine).alias("engine"), F.lit(authority).alias("authority"), F.left(F.trim(line), F.lit(160)).alias("quote"), F.lit(k * 100 + n).alias("ord")))
+        return F.when(found, F.struct(F.lit(engine).alias("engine"), F.lit(authority).alias("authority"), F.left(F.trim(F.element_at(F.split(line, "\n"), -1)), F.lit(160)).alias("quote"), F.lit(k * 100 + n).alias("ord")))
 
     every = F.array(*[said(k, n) for k, (_, _, signals) in enumerate(PROBES) for n in range(len(signals))])
     return read.select("path", F.explode(F.filter(every, lambda d: d.isNotNull())).alias("d")).select("path", "d.*")
