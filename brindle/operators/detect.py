@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.paths import extension, is_prose, trigger
+from brindle.functions.engines import engine_from_path
+from brindle.functions.paths import is_prose, trigger
 from brindle.functions.rules import RULES, SYNTAX, extensions
 from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, confidence, priority
 from brindle.functions.text import line_of, slice_lines
@@ -145,8 +146,8 @@ def hits(files: DataFrame, cap: int = MATCHES_PER_RULE) -> DataFrame:
 def candidates(files: DataFrame, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per query site: path, start_line, end_line, detector, engine, access_style, confidence, priority, reasons, loop_depth, symbol, trigger, excerpt, matched.
 
-    Per file: hits in order are folded to spans; a span is its best rule's (the first of the most confident), its engine the most confident rule's that
-    names one, dialects first. Spans below the confidence floor go, then the best `per_file` by priority, confidence and line stay.
+    Per file: hits in order are folded to spans; a span is its best rule's (the first of the most confident), its engine that of a dialect's rule, else the path's, else the most
+    confident rule's that names one. Spans below the confidence floor go, then the best `per_file` by priority, confidence and line stay.
     """
     spark = files.sparkSession
     table = spark.createDataFrame([(k, r.name, r.engine, r.style, r.confidence / 100) for k, r in enumerate(RULES)], "rule int, name string, engine string, style string, conf double")
@@ -167,7 +168,7 @@ def candidates(files: DataFrame, per_file: int = MAX_PER_FILE, floor: float = MI
         line_of(F.col("content"), F.col("s.start")).alias("start_line"),
         line_of(F.col("content"), F.col("s.end")).alias("end_line"),
         F.array_join(F.array_distinct(F.transform(h, lambda x: x["name"])), "+").alias("detector"),
-        F.coalesce(strongest(dialect), strongest(naming), F.lit("unknown")).alias("engine"),
+        F.coalesce(strongest(dialect), engine_from_path(F.col("path")), strongest(naming), F.lit("unknown")).alias("engine"),
         best["style"].alias("access_style"),
         F.round(confidence(best["conf"], F.size(h)), 4).alias("confidence"),
         first["loops"].alias("loop_depth"),

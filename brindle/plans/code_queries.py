@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.calls import orm_shape, query_dsl
+from brindle.functions.engines import ENGINES, FAMILIES, dialect_of, engine_from_path, family_of
 from brindle.operators import ddl, detect, profile
 from brindle.tables import table
 
@@ -75,6 +76,14 @@ def engine_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.declarations(table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))).select("path", "engine", "authority", "quote")
 
 
+def engine_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as uses of engines: uses, dialects and path hints by family."""
+    names = F.array(*[F.lit(e) for e in (*ENGINES, "nonesuch")])
+    s = table(spark, sf_dir, "supplier").withColumn("engine", F.element_at(names, (F.col("s_suppkey") % (len(ENGINES) + 1) + 1).cast("int")))
+    path = F.concat(F.lit("db/"), F.col("engine"), F.lit("/schema.sql"))
+    return s.groupBy(family_of(F.col("engine")).alias("family")).agg(F.count("*").alias("uses"), F.count_distinct(dialect_of(F.col("engine"))).alias("dialects"), F.count(engine_from_path(path)).alias("hinted"))
+
+
 def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the response that follows them, and requests without one."""
     c = table(spark, sf_dir, "conversations")
@@ -83,7 +92,7 @@ def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"], "left")
 
 
-QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, ddl_indexes, index_advice, call_shapes, engine_declarations, paired_turns)}
+QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, ddl_indexes, index_advice, call_shapes, engine_declarations, engine_families, paired_turns)}
 _DECLARED = "(SELECT o_orderkey AS ord, 't' || (o_orderkey % 20) AS tab, ['a', 'b' || (o_orderkey % 3)] AS cols FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3)"
 ORACLE_SQL = {
     "relevant_files": """SELECT CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path, 'django-model,django-manager' AS reasons
@@ -97,5 +106,9 @@ ORACLE_SQL = {
     "engine_declarations": """SELECT 'svc' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/package.json' WHEN 2 THEN '/docker-compose.yml' ELSE '/application.yml' END AS path,
         CASE p_partkey % 5 WHEN 0 THEN 'postgres' WHEN 1 THEN 'mysql' WHEN 2 THEN 'redis' ELSE 'oracle' END AS engine, CAST(CASE p_partkey % 5 WHEN 2 THEN 60 WHEN 3 THEN 100 ELSE 70 END AS INTEGER) AS authority,
         CASE p_partkey % 5 WHEN 0 THEN 'psycopg2==' || p_partkey WHEN 1 THEN '{"mysql2": "3"}' WHEN 2 THEN 'image: redis:7' ELSE 'url: jdbc:oracle:thin' END AS quote FROM part WHERE p_partkey % 5 <> 4""",
+    "engine_families": f"""WITH e AS (SELECT list_extract([{', '.join(f"'{e}'" for e in (*ENGINES, 'nonesuch'))}], CAST(s_suppkey % {len(ENGINES) + 1} + 1 AS INTEGER)) AS engine FROM supplier),
+        f AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{f}')" for f, names in FAMILIES for e in names.split())}) f(engine, family))
+        SELECT coalesce(f.family, 'rdbms') AS family, count(*) AS uses, count(DISTINCT CASE WHEN e.engine = 'mariadb' THEN 'mysql' WHEN e.engine IN ('pgvector', 'timescaledb', 'cockroachdb') THEN 'postgres' ELSE e.engine END) AS dialects,
+          count(CASE WHEN e.engine IN ('postgres', 'mysql', 'mariadb', 'sqlite', 'mssql', 'oracle', 'clickhouse') THEN 1 END) AS hinted FROM e LEFT JOIN f ON f.engine = e.engine GROUP BY 1""",
     "paired_turns": "SELECT a.conv_id, a.turn, CAST(length(a.text) AS INTEGER) AS asked, CAST(length(b.text) AS INTEGER) AS said FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'",
 }
