@@ -79,7 +79,7 @@ def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     coefficients = [pow(_SHINGLE_BASE, k + 1, 1 << 64) for k in range(width)]
     whole = np.zeros(max(0, n - width + 1), np.uint64)
     for k, c in enumerate(coefficients):
-        whole += words[k : n - width + 1 + k] * np.uint64(c)
+        whole += words[k : k + len(whole)] * np.uint64(c)
     whole = mix(whole)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):

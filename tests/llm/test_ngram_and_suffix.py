@@ -113,6 +113,11 @@ def test_word_hashes_tell_words_apart():
     assert at.tolist() == [0, 3, 3, 5] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
 
 
+def test_few_words_in_all():
+    a, b, c, d = hashing.shingles([b"one two", b"", b"ONE  two", b"two one"])
+    assert len(a) == 1 and a.tolist() == c.tolist() and len(b) == 0 and a.tolist() != d.tolist()
+
+
 def test_connected_components(spark):
     rnd = random.Random(9)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, k) for k in range(300, 400)] + [(7, 7)]
