@@ -29,6 +29,8 @@ IDENTITY_GROUPS = (
     ("old", "young", "elderly"),
 )
 
+#: Ends the name of a feature that two or more chunks of a text have.
+AGAIN = "+"
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7)
 _REMEMBERED = 300_000
@@ -80,18 +82,29 @@ class _Reader:
         self.index, self.swap, self.known = index, swap or {}, {}
 
     def features(self, text: str) -> set:
+        """Features of the text's words, and for those of two different chunks or more the feature marked with AGAIN."""
         out: set = set()
+        again: set = set()
         known = self.known
         for c in set(text.split()):
             f = known.get(c)
             if f is None:
                 if len(known) > _REMEMBERED:
                     known.clear()
-                names = [x for w in chunk_words(c) for x in word_features(self.swap.get(w, w))]
-                f = known[c] = tuple(names if self.index is None else {self.index[x] for x in names if x in self.index})
-            if f:
-                out.update(f)
-        return out
+                f = known[c] = self._of(c)
+            for x in f:
+                if x in out:
+                    again.add(x)
+                else:
+                    out.add(x)
+        if self.index is None:
+            return out | {x + AGAIN for x in again}
+        get = self.index.get
+        return {k for x in out if (k := get(x)) is not None} | {k for x in again if (k := get(x + AGAIN)) is not None}
+
+    def _of(self, chunk: str) -> tuple[str, ...]:
+        names = {x for w in chunk_words(chunk) for x in word_features(self.swap.get(w, w))}
+        return tuple(names if self.index is None else {x for x in names if x in self.index or x + AGAIN in self.index})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
