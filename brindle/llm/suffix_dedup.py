@@ -33,7 +33,7 @@ from brindle.session import cut
 LENGTH = 200
 GRAM = 64
 #: Bytes of text hashed at once, and anchors a run and a range of the exchange hold about.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 ANCHORS_A_RUN = 400_000
 ANCHORS_A_RANGE = 400_000
 #: What is known of an anchor: all its windows are repeated; its windows have to be looked at; it is looked at for others.
@@ -73,7 +73,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     x, t, from_, to = anchor[first], text[first], whole[first], whole[last]
     near, far = x - to, x - from_
     context = mix(span_hash(prefix_hash(data, BASES[1]), from_, to + length, BASES[1]) + (near * 1000 + far).astype(np.uint64))
-    return t, x - (ends[t] - sizes[t]), near, far, hashes[x], context
+    # Anchors are the smallest hashes around, so their hashes crowd at the low end; mixed again, they spread over all ranges.
+    return t, x - (ends[t] - sizes[t]), near, far, mix(hashes[x]), context
 
 
 def _code(x, near, far, state):
@@ -191,7 +192,7 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
                 yield _rows(sent[k : k + 64], _NAMES)
             yield _own(name, 2**bits, keys, owners, codes)
 
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts = _bytes(batch.column(2))
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             i = 0
