@@ -282,8 +282,12 @@ def training_pages(htmls: list[str], layouts: int = 3) -> tuple[list[list[list[s
 
 def fit(pages: DataFrame, max_pages: int = 200, max_chars: int = 60_000, html_col: str = "html", id_col: str = "page_id") -> Crf:
     """A model trained on at most max_pages pages, those with the smallest hashes of their ids among pages of at most max_chars characters."""
-    picked = pages.filter(F.length(html_col) <= max_chars).select(F.xxhash64(F.lit("fit"), id_col).alias("_h"), F.col(id_col).alias("_id"), html_col).orderBy("_h", "_id", html_col).limit(max_pages)
-    return train(*training_pages([r[html_col] or "" for r in picked.collect()]))
+    keyed = pages.filter(F.length(html_col) <= max_chars).withColumn("_h", F.xxhash64(F.lit("fit"), id_col, F.md5(html_col)))
+    # Only the hashes go through the top-k of every task; then the pages of those at most max_pages rows are read.
+    picked = keyed.select("_h").distinct().orderBy("_h").limit(max_pages)
+    rows = keyed.join(F.broadcast(picked), "_h").groupBy("_h").agg(F.min(html_col).alias("_html")).collect()
+    rows = sorted(rows, key=lambda r: r["_h"])
+    return train(*training_pages([r["_html"] or "" for r in rows]))
 
 
 def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
