@@ -22,7 +22,7 @@ _CHUNK = regex.compile(rf"(?:(?!{_SPACE}).)+", regex.DOTALL)
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 _NO_RANK = 1 << 30
 #: Distinct chunks, words and pairs a worker remembers of each; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:

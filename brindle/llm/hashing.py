@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 # Odd multipliers of the mixing step (a public 64-bit finaliser) and of the polynomials.
@@ -26,9 +24,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2^64, and a random value for each byte."""
+_made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse modulo 2^64, at least `size` of each, and a random value for each byte. A worker keeps the longest it has made."""
+    if base in _made and len(_made[base][0]) >= size:
+        return _made[base]
+    size = 1 << max(16, int(size - 1).bit_length())
     inverse = pow(base, -1, 1 << 64)
     up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
     up[0] = down[0] = 1
@@ -38,12 +41,8 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up[n : n + k] = up[:k] * np.uint64(pow(base, n, 1 << 64))
         down[n : n + k] = down[:k] * np.uint64(pow(inverse, n, 1 << 64))
         n += k
-    return up, down, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _powers, at least `size` long; sizes are rounded up so that few are made."""
-    return _powers(base, 1 << max(20, int(size - 1).bit_length()))
+    _made[base] = up, down, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+    return _made[base]
 
 
 def prefix_hash(data: np.ndarray, base: int) -> np.ndarray:

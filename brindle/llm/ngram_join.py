@@ -32,14 +32,23 @@ PERCENT = 80
 #: Shingles a task of step 2, and a piece of a cluster in step 4, should hold about.
 SHINGLES_A_TASK = 1_500_000
 SHINGLES_A_PIECE = 400_000
-_ROWS = 1000
+#: Bytes of text hashed at once, unless one text is longer.
+_CHUNK = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Few rows at a time: rows (id, text) and their sets."""
-    for k in range(0, batch.num_rows, _ROWS):
-        part = batch.slice(k, _ROWS)
-        yield part, shingles([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], width)
+    for k in range(0, batch.num_rows, 500):
+        rows = batch.slice(k, 500)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
+        i = 0
+        while i < len(texts):
+            j, n = i, 0
+            while j < len(texts) and (j == i or n + len(texts[j]) <= _CHUNK):
+                n += len(texts[j]) + 1
+                j += 1
+            yield rows.slice(i, j - i), shingles(texts[i:j], width)
+            i = j
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:

@@ -33,7 +33,7 @@ IDENTITY_GROUPS = (
 AGAIN = "+"
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7)
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
