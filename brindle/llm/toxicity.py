@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -38,16 +38,14 @@ _REMEMBERED = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: labelled rows fitted, at most half of each class, the smallest hashes of their ids first. min_toxic: toxic rows of the
-    sample that a feature has to be in. max_candidates and max_features: bounds of the feature table. swaps: variants of
-    each text that names a group. l2, counterfactual: weights of the penalties."""
+    """max_rows: labelled rows fitted, at most half of each class, the smallest hashes of their ids first. max_features: bound of the
+    feature table, without the groups' terms. swaps: variants of each text that names a group. min_g2: G squared of a feature, the quantile of chi squared
+    that one of 1,000 features reaches by chance at any number of rows and shares of the classes. l2, counterfactual: weights of the penalties."""
 
     max_rows: int = 16_000
-    min_toxic: int = 4
-    max_candidates: int = 20_000
     max_features: int = 2_000
     swaps: int = 2
-    min_z: float = 4.5
+    min_g2: float = 10.83
     l2: float = 1e-6
     counterfactual: float = 5.0
     threshold: float = 0.7
@@ -130,37 +128,30 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """A logistic regression on the presence of words and word beginnings.
 
-    Features are those of at least min_toxic sampled toxic rows, the most telling first (the z-score of their log odds, min_z at least).
+    Features are those that sampled toxic rows have more often than clean ones, the most telling first (G squared, more than min_g2). It
+    is taken of every feature; a feature that no clean row has is told by its toxic rows alone.
     Every sampled text that names a group of IDENTITY_GROUPS is also read with its terms swapped, and the squared
     change of its log odds is penalised, so that the mention of a group alone does not move the score.
     Without labelled rows of both classes the model has no features and scores every text as its bias.
     """
     sample = labelled_sample(docs, labels, settings).select("doc_id", "text", "toxic", "weight").persist()
 
-    def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(None)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(reader.features(t or "")), pa.string())], ["f"])
-
-    counted = sample.filter("toxic = 1").select("text").mapInArrow(toxic_features, "f string").groupBy("f").agg(F.count("*").alias("n"))
-    names = [r["f"] for r in counted.filter(F.col("n") >= settings.min_toxic).orderBy(F.col("n").desc(), "f").limit(settings.max_candidates).collect()]
-    identity = sorted({x for g in IDENTITY_GROUPS for t in g for x in word_features(t)})
-    names = sorted({*names, *identity})
-    every = {n: i for i, n in enumerate(names)}
-
     def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, n = _Reader(every), np.zeros((2, len(every)), np.int64)
+        reader, seen = _Reader(None), {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n[y, sorted(reader.features(t or ""))] += 1
-        seen = np.flatnonzero(n.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[1, seen]), pa.array(n[0, seen])], ["f", "pos", "neg"])
+                for f in reader.features(t or ""):
+                    seen.setdefault(f, [0, 0])[y] += 1
+                if len(seen) > _REMEMBERED:
+                    yield _counts_batch(seen)
+                    seen = {}
+        yield _counts_batch(seen)
 
-    # Bounded: one row of three numbers for each candidate.
-    counts = sample.select("text", "toxic").mapInArrow(class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    names = _telling({names[r["f"]]: (r["pos"], r["neg"]) for r in counts}, sizes, set(identity), settings)
+    identity = sorted({x for g in IDENTITY_GROUPS for t in g for x in word_features(t)})
+    # Every feature of the sample is counted and told; at most max_features rows and one for each of the groups' terms are collected.
+    counts = sample.select("text", "toxic").mapInArrow(class_counts, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    names = _telling(counts, sizes, identity, settings)
     index = {n: i for i, n in enumerate(names)}
     swaps = [swap_table(k) for k in range(1, settings.swaps + 1)]
     terms = frozenset(swaps[0]) if swaps else frozenset()
@@ -184,14 +175,24 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return _fitted([tuple(r) for r in got], names, settings)
 
 
-def _telling(counts: dict[str, tuple[int, int]], sizes: dict[int, int], identity: set[str], settings: Settings) -> list[str]:
-    """The features with the largest z-scores of their log odds, and the groups' terms that are in three rows or more."""
-    names = sorted(counts)
-    pos, neg = np.array([counts[n] for n in names], float).reshape(-1, 2).T + 0.5
-    odds = np.log(pos / (sizes.get(1, 0) + 1 - pos).clip(0.5)) - np.log(neg / (sizes.get(0, 0) + 1 - neg).clip(0.5))
-    z = odds / np.sqrt(1 / pos + 1 / neg)
-    best = [i for i in np.lexsort((np.arange(len(names)), -z))[: settings.max_features] if z[i] > settings.min_z]
-    return sorted({names[i] for i in best} | {n for n in identity if sum(counts.get(n, (0, 0))) > 2})
+def _counts_batch(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([n for _, n in seen.values()], pa.int64()), pa.array([n for n, _ in seen.values()], pa.int64())], ["f", "pos", "neg"])
+
+
+def _g2(pos: Column, neg: Column, toxic: int, clean: int) -> Column:
+    """Log-likelihood ratio (G squared) of a feature's presence against the class."""
+    seen, every = pos + neg, max(1, toxic + clean)
+    part = lambda n, rows, size: F.when(n > 0, n * F.log(n * every / (rows * size))).otherwise(0.0)
+    return 2 * (part(pos, seen, toxic) + part(neg, seen, clean) + part(toxic - pos, every - seen, toxic) + part(clean - neg, every - seen, clean))
+
+
+def _telling(counts: DataFrame, sizes: dict[int, int], identity: list[str], settings: Settings) -> list[str]:
+    """Of counts (f, pos, neg) the features that toxic rows have more often, those of the largest G squared, and the groups' terms that are in three rows or more."""
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    named = F.col("f").isin(identity) & (F.col("pos") + F.col("neg") > 2)
+    told = counts.select("f", named.alias("named"), (F.col("pos") * clean > F.col("neg") * toxic).alias("more"), _g2(F.col("pos"), F.col("neg"), toxic, clean).alias("g2"))
+    told = told.filter(F.col("named") | F.col("more") & (F.col("g2") > settings.min_g2)).orderBy(F.col("named").desc(), F.col("g2").desc(), "f").limit(settings.max_features + len(identity)).collect()
+    return sorted([r["f"] for r in told if r["named"]] + [r["f"] for r in told if not r["named"]][: settings.max_features])
 
 
 def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Model:

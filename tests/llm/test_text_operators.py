@@ -118,6 +118,17 @@ def test_counterfactual_penalty_takes_weight_from_groups(spark):
     assert abs(fair.weights["women"] - fair.weights.get("men", 0)) < 0.5 * abs(free.weights["women"] - free.weights.get("men", 0))
 
 
+def test_toxicity_keeps_words_that_only_few_toxic_rows_have(spark):
+    insults = ["zorkel", "brimlo", "quandit", "vexpar", "dulmic"]
+    rnd, plain = random.Random(5), [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    labels = [(i, int(i % 9 == 0), 1) for i in range(450)]
+    texts = [" ".join(rnd.sample(plain, 30) + ([insults[i // 9 % 5]] if y else [])) for i, y, _ in labels]
+    d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    assert all(toxicity.fit(d, lab).weights.get(w, 0) > 0 for w in insults)
+    out = [r for r in toxicity.toxicity(d, lab).collect() if r["held_out"]]
+    assert [r["predicted"] for r in out] == [labels[r["doc_id"]][1] for r in out]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     got = toxicity.toxicity(docs(spark, ["a", None]), none).collect()
