@@ -14,6 +14,8 @@ BUCKETS = 1 << 14
 THRESHOLD = -0.08
 #: Added to every bucket's count.
 SMOOTHING = 1.0
+#: Words or pairs that each bucket is given besides its own, trusted in the share of the whole corpus: a bucket that is hardly seen says nothing.
+PRIOR = 4.0
 _MARK = "_quality_"
 
 
@@ -28,22 +30,30 @@ def _features(hashes: str) -> Column:
     return F.concat(words, F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, ratio) for every bucket: log of its share in the trusted documents over its share in all documents.
+def _ids(trusted: DataFrame, id_col: str) -> DataFrame:
+    return trusted.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, _raw, _good, _all_raw, _all_good) for every bucket: its count in all documents and in the trusted ones, and the totals.
 
     trusted has the ids of trusted documents in the column id_col (repeated ids count once). All documents are counted; each
     task sums by bucket before the shuffle.
     """
-    ids = trusted.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # A sort-merge join at every size: the ids grow with the corpus, and one plan for all sizes shuffles in proportion.
-    hashed = texts.join(ids.hint("merge"), "_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
+    hashed = texts.join(_ids(trusted, id_col).hint("merge"), "_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
     counted = hashed.select("_trusted", F.explode(_features("_h")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good"))
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["_raw", "_good"])
     totals = every.agg(F.sum("_raw").alias("_all_raw"), F.sum("_good").alias("_all_good"))
+    return every.join(F.broadcast(totals), F.lit(True))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, ratio) for every bucket: log of its share in the trusted documents over its share in all documents."""
     share = lambda n, total: (F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * BUCKETS)
-    return every.join(F.broadcast(totals), F.lit(True)).select("bucket", (F.log(share("_good", "_all_good")) - F.log(share("_raw", "_all_raw"))).alias("ratio"))
+    return bucket_counts(docs, trusted, id_col, text_col).select("bucket", (F.log(share("_good", "_all_good")) - F.log(share("_raw", "_all_raw"))).alias("ratio"))
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,6 +107,38 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, i
     return summed.select(*keys[1:], (~F.col("base_failed") & (ratio >= threshold)).alias("kept"), ratio.alias("ratio"))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with _size, the number of the features of _h, and _counts, each bucket with its number."""
+    rows = rows.withColumn("_s", F.sort_array(_features("_h")))
+    starts = F.transform("_s", lambda b, i: F.when(~F.get("_s", i - 1).eqNullSafe(b), i))
+    rows = rows.withColumn("_starts", F.filter(starts, lambda i: i.isNotNull()))
+    counts = F.transform("_starts", lambda i, k: F.struct(F.get("_s", i).alias("bucket"), (F.coalesce(F.get("_starts", k + 1), F.size("_s")) - i).alias("n")))
+    return rows.withColumn("_size", F.size("_s")).withColumn("_counts", counts)
+
+
+def quality_apart(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of quality for every row of docs, with a ratio that does not know whether the row itself is trusted.
+
+    A row's own words and pairs are taken from both corpora before it is judged. Of a bucket's count left, the trusted share is
+    smoothed towards that of the whole corpus (PRIOR) and compared with it, so that a small corpus moves no ratio by its size. Without
+    any other trusted document the ratio is 0. Both ratios of a row, as trusted and as not, are summed in the task that reads it; which one
+    holds is told by a join of the few numbers that are left.
+    """
+    base = _counted(base_rules(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_size"]
+    told = base.select(*keys, F.explode_outer("_counts").alias("_c")).select(*keys, "_c.bucket", "_c.n")
+
+    def mean(own: int) -> Column:
+        part = F.try_divide(F.col("_all_good") - own * F.col("_size"), F.col("_all_raw") - F.col("_size"))
+        return F.sum(F.col("n") * F.log(F.try_divide(F.col("_good") - own * F.col("n") + PRIOR * part, (F.col("_raw") - F.col("n") + PRIOR) * part))) / F.nullif(F.first("_size"), F.lit(0))
+
+    # One row per bucket: BUCKETS rows at any size.
+    summed = told.join(F.broadcast(bucket_counts(docs, trusted, id_col, text_col)), "bucket", "left").groupBy(*keys).agg(mean(0).alias("_other"), mean(1).alias("_own"))
+    known = summed.join(_ids(trusted, id_col).withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id", "left")
+    ratio = F.coalesce(F.when(F.col("_trusted") == 1, F.col("_own")).otherwise(F.col("_other")), F.lit(0.0))
+    return known.select(*keys[1:-1], (~F.col("base_failed") & (ratio >= threshold)).alias("kept"), ratio.alias("ratio"))
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents labelled as good."""
     return labels.filter("quality = 1").select("doc_id")

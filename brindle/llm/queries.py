@@ -27,7 +27,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.quality_apart(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

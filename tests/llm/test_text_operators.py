@@ -186,6 +186,31 @@ def test_quality_agrees_with_plain_python(spark, sf_dir):
     assert quality.quality(docs(spark, []), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
+def test_quality_does_not_know_its_own_label(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + [None, "", "x " * 40]
+    good = {i for i in range(len(texts)) if i % 3 == 0}
+    judge = lambda ids: {r["doc_id"]: r for r in quality.quality_apart(docs(spark, texts), spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    got, counts = judge(sorted(good)), [Counter(buckets(t)) for t in texts]
+    for i, own in enumerate(counts):
+        raw, trusted = sum((c for j, c in enumerate(counts) if j != i), Counter()), sum((c for j, c in enumerate(counts) if j != i and j in good), Counter())
+        p = trusted.total() / raw.total()
+        mean = sum(n * math.log((trusted[b] + quality.PRIOR * p) / ((raw[b] + quality.PRIOR) * p)) for b, n in own.items()) / max(1, own.total())
+        assert got[i]["ratio"] == pytest.approx(mean, abs=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and got[i]["ratio"] >= quality.THRESHOLD)
+    # A row's own label moves its own ratio in neither direction.
+    turned = judge(sorted(good ^ {3, 4}))
+    assert turned[3]["ratio"] == pytest.approx(judge(sorted(good ^ {4}))[3]["ratio"], abs=1e-9)
+    assert all(r["ratio"] == 0 for r in judge([]).values()) and all(r["ratio"] == 0 for r in judge([3]).values() if r["doc_id"] == 3)
+
+
+def test_quality_query_treats_labelled_and_unlabelled_rows_alike(spark, sf_dir):
+    from brindle.llm import queries
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op5_quality_rules(spark, sf_dir).collect() if not r["base_failed"]]
+    rate = lambda rs: sum(r["kept"] for r in rs) / len(rs)
+    assert rate([r for r in rows if labels.get(r["doc_id"]) == 1]) - rate([r for r in rows if r["doc_id"] not in labels]) < 0.25
+
+
 def test_licences(spark):
     texts = [
         "CC BY cc by; ALL rights-reserved. all rights", None, "", "the GNU general public license general public license", "äcc by", "x Released under the MIT License. y",
