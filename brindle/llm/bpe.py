@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -21,8 +22,27 @@ _CHUNK = regex.compile(rf"(?:(?!{_SPACE}).)+", regex.DOTALL)
 #: str.split() also splits at these four, which the tokenizer takes for symbols.
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 _NO_RANK = 1 << 30
-#: Distinct chunks, words and pairs a worker remembers of each; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBERED = 200_000
+#: Bytes of chunks, and of words, that a worker remembers with their ids, and pairs of tokens; beyond them the memory starts anew. They bound memory, not results.
+CHUNK_BYTES, WORD_BYTES = 16 << 20, 64 << 20
+REMEMBERED_PAIRS = 200_000
+#: What an entry takes besides its characters and ids, about; and the length from which a piece of text is not remembered.
+_ENTRY_BYTES, _LONG = 160, 64
+
+
+class Memory(dict):
+    """Ids by piece of text, as bytes. Long pieces are not kept; all are forgotten where they would take more than `limit` bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) < _LONG:
+            self.held += _ENTRY_BYTES + 4 * len(piece) + len(ids)
+            if self.held > self.limit:
+                self.clear()
+                self.held = _ENTRY_BYTES + 4 * len(piece) + len(ids)
+            self[piece] = ids
 
 
 def byte_characters() -> list[str]:
@@ -42,8 +62,9 @@ class Bpe:
     A word is a string of symbols: chr(byte), and chr(256 + byte) for its last byte. Every merge makes one token, so a
     token has one pair it comes from. Two tokens may stand side by side exactly if no merge across their border would
     have come first (compatible); the encoder takes the longest token at each place, falls back to shorter ones, and
-    steps back where none is compatible. A place from which no way leads on is not tried twice, which makes the time
-    linear in the word's length.
+    steps back where none is compatible. One pass of an automaton of the reversed tokens over the reversed word finds the
+    longest token of every place, and a place from which no way leads on is not tried twice: the time is linear in the
+    word's length.
     """
 
     def __init__(self, path: str):
@@ -75,29 +96,25 @@ class Bpe:
         self.size = {i: len(s) for i, s in self.text.items()}
         self.symbol = {s: i for i, s in self.text.items() if len(s) == 1}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
+        #: Tokens that merging their own symbols gives, by their symbols; the others never come out of a merge.
+        table = {s: i for i, s in self.text.items() if i not in self.parts or self._reachable(i)}
         self.tokens = ahocorasick.Automaton()
-        for i, s in self.text.items():
-            if i not in self.parts or self._reachable(i):
-                self.tokens.add_word(s, i)
+        for s, i in table.items():
+            self.tokens.add_word(s[::-1], i)
         self.tokens.make_automaton()
-        #: The next shorter token that starts a token, from the automaton's own trie.
-        self.shorter: dict[int, int | None] = {}
-        for s, i in self.tokens.items():
-            n = self.tokens.longest_prefix(s[:-1]) if len(s) > 1 else 0
-            while n and s[:n] not in self.tokens:
-                n -= 1
-            self.shorter[i] = self.tokens.get(s[:n]) if n else None
+        #: The next shorter token that starts a token.
+        self.shorter: dict[int, int | None] = {i: next((table[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in table), None) for s, i in table.items()}
         specials = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        top = max([*vocab.values(), *self.special.values()]) + 1
+        #: The first id above the vocabulary.
+        self.top = top = max([*vocab.values(), *self.special.values()]) + 1
         names = [b""] * top
         for t, i in [*vocab.items(), *self.special.items()]:
             names[i] = t.encode()
         self.names = offset_table(names)
         self.decimals = offset_table([str(i).encode() for i in range(top)])
-        self.remembered: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks, self.words = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
 
     def _reachable(self, token: int) -> bool:
         """Whether merging a token's own symbols gives the token: its two parts can be reached and stand side by side until they merge."""
@@ -121,10 +138,10 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay two tokens when their symbols are merged as one text."""
-        key = (a, b)
+        key = a << 32 | b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > REMEMBERED:
+            if len(self._compatible) >= REMEMBERED_PAIRS:
                 self._compatible.clear()
             known = self._compatible[key] = self._stay_apart(a, b)
         return known
@@ -152,78 +169,81 @@ class Bpe:
         """Ids of one word (its UTF-8 bytes, at least one)."""
         s = word.decode("latin-1")
         s = s[:-1] + chr(ord(s[-1]) + 256)
-        # The first way to try is the automaton's: the longest match, then the longest after it. If all its neighbours go together, it is the answer.
-        first = [i for _, i in self.tokens.iter_long(s)]
-        if all(self.compatible(a, b) for a, b in zip(first, first[1:])) and sum(self.size[i] for i in first) == len(s):
-            return first
-        return self._backtracked(s)
-
-    def _backtracked(self, s: str) -> list[int]:
-        n, out, ends = len(s), [], []
-        tokens, shorter, text = self.tokens, self.shorter, self.text
+        n = len(s)
+        longest: list[int | None] = [None] * n
+        for end, token in self.tokens.iter(s[::-1]):
+            # Of the tokens that begin at a place the automaton names the longest first.
+            place = n - 1 - end
+            if longest[place] is None:
+                longest[place] = token
+        if self.size.get(longest[0]) == n:
+            return [longest[0]]
+        size, shorter, known = self.size, self.shorter, self._compatible.get
+        out, starts = [], []
         dead = bytearray(n + 1)
-        at, token = 0, self._longest(s, 0)
+        at, last, token = 0, None, longest[0]
         while True:
             while token is not None:
-                end = at + len(text[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
+                end = at + size[token]
+                if not dead[end]:
+                    if last is None:
+                        break
+                    fits = known(last << 32 | token)
+                    if self.compatible(last, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token is not None:
+                if end == n:
+                    return [*out, token]
                 out.append(token)
-                ends.append(at)
-                at = end
-                if at == n:
-                    return out
-                token = self._longest(s, at)
+                starts.append(at)
+                at, last, token = end, token, longest[end]
             else:
                 dead[at] = 1
-                last = out.pop()
-                at = ends.pop()
-                token = shorter[last]
-
-    def _longest(self, s: str, at: int) -> int | None:
-        tail = s[at:]
-        n = self.tokens.longest_prefix(tail)
-        while n and tail[:n] not in self.tokens:
-            n -= 1
-        return self.tokens.get(tail[:n]) if n else None
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a piece of text without white space."""
+                token = shorter[out.pop()]
+                at = starts.pop()
+                last = out[-1] if out else None
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array("i", self.word_ids(word.encode())).tobytes()
+            self.words.keep(word, ids)
+        return ids
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a piece of text without white space, as 32-bit numbers."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._word(chunk.lower())
         if self.special_pattern is not None and "<" in chunk:
             pieces = self.special_pattern.split(chunk)
         else:
             pieces = [chunk]
-        out: list[int] = []
+        out: list[bytes] = []
         for k, piece in enumerate(pieces):
             if k % 2:
-                out.append(self.special[piece])
+                out.append(array("i", [self.special[piece]]).tobytes())
             elif piece:
                 # Lower case by single characters: a capital sigma never becomes a final one.
-                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in _WORD.findall(plain):
-                    ids = self.words.get(word)
-                    if ids is None:
-                        if len(self.words) > REMEMBERED:
-                            self.words.clear()
-                        ids = self.words[word] = self.word_ids(word.encode())
-                    out += ids
-        return out
+                plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                out += map(self._word, _WORD.findall(plain))
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, int32."""
         chunks = _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
-        known = self.remembered
+        known = self.chunks
         try:
             return np.frombuffer(b"".join([known[c] for c in chunks]), np.int32)
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for c in set(chunks).difference(known):
-            known[c] = np.array(self.chunk_ids(c), np.int32).tobytes()
-        return np.frombuffer(b"".join([known[c] for c in chunks]), np.int32)
+        # What this text needs is at hand whatever the memory forgets meanwhile.
+        here = {c: known.get(c) for c in set(chunks)}
+        for c, ids in here.items():
+            if ids is None:
+                here[c] = ids = self.chunk_ids(c)
+                known.keep(c, ids)
+        return np.frombuffer(b"".join([here[c] for c in chunks]), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' names joined by one space, as a tokenizer without a decoder does, in UTF-8."""

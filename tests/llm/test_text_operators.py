@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,7 +56,36 @@ def test_backtracking_agrees_with_merging():
         word = "".join(rnd.choice("aeinorstth") for _ in range(rnd.randint(1, 14))).encode()
         s = word.decode("latin-1")
         s = s[:-1] + chr(ord(s[-1]) + 256)
-        assert b._backtracked(s) == b.word_ids(word) == b.merged([b.symbol[c] for c in s])
+        assert b.word_ids(word) == b.merged([b.symbol[c] for c in s])
+
+
+def test_long_words_take_linear_time():
+    from tokenizers import Tokenizer
+
+    b, t = bpe.Bpe(bpe.public_vocabulary()), Tokenizer.from_file(bpe.public_vocabulary())
+    rnd, took = random.Random(4), {}
+    for n in (40_000, 80_000, 160_000):
+        word = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(n))
+        began = time.process_time()
+        ids = b.encode(word)
+        took[n] = time.process_time() - began
+        if n == 80_000:
+            assert ids.tolist() == t.encode(word, add_special_tokens=False).ids
+    assert took[160_000] < 10 * took[40_000] + 1
+    for word in ("a" * 30_000, "ab" * 15_000, "aeio" * 8000 + "zq"):
+        assert b.encode(word).tolist() == t.encode(word, add_special_tokens=False).ids
+    assert not b.chunks and all(len(w) < 64 for w in b.words)
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    b = bpe.Bpe(bpe.public_vocabulary())
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("aeionrst.,") for _ in range(rnd.randint(1, 12))) for _ in range(200)) for _ in range(20)]
+    expected = [b.encode(x).tolist() for x in texts]
+    b.chunks, b.words = bpe.Memory(4000), bpe.Memory(3000)
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 10)
+    assert [b.encode(x).tolist() for x in texts + texts] == expected * 2
+    assert 0 < b.chunks.held <= 4000 and 0 < b.words.held <= 3000 and len(b._compatible) <= 200_000
 
 
 def test_token_counts_of_documents(spark, sf_dir):
@@ -62,6 +94,26 @@ def test_token_counts_of_documents(spark, sf_dir):
     assert token_counts.document_counts(d.limit(0)).count() == 0
 
 
+def test_token_counts_of_odd_rows(spark):
+    long = "word of-many.parts " * 30_000
+    rows = [(1, "a b", "f", 5, "n"), (1, "a b", "f", 5, "n"), (1, "a b c", None, None, None), (None, "x", "f", 5, "n"), (None, None, "f", 5, "n"), (2, long, "f", 5, "n"), (3, "<|endoftext|>", "f", 5, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, file string, place long, n_tokens string")
+    b = bpe.codec(bpe.public_vocabulary())
+    assert Counter(map(tuple, token_counts.document_counts(d).collect())) == Counter((r[0], len(b.encode(r[1] or ""))) for r in rows)
+
+
+def test_wide_ids_take_four_bytes_and_a_clash_ends_the_job(spark, tmp_path):
+    d = docs(spark, ["70000 5 6", None, "9 99999"])
+    encode = lambda t: np.array([int(x) for x in t.split()], np.int64)
+    made = token_counts.write_token_files(d, encode, 100_000, f"file://{tmp_path}/wide")
+    counted = {tuple(r) for r in made.join(token_counts.token_counts(made, 100_000, 2), ["file", "place"]).select("doc_id", "n_tokens").collect()}
+    assert counted == {(0, 3), (1, 0), (2, 2)}
+    with pytest.raises(Exception, match="end of document"):
+        token_counts.write_token_files(d, encode, 70_000, f"file://{tmp_path}/clash").count()
+    with pytest.raises(Exception, match="(?i)scheme|filesystem|file system"):
+        token_counts.write_token_files(d, encode, 100_000, "nowhere://folder")
+
+
 @pytest.mark.parametrize("block", [1, 3, 16, 1000])
 def test_blocks_are_stitched(spark, tmp_path, block):
     rnd, expected = random.Random(block), set()
@@ -248,7 +300,7 @@ def test_model_tells_blocks_of_unseen_layouts(spark, sf_dir):
     half = len(htmls) // 2
     model = html_extract.train(*html_extract.training_pages(htmls[:half]))
     xs, ys = html_extract.training_pages(htmls[half:], layouts=4)
-    wrong = sum(a != b for x, y in zip(xs, ys) for a, b in zip(model.viterbi(x), y))
+    wrong = sum(a != b for x, y in zip(xs, ys) for a, b in zip(model.viterbi(model.scores(x)), y))
     assert wrong / sum(map(len, ys)) < 0.01
 
 
@@ -256,10 +308,64 @@ def test_viterbi_is_the_best_of_all_labellings():
     rnd = random.Random(4)
     for _ in range(30):
         m = html_extract.Crf({c: rnd.uniform(-2, 2) for c in "abc"}, [[rnd.uniform(-1, 1) for _ in range(2)] for _ in range(2)], [rnd.uniform(-1, 1) for _ in range(2)])
-        names = [[rnd.choice("abc")] for _ in range(5)]
-        total = lambda y: m.starts[y[0]] + sum(m.weights[n[0]] for n, v in zip(names, y) if v) + sum(m.steps[a][b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        said = [(rnd.choice("abcd"), a, rnd.randint(a + 1, 5)) for a in (rnd.randint(0, 4) for _ in range(7))]
+        page = html_extract.Page([html_extract.Block("x", (), 0)] * 5, said)
+        total = lambda y: m.starts[y[0]] + sum(m.weights.get(f, 0) * sum(y[a:b]) for f, a, b in said) + sum(m.steps[a][b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
         best = max(([k >> i & 1 for i in range(5)] for k in range(32)), key=total)
-        assert total(m.viterbi(names)) == pytest.approx(total(best))
+        assert total(m.viterbi(m.scores(page))) == pytest.approx(total(best))
+
+
+def test_training_is_the_gradient_of_the_likelihood(spark, sf_dir):
+    """Chains longer than CHAIN are cut; on short pages the likelihood of the trained model, by all labellings, is at least that of nearby models."""
+    htmls = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").limit(6).collect()]
+    xs, ys = html_extract.training_pages(htmls, layouts=1)
+    pairs = [(x, y) for x, y in zip(xs, ys) if len(x.blocks) <= 12]
+    assert pairs
+    model = html_extract.train([x for x, _ in pairs], [y for _, y in pairs], l2=0.0)
+
+    def likelihood(m):
+        out = 0.0
+        for x, y in pairs:
+            e = m.scores(x)
+            total = lambda z: m.starts[z[0]] + sum(s for s, v in zip(e, z) if v) + sum(m.steps[a][b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            out += total(y) - np.logaddexp.reduce([total([k >> i & 1 for i in range(len(e))]) for k in range(1 << len(e))])
+        return out
+
+    best, blank = likelihood(model), likelihood(html_extract.Crf({}, [[0, 0], [0, 0]], [0, 0]))
+    assert best > blank / 5
+    worst = max(model.weights, key=lambda f: model.weights[f])
+    assert likelihood(html_extract.Crf({**model.weights, worst: -model.weights[worst]}, model.steps, model.starts)) < best
+
+
+def test_labelled_pages_without_article(spark, sf_dir):
+    known = json.loads((Path(__file__).parent / "labelled_pages.json").read_text())
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    rows = spark.createDataFrame([(i, "u", p["html"]) for i, p in enumerate(known)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows, html_extract.fit(pages)).collect()}
+    assert [got[i] for i in range(len(known))] == [p["text"] for p in known]
+
+
+def test_blocks_of_odd_markup():
+    blocks = lambda x: [b.text for b in html_extract.leaf_blocks(x)]
+    assert blocks("<p>a<script src=/x/ >var a=1</script>b<style/>p{}</style >c") == ["abc"]
+    assert blocks("<p>Euler: <math>x</math> ok <svg><path d='M'/><text>hi</text></svg> end</p><p>z") == ["Euler: x ok hi end", "z"]
+    assert blocks("<svg>unclosed <p>still <b>here") == ["unclosed still here"] or blocks("<svg>unclosed <p>still <b>here") == ["unclosed", "still here"]
+    assert blocks("<xmp>a &amp; <b></xmp>c<noscript>d</noscript><object>e</object>") == ["a &amp; <b>", "c", "d", "e"]
+    assert blocks("a<!-->b<!-- x -- > y -->c<!--> d --!>e<!-- f") == ["abc d --!>e"]
+    assert blocks("<p>x<script>never closed <p>y") == ["x"]
+    assert blocks("<ul><li>a<li>b<ul><li>c</ul>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == ["a", "b", "c", "d", "e", "f", "g"]
+
+
+@pytest.mark.parametrize("piece", ["<div>t", "<div class='c{}'>t", "<i>t", "</b><i>t", "<p><div></section>t", "<li>t<ul>"])
+def test_deep_pages_take_linear_time(piece):
+    model, took = html_extract.Crf({"in:div": 1.0}, [[0, 0], [0, 0]], [0, 0]), {}
+    for n in (5_000, 40_000):
+        html_text = "".join(piece.replace("{}", "".join(chr(97 + k // 26**j % 26) for j in range(4))) for k in range(n))
+        began = time.process_time()
+        page = html_extract.read_page(html_text)
+        model.viterbi(model.scores(page))
+        took[n] = time.process_time() - began
+    assert took[40_000] < 30 * took[5_000] + 1
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
