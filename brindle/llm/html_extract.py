@@ -6,8 +6,9 @@ import html as html_lib
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,61 +16,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names by their part in the layout.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul button textarea".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul button textarea xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object noframes xmp canvas audio video".split())
-TEXT_ONLY = frozenset("title textarea".split())
+#: What browsers never show as text; it ends at its own end tag only, or with the page.
+RAW = frozenset("script style template iframe noframes noembed".split())
+TEXT_ONLY = frozenset("title textarea xmp".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "body": ("head",)}
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "optgroup": ("select",)}
+_KEEPS_P = ("td", "th", "li", "div", "article", "section", "table")
+#: Elements in which a trailing slash closes an element at once.
+_FOREIGN = frozenset(("svg", "math"))
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?;:](?:\s|$)")
+_end_tags = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in sorted(RAW | TEXT_ONLY)}
 
 
 @dataclass(frozen=True)
 class Block:
-    """A run of text between block-level tags. path: the open elements, outermost first, each with the words of its class, id and role."""
+    """A run of text between block-level tags. near: the block-level elements next to it, the outer one first; linked: characters within links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    near: tuple[str, ...]
     linked: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in its order, character references decoded, white space inside a block one space."""
+@dataclass
+class Page:
+    """A page's blocks in its order, and its features: (name, first block, block after the last) for every stretch of blocks that has one."""
+
+    blocks: list[Block]
+    features: list[tuple[str, int, int]]
+
+
+class _Stack:
+    """The open elements. What an element says of the blocks in it is noted once, when it closes, and each step looks only at the
+    nearest element of a name: the time grows with the page, however deep it nests."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.active: dict[str, list[int]] = {}
+        self.said: list[tuple[str, int, int]] = []
+
+    def nearest(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def push(self, name: str, words: tuple[str, ...], block: int) -> None:
+        told = ("in:" + name, *("name:" + w for w in words))
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((name, told))
+        for f in told:
+            self.active.setdefault(f, []).append(block)
+
+    def cut(self, place: int, block: int) -> None:
+        """Closes the elements from place on."""
+        while len(self.open) > place:
+            name, told = self.open.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            for f in told:
+                since = self.active[f].pop()
+                # Inside another element that says the same, the outer one's stretch holds this one.
+                if not self.active[f] and block > since:
+                    self.said.append((f, since, block))
+
+    def close(self, names: tuple[str, ...], wall: int, block: int) -> None:
+        """Closes the nearest element of these names, unless an element at `wall` or above it stands between."""
+        place = self.nearest(names)
+        if place > wall:
+            self.cut(place, block)
+
+    def near(self) -> tuple[str, ...]:
+        return tuple(self.open[k][0] for k in self.blocks[-2:])
+
+
+def read_page(page: str) -> Page:
+    """The leaf blocks of a page in its order, character references decoded, white space inside a block one space, and their features."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     links: list[str] = []
-    anchors = 0
 
     def flush() -> None:
         if parts:
             text = _WHITE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(stack), len(_WHITE.sub(" ", "".join(links)).strip())))
+                out.append(Block(text, stack.near(), len(_WHITE.sub(" ", "".join(links)).strip())))
             parts.clear()
             links.clear()
 
     def add(text: str) -> None:
         if text:
             parts.append(text)
-            if anchors:
+            if stack.places.get("a"):
                 links.append(text)
 
-    def close(names: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
-        nonlocal anchors
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                anchors -= sum(1 for t, _ in stack[k:] if t == "a")
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
-
     at, n = 0, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
@@ -83,55 +132,57 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW:
-            if not ends and not attributes.rstrip().endswith("/"):
-                after = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
+            if not ends:
+                after = _end_tags[name].search(page, at)
                 at = after.end() if after else n
             continue
         if name == "br":
             add(" ")
             continue
-        if name in BLOCKS:
+        foreign = stack.nearest(tuple(_FOREIGN)) >= 0
+        if name in BLOCKS and not foreign:
             flush()
         if ends:
-            close((name,), () if name in BLOCKS else tuple(BLOCKS))
+            stack.close((name,), -1 if name in BLOCKS or name in _FOREIGN else stack.blocks[-1] if stack.blocks else -1, len(out))
             continue
-        if name in VOID:
+        if name in VOID or (foreign or name in _FOREIGN) and attributes.rstrip().endswith("/"):
             continue
-        if name in CLOSES:
-            close(CLOSES[name], _HOLDS.get(name, ()))
-        if name in BLOCKS and any(t == "p" for t, _ in stack):
-            close(("p",), ("td", "th", "li", "div", "article", "section", "table"))
-        words = tuple(w.lower() for a in _NAMING.finditer(attributes) for w in _NAME_WORD.findall(a[1] or a[2] or a[3] or "")) if attributes else ()
-        stack.append((name, words))
-        anchors += name == "a"
-        if name in TEXT_ONLY:
-            after = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
+        if not foreign:
+            if name in CLOSES:
+                stack.close(CLOSES[name], stack.nearest(_HOLDS.get(name, ())), len(out))
+            if name in BLOCKS:
+                stack.close(("p",), stack.nearest(_KEEPS_P), len(out))
+        words = tuple(dict.fromkeys(w.lower() for a in _NAMING.finditer(attributes) for w in _NAME_WORD.findall(a[1] or a[2] or a[3] or ""))) if attributes else ()
+        stack.push(name, words, len(out))
+        if name in TEXT_ONLY and not foreign:
+            after = _end_tags[name].search(page, at)
             end = after.start() if after else n
-            add(page[at:end])
+            # Of these only xmp takes character references as they are written.
+            add(html_lib.escape(page[at:end]) if name == "xmp" else page[at:end])
             at = end
     flush()
-    return out
+    stack.cut(0, len(out))
+    return Page(out, stack.said + [(f, k, k + 1) for k, b in enumerate(out) for f in _looks(b, k, len(out))])
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features of each block: its ancestors' tags and names, and how its text looks."""
-    out = []
-    for k, b in enumerate(blocks):
-        n = len(b.text)
-        share = b.linked / n
-        tags = [t for t, _ in b.path]
-        f = {"in:" + t for t in tags}
-        f.update("name:" + w for _, ws in b.path for w in ws)
-        near = [t for t in tags if t in BLOCKS]
-        f.add("tag:" + (near[-1] if near else "-"))
-        f.add("pair:" + "/".join(near[-2:]))
-        f.add("size:" + str(min(8, n.bit_length())))
-        f.add("links:" + ("none" if not share else "some" if share < 0.5 else "most"))
-        f.add("sentences:" + str(min(3, len(_SENTENCE.findall(b.text)))))
-        f.add("place:" + ("first" if k == 0 else "last" if k == len(blocks) - 1 else "inner"))
-        if "©" in b.text or "|" in b.text and n < 120:
-            f.add("sign")
-        out.append(sorted(f))
+def leaf_blocks(page: str) -> list[Block]:
+    return read_page(page).blocks
+
+
+def _looks(b: Block, k: int, blocks: int) -> list[str]:
+    """What a block's text and nearest elements look like."""
+    n = len(b.text)
+    share = b.linked / n
+    out = [
+        "tag:" + (b.near[-1] if b.near else "-"),
+        "pair:" + "/".join(b.near),
+        "size:" + str(min(8, n.bit_length())),
+        "links:" + ("none" if not share else "some" if share < 0.5 else "most"),
+        "sentences:" + str(min(3, sum(1 for _ in islice(_SENTENCE.finditer(b.text), 3)))),
+        "place:" + ("first" if k == 0 else "last" if k == blocks - 1 else "inner"),
+    ]
+    if "©" in b.text or "|" in b.text and n < 120:
+        out.append("sign")
     return out
 
 
@@ -143,15 +194,25 @@ class Crf:
     steps: list[list[float]]
     starts: list[float]
 
-    def viterbi(self, names: list[list[str]]) -> list[int]:
+    def scores(self, page: Page) -> list[float]:
+        """What the features of each block say for 'main text'."""
+        change = [0.0] * (len(page.blocks) + 1)
+        get = self.weights.get
+        for f, a, b in page.features:
+            w = get(f)
+            if w is not None:
+                change[a] += w
+                change[b] -= w
+        return list(accumulate(change[:-1]))
+
+    def viterbi(self, scores: list[float]) -> list[int]:
         """The likeliest labels; ties go to 'other'."""
-        if not names:
+        if not scores:
             return []
-        get, back = self.weights.get, []
+        back = []
         (oo, om), (mo, mm) = self.steps
-        other, main = self.starts[0], self.starts[1] + sum(get(f, 0.0) for f in names[0])
-        for f in names[1:]:
-            e = sum(get(x, 0.0) for x in f)
+        other, main = self.starts[0], self.starts[1] + scores[0]
+        for e in scores[1:]:
             a, b, c, d = other + oo, main + mo, other + om, main + mm
             back.append((int(b > a), int(d > c)))
             other, main = max(a, b), max(c, d) + e
@@ -161,42 +222,59 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[list[list[str]]], labels: list[list[int]], least: int = 3, l2: float = 1e-3, steps: int = 250) -> Crf:
-    """Penalised maximum likelihood by full-batch gradient steps; forward-backward runs over all pages at once. The same pages give the same model."""
-    pairs = [(p, y) for p, y in zip(pages, labels) if p]
+#: Blocks of one chain in training; longer pages are trained on in pieces of this length, all of them.
+CHAIN = 128
+
+
+def train(pages: list[Page], labels: list[list[int]], least: int = 3, l2: float = 1e-3, steps: int = 250) -> Crf:
+    """Penalised maximum likelihood by full-batch gradient steps; forward-backward runs over all chains at once. The same pages give the
+    same model. Pages of more than CHAIN blocks are chains of CHAIN blocks, of which only the first has a start."""
+    pairs = [(p, y) for p, y in zip(pages, labels) if p.blocks]
     if not pairs:
         return Crf({}, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
-    count = Counter(x for p, _ in pairs for f in p for x in f)
+    base = np.concatenate([[0], np.cumsum([len(p.blocks) for p, _ in pairs])])
+    every = int(base[-1])
+    count: Counter[str] = Counter()
+    for p, _ in pairs:
+        for f, a, b in p.features:
+            count[f] += b - a
     names = sorted(x for x, c in count.items() if c >= least)
     index = {x: i for i, x in enumerate(names)}
-    n, t_max = len(pairs), max(len(p) for p, _ in pairs)
-    cell = np.array([r * t_max + t for r, (p, _) in enumerate(pairs) for t, f in enumerate(p) for x in f if x in index], np.int64)
-    col = np.array([index[x] for p, _ in pairs for f in p for x in f if x in index], np.int64)
-    size = np.array([len(p) for p, _ in pairs])
-    gold = np.zeros((n, t_max), np.int64)
-    for r, (_, y) in enumerate(pairs):
-        gold[r, : len(y)] = y
-    here = np.arange(t_max)[None, :] < size[:, None]
+    stretches = np.array([(index[f], o + a, o + b) for (p, _), o in zip(pairs, base.tolist()) for f, a, b in p.features if f in index], np.int64).reshape(-1, 3)
+    col, from_, to = stretches.T
+    # The chains, as rows of a table of blocks; -1 where a row has ended.
+    chains = [(o + k, min(o + k + CHAIN, e), k == 0) for o, e in zip(base[:-1].tolist(), base[1:].tolist()) for k in range(0, e - o, CHAIN)]
+    n, t_max = len(chains), max(b - a for a, b, _ in chains)
+    where = np.full((n, t_max), -1, np.int64)
+    for r, (a, b, _) in enumerate(chains):
+        where[r, : b - a] = np.arange(a, b)
+    here, opens = where >= 0, np.array([o for _, _, o in chains])
+    gold_of = np.concatenate([np.array(y, np.int64) for _, y in pairs])
+    gold = np.where(here, gold_of[where], 0)
     both = here[:, 1:]
-    total = here.sum()
     k = len(names)
     theta, m, v = np.zeros(k + 6), np.zeros(k + 6), np.zeros(k + 6)
-    seen = np.zeros(k + 6)
-    np.add.at(seen, col, gold.reshape(-1)[cell])
+
+    def by_feature(of_block: np.ndarray) -> np.ndarray:
+        """Sums over each feature's blocks."""
+        upto = np.concatenate([[0.0], np.cumsum(of_block)])
+        return np.bincount(col, upto[to] - upto[from_], k)
+
+    seen = np.concatenate([by_feature(gold_of.astype(float)), np.zeros(6)])
     np.add.at(seen, k + 2 * gold[:, :-1][both] + gold[:, 1:][both], 1)
-    np.add.at(seen, k + 4 + gold[:, 0], 1)
+    np.add.at(seen, k + 4 + gold[opens, 0], 1)
     for step in range(1, steps + 1):
-        e = np.bincount(cell, theta[col], n * t_max).reshape(n, t_max)
+        change = np.bincount(from_, theta[col], every + 1) - np.bincount(to, theta[col], every + 1)
+        e = np.where(here, np.cumsum(change)[where], 0.0)
         trans, start = theta[k : k + 4].reshape(2, 2), theta[k + 4 :]
         alpha, beta = np.zeros((t_max, n, 2)), np.zeros((t_max, n, 2))
-        alpha[0] = start[None, :]
+        alpha[0] = np.where(opens[:, None], start[None, :], 0.0)
         alpha[0, :, 1] += e[:, 0]
         for t in range(1, t_max):
             a = np.logaddexp(alpha[t - 1][:, 0, None] + trans[0], alpha[t - 1][:, 1, None] + trans[1])
             a[:, 1] += e[:, t]
             alpha[t] = np.where(here[:, t, None], a, alpha[t - 1])
         log_z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        expected = np.zeros(k + 6)
         pair = np.zeros(4)
         for t in range(t_max - 2, -1, -1):
             ahead = beta[t + 1].copy()
@@ -205,12 +283,12 @@ def train(pages: list[list[list[str]]], labels: list[list[int]], least: int = 3,
             pair += (np.exp(joint) * here[:, t + 1, None, None]).sum(0).reshape(4)
             b = np.logaddexp(trans[:, 0][None] + ahead[:, 0, None], trans[:, 1][None] + ahead[:, 1, None])
             beta[t] = np.where(here[:, t + 1, None], b, 0.0)
-        main = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[None]).T * here
-        expected[:k] = np.bincount(col, main.reshape(-1)[cell], k)
-        expected[k : k + 4] = pair
-        first = np.exp(alpha[0] + beta[0] - log_z[:, None]).sum(0)
-        expected[k + 4 :] = first
-        grad = (expected - seen) / total + l2 * theta * 0.1
+        main = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[None]).T
+        of_block = np.zeros(every)
+        of_block[where[here]] = main[here]
+        first = (np.exp(alpha[0] + beta[0] - log_z[:, None]) * opens[:, None]).sum(0)
+        expected = np.concatenate([by_feature(of_block), pair, first])
+        grad = (expected - seen) / every + l2 * theta * 0.1
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.15 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Crf({x: float(w) for x, w in zip(names, theta)}, theta[k : k + 4].reshape(2, 2).tolist(), theta[k + 4 :].tolist())
@@ -238,7 +316,7 @@ def laid_out(texts: list[str], seed: int) -> str:
     """A page in a drawn layout, made of the given texts; those of the main part begin with a mark."""
     draw = random.Random(seed)
     short = lambda: html_lib.escape(" ".join(draw.choice(texts).split()[: draw.randint(1, 6)]) or "x")
-    any_text = lambda: short() if draw.random() < 0.6 else html_lib.escape(draw.choice(texts)[:400])
+    any_text = lambda: short() if draw.random() < 0.6 else html_lib.escape(draw.choice(texts))
 
     def fill(piece: str) -> str:
         piece = piece.replace("{li}", "".join(f'<li><a href="/{k}">{short()}</a></li>' for k in range(draw.randint(2, 7))))
@@ -261,33 +339,45 @@ def laid_out(texts: list[str], seed: int) -> str:
 _OTHER = frozenset("nav header footer aside form menu select button textarea head title".split())
 
 
-def training_pages(htmls: list[str], layouts: int = 3) -> tuple[list[list[list[str]]], list[list[int]]]:
-    """Labelled pages: each page as it is, where it marks its main part by article or main, and its texts in drawn layouts."""
+def _within(page: Page, tags: Iterable[str]) -> list[bool]:
+    """Whether each block is in an element of these tags."""
+    out, wanted = [False] * len(page.blocks), {"in:" + t for t in tags}
+    for f, a, b in page.features:
+        if f in wanted:
+            out[a:b] = [True] * (b - a)
+    return out
+
+
+def training_pages(htmls: list[str], layouts: int = 3) -> tuple[list[Page], list[list[int]]]:
+    """Labelled pages: each page as it is, where it marks its main part by article or main, and all its texts in drawn layouts."""
     xs, ys = [], []
-    for k, page in enumerate(htmls):
-        blocks = leaf_blocks(page)
-        if not blocks:
+    for k, html in enumerate(htmls):
+        page = read_page(html)
+        if not page.blocks:
             continue
-        main = [int(any(t in ("article", "main") for t, _ in b.path) and not any(t in _OTHER for t, _ in b.path)) for b in blocks]
+        main = [int(m and not o) for m, o in zip(_within(page, ("article", "main")), _within(page, _OTHER))]
         if any(main):
-            xs.append(features(blocks))
+            xs.append(page)
             ys.append(main)
-        texts = [b.text[:600] for b, y in zip(blocks, main) if y or not any(main)][:25]
+        texts = [x for b, y in zip(page.blocks, main) if (y or not any(main)) and (x := b.text.replace(_MARK, "").strip())]
+        if not texts:
+            continue
         for j in range(layouts):
-            made = leaf_blocks(laid_out(texts, 1000 * k + j))
-            ys.append([int(b.text.startswith(_MARK)) for b in made])
-            xs.append(features([Block(b.text.replace(_MARK, ""), b.path, b.linked) if b.text != _MARK else b for b in made]))
+            # Marked and unmarked, the layout has the same blocks: the marks tell the labels, and the page without them is learned.
+            marked = laid_out(texts, 1000 * k + j)
+            xs.append(read_page(marked.replace(_MARK, "")))
+            ys.append([int(b.text.startswith(_MARK)) for b in leaf_blocks(marked)])
     return xs, ys
 
 
-def fit(pages: DataFrame, max_pages: int = 200, max_chars: int = 60_000, html_col: str = "html", id_col: str = "page_id") -> Crf:
-    """A model trained on at most max_pages pages, those with the smallest hashes of their ids among pages of at most max_chars characters."""
-    keyed = pages.filter(F.length(html_col) <= max_chars).withColumn("_h", F.xxhash64(F.lit("fit"), id_col, F.md5(html_col)))
+def fit(pages: DataFrame, max_pages: int = 200, html_col: str = "html", id_col: str = "page_id") -> Crf:
+    """A model trained on at most max_pages whole pages, those with the smallest hashes of their ids and contents."""
+    keyed = pages.filter(F.length(html_col) > 0).withColumn("_h", F.xxhash64(F.lit("fit"), id_col, F.md5(html_col)))
     # Only the hashes go through the top-k of every task; then the pages of those at most max_pages rows are read.
     picked = keyed.select("_h").distinct().orderBy("_h").limit(max_pages)
     rows = keyed.join(F.broadcast(picked), "_h").groupBy("_h").agg(F.min(html_col).alias("_html")).collect()
     rows = sorted(rows, key=lambda r: r["_h"])
-    return train(*training_pages([r["_html"] or "" for r in rows]))
+    return train(*training_pages([r["_html"] for r in rows]))
 
 
 def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -295,15 +385,17 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
 
     The blocks that Viterbi labels as main text, joined in page order by two line feeds; nothing else is dropped or cut. A
     null or empty page, and one without main text, gives an empty string and 0. Pages are read one by one: repeated rows
-    and null ids stay; other columns are ignored. Unclosed and stray tags are taken as browsers take them.
+    and null ids stay; other columns are ignored. Unclosed and stray tags are taken as browsers take them, and the time grows with
+    the page, however deep it nests. Scripts, styles, templates and frames are no text; formulas, pictures' words and fall-back texts
+    are, and the model judges them by where they stand.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for page in b.column(2).to_pylist():
-                blocks = leaf_blocks(page or "")
-                texts.append("\n\n".join(x.text for x, y in zip(blocks, model.viterbi(features(blocks))) if y))
+                read = read_page(page or "")
+                texts.append("\n\n".join(x.text for x, y in zip(read.blocks, model.viterbi(model.scores(read))) if y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
