@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
+from brindle.session import cut
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: 2^65 and 2^63: a text's length and its row's id share one decimal, so that the aggregate keeps a fixed-width buffer.
 _LENGTH_UNIT, _ID_TOP = "36893488147419103232", "9223372036854775808"
@@ -29,32 +32,36 @@ def content_hash(text_col: str = "text") -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_tied.
 
     Texts are equal when identical without white space ([\\x20\\x09-\\x0D]); a null text is empty. Rows are grouped by the
     128-bit MD5 of that text and, inside a hash group, by the text itself, so that rows whose hashes collide stay apart;
-    map-side aggregation leaves one row per task and distinct text before the shuffle, so a hot text never meets in one
-    task. Of equal texts the row with the most code points in its original text stays, then the smallest id (rows
-    without an id last). kept is true on every row that equals the one that stays in id and length: repeated rows with one id are told
-    apart only by their place, so the copies of such a row are all marked kept. Other columns are ignored; an empty
-    table gives an empty result.
+    map-side aggregation leaves one row per task and distinct text before the shuffle, and where classes meet their rows, hot
+    texts are dealt in parts. Of equal texts the row with the most code points in its original text stays, then the smallest id (rows
+    without an id last); of rows that agree in all of this (n_tied of them) one stays. Other columns are ignored; an
+    empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.regexp_replace(text, SPACE, "")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("_n"), bare.alias("_bare"))
-    hashed = rows.withColumn("_hash", F.md5("_bare"))
-    classes = (
-        hashed.groupBy("_hash", "_bare")
-        .agg(F.count("*").alias("group_size"), F.max(_rank(F.col("_n"), F.col("doc_id"))).alias("_best"))
-        .select("_hash", F.sha2("_bare", 256).alias("text_sha256"), "group_size", "_best")
-    )
-    own = hashed.select("doc_id", "_n", "_hash", F.sha2("_bare", 256).alias("text_sha256"))
-    return own.join(classes, ["_hash", "text_sha256"]).select(
+    rank = _rank(F.col("_n"), F.col("doc_id"))
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("_n"), bare.alias("_bare")).withColumn("_hash", F.md5("_bare"))
+    # Texts meet here only: one row a class is written, and rows without their texts.
+    best = hashed.groupBy("_hash", "_bare").agg(F.count("*").alias("group_size"), F.max(rank).alias("_best"))
+    keys = ["_hash", "text_sha256"]
+    classes = cut(best.select("_hash", F.sha2("_bare", 256).alias("text_sha256"), "group_size", "_best"), "classes")
+    own = cut(hashed.select("doc_id", "_hash", F.sha2("_bare", 256).alias("text_sha256"), rank.alias("_rank"), F.monotonically_increasing_id().alias("_row")), "rows")
+    hot = hot_keys(classes, keys, "group_size")
+    joined = join_hot(own, classes, keys, hot, ["_row"]).withColumn("_top", F.col("_rank") == F.col("_best"))
+    # Rows that tie for the first place differ in nothing but where they stand.
+    ties = cut(joined.filter("_top").groupBy(*keys).agg(F.count("*").alias("n_tied"), F.min("_row").alias("_first")).filter("n_tied > 1"), "ties")
+    told = join_hot(joined, ties, keys, hot, ["_row"], "left")
+    return told.select(
         "doc_id",
         _id_of(F.col("_best")).alias("keep_id"),
         "group_size",
-        (_rank(F.col("_n"), F.col("doc_id")) == F.col("_best")).alias("kept"),
+        (F.col("_top") & (F.col("_first").isNull() | (F.col("_row") == F.col("_first")))).alias("kept"),
         "text_sha256",
+        F.coalesce("n_tied", F.when(F.col("_top"), F.lit(1))).cast("long").alias("n_tied"),
     )
 
 

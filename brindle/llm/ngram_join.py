@@ -1,14 +1,16 @@
 """N-gram Jaccard join: sets of word shingles in a prefix tree, all links at or above a similarity, as connected components.
 
-1. Every text becomes the set of its distinct shingles; texts with equal sets are one class.
-2. A text can only link to another one if at least `share` of its shingles stand in other texts. Sorted runs of
+1. Every text becomes the set of its distinct shingles; texts with equal sets are one class, named by 128 bits of its set.
+2. A class can only link to another one if at least `share` of its shingles stand in other texts. Sorted runs of
    shingles are exchanged, packed, by ranges of their hash; a shingle that a task holds more than once is sent once.
-   What comes back is how many shingles of each text others have. Texts below the share have no links.
+   What comes back is how many shingles of each class others have. Classes below the share have no links.
 3. Of the rest, rarest shingles first, only a prefix can be free of common shingles (n - ceil(share * n) + 1 of n):
-   texts that share a shingle of their prefixes are one cluster.
+   classes that share a shingle of their prefixes are one cluster.
 4. Each cluster's sets, commonest shingle first, go into a prefix tree; every set walks it level by level, a branch's
    overlap is counted once for all sets below it, and branches are cut when what remains of both lengths can't reach
-   the overlap needed. A large cluster is dealt in pieces, and pairs of pieces meet in separate blocks.
+   the overlap needed. A large cluster is dealt in pieces. Each piece is linked in itself, then one set of each
+   linked group meets those of other pieces, and last the sets outside their cluster's largest group meet every piece: two
+   sets of one group need no link, so that no pair of pieces meets whole.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
 from brindle.llm.components import connected_components
 from brindle.llm.hashing import mix, shingles
 from brindle.session import cut
@@ -31,7 +34,7 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles a task of step 2, and a piece of a cluster in step 4, should hold about.
 SHINGLES_A_TASK = 1_500_000
-SHINGLES_A_PIECE = 400_000
+SHINGLES_A_PIECE = 30_000
 #: Bytes of text hashed at once, unless one text is longer.
 _CHUNK = 1 << 20
 
@@ -51,28 +54,33 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, l
             i = j
 
 
-def _fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, the same in any order."""
+def _name(s: np.ndarray) -> bytes:
+    """128 bits of a set and its size, the same in any order."""
     a, b = mix(s ^ np.uint64(0x5851F42D4C957F2D)), mix(s + np.uint64(0x14057B7EF767814F))
-    return int(np.sum(a, dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(b).astype(np.int64)) if len(s) else 0
+    return np.array([np.sum(a, dtype=np.uint64), np.bitwise_xor.reduce(b) + np.uint64(len(s))], np.uint64).tobytes()
 
 
-def shingle_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, rep): rep is the smallest id among texts with an equal set; null without shingles."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text_hash, text): key is the id, or for rows without one text_hash. Rows of one key need not have one text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", "text_hash").alias("key"), "text_hash", "text")
+
+
+def shingle_classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, key, text_hash, n_shingles, class) of rows (doc_id, key, text_hash, text); a text without shingles has no class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sets in _sets(batch, width):
-                prints = [_fingerprint(s) for s in sets]
+            ids = batch.drop_columns(["text"])
+            at = 0
+            for part, sets in _sets(batch.select(["key", "text"]), width):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-                    ["doc_id", "n_shingles", "f1", "f2"],
+                    [*ids.slice(at, part.num_rows).columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "key", "text_hash", "n_shingles", "class"]
                 )
+                at += part.num_rows
 
-    marked = cut(docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long"), "classes")
-    keys = ["n_shingles", "f1", "f2"]
-    reps = marked.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    return cut(marked.join(reps, keys, "left").select("doc_id", "n_shingles", "rep"), "classes")
+    return cut(rows.mapInArrow(run, "doc_id long, key long, text_hash long, n_shingles long, class binary"), "classes")
 
 
 _BITS = 48
@@ -107,11 +115,11 @@ def _packed(h: np.ndarray, o: np.ndarray, base: int) -> tuple[bytes, bytes]:
     return gaps.astype(np.uint32).tobytes(), o.tobytes()
 
 
-def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, shared) of every text with shingles: how many of them stand in some other text, or a few more.
+def shared_counts(rows: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
+    """(class, shared) of every row (key, text) with shingles: how many of them stand in some other text, or a few more.
 
     The exchange knows 48 bits of each hash, so that chance can only raise a count. Texts are told apart by their run and
-    place; equal texts count as others here and become one class elsewhere. A row goes out for each run and range of
+    place; equal texts count as others here, and as one class elsewhere. A row goes out for each run and range of
     hashes, in which a shingle that the run holds twice stands once, so that a frequent one comes once per run.
     """
     from pyspark import TaskContext
@@ -122,7 +130,7 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, run = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
-        ids: list[int] = []
+        ids: list[bytes] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held) >> np.uint64(64 - _BITS)
@@ -139,15 +147,15 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
             rows = [(p, name, None, None, *_packed(h[a:b], o[a:b], int(edges[p]))) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
             for k in range(0, len(rows), 64):
                 yield _rows(rows[k : k + 64], _NAMES)
-            yield _rows([(name % 2**bits, name, np.array(ids, np.int64).tobytes(), local.astype(np.int64).tobytes(), None, None)], _NAMES)
+            yield _rows([(name % 2**bits, name, b"".join(ids), local.astype(np.int64).tobytes(), None, None)], _NAMES)
 
         size = 0
         for batch in batches:
-            for part, sets in _sets(batch, width):
-                for i, s in zip(part.column(0).to_pylist(), sets):
-                    if len(s) and i is not None:
+            for _, sets in _sets(batch, width):
+                for s in sets:
+                    if len(s):
                         held.append(s)
-                        ids.append(i)
+                        ids.append(_name(s))
                         size += len(s)
                         if size > SHINGLES_A_TASK or len(ids) >= 60_000:
                             yield from flush()
@@ -185,14 +193,14 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
         """One run after the other: what its own task and every range counted for its texts."""
 
         def summed(rows: list[tuple]) -> pa.RecordBatch:
-            ids = next(np.frombuffer(r[1], np.int64) for r in rows if r[1] is not None)
+            ids = next(np.frombuffer(r[1], "V16") for r in rows if r[1] is not None)
             total = np.zeros(len(ids), np.int64)
             for _, own, counts, owners in rows:
                 if own is not None:
                     total += np.frombuffer(counts, np.int64)
                 else:
                     total[np.frombuffer(owners, np.uint16)] += np.frombuffer(counts, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["doc_id", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(total)], ["class", "shared"])
 
         rows: list[tuple] = []
         for b in batches:
@@ -204,8 +212,8 @@ def shared_counts(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
         if rows:
             yield summed(rows)
 
-    counted = docs.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND)
-    return counted.repartition("name").sortWithinPartitions("name").mapInArrow(add, "doc_id long, shared long")
+    counted = rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND)
+    return counted.repartition("name").sortWithinPartitions("name").mapInArrow(add, "class binary, shared long")
 
 
 class PrefixTree:
@@ -286,8 +294,8 @@ class PrefixTree:
         self.leaves = np.array([i for x in leaf for i in x], np.int64)
         self.sizes, self.root = sizes, root
 
-    def linked(self, ranks: np.ndarray, size: int, inside: np.ndarray, upto: np.ndarray, percent: int) -> np.ndarray:
-        """Sets whose similarity to the given one is percent / 100 or more. inside, upto: of each rank, whether the set has it, and how many of its ranks are at or below it."""
+    def linked(self, ranks: np.ndarray, size: int, inside: np.ndarray, percent: int) -> np.ndarray:
+        """Sets whose similarity to the given one (its ranks, ascending) is percent / 100 or more. inside: of each rank, whether the set has it."""
         nodes, overlap = np.array([self.root]), np.array([0])
         out = []
         while len(nodes):
@@ -313,7 +321,7 @@ class PrefixTree:
             counts = np.concatenate([[0], np.cumsum(inside[self.flat[where]])])
             stops = np.cumsum(length)
             so_far = so_far + counts[stops] - counts[stops - length]
-            left = np.minimum(len(ranks) - upto[self.last[kids]], self.rest[kids])
+            left = np.minimum(len(ranks) - np.searchsorted(ranks, self.last[kids], "right"), self.rest[kids])
             stays = so_far + left >= need
             nodes, overlap = kids[stays], so_far[stays]
         return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -328,122 +336,163 @@ def _ragged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (stops - n), n) + np.arange(stops[-1])
 
 
-def block_links(probes: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (a, b) between probes and others (probes themselves if None) that join all linked sets: a spanning forest, not all pairs."""
-    every = probes + (others or [])
-    tokens = np.concatenate([s for _, s in every])
+def block_links(every: list[tuple[bytes, int, np.ndarray]], probes: list[int] | None, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) that join all linked sets of a block: a forest, not all pairs. every: name, group and set; sets of one group need no link.
+    probes: the places of the sets that walk the tree of all sets (by default, all)."""
+    tokens = np.concatenate([s for _, _, s in every])
     seen, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
     order = np.lexsort((seen, -count))
     rank = np.empty(len(seen), np.int64)
     rank[order] = np.arange(len(seen))
     ranks = rank[inverse]
     used = int((count > 1).sum())  # shingles of one set overlap with none; they come last
-    bounds = np.concatenate([[0], np.cumsum([len(s) for _, s in every])])
+    bounds = np.concatenate([[0], np.cumsum([len(s) for _, _, s in every])])
     sets = [np.sort(r[r < used]) for r in (ranks[a:b] for a, b in zip(bounds[:-1], bounds[1:]))]
     sizes = np.diff(bounds)
-    first = 0 if others is None else len(probes)
-    tree = PrefixTree(sets[first:], sizes[first:])
-    label, out = np.arange(len(every)), []
+    tree = PrefixTree(sets, sizes)
+    label, out = np.array([g for _, g, _ in every]), []
     inside = np.zeros(used + 1, np.int64)
-    for i in range(len(probes)):
+    for i in range(len(every)) if probes is None else probes:
         inside[sets[i]] = 1
-        upto = np.concatenate([np.cumsum(inside[:used]), [0]])  # the last is for rank -1
-        found = tree.linked(sets[i], int(sizes[i]), inside, upto, percent) + first
+        found = tree.linked(sets[i], int(sizes[i]), inside, percent)
         inside[sets[i]] = 0
         labels, at = np.unique(label[found], return_index=True)
         new = labels != label[i]
         if new.any():
             out += [(every[i][0], every[j][0]) for j in found[at[new]].tolist()]
             label[np.isin(label, labels)] = label[i]
-    return [(a, b) for a, b in out if a != b]
+    return out
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(rep, tokens): sets of the classes that have enough shingles in common with others."""
+def _candidates(rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(class, tokens): sets of the classes that have enough shingles in common with others."""
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHINGLES_A_TASK))
-    counts = shared_counts(docs, parts, width).groupBy("doc_id").agg(F.max("shared").alias("shared"))
-    reps = classes.filter("doc_id = rep").groupBy("rep").agg(F.min("n_shingles").alias("least"))
-    kept = counts.join(reps, counts["doc_id"] == reps["rep"]).filter(100 * F.col("shared") >= percent * F.col("least")).select(F.col("rep").alias("_rep"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHINGLES_A_TASK))
+    counts = shared_counts(rows.select("key", "text"), parts, width).groupBy("class").agg(F.max("shared").alias("shared"))
+    known = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("least"), F.min("key").alias("key"))
+    kept = cut(counts.join(known, "class").filter(100 * F.col("shared") >= percent * F.col("least")).select("class", "key"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sets in _sets(batch, width):
-                keep = [k for k, s in enumerate(sets) if len(s)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["rep", "tokens"])
+            for _, sets in _sets(batch, width):
+                sets = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
-    # The ids kept grow with the input: a merge join at every size.
-    texts = docs.join(cut(kept, "kept").hint("merge"), docs["doc_id"] == F.col("_rep"), "left_semi")
-    return cut(texts.mapInArrow(run, "rep long, tokens array<long>").distinct(), "sets")
+    # One text of each class is read; a key that repeats may bring texts of other classes, which the second join drops.
+    many = hot_keys(classes.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    texts = join_hot(rows.select("key", "text"), kept.select("key").distinct(), ["key"], many, ["text"], "left_semi")
+    sets = texts.select("key", "text").mapInArrow(run, "class binary, tokens array<long>").dropDuplicates(["class"])
+    return cut(sets.join(kept.select("class").hint("merge"), "class", "left_semi"), "sets")
 
 
 def _clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, cluster) of sets that share a shingle of their prefixes with another one, rarest first."""
-    long = sets.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = long.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = Window.partitionBy("rep", "n").orderBy("df", "token")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = long.join(df, "token").withColumn("place", F.row_number().over(ordered)).filter((F.col("place") <= prefix) & (F.col("df") > 1)).select("rep", "token")
-    heads = cut(heads, "heads")
-    least = heads.groupBy("token").agg(F.min("rep").alias("least"))
-    edges = heads.join(least, "token").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    return connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-
-def _links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    member = sets.join(clusters, "rep")
-    sizes = member.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("_total")).select("cluster", F.ceil(F.col("_total") / SHINGLES_A_PIECE).cast("int").alias("pieces"))
-    own = member.join(sizes, "cluster").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
-    dealt = own.select("cluster", "piece", "rep", "tokens", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    blocks = dealt.select("cluster", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "rep", "tokens")
+    """(class, cluster) of sets that share a shingle of their prefixes with another one, rarest first."""
+    long = sets.select("class", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    df = cut(long.groupBy("token").agg(F.count("*").alias("n")), "frequencies")
+    ordered = Window.partitionBy("class", "size").orderBy("n", "token")
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    counted = join_hot(long, df, ["token"], hot_keys(df, ["token"]), ["class"])
+    heads = cut(counted.withColumn("place", F.row_number().over(ordered)).filter((F.col("place") <= prefix) & (F.col("n") > 1)).select("class", "token"), "heads")
+    least = cut(heads.groupBy("token").agg(F.min("class").alias("least"), F.count("*").alias("n")), "least")
+    edges = join_hot(heads, least.select("token", "least"), ["token"], hot_keys(least, ["token"]), ["class"]).filter("class <> least")
+    found = connected_components(edges.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    return found.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+
+
+def _linked(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links of blocks of sets, rows (cluster, block, probe, class, group, tokens): a set walks its block's tree if probe is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(block: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            _, i, j = block
-            if i == j:
-                links = block_links([(r, s) for _, r, s in rows], None, percent)
-            else:
-                a, b = [(r, s) for p, r, s in rows if p == i], [(r, s) for p, r, s in rows if p == j]
-                links = block_links(a, b, percent) if a and b else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        def joined(rows: list[tuple]) -> pa.RecordBatch:
+            groups: dict = {}
+            every = [(name, groups.setdefault(group if group is not None else name, len(groups)), tokens) for _, name, group, tokens in rows]
+            links = block_links(every, [k for k, r in enumerate(rows) if r[0]], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
         now, rows = None, []
         for batch in batches:
             lists = batch.column(5)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                if key != now:
+            for k, (cluster, block, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if (cluster, block) != now:
                     if len(rows) > 1:
-                        yield joined(now, rows)
-                    now, rows = key, []
-                rows.append((batch.column(3)[k].as_py(), batch.column(4)[k].as_py(), np.array(values[offsets[k] : offsets[k + 1]]).view(np.uint64)))
+                        yield joined(rows)
+                    now, rows = (cluster, block), []
+                rows.append((*row, np.array(values[offsets[k] : offsets[k + 1]]).view(np.uint64)))
         if len(rows) > 1:
-            yield joined(now, rows)
-
-    return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(run, "a long, b long")
-
-
-def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            yield joined(rows)
+
+    order = ["cluster", "block", "class"]
+    return blocks.select("cluster", "block", "probe", "class", "group", "tokens").repartition("cluster", "block").sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary")
+
+
+def _pieces(member: DataFrame, shingles_a_piece: int) -> DataFrame:
+    """member (cluster, class, ...) with size, pieces and block: a cluster of more shingles than a piece holds is dealt by hashes of its classes."""
+    sizes = cut(member.groupBy("cluster").agg(F.sum("size").alias("n"), F.count("*").alias("rows")), "sizes")
+    pieces = sizes.select("cluster", F.ceil(F.col("n") / shingles_a_piece).cast("int").alias("pieces"))
+    dealt = join_hot(member, pieces, ["cluster"], hot_keys(sizes, ["cluster"], "rows"), ["class"])
+    return dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int"))
+
+
+def _links(sets: DataFrame, clusters: DataFrame, percent: int, shingles_a_piece: int) -> DataFrame:
+    """(a, b): links that join all linked sets."""
+    nobody = F.lit(None).cast("binary").alias("group")
+    own = cut(_pieces(sets.withColumn("size", F.size("tokens")).join(clusters.hint("merge"), "class"), shingles_a_piece), "pieces")
+    first = cut(_linked(own.select("*", F.lit(True).alias("probe"), nobody), percent), "links")
+    # Clusters of several pieces: one set of each group that a piece has linked meets the others.
+    large = own.filter("pieces > 1")
+    grouped = cut(_grouped(large, first), "groups")
+    leaders = grouped.filter("class = group").drop("pieces", "block", "group")
+    second = cut(_linked(_pieces(leaders, shingles_a_piece).select("*", F.lit(True).alias("probe"), nobody), percent), "links")
+    # Sets outside their cluster's largest group meet every piece; inside it, no link is missing.
+    grouped = cut(_grouped(large, first.union(second)), "groups")
+    largest = grouped.groupBy("cluster", "group").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max(F.struct("_n", "group")).alias("_top")).select("cluster", F.col("_top.group").alias("_largest"))
+    counts = own.groupBy("cluster").agg(F.count("*").alias("n"))
+    told = join_hot(grouped, largest, ["cluster"], hot_keys(counts, ["cluster"]), ["class"]).withColumn("_rest", F.col("group") != F.col("_largest"))
+    everywhere = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p != F.col("_home"))
+    guests = told.filter("_rest").withColumnRenamed("block", "_home").withColumn("block", F.explode(everywhere))
+    third = _linked(told.select("cluster", "block", F.lit(False).alias("probe"), "class", "group", "tokens").union(guests.select("cluster", "block", F.lit(True), "class", "group", "tokens")), percent)
+    return cut(first.union(second).union(third), "links")
+
+
+def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (class, ...) with group: the smallest class that links reach."""
+    found = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    return rows.join(found.hint("merge"), "class", "left").withColumn("group", F.coalesce("group", "class"))
+
+
+def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", shingles_a_piece: int = SHINGLES_A_PIECE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     A-Z are lower-cased; words are [^\x20\x09-\x0D]+; a set has the text's distinct runs of `width` words, or all its words if they are fewer. Two
     texts link when 100 * |intersection| >= percent * |union| (percent from 1 to 100). component_id: the smallest id reachable by links. A
     null text, or one without words, has no shingles, links with nothing and is its own component; equal texts link. Rows
-    that repeat an id are one node. A row without an id gets the smallest id of its links, or null. Other columns are
-    ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+    that repeat an id are told apart by their texts. A row without an id links like any other, and gets the smallest id of
+    its component, or null if none of it has one. Other columns are ignored; an empty table gives an empty result. Shingles are
+    compared by 64-bit hashes, sets by 128 bits.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = shingle_classes(rows, width)
-    sets = _candidates(rows, classes, width, percent)
-    links = cut(_links(sets, _clusters(sets, percent), percent), "links")
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    return classes.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return ngram_classes(docs, width, percent, id_col, text_col, shingles_a_piece).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", shingles_a_piece: int = SHINGLES_A_PIECE) -> DataFrame:
+    """The columns of ngram_join, and key, text_hash and component: what component a row is of, also where it has no id; null without shingles."""
+    rows = _keyed(docs, id_col, text_col)
+    marked = shingle_classes(rows, width)
+    sets = _candidates(rows, marked, width, percent)
+    links = _links(sets, _clusters(sets, percent), percent, shingles_a_piece)
+    found = connected_components(links).select(F.col("node").alias("class"), "component")
+    classes = marked.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    named = cut(classes.join(found.hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
+    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
+    of_class = join_hot(named.select("class", "component"), ids.drop("n"), ["component"], hot_keys(ids, ["component"]), ["class"])
+    with_words = join_hot(marked.filter("class IS NOT NULL"), of_class, ["class"], hot_keys(named, ["class"]), ["doc_id"])
+    without = marked.filter("class IS NULL").select("doc_id", "key", "text_hash", "n_shingles", "class", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
+    return with_words.select("doc_id", "key", "text_hash", "n_shingles", "class", "component", "component_id").union(without)
 
 
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS words FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

@@ -44,7 +44,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_tied")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
