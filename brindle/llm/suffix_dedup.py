@@ -5,13 +5,15 @@ that equal strings choose alike: each window of `length` bytes is stood for by t
 GRAM bytes, its anchor. An anchor has a context: the bytes of all windows it stands for.
 
 1. Sorted, packed runs of (anchor hash, context hash) are exchanged by ranges of the hash. An anchor found once can't be
-   in a repeated window. Equal contexts are collapsed to one: each window in them is repeated. What is left are
-   anchors found in different contexts, where a repeat begins or ends.
-2. For those, the suffixes that begin at anchors are sorted by a distributed merge sort: every task makes sorted runs,
-   front-coded (the prefix shared with the suffix before, and the rest), which are exchanged by anchor; a loser tree
-   merges the runs of a range and never looks at a prefix that is known to be shared, and its output says how long each
-   suffix agrees with the one before. A window that begins d bytes before its anchor is found twice if, within a
-   stretch that agrees on length - d bytes, the d bytes before the anchor agree too.
+   in a repeated window; all others are candidates. Hashes decide nothing else.
+2. The suffixes that begin at candidates are sorted by a distributed merge sort: every task makes sorted runs,
+   front-coded (the prefix shared with the suffix before, and the rest), in which equal contexts stand once, with a mark.
+   They are exchanged; a loser tree merges the runs of a range and never looks at a prefix that is known to be
+   shared, and its output says how long each suffix agrees with the one before. A window that begins d bytes before its
+   anchor is found twice if, within a stretch that agrees on length - d bytes, the d bytes before the anchor agree too.
+   Windows that begin near before the anchor and far before it are sorted apart: the near ones share what follows
+   the anchor, the far ones what stands before it, and suffixes are dealt by what they must share. So a gram that
+   stands in very many contexts is spread over the ranges.
 3. The repeated windows of a text are put together to spans.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ GRAM = 64
 _CHUNK = 1 << 20
 ANCHORS_A_RUN = 400_000
 ANCHORS_A_RANGE = 400_000
-#: What is known of an anchor: all its windows are repeated; its windows have to be looked at; it is looked at for others.
-REPEATED, OPEN, SHOWN = 1, 2, 3
+#: Different suffixes that a run of the merge sort holds about.
+SUFFIXES_A_RUN = 60_000
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -77,12 +79,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return t, x - (ends[t] - sizes[t]), near, far, mix(hashes[x]), context
 
 
-def _code(x, near, far, state):
-    return (x << 24) | (near << 16) | (far << 8) | state
+def _code(x, near, far):
+    return (x << 16) | (near << 8) | far
 
 
 def _uncode(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    return codes >> 24, (codes >> 16) & 255, (codes >> 8) & 255, codes & 255
+    return codes >> 16, (codes >> 8) & 255, codes & 255
 
 
 _LISTS = pa.list_(pa.int64())
@@ -119,15 +121,34 @@ def _sent_back(names: list[int], run: np.ndarray, owners: np.ndarray, codes: np.
             yield _rows([(names[k], None, owners[mine].astype(np.int32).tobytes(), codes[mine].astype(np.int64).tobytes())], _NAMES[1:5])
 
 
-def _by_text(found: DataFrame) -> DataFrame:
-    """(k1, k2, codes) of the texts that have codes: what their run and all ranges found, one run after the other."""
+def _own_codes(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and codes of a run, from what it knows itself and what the ranges found."""
+    return np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64), np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+
+
+def _placed(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and stretches of windows (first start << 24 | more starts) of a run: what the ranges found of its suffixes, at each place of each.
+
+    The run's own row has (suffix, place of the anchor) and owner of every place, in order of suffixes."""
+    own = next(r for r in rows if r[1] is not None)
+    owner, of = np.frombuffer(own[2], np.int32).astype(np.int64), np.frombuffer(own[3], np.int64)
+    suffix, x = of >> 32, of & 0xFFFFFFFF
+    item = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows if r is not own)])
+    code = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[3], np.int64) for r in rows if r is not own)])
+    a, b = np.searchsorted(suffix, item), np.searchsorted(suffix, item, "right")
+    n = b - a
+    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    far, more = np.repeat(code >> 24, n), np.repeat(code & 0xFFFFFF, n)
+    return owner[at], (x[at] - far) << 24 | more
+
+
+def _by_text(found: DataFrame, read: Callable[[list[tuple]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(k1, k2, codes) of the texts that have codes: what `read` makes of each run's rows, one run after the other."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             keys = next(np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in rows if r[1] is not None)
-            owners = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64)
-            codes = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-            lists = list(_lists_by(owners, codes))
+            lists = list(_lists_by(*read(rows)))
             for k in range(0, len(lists), 2000):
                 piece = lists[k : k + 2000]
                 of = keys[[o for o, _ in piece]]
@@ -165,7 +186,7 @@ _RUN = np.dtype([("g", "<u8"), ("c", "<u8"), ("code", "<i8"), ("owner", "<u2"),
 
 
 def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """(k1, k2, codes): the anchors of each text whose gram is found elsewhere too, with their states."""
+    """(k1, k2, codes): the anchors of each text whose gram is found elsewhere too."""
     from pyspark import TaskContext
 
     bits = max(0, math.ceil(math.log2(max(1, parts))))
@@ -182,8 +203,8 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             name = (task << 20) + run
             first = np.concatenate([[True], (a["g"][1:] != a["g"][:-1]) | (a["c"][1:] != a["c"][:-1])])
             alone = first & np.concatenate([first[1:], [True]])
-            # Contexts that the run holds twice are repeated; one of each is sent, to be shown to others.
-            owners, codes = a["owner"][~alone].astype(np.int64), a["code"][~alone] | REPEATED
+            # Contexts that the run holds twice are candidates; one of each is sent, for others to be found by.
+            owners, codes = a["owner"][~alone].astype(np.int64), a["code"][~alone]
             a["many"] = ~alone
             a = a[first]
             at = np.searchsorted(a["g"] >> np.uint64(64 - bits) if bits else np.zeros(len(a), np.uint64), np.arange(2**bits + 1, dtype=np.uint64))
@@ -206,7 +227,7 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
                     held, keys, size, run = [], [], 0, run + 1
                 t, x, near, far, g, c = anchors(texts[i:j], length, gram)
                 a = np.zeros(len(t), _RUN)
-                a["g"], a["c"], a["code"], a["owner"] = g, c, _code(x, near, far, 0), t + len(keys)
+                a["g"], a["c"], a["code"], a["owner"] = g, c, _code(x, near, far), t + len(keys)
                 held.append(a)
                 keys += zip(k1[i:j], k2[i:j])
                 size += len(a)
@@ -225,21 +246,14 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             got = ranges.pop(part)
             a = np.concatenate([r for _, r in got])
             run = np.repeat(np.arange(len(got)), [len(r) for _, r in got])
-            order = np.lexsort((a["c"], a["g"]))
+            order = np.argsort(a["g"], kind="stable")
             a, run = a[order], run[order]
             new_gram = np.concatenate([[True], a["g"][1:] != a["g"][:-1]])
-            new = new_gram | np.concatenate([[True], a["c"][1:] != a["c"][:-1]])
-            context = np.cumsum(new) - 1
-            copies = np.bincount(context, 1 + a["many"])[context] >= 2
             of_gram = np.cumsum(new_gram) - 1
-            several = (np.bincount(of_gram, new) >= 2)[of_gram]
-            out = [(copies & (a["many"] == 0), REPEATED), (~copies & several, OPEN), (copies & several & new, SHOWN)]
-            runs = np.concatenate([run[m] for m, _ in out])
-            owners = np.concatenate([a["owner"][m] for m, _ in out])
-            codes = np.concatenate([a["code"][m] | state for m, state in out])
-            yield from _sent_back([n for n, _ in got], runs, owners, codes)
+            told = (np.bincount(of_gram, 1 + a["many"]) >= 2)[of_gram] & (a["many"] == 0)
+            yield from _sent_back([n for n, _ in got], run[told], a["owner"][told], a["code"][told])
 
-    return _by_text(rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND))
+    return _by_text(rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND), _own_codes)
 
 
 def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -333,10 +347,10 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-def repeated_starts(lcp: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> np.ndarray:
+def repeated_starts(lcp: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
     """For suffixes in order and each distance d before an anchor, whether the window from there is found twice.
 
-    left[i, d - 1]: the byte d before anchor i. The answer is [i, d] for near[i] <= d <= far[i].
+    left[i, d - 1]: the byte d before anchor i. many: whether suffix i stands for several places. The answer is [i, d] for near[i] <= d <= far[i].
     """
     n, top = len(lcp), int(far.max()) + 1
     out = np.zeros((n, top), bool)
@@ -350,43 +364,56 @@ def repeated_starts(lcp: np.ndarray, left: np.ndarray, near: np.ndarray, far: np
             key = mix(hashes[has] + mix(stretch[has].astype(np.uint64)))
             _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             out[has, d] = count[inverse] > 1
+    has = np.arange(top)
+    out |= many[:, None] & (near[:, None] <= has) & (has <= far[:, None])
     return out
 
 
 def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """(k1, k2, codes): for texts (k1, k2, text, codes), windows found by the merge sort, from and to starts packed as from << 24 | count - 1."""
+    """(k1, k2, codes): for texts (k1, k2, text, codes), windows found by the merge sort, first start and number of further ones packed as first << 24 | further."""
     from pyspark import TaskContext
 
-    head = np.dtype([("owner", "<i4"), ("x", "<i4"), ("near", "u1"), ("far", "u1"), ("state", "u1")])
+    head = np.dtype([("item", "<i4"), ("near", "u1"), ("far", "u1"), ("many", "u1")])
+    middle = (length - gram) // 2
+    classes = ((0, middle), (middle + 1, length - gram))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, run, keys, held = TaskContext.get().partitionId(), 0, [], []
+        task, run, keys, size = TaskContext.get().partitionId(), 0, [], 0
+        # (suffix, bytes before it, class): its places, as owner and place of the anchor.
+        held: dict[tuple[bytes, bytes, int], list[tuple[int, int]]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = (task << 20) + run
             ranges: dict[int, list[tuple]] = {}
-            for item in held:
-                ranges.setdefault(item[0], []).append(item)
+            owners, of = [], []
+            for item, ((suffix, left, c), places) in enumerate(held.items()):
+                # What all windows of the class have: enough of the bytes before the anchor, and of those after it.
+                low, high = classes[c]
+                word = hashlib.blake2b(left[len(left) - low :] + b"|" + suffix[: length - high], digest_size=6, salt=bytes([c])).digest()
+                ranges.setdefault(int.from_bytes(word, "little") % parts, []).append((suffix, left, (item, length - len(suffix), len(left), len(places) > 1)))
+                owners += [o for o, _ in places]
+                of += [item << 32 | x for _, x in places]
             for part, items in sorted(ranges.items()):
-                items.sort(key=lambda i: i[1])
-                info = np.array([i[3] for i in items], head)
-                pieces = [*front_coded([i[1] for i in items]), b"".join(i[2].rjust(length, b"\0") for i in items), info.tobytes()]
+                items.sort(key=lambda i: i[0])
+                info = np.array([i[2] for i in items], head)
+                pieces = [*front_coded([i[0] for i in items]), b"".join(i[1].rjust(length, b"\0") for i in items), info.tobytes()]
                 lengths = np.array([len(p) for p in pieces], "<i4").tobytes()
                 yield _rows([(part, name, None, None, None, lengths + b"".join(pieces))], _NAMES)
-            yield _own(name, parts, keys, np.zeros(0), np.zeros(0))
+            yield _own(name, parts, keys, np.array(owners, np.int64), np.array(of, np.int64))
 
         for batch in batches:
             texts = _bytes(batch.column(2))
             for k1, k2, text, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()):
-                x, near, far, state = _uncode(np.array(codes, np.int64))
-                for a, lo, hi, s in zip(x.tolist(), near.tolist(), far.tolist(), state.tolist()):
-                    if s in (OPEN, SHOWN):
-                        word = int.from_bytes(hashlib.blake2b(text[a : a + gram], digest_size=6).digest(), "little")
-                        held.append((word % parts, text[a : a + length - lo], text[a - hi : a], (len(keys), a, lo, hi, s)))
+                owner = len(keys)
                 keys.append((k1, k2))
-                if len(held) > 100_000:
-                    yield from flush()
-                    run, keys, held = run + 1, [], []
+                for a, near, far in zip(*(v.tolist() for v in _uncode(np.array(codes, np.int64)))):
+                    for c, (low, high) in enumerate(classes):
+                        d, e = max(near, low), min(far, high)
+                        if d <= e:
+                            held.setdefault((text[a : a + length - d], text[a - e : a], c), []).append((owner, a))
+                    if len(held) > SUFFIXES_A_RUN or (size := size + 1) > 10 * SUFFIXES_A_RUN:
+                        yield from flush()
+                        run, keys, held, size, owner = run + 1, [(k1, k2)], {}, 0, 0
         if keys:
             yield from flush()
 
@@ -411,16 +438,15 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
             base = np.cumsum([0, *map(len, infos)])
             at = base[order[:, 0]] + order[:, 1]
             info, left = np.concatenate(infos)[at], np.concatenate(lefts)[at]
-            twice = repeated_starts(order[:, 2], left, info["near"].astype(int), info["far"].astype(int), length)
-            twice[info["state"] != OPEN] = False
+            twice = repeated_starts(order[:, 2], left, info["near"].astype(int), info["far"].astype(int), info["many"] > 0, length)
             edge = np.diff(np.pad(twice.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             i, first = np.nonzero(edge == 1)
             _, after = np.nonzero(edge == -1)
-            x = info["x"][i].astype(np.int64)
-            codes = (x - after + 1) << 24 | (after - first - 1)
-            yield from _sent_back(names, order[i, 0], info["owner"][i], codes)
+            # From the farthest start before the anchor, and how many more follow.
+            codes = (after - 1).astype(np.int64) << 24 | (after - first - 1)
+            yield from _sent_back(names, order[i, 0], info["item"][i], codes)
 
-    return _by_text(rows.mapInArrow(send, _SENT).repartition(parts, "part").mapInArrow(merge, _FOUND))
+    return _by_text(rows.mapInArrow(send, _SENT).repartition(parts, "part").mapInArrow(merge, _FOUND), _placed)
 
 
 def spans_of(starts: Iterable[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -450,27 +476,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = _keyed(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 60 / ANCHORS_A_RANGE))
-    states = cut(_states(rows.select("k1", "k2", "text"), parts, length, gram), "states")
     keys = ["k1", "k2"]
-    still = states.select(*keys, F.filter("codes", lambda c: c.bitwiseAND(255) != REPEATED).alias("codes")).filter(F.size("codes") > 0)
+    candidates = cut(_states(rows.select("k1", "k2", "text"), parts, length, gram), "candidates")
     # Texts and their anchors both grow with the input: merge joins at every size; both joins read one exchange of the texts.
-    opened = rows.join(still.hint("merge"), keys).select("k1", "k2", "text", "codes")
-    by_sort = cut(_sorted_spans(opened, parts, length, gram).withColumnRenamed("codes", "found"), "spans")
-    known = states.select(*keys, F.filter("codes", lambda c: c.bitwiseAND(255) == REPEATED).alias("known"))
-    both = known.join(by_sort, keys, "full").hint("merge")
-    joined = rows.join(both, keys, "left")
+    opened = rows.join(candidates.hint("merge"), keys).select("k1", "k2", "text", "codes")
+    found = cut(_sorted_spans(opened, parts, length, gram), "spans").withColumnRenamed("codes", "found")
+    joined = rows.join(found.hint("merge"), keys, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for b in batches:
             spans = []
-            for codes, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, near, far, _ = _uncode(np.array(codes or [], np.int64))
-                starts = list(zip((x - far).tolist(), (x - near).tolist())) + [(c >> 24, (c >> 24) + (c & 0xFFFFFF)) for c in found or []]
+            for found in b.column(2).to_pylist():
+                starts = [(c >> 24, (c >> 24) + (c & 0xFFFFFF)) for c in found or []]
                 spans.append([{"from": a, "to": e} for a, e in spans_of(starts, length)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
-    return joined.select("doc_id", "text", "known", "found").mapInArrow(run, "doc_id long, text string, spans array<struct<from: int, to: int>>")
+    return joined.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, text string, spans array<struct<from: int, to: int>>")
 
 
 def digests(found: DataFrame) -> DataFrame:

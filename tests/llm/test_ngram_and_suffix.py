@@ -37,7 +37,7 @@ def plain_components(rows, percent=80):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if (both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)) or (ids[a] is not None and ids[a] == ids[b]):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
     least = {}
     for k, i in enumerate(ids):
@@ -71,11 +71,51 @@ def test_components_agree_with_all_pairs(spark, seed):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_components(rows)
 
 
-def test_pieces_of_a_large_cluster_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHINGLES_A_PIECE", 300)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pieces_of_a_large_cluster_lose_no_link(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "SHINGLES_A_TASK", 500)
-    rows = near_rows(3, 2, 30)
-    got = ngram_join.ngram_join(frame(spark, rows).repartition(5))
+    rows = near_rows(seed, 2, 30)
+    got = ngram_join.ngram_join(frame(spark, rows).repartition(5), shingles_a_piece=300)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_components(rows)
+
+
+def test_sets_outside_the_largest_group_meet_every_piece(spark):
+    """A chain of texts, each linked to the next only, in pieces of about one set."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 - k, " ".join(words[k * 3 : k * 3 + 60])) for k in range(60)]
+    got = ngram_join.ngram_join(frame(spark, rows), shingles_a_piece=60)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_components(rows)
+    assert len({r["component_id"] for r in got.collect()}) == 1
+
+
+def test_rows_without_id_or_with_a_repeated_one(spark):
+    base = [f"w{i}" for i in range(80)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(None, near(1)), (7, near(2)), (7, "another text of that very id, all alone"), (None, near(3)), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (9, near(4)), (9, near(4)), (None, None), (None, "")]
+    got = ngram_join.ngram_join(frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_components(rows)
+
+
+def test_all_separators_and_long_words(spark):
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "a b\tc\nd\x0be\x0cf\rg"), (2, "a b c d e f g"), (3, "a\x1cb c d e"), (4, thue), (5, thue.translate(str.maketrans("ab", "ba"))), (6, "z" * 300_000), (7, "z" * 300_001), (8, "Z" * 300_000), (9, "a\u00a0b"), (10, "")]
+    d = frame(spark, rows)
+    got = sorted((tuple(r) for r in ngram_join.ngram_join(d).collect()), key=repr)
+    assert got == plain_components(rows)
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toPandas())
+    assert sorted(con.execute(ngram_join.ORACLE_SQL).fetchall(), key=repr) == got
+
+
+def test_hot_shingles_and_copies(spark):
+    """More than one in 1,000 rows has a key: all of these are hot."""
+    rnd = random.Random(9)
+    rows = [(i, "the same text for a third of all rows here") for i in range(300)] + [(1000 + i, "shared words stand in every text of these " + " ".join(str(rnd.randint(0, 10**9)) for _ in range(1))) for i in range(300)]
+    got = ngram_join.ngram_join(frame(spark, rows))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_components(rows)
 
 
@@ -96,7 +136,7 @@ def test_prefix_tree_finds_every_link():
     for i, s in enumerate(sets):
         inside = np.zeros(41, np.int64)
         inside[s] = 1
-        found = tree.linked(s, int(sizes[i]), inside, np.concatenate([np.cumsum(inside[:40]), [0]]), 80)
+        found = tree.linked(s, int(sizes[i]), inside, 80)
         assert sorted(found.tolist()) == [j for j in range(60) if 100 * (o := len(np.intersect1d(s, sets[j]))) >= 80 * (sizes[i] + sizes[j] - o)]
 
 
@@ -160,6 +200,29 @@ def test_repeated_passages_agree_with_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_spans(rows)
 
 
+def test_one_gram_in_very_many_contexts(spark, monkeypatch):
+    """A passage of 100 bytes in 10,000 texts, each time among other bytes, some of which stand twice; runs and ranges of few suffixes."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES_A_RUN", 700)
+    monkeypatch.setattr(suffix_dedup, "ANCHORS_A_RUN", 3000)
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage, sides = word(100), [word(160) for _ in range(9_990)]
+    rows = [(k, s[:80] + passage + s[80:]) for k, s in enumerate(sides)]
+    rows += [(10_000 + k, sides[k][k * 10 : 80] + passage + sides[k][80 : 80 + 20 * k]) for k in range(9)] + [(10_020, sides[3][:80] + passage)]
+    got = suffix_dedup.digests(suffix_dedup.repeated_spans(frame(spark, rows).repartition(4)))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_spans(rows)
+
+
+def test_long_texts_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES_A_RUN", 500)
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    long = word(40_000)
+    rows = [(1, long), (2, long[5_000:12_000] + word(3_000)), (3, word(20_000)), (4, "ab" * 8_000)] + [(10 + k, long[:600]) for k in range(150)]
+    got = suffix_dedup.digests(suffix_dedup.repeated_spans(frame(spark, rows).repartition(3)))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_spans(rows)
+
+
 def test_no_texts_no_spans(spark):
     assert suffix_dedup.repeated_spans(frame(spark, [])).count() == 0
 
