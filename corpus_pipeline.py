@@ -1,10 +1,15 @@
-"""A pipeline from raw documents to encoded training text. Every stage takes (spark, docs, sf_dir) and works on all that the one before kept."""
+"""A pipeline from raw documents to encoded training text.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
+documents (COLUMNS), and drop others that docs may have. Any column may be null; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
 from brindle.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from brindle.session import cut
 from brindle.tables import table
@@ -30,27 +35,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_rows(docs, model).filter(F.col("_score") < model.threshold).select(COLUMNS)
 
 
+def _one_of_each(docs: DataFrame, kept: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Rows of docs whose keys are in kept (keys, n: how many such rows docs has); where n is above 1, the first of them in order."""
+    rows = join_hot(docs.select(*COLUMNS, *keys), kept, keys, hot_keys(kept, keys), ["n_chars"])
+    first = rows.filter("n > 1").groupBy(*keys).agg(F.min(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *COLUMNS)).alias("_first"))
+    return rows.filter("n = 1").select(COLUMNS).unionByName(first.select("_first.*").select(COLUMNS))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row that exact dedup keeps; of rows that repeat it, id and all, one."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("text_sha256", exact_dedup.content_hash("text"))
-    rows = _matched(keyed, kept, ["doc_id", "text_sha256"], "left_semi")
-    order = [F.length("text").desc_nulls_last(), F.col("lang"), F.col("source"), F.col("n_chars")]
-    return _numbered(rows, ["doc_id", "text_sha256"], *order).filter("_n = 1").select(COLUMNS)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    told = exact_dedup.exact_dedup(docs).groupBy(key.alias("key"), "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    kept = cut(told.filter("kept").drop("kept"), "kept")
+    keyed = docs.select(*COLUMNS, key.alias("key"), exact_dedup.content_hash("text").alias("text_sha256"))
+    return _one_of_each(keyed, kept, ["key", "text_sha256"], -F.length(F.coalesce("text", F.lit(""))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id. Rows that repeat an id are one and go together; rows without an id stay."""
-    gone = ngram_join.ngram_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return _matched(docs, gone, ["doc_id"], "left_anti").select(COLUMNS)
+    """One document of each group of linked ones: that of the smallest id, rows without an id last. Documents without words all stay."""
+    keys = ["key", "text_hash"]
+    told = cut(ngram_join.ngram_classes(docs).groupBy(*keys).agg(F.count("*").alias("n"), F.max("component").alias("component"), F.min("doc_id").isNull().alias("none")), "told")
+    chosen = told.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("none", *keys)).alias("_of")).select("_of.*").drop("none")
+    kept = told.filter("component IS NULL").select(*keys, F.lit(1).cast("long").alias("n")).union(told.select(*keys, "n").join(chosen.hint("merge"), keys))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(*COLUMNS, text_hash.alias("text_hash"), F.coalesce(F.col("doc_id"), text_hash).alias("key"))
+    return _one_of_each(keyed, cut(kept, "kept"), keys)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
+    # A repeated row is told from its copies by its place among them: they take the same turns in either order.
     keys = ["doc_id", "source", "size"]
     mixed = mixing.mix(docs).filter("taken > 0").select(*keys, F.expr("cast(taken / size as int)").alias("times"))
     taken = _numbered(mixed, keys, F.col("times").desc())
-    rows = _numbered(docs.withColumn("size", mixing.n_words("text")).filter("size > 0"), keys, F.xxhash64("text"))
+    rows = _numbered(docs.select(*COLUMNS, mixing.n_words("text").alias("size")).filter("size > 0"), keys, F.xxhash64("text"))
     return _matched(rows, taken, [*keys, "_n"], "inner").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
