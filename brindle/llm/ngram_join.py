@@ -212,7 +212,7 @@ def shared_counts(rows: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
         if rows:
             yield summed(rows)
 
-    counted = rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND)
+    counted = rows.mapInArrow(send, _SENT).repartitionById(2**bits, "part").mapInArrow(merge, _FOUND)
     return counted.repartition("name").sortWithinPartitions("name").mapInArrow(add, "class binary, shared long")
 
 

@@ -31,7 +31,13 @@ def _features(hashes: str) -> Column:
 
 
 def _ids(trusted: DataFrame, id_col: str) -> DataFrame:
-    return trusted.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
+    """(_none, _id, _trusted) of the trusted ids."""
+    return trusted.select(F.lit(False).alias("_none"), F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
+
+
+def _dealt(row_id: Column, other: Column) -> list[Column]:
+    """Join keys of a row: its id, or for one without, another value that meets no id, so that such rows are spread over all tasks."""
+    return [row_id.isNull().alias("_none"), F.coalesce(row_id, other).alias("_id")]
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,9 +46,10 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     trusted has the ids of trusted documents in the column id_col (repeated ids count once). All documents are counted; each
     task sums by bucket before the shuffle.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(*_dealt(F.col(id_col).cast("long"), F.xxhash64(text)), text.alias("_text"))
     # A sort-merge join at every size: the ids grow with the corpus, and one plan for all sizes shuffles in proportion.
-    hashed = texts.join(_ids(trusted, id_col).hint("merge"), "_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
+    hashed = texts.join(_ids(trusted, id_col).hint("merge"), ["_none", "_id"], "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _hashed_words(F.col("_text")).alias("_h"))
     counted = hashed.select("_trusted", F.explode(_features("_h")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("_raw"), F.sum("_trusted").alias("_good"))
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["_raw", "_good"])
@@ -134,7 +141,7 @@ def quality_apart(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
     # One row per bucket: BUCKETS rows at any size.
     summed = told.join(F.broadcast(bucket_counts(docs, trusted, id_col, text_col)), "bucket", "left").groupBy(*keys).agg(mean(0).alias("_other"), mean(1).alias("_own"))
-    known = summed.join(_ids(trusted, id_col).withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id", "left")
+    known = summed.select("*", *_dealt(F.col("doc_id"), F.col("_row"))).join(_ids(trusted, id_col).hint("merge"), ["_none", "_id"], "left")
     ratio = F.coalesce(F.when(F.col("_trusted") == 1, F.col("_own")).otherwise(F.col("_other")), F.lit(0.0))
     return known.select(*keys[1:-1], (~F.col("base_failed") & (ratio >= threshold)).alias("kept"), ratio.alias("ratio"))
 

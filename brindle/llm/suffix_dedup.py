@@ -253,7 +253,7 @@ def _states(rows: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             told = (np.bincount(of_gram, 1 + a["many"]) >= 2)[of_gram] & (a["many"] == 0)
             yield from _sent_back([n for n, _ in got], run[told], a["owner"][told], a["code"][told])
 
-    return _by_text(rows.mapInArrow(send, _SENT).repartition(2**bits, "part").mapInArrow(merge, _FOUND), _own_codes)
+    return _by_text(rows.mapInArrow(send, _SENT).repartitionById(2**bits, "part").mapInArrow(merge, _FOUND), _own_codes)
 
 
 def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -446,7 +446,7 @@ def _sorted_spans(rows: DataFrame, parts: int, length: int, gram: int) -> DataFr
             codes = (after - 1).astype(np.int64) << 24 | (after - first - 1)
             yield from _sent_back(names, order[i, 0], info["item"][i], codes)
 
-    return _by_text(rows.mapInArrow(send, _SENT).repartition(parts, "part").mapInArrow(merge, _FOUND), _placed)
+    return _by_text(rows.mapInArrow(send, _SENT).repartitionById(parts, "part").mapInArrow(merge, _FOUND), _placed)
 
 
 def spans_of(starts: Iterable[tuple[int, int]], length: int) -> list[tuple[int, int]]:

@@ -33,17 +33,17 @@ IDENTITY_GROUPS = (
 AGAIN = "+"
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7)
-_REMEMBERED = 100_000
+#: Chunks that a reader remembers, those of at most _LONG characters; features that a task counts before it sends them on. They bound memory, not results.
+_REMEMBERED, _LONG, _COUNTED = 60_000, 40, 100_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: labelled rows fitted, at most half of each class, the smallest hashes of their ids first. max_features: bound of the
-    feature table, without the groups' terms. swaps: variants of each text that names a group. min_g2: G squared of a feature, the quantile of chi squared
-    that one of 1,000 features reaches by chance at any number of rows and shares of the classes. l2, counterfactual: weights of the penalties."""
+    """max_rows: labelled rows fitted, at most half of each class, the smallest hashes of their ids first; the only bound. swaps: variants of
+    each text that names a group. min_g2: G squared of a feature, the quantile of chi squared that one of 1,000 features reaches by chance at
+    any number of rows and shares of the classes. l2, counterfactual: weights of the penalties."""
 
     max_rows: int = 16_000
-    max_features: int = 2_000
     swaps: int = 2
     min_g2: float = 10.83
     l2: float = 1e-6
@@ -87,9 +87,11 @@ class _Reader:
         for c in set(text.split()):
             f = known.get(c)
             if f is None:
-                if len(known) > _REMEMBERED:
-                    known.clear()
-                f = known[c] = self._of(c)
+                f = self._of(c)
+                if len(c) <= _LONG:
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    known[c] = f
             for x in f:
                 if x in out:
                     again.add(x)
@@ -142,14 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for f in reader.features(t or ""):
                     seen.setdefault(f, [0, 0])[y] += 1
-                if len(seen) > _REMEMBERED:
+                if len(seen) > _COUNTED:
                     yield _counts_batch(seen)
                     seen = {}
         yield _counts_batch(seen)
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     identity = sorted({x for g in IDENTITY_GROUPS for t in g for x in word_features(t)})
-    # Every feature of the sample is counted and told; at most max_features rows and one for each of the groups' terms are collected.
+    # Every feature of the sample is counted and told; the telling ones, of at most max_rows texts, are collected.
     counts = sample.select("text", "toxic").mapInArrow(class_counts, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     names = _telling(counts, sizes, identity, settings)
     index = {n: i for i, n in enumerate(names)}
@@ -161,18 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for b in batches:
             for i, t, y, w in zip(*(b.column(k).to_pylist() for k in range(4))):
                 t = t or ""
-                out = [(0, plain.features(t))]
+                out = [plain.features(t)]
                 if terms and not terms.isdisjoint(chunk_words(t)):
-                    out += [(k + 1, r.features(t)) for k, r in enumerate(swapped)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * len(out)), pa.array([k for k, _ in out]), pa.array([y] * len(out), pa.int32()), pa.array([w] * len(out)), pa.array([sorted(f) for _, f in out], pa.list_(pa.int32()))],
-                    ["doc_id", "variant", "toxic", "weight", "features"],
-                )
-
-    # Bounded: max_rows rows, (1 + swaps) variants, of at most max_features features and the groups' terms.
-    got = sorted(sample.mapInArrow(rows, "doc_id long, variant long, toxic int, weight double, features array<int>").collect(), key=lambda r: (r["doc_id"], r["variant"]))
+                    out += [r.features(t) for r in swapped]
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([w]), pa.array([[sorted(f) for f in out]], pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "weight", "variants"])
+
+    # Bounded: max_rows rows, (1 + swaps) variants of each, of the telling features. A row stands for itself, also where its id repeats.
+    got = sorted((tuple(r) for r in sample.mapInArrow(rows, "doc_id long, toxic int, weight double, variants array<array<int>>").collect()), key=lambda r: (r[0], r[1], r[3]))
     sample.unpersist()
-    return _fitted([tuple(r) for r in got], names, settings)
+    return _fitted(got, names, settings)
 
 
 def _counts_batch(seen: dict[str, list[int]]) -> pa.RecordBatch:
@@ -187,37 +186,36 @@ def _g2(pos: Column, neg: Column, toxic: int, clean: int) -> Column:
 
 
 def _telling(counts: DataFrame, sizes: dict[int, int], identity: list[str], settings: Settings) -> list[str]:
-    """Of counts (f, pos, neg) the features that toxic rows have more often, those of the largest G squared, and the groups' terms that are in three rows or more."""
+    """Of counts (f, pos, neg) the features that toxic rows have more often, with more than the least G squared, and the groups' terms that are in three rows or more."""
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     named = F.col("f").isin(identity) & (F.col("pos") + F.col("neg") > 2)
     told = counts.select("f", named.alias("named"), (F.col("pos") * clean > F.col("neg") * toxic).alias("more"), _g2(F.col("pos"), F.col("neg"), toxic, clean).alias("g2"))
-    told = told.filter(F.col("named") | F.col("more") & (F.col("g2") > settings.min_g2)).orderBy(F.col("named").desc(), F.col("g2").desc(), "f").limit(settings.max_features + len(identity)).collect()
-    return sorted([r["f"] for r in told if r["named"]] + [r["f"] for r in told if not r["named"]][: settings.max_features])
+    told = told.filter(F.col("named") | F.col("more") & (F.col("g2") > settings.min_g2)).orderBy(F.col("named").desc(), F.col("g2").desc(), "f").collect()
+    return sorted(r["f"] for r in told)
 
 
 def _fitted(rows: Iterable[tuple], names: list[str], settings: Settings) -> Model:
+    """rows: (id, label, weight, variants), the first variant as it stands, the others with the groups' terms swapped."""
     rows = list(rows)
-    base = [r for r in rows if r[1] == 0]
-    y = np.array([r[2] for r in base], float)
-    if not base or y.min() == y.max():
+    y = np.array([r[1] for r in rows], float)
+    if not rows or y.min() == y.max():
         return Model(threshold=settings.threshold)
-    weight = np.array([r[3] for r in base], float)
+    weight = np.array([r[2] for r in rows], float)
     weight /= weight.sum()
-    at = np.repeat(np.arange(len(base)), [len(r[4]) for r in base])
-    cols = np.concatenate([np.array(r[4], np.int64) for r in base])
-    n, k = len(base), len(names)
+    at = np.repeat(np.arange(len(rows)), [len(r[3][0]) for r in rows])
+    cols = np.concatenate([np.array(r[3][0], np.int64) for r in rows])
+    n, k = len(rows), len(names)
     # Changes of the features under each swap, as signed entries.
-    row_of = {r[0]: i for i, r in enumerate(base)}
     d_at, d_col, d_sign, owner = [], [], [], []
-    features = {r[0]: set(r[4]) for r in base}
-    for r in (r for r in rows if r[1]):
-        before, after = features[r[0]], set(r[4])
-        changed = [(c, s) for cs, s in ((after - before, 1.0), (before - after, -1.0)) for c in sorted(cs)]
-        if changed:
-            d_at += [len(owner)] * len(changed)
-            d_col += [c for c, _ in changed]
-            d_sign += [s for _, s in changed]
-            owner.append(row_of[r[0]])
+    for i, (_, _, _, (plain, *swapped)) in enumerate(rows):
+        before = set(plain)
+        for after in map(set, swapped):
+            changed = [(c, s) for cs, s in ((after - before, 1.0), (before - after, -1.0)) for c in sorted(cs)]
+            if changed:
+                d_at += [len(owner)] * len(changed)
+                d_col += [c for c, _ in changed]
+                d_sign += [s for _, s in changed]
+                owner.append(i)
     d_at, d_col, d_sign = np.array(d_at, np.int64), np.array(d_col, np.int64), np.array(d_sign, float)
     share = weight[np.array(owner, np.int64)] if owner else np.zeros(0)
     share = share / max(share.sum(), 1e-12)
@@ -256,7 +254,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text; other columns are no input.
 
     A null or empty text has no features and gets the score of the bias. Repeated rows and null ids (held_out false) are kept; an
-    empty table gives an empty result. One pass, no shuffle; the model has at most max_features weights.
+    empty table gives an empty result; other columns, of any name, are ignored. One pass, no shuffle.
     """
     scored = score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= model.threshold).cast("int").alias("predicted"))

@@ -181,6 +181,35 @@ def test_toxicity_keeps_words_that_only_few_toxic_rows_have(spark):
     assert [r["predicted"] for r in out] == [labels[r["doc_id"]][1] for r in out]
 
 
+def plain_score(model, text):
+    """The score of a text, by counting its words and beginnings anew."""
+    chunks = set((text or "").split())
+    seen = Counter(x for c in chunks for x in {f for w in re.findall(r"[^\W\d_]+", c.lower()) for f in (w, *(w[:k] + "~" for k in (4, 5, 6, 7) if len(w) > k))})
+    names = set(seen) | {x + toxicity.AGAIN for x, n in seen.items() if n > 1}
+    z = model.bias + sum(w for f, w in model.weights.items() if f in names)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_agree_with_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(d, lab)
+    long = "a" * 300_000 + " " + "trash moron " * 20_000
+    odd = spark.createDataFrame([(1, "trash", "c", 1), (1, "you absolute moron", "c", 1), (1, "trash", "c", 1), (None, "trash idiot idiots", "c", 1), (None, None, None, None), (7, "", "c", 1), (8, long, "c", 1)], "doc_id long, text string, _score string, held_out int")
+    for rows in (d, odd):
+        got = Counter((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.score(rows, model).collect())
+        want = Counter((r["doc_id"], round(plain_score(model, r["text"]), 9), int(plain_score(model, r["text"]) >= 0.7)) for r in rows.collect())
+        assert got == want
+
+
+def test_fit_keeps_rows_of_one_id_apart(spark):
+    rows = [(i // 2, ("women " if i % 2 else "") + ("bad rant" if i % 4 == 0 else "fine day")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 1) for i in range(200)], "doc_id long, toxic int, quality int")
+    again = [toxicity.fit(d.repartition(n), lab) for n in (1, 5)]
+    assert again[0] == again[1]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     got = toxicity.toxicity(docs(spark, ["a", None]), none).collect()
