@@ -78,15 +78,25 @@ def is_schema_file(path: Column) -> Column:
     return _like(path, "|".join(f"(?:{p})" for p in SCHEMA_PATHS))
 
 
-def trigger(path: Column, symbol: Column, has_handler_decorator: Column) -> Column:
-    """What reaches the code, first match first: migration, test, request-handler, job, unknown."""
-    outermost = F.element_at(F.split(F.coalesce(symbol, F.lit("")), r"\."), 1)
+def path_kinds(path: Column) -> dict[str, Column]:
+    """Whether a path is that of a migration, a test, a request handler or a job."""
     migration = _like(path, MIGRATION_TOOL_PATH) | _like(path, SEED_PATH) | _like(path, DDL_FILE) | _like(path, DDL_DIR) | _like(path, SCHEMA_FILE) | _like(path, MIGRATION_ROOT) | (_like(path, MIGRATION_DIR) & _like(path, VERSIONED_FILE))
-    handler = has_handler_decorator | outermost.rlike(HANDLER_SYMBOL) | F.coalesce(symbol, F.lit("")).rlike(HANDLER_SYMBOL) | _like(path, HANDLER_PATH)
+    return {"migration": migration, "test": _like(path, TEST_PATH) | path.rlike(TEST_CLASS), "handler": _like(path, HANDLER_PATH), "job": _like(path, JOB_PATH)}
+
+
+def trigger_of(kinds: dict[str, Column], symbol: Column, has_handler_decorator: Column) -> Column:
+    """What reaches the code, first match first: migration, test, request-handler, job, unknown."""
+    named = F.coalesce(symbol, F.lit(""))
+    outermost = F.element_at(F.split(named, r"\."), 1)
+    handler = has_handler_decorator | outermost.rlike(HANDLER_SYMBOL) | named.rlike(HANDLER_SYMBOL) | kinds["handler"]
     return (
-        F.when(migration, "migration")
-        .when(_like(path, TEST_PATH) | path.rlike(TEST_CLASS), "test")
+        F.when(kinds["migration"], "migration")
+        .when(kinds["test"], "test")
         .when(handler, "request-handler")
-        .when(_like(path, JOB_PATH) | outermost.rlike(JOB_SYMBOL), "job")
+        .when(kinds["job"] | outermost.rlike(JOB_SYMBOL), "job")
         .otherwise("unknown")
     )
+
+
+def trigger(path: Column, symbol: Column, has_handler_decorator: Column) -> Column:
+    return trigger_of(path_kinds(path), symbol, has_handler_decorator)

@@ -23,9 +23,14 @@ def confidence(best: Column, hits: Column) -> Column:
     return F.least(F.lit(0.99), best + F.lit(0.05) * (hits - 1))
 
 
-def priority_parts(path: Column, excerpt: Column, loop_depth: Column, trigger: Column, access_style: Column) -> list[tuple[str, float, Column]]:
-    """(reason, weight, condition) in the order in which they count."""
-    migration, test = path.rlike(MIGRATION_PATH), path.rlike(TEST_PATH)
+def cold_paths(path: Column) -> tuple[Column, Column]:
+    """Whether a path is that of a migration, and of a test, as the score takes them."""
+    return path.rlike(MIGRATION_PATH), path.rlike(TEST_PATH)
+
+
+def priority_parts(cold: tuple[Column, Column], excerpt: Column, loop_depth: Column, trigger: Column, access_style: Column) -> list[tuple[str, float, Column]]:
+    """(reason, weight, condition) in the order in which they count. cold: cold_paths of the file."""
+    migration, test = cold
     return [
         ("in a loop", LOOP, loop_depth > 0),
         ("request handler", HANDLER, trigger == "request-handler"),
@@ -42,7 +47,18 @@ def priority_parts(path: Column, excerpt: Column, loop_depth: Column, trigger: C
 
 def priority(path: Column, excerpt: Column, loop_depth: Column, trigger: Column, access_style: Column) -> tuple[Column, Column]:
     """(score in 0 to 1 at four decimals, reasons)."""
-    parts = priority_parts(path, excerpt, loop_depth, trigger, access_style)
+    parts = priority_parts(cold_paths(path), excerpt, loop_depth, trigger, access_style)
     score = sum((F.when(c, F.lit(w)).otherwise(0.0) for _, w, c in parts), F.lit(BASE))
     reasons = F.filter(F.array(*[F.when(c, F.lit(f"{w:+.2f} {r}")) for r, w, c in parts]), lambda r: r.isNotNull())
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 4))), reasons
+
+
+def priority_told(cold: tuple[Column, Column], excerpt: Column, loop_depth: Column, trigger: Column, access_style: Column) -> Column:
+    """What counts for a site, as array<struct<weight, reason>>: each condition is evaluated once."""
+    parts = priority_parts(cold, excerpt, loop_depth, trigger, access_style)
+    return F.filter(F.array(*[F.when(c, F.struct(F.lit(w).alias("weight"), F.lit(f"{w:+.2f} {r}").alias("reason"))) for r, w, c in parts]), lambda p: p.isNotNull())
+
+
+def priority_sum(told: Column) -> Column:
+    """The score of priority, from priority_told."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.aggregate(told, F.lit(BASE), lambda total, p: total + p["weight"]), 4)))

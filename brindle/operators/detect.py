@@ -1,36 +1,50 @@
-"""Query sites in source files: rules matched against masked text, hits folded to spans, spans scored and ranked per file."""
+"""Query sites in source files: rules matched against masked text, hits folded to spans, spans scored and ranked per file.
+
+A file is one task's work from its text to its best sites: nothing is shuffled.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.engines import engine_from_path
-from brindle.functions.paths import is_prose, trigger
+from brindle.functions.engines import dialect_of, engine_from_path
+from brindle.functions.paths import extension, is_prose, path_kinds, trigger_of
 from brindle.functions.rules import RULES, SYNTAX, extensions
-from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, confidence, priority
-from brindle.functions.text import line_of, slice_lines
-from brindle.operators.spans import folded_spans
+from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, cold_paths, confidence, priority_sum, priority_told
+from brindle.operators.spans import FRAGMENT_WINDOW, WINDOW
 
 #: Matches of one rule in one file that count.
 MATCHES_PER_RULE = 501
 CONTEXT_LINES = 6
+#: Lines that a Ruby block without an indented body may be above; lines in which a decorator may stand; lines from a lone brace up to its header.
+BLOCK_LINES, DECORATOR_LINES, HEADER_LINES = 40, 6, 3
 
+# Rules that tell a statement's dialect.
+DIALECT_RULES = frozenset("postgres-dialect postgres-placeholder mysql-dialect mssql-dialect oracle-dialect sqlite-dialect clickhouse pgvector cassandra-cql cql-file hive-file cypher cypher-file promql".split())
 # How a line opens a loop or names a scope, for languages of indentation and of braces.
 INDENTED = frozenset("py pyi pyx rb ex exs coffee".split())
-LOOP_INDENTED = re.compile(r"^\s*(?:for|while|until)\b|\.\s*(?:each|each_with_index|each_slice|map|collect|find_each|in_batches|times|upto|downto)\b\s*(?:\{|do\b)|\bEnum\.(?:each|map|reduce|flat_map)\b")
-LOOP_BRACED = re.compile(r"^\s*(?:for|while|do)\b|\bfor\s*\(|\bwhile\s*\(|\.\s*(?:forEach|map|flatMap|filter|reduce)\s*\(|\bforeach\s*\(|\brange\s+")
-NAMED = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:def|class|module|function|func|interface|struct|defp|defmodule)\s+(?:\([^)]*\)\s*)?([A-Za-z_$]\w*(?:(?:::|\.)\w+)*)")
-DECORATED = re.compile(r"@(?:app|blueprint|bp|router|api)\.(?:route|get|post|put|patch|delete)\b|@(?:Get|Post|Put|Patch|Delete|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping)\s*\(|@rpc_method\b|@api_view\b|\[Http(?:Get|Post)\]")
+PY_LOOP, PY_NAME = re.compile(r"^\s*(?:for|while)\b"), re.compile(r"^\s*(?:async\s+def|def|class)\s+([A-Za-z_]\w*)")
+RB_LOOP, RB_NAME = re.compile(r"^\s*(?:for|while|until)\b|\.\s*(?:each|each_with_index|each_slice|map|collect|find_each|in_batches|times|upto|downto)\b\s*(?:\{|do\b)"), re.compile(r"^\s*(?:def|class|module)\s+([A-Za-z_][\w.:]*)")
+EX_LOOP, EX_NAME = re.compile(r"\bEnum\.(?:each|map|reduce|flat_map)\b|\bfor\b\s+\w+\s+<-"), re.compile(r"^\s*(?:defp?|defmodule)\s+([A-Za-z_][\w.]*)")
+COMPREHENSION = re.compile(r"\bfor\s+\w+\s+in\b[\s\S]*[\]\})]")
+BRACE_LOOP = re.compile(r"^\s*(?:for|while|do)\b|\bfor\s*\(|\bwhile\s*\(|\.\s*(?:forEach|map|flatMap|filter|reduce)\s*\(|\bforeach\s*\(|\brange\s+")
+BRACE_NAME = re.compile(
+    r"(?:function\s+([A-Za-z_$]\w*)|(?:async\s+)?([A-Za-z_$]\w*)\s*\([^)]*\)\s*(?::\s*[\w<>,\[\]\s|]+)?\s*\{|(?:class|interface|struct|enum)\s+([A-Za-z_$]\w*)|func\s+(?:\([^)]*\)\s*)?([A-Za-z_$]\w*)|(?:public|private|protected|internal|static|final|override|virtual|async|\s)+[\w<>,\[\]\.]+\s+([A-Za-z_$]\w*)\s*\()"
+)
+DECORATOR = re.compile(
+    r"@(?:app|blueprint|bp|router|api)\.(?:route|get|post|put|patch|delete)\b|@(?:Get|Post|Put|Patch|Delete|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping)\s*\(|@rpc_method\b|@api_view\b|@require_(?:GET|POST|http_methods)\b|@HttpGet\b|\[HttpGet\]|\[HttpPost\]"
+)
 
 
 @lru_cache(None)
-def _masker(ext: str) -> tuple[re.Pattern | None, int]:
+def _masker(ext: str) -> re.Pattern | None:
     """One pattern for a language's comments (group 1) and strings (groups 2 and 3: quote and body)."""
     for exts, line, block, quotes, escapes in SYNTAX:
         if ext in exts.split():
@@ -41,8 +55,8 @@ def _masker(ext: str) -> tuple[re.Pattern | None, int]:
             if line:
                 comments.append(rf"{re.escape(line)}[^\n]*")
             body = r"(?:\\[\s\S]|(?!\2)[\s\S])*+" if escapes else r"(?:(?!\2)[\s\S])*+"
-            return re.compile(rf"({'|'.join(comments)})|({'|'.join(map(re.escape, quotes.split()))})({body})(?:\2|\Z)"), 1
-    return None, 0
+            return re.compile(rf"({'|'.join(comments)})|({'|'.join(map(re.escape, quotes.split()))})({body})(?:\2|\Z)")
+    return None
 
 
 def _blank(text: str) -> str:
@@ -52,7 +66,7 @@ def _blank(text: str) -> str:
 def masked(path: str, text: str, strings: bool) -> str:
     """text with comments, and string bodies if asked, as spaces; every other character keeps its place. A triple-quoted string that opens its line
     documents and is blanked like a comment. Files of unknown languages stay as they are."""
-    pattern, _ = _masker(path.lower().rsplit(".", 1)[-1])
+    pattern = _masker(_ext(path))
     if pattern is None:
         return text
 
@@ -67,132 +81,332 @@ def masked(path: str, text: str, strings: bool) -> str:
     return pattern.sub(replace, text)
 
 
-def scopes(path: str, text: str) -> list[tuple[int, str, bool]]:
-    """For every line: loops around it, names of the scopes around it joined by dots, and whether a handler's decorator stands above one of them.
+def _ext(path: str) -> str:
+    return path.lower().rsplit(".", 1)[-1]
+
+
+class Scope:
+    """What surrounds a line: the headers of the loops around it (nearest first), the names of the scopes (outermost first) and the line of
+    the innermost one, and whether the line itself opens a loop."""
+
+    __slots__ = ("headers", "names", "named_at", "opens")
+
+    def __init__(self, headers: list[str], names: list[str], named_at: int | None, opens: bool):
+        self.headers, self.names, self.named_at, self.opens = headers, names, named_at, opens
+
+    @property
+    def symbol(self) -> str | None:
+        return ".".join(self.names) or None
+
+
+def scopes(path: str, text: str, wanted: set[int]) -> dict[int, Scope]:
+    """The scopes of the wanted lines (from 0), in one pass with a stack of open blocks: by indentation, or by braces.
 
-    One pass with a stack of open blocks: by indentation, or by the brace that a header's line or the next one opens.
+    A line that holds nothing but a brace opens the block of the line above it. In Ruby a loop whose body is not indented counts too, and in
+    languages of indentation a comprehension that stands on the line itself.
     """
     code = masked(path, text, True).split("\n")
-    ext = path.lower().rsplit(".", 1)[-1]
-    out: list[tuple[int, str, bool]] = []
-    stack: list[tuple[int, bool, str, bool]] = []
-    depth, pending, decorated = 0, None, False
+    ext = _ext(path)
+    by_indent = ext in INDENTED
+    loop, name = (RB_LOOP, RB_NAME) if ext == "rb" else (EX_LOOP, EX_NAME) if ext in ("ex", "exs") else (PY_LOOP, PY_NAME) if by_indent else (BRACE_LOOP, BRACE_NAME)
+    stack: list[tuple[int, str | None, str | None, int]] = []  # depth, loop header, name, line
+    depth, out = 0, {}
 
-    def state() -> tuple[int, str, bool]:
-        return sum(s[1] for s in stack), ".".join(s[2] for s in stack if s[2]), any(s[3] for s in stack)
+    def block(header: str, level: int, line: int) -> tuple[int, str | None, str | None, int]:
+        if loop.search(header):
+            return level, header.strip(), None, line
+        m = name.search(header)
+        return level, None, next((g for g in m.groups() if g), None) if m else None, line
 
-    for line, source in zip(code, text.split("\n")):
-        if not line.strip():
-            out.append(state())
-            continue
-        name = NAMED.search(line)
-        header = (bool((LOOP_INDENTED if ext in INDENTED else LOOP_BRACED).search(line)), name[1] if name else "")
-        if ext in INDENTED:
-            indent = len(line) - len(line.lstrip())
-            while stack and stack[-1][0] >= indent:
+    for k, line in enumerate(code):
+        if by_indent and line.strip():
+            level = sum(4 if c == "\t" else 1 for c in line[: len(line) - len(line.lstrip(" \t"))])
+            while stack and stack[-1][0] >= level:
                 stack.pop()
-            out.append(state())
-            if any(header):
-                stack.append((indent, *header, decorated))
-        else:
-            if pending and line.lstrip().startswith("{"):
-                header, pending = pending, None
-            out.append(state())
-            opened = False
-            for c in line:
-                if c == "{":
-                    depth += 1
-                    stack.append((depth, *(header if not opened else (False, "")), decorated and not opened))
-                    opened = True
-                elif c == "}":
-                    while stack and stack[-1][0] >= depth:
-                        stack.pop()
-                    depth = max(0, depth - 1)
-            pending = header if any(header) and not opened else None
-        decorated = bool(DECORATED.search(source)) or (decorated and not any(header))
+        if k in wanted:
+            headers = [s[1] for s in reversed(stack) if s[1] is not None]
+            if not headers and ext == "rb":
+                headers = _open_block(code, k)
+            if not headers and by_indent and COMPREHENSION.search(line):
+                headers = [line.strip()]
+            named = [s for s in stack if s[2]]
+            out[k] = Scope(headers, [s[2] for s in named], named[-1][3] if named else None, bool(loop.search(line)))
+        if by_indent:
+            if line.strip():
+                b = block(line, level, k)
+                if b[1] is not None or b[2]:
+                    stack.append(b)
+            continue
+        header = line
+        if line.strip() == "{":
+            header = next((x for x in code[max(0, k - HEADER_LINES) : k][::-1] if x.strip()), line)
+        for c in line:
+            if c == "{":
+                depth += 1
+                stack.append(block(header, depth, k) if header else (depth, None, None, k))
+                header = ""
+            elif c == "}":
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                depth = max(0, depth - 1)
     return out
 
 
+def _open_block(code: list[str], k: int) -> list[str]:
+    """The Ruby loop that is open at line k without indenting it: the last one of the lines above, up to the method's head, that no later `end` closes."""
+    width = lambda x: len(x) - len(x.lstrip())
+    first = max(0, k - BLOCK_LINES)
+    heads = [i for i in range(first, k) if RB_NAME.search(code[i])]
+    opened: list[str] = []
+    for line in code[heads[-1] + 1 if heads else first : k]:
+        if not line.strip() or width(line) > width(code[k]):
+            continue
+        if re.match(r"\s*(?:end\b|\})", line):
+            del opened[-1:]
+        elif RB_LOOP.search(line):
+            opened.append(line.strip())
+    return opened[-1:]
+
+
+def matches(path: str, text: str, cap: int = MATCHES_PER_RULE) -> list[tuple[int, int, int]]:
+    """(start, rule, end) of every match of every rule that is for the file's extension, in the order of the text and of the rules."""
+    ext = _ext(path)
+    with_strings, code = masked(path, text, False), masked(path, text, True)
+    found = []
+    for k, pattern, exts, anywhere in _compiled():
+        if exts and ext not in exts:
+            continue
+        for n, m in enumerate(pattern.finditer(with_strings if anywhere else code)):
+            if n == cap:
+                break
+            found.append((m.start(), k, m.end()))
+    return sorted(found, key=lambda h: h[:2])
+
+
+@lru_cache(1)
+def _compiled() -> list[tuple[int, re.Pattern, tuple[str, ...], bool]]:
+    return [(k, re.compile(r.pattern, re.ASCII if r.cased else re.ASCII | re.IGNORECASE), extensions(r), r.anywhere) for k, r in enumerate(RULES)]
+
+
+def spans(found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(start, end, rules) of hits that stand close together; closer is wider where the hit, or one before it in the span, is a fragment."""
+    out: list[list] = []
+    wide = False
+    for start, rule, end in found:
+        fragment = RULES[rule].name.startswith("sql-fragment")
+        if out and start <= out[-1][1] + (FRAGMENT_WINDOW if fragment or wide else WINDOW):
+            out[-1][1] = max(out[-1][1], end)
+            out[-1][2].append(rule)
+            wide |= fragment
+        else:
+            out.append([start, end, [rule]])
+            wide = fragment
+    return [tuple(s) for s in out]
+
+
 def hits(files: DataFrame, cap: int = MATCHES_PER_RULE) -> DataFrame:
-    """(path, rule, start, end, line_loops, symbol, decorated): every match of every rule that is for the file's extension, with what surrounds its line.
+    """(path, rule, start, end): every match of every rule in files (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, k, s, e) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, k, e in matches(p, t or "", cap)]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["path", "rule", "start", "end"])
+
+    return files.select("path", "content").filter(~is_prose(F.col("path"))).mapInArrow(run, "path string, rule int, start int, end int")
+
+
+_SITE = pa.struct(
+    [(n, pa.string()) for n in ("detector", "dialect", "style", "symbol", "excerpt")]
+    + [(n, pa.int32()) for n in ("start_line", "end_line", "n", "loop_depth")]
+    + [("best", pa.float64()), ("opens_loop", pa.bool_()), ("decorated", pa.bool_()), ("named", pa.list_(pa.string()))]
+)
+_SITE_SQL = "detector string, dialect string, style string, symbol string, excerpt string, start_line int, end_line int, n int, loop_depth int, best double, opens_loop boolean, decorated boolean, named array<string>"
+
 
-    files: path, content. Files are independent; the rules are code that every task has.
+def sites(path: str, text: str) -> list[dict]:
+    """A file's spans with what the rules and the surroundings say of each."""
+    found = spans(matches(path, text))
+    if not found:
+        return []
+    lines = text.split("\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    line_of = lambda at: bisect_right(starts, at, 0, len(lines)) - 1
+    around = scopes(path, text, {line_of(s) for s, _, _ in found})
+    first_at: dict[str, int] = {}
+    for k, line in enumerate(lines):
+        first_at.setdefault(line.strip(), k)
+    out = []
+    for start, end, rules in found:
+        a, z = line_of(start), line_of(end)
+        scope = around[a]
+        by_confidence = sorted((RULES[k] for k in rules), key=lambda r: -r.confidence)
+        named = [r.engine for r in by_confidence if r.engine != "unknown"]
+        out.append(
+            {
+                "detector": "+".join(dict.fromkeys(RULES[k].name for k in rules)),
+                "dialect": next((r.engine for r in by_confidence if r.name in DIALECT_RULES and r.engine != "unknown"), None),
+                "style": by_confidence[0].style,
+                "symbol": scope.symbol,
+                "excerpt": _excerpt(lines, a, z, scope, first_at),
+                "start_line": a + 1,
+                "end_line": z + 1,
+                "n": len(rules),
+                "loop_depth": len(scope.headers),
+                "best": by_confidence[0].confidence / 100,
+                "opens_loop": scope.opens,
+                "decorated": bool(DECORATOR.search("\n".join(_above(lines, a, scope)))),
+                "named": list(dict.fromkeys(named)),
+            }
+        )
+    return out
+
+
+def _above(lines: list[str], a: int, scope: Scope) -> list[str]:
+    """Lines where a decorator of the innermost named scope may stand, or without one, of the line."""
+    end = a if scope.named_at is None else scope.named_at + 1
+    return lines[max(0, end - DECORATOR_LINES) : end]
+
+
+def _excerpt(lines: list[str], a: int, z: int, scope: Scope, first_at: dict[str, int]) -> str:
+    """Lines around a span; before them the loop headers that stand higher up, outermost first."""
+    low = max(0, a - CONTEXT_LINES)
+    body = lines[low : z + 1 + CONTEXT_LINES]
+    places = [first_at.get(h, -1) for h in reversed(scope.headers)]
+    heads = [f"{k + 1:5d}| {lines[k]}" for k in places if 0 <= k < low]
+    return "\n".join([*heads, f"      … (lines above {low + 1} omitted)", *body] if heads else body)
+
+
+def scan(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
+    """(path, matched, below_confidence, low_priority, found, sites) of every file (path, content) with hits.
+
+    sites: the best `per_file` spans of those at or above the confidence floor, by priority, confidence and line. matched: all spans;
+    below_confidence and low_priority: what the floor and the limit took; found: spans at or above the floor. An engine is that of a
+    dialect's rule, else the path's, else the most confident rule's that the profile declares, else the profile's primary engine (unknown if
+    it is ambiguous), else the most confident rule's. profile: the rows of operators.profile.engine_profile.
     """
-    compiled = [(k, re.compile(r.pattern, re.ASCII if r.cased else re.ASCII | re.IGNORECASE), extensions(r), r.anywhere) for k, r in enumerate(RULES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ext = path.lower().rsplit(".", 1)[-1]
-                with_strings, code = masked(path, text, False), masked(path, text, True)
-                found = []
-                for k, pattern, exts, anywhere in compiled:
-                    if exts and ext not in exts:
-                        continue
-                    for n, m in enumerate(pattern.finditer(with_strings if anywhere else code)):
-                        if n == cap:
-                            break
-                        found.append((k, m.start(), m.end()))
-                if found:
-                    around = scopes(path, text)
-                    rows += [(path, k, s, e, *around[text.count("\n", 0, s)]) for k, s, e in found]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["path", "rule", "start", "end", "loops", "symbol", "decorated"])
-
-    return files.select("path", "content").filter(~is_prose(F.col("path"))).mapInArrow(run, "path string, rule int, start int, end int, loops int, symbol string, decorated boolean")
-
-
-def candidates(files: DataFrame, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
-    """One row per query site: path, start_line, end_line, detector, engine, access_style, confidence, priority, reasons, loop_depth, symbol, trigger, excerpt, matched.
-
-    Per file: hits in order are folded to spans; a span is its best rule's (the first of the most confident), its engine that of a dialect's rule, else the path's, else the most
-    confident rule's that names one. Spans below the confidence floor go, then the best `per_file` by priority, confidence and line stay.
-    """
-    spark = files.sparkSession
-    table = spark.createDataFrame([(k, r.name, r.engine, r.style, r.confidence / 100) for k, r in enumerate(RULES)], "rule int, name string, engine string, style string, conf double")
-    # The table has as many rows as there are rules.
-    named = hits(files).join(F.broadcast(table), "rule")
-    hit = F.struct("start", F.col("rule").alias("ord"), "end", F.col("name").startswith("sql-fragment").alias("fragment"), "name", "engine", "style", "conf", "loops", "symbol", "decorated")
-    per = named.groupBy("path").agg(folded_spans(F.collect_list(hit)).alias("spans"))
-    spans = per.select("path", F.explode("spans").alias("s")).join(files.select("path", "content"), "path")
-    h = F.col("s.hits")
-    best = F.array_max(F.transform(h, lambda x, i: F.struct(x["conf"].alias("conf"), (-i).alias("first"), x["style"].alias("style"))))
-    naming = F.filter(h, lambda x: x["engine"] != "unknown")
-    dialect = F.filter(naming, lambda x: x["name"].endswith("-dialect") | x["name"].endswith("-placeholder"))
-    strongest = lambda a: F.array_max(F.transform(a, lambda x, i: F.struct(x["conf"].alias("conf"), (-i).alias("first"), x["engine"].alias("engine"))))["engine"]
-    first = F.element_at(h, 1)
-    out = spans.select(
-        "path",
-        "content",
-        line_of(F.col("content"), F.col("s.start")).alias("start_line"),
-        line_of(F.col("content"), F.col("s.end")).alias("end_line"),
-        F.array_join(F.array_distinct(F.transform(h, lambda x: x["name"])), "+").alias("detector"),
-        F.coalesce(strongest(dialect), engine_from_path(F.col("path")), strongest(naming), F.lit("unknown")).alias("engine"),
-        best["style"].alias("access_style"),
-        F.round(confidence(best["conf"], F.size(h)), 4).alias("confidence"),
-        first["loops"].alias("loop_depth"),
-        first["symbol"].alias("symbol"),
-        trigger(F.col("path"), first["symbol"], first["decorated"]).alias("trigger"),
-    )
-    out = out.withColumn("excerpt", slice_lines(F.col("content"), F.col("start_line") - CONTEXT_LINES, F.col("end_line") + CONTEXT_LINES)).drop("content")
-    score, reasons = priority(F.col("path"), F.col("excerpt"), F.col("loop_depth"), F.col("trigger"), F.col("access_style"))
-    out = out.withColumns({"priority": score, "reasons": reasons, "matched": F.count("*").over(Window.partitionBy("path"))}).filter(F.col("confidence") >= floor)
-    rank = Window.partitionBy("path").orderBy(F.col("priority").desc(), F.col("confidence").desc(), "start_line", "end_line")
-    return out.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= per_file).drop("_n")
+            rows = [(p, s) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := sites(p, t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.list_(_SITE))], ["path", "spans"])
+
+    read = files.select("path", "content").filter(~is_prose(F.col("path"))).mapInArrow(run, f"path string, spans array<struct<{_SITE_SQL.replace(' ', ':').replace(',:', ',')}>>")
+    if profile is None:
+        read = read.select("*", F.array().cast("array<string>").alias("_declared"), F.lit(None).cast("string").alias("_primary"), F.lit(False).alias("_ambiguous"))
+    else:
+        # One row: the engines that a corpus declares.
+        one = profile.agg(F.collect_set(dialect_of(F.col("engine"))).alias("_declared"), F.max(F.when(F.col("primary"), F.col("engine"))).alias("_primary"), F.coalesce(F.bool_or("ambiguous"), F.lit(False)).alias("_ambiguous"))
+        read = read.join(F.broadcast(one), F.lit(True))
+
+    # What a path says is told once a file, what a site says once a site: each step keeps what the next ones need.
+    kinds, cold = path_kinds(F.col("path")), cold_paths(F.col("path"))
+    read = read.select("*", *[c.alias(f"_{n}") for n, c in kinds.items()], cold[0].alias("_cold_migration"), cold[1].alias("_cold_test"), engine_from_path(F.col("path")).alias("_by_path"))
+    kinds, cold = {n: F.col(f"_{n}") for n in kinds}, (F.col("_cold_migration"), F.col("_cold_test"))
+    known = lambda s: F.get(F.filter(s["named"], lambda e: F.array_contains("_declared", dialect_of(e))), F.lit(0))
+    declared = lambda s: F.when(F.size("_declared") > 0, F.coalesce(known(s), F.when(F.col("_ambiguous"), F.lit("unknown")).otherwise(F.nullif(F.col("_primary"), F.lit("unknown")))))
+    reached = F.transform("spans", lambda s: F.struct(s.alias("s"), trigger_of(kinds, s["symbol"], s["decorated"]).alias("trigger")))
+    told = F.transform(reached, lambda x: F.struct(x["s"].alias("s"), x["trigger"].alias("trigger"), priority_told(cold, x["s"]["excerpt"], x["s"]["loop_depth"], x["trigger"], x["s"]["style"]).alias("told")))
+    scored = F.transform(told, lambda x: F.struct(x["s"].alias("s"), x["trigger"].alias("trigger"), x["told"].alias("told"), priority_sum(x["told"]).alias("score"), F.round(confidence(x["s"]["best"], x["s"]["n"]), 4).alias("sure")))
+
+    def site(x: Column) -> Column:
+        s = x["s"]
+        return F.struct(
+            (-x["score"]).alias("_priority"), (-x["sure"]).alias("_confidence"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["detector"].alias("detector"),
+            F.coalesce(s["dialect"], F.col("_by_path"), declared(s), F.get(s["named"], F.lit(0)), F.lit("unknown")).alias("engine"), s["style"].alias("access_style"), x["sure"].alias("confidence"),
+            x["score"].alias("priority"), F.transform(x["told"], lambda t: t["reason"]).alias("reasons"), s["loop_depth"].alias("loop_depth"), s["opens_loop"].alias("opens_loop"), s["symbol"].alias("symbol"), x["trigger"].alias("trigger"), s["excerpt"].alias("excerpt"),
+        )
 
+    told = read.select("path", F.size("spans").alias("matched"), F.transform(F.filter(scored, lambda x: x["sure"] >= floor), site).alias("sites"))
+    found = F.size("sites")
+    return told.select("path", "matched", (F.col("matched") - found).alias("below_confidence"), F.greatest(found - per_file, F.lit(0)).alias("low_priority"), found.alias("found"), F.slice(F.array_sort("sites"), 1, per_file).alias("sites"))
 
-# Signs of data access in files that no rule found; reason, engine and pattern.
+
+def candidates(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
+    """One row per query site of scan: path, start_line, end_line, detector, engine, access_style, confidence, priority, reasons, loop_depth,
+    opens_loop, symbol, trigger, excerpt, and the file's matched."""
+    return scan(files, profile, per_file, floor).select("path", "matched", F.explode("sites").alias("s")).select("path", "s.*", "matched").drop("_priority", "_confidence")
+
+
+def scan_totals(scanned: DataFrame) -> DataFrame:
+    """One row: sums of the counters over all files, and how many files were truncated."""
+    return scanned.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched", "below_confidence", "low_priority")], F.count(F.when(F.col("low_priority") > 0, 1)).alias("truncated"))
+
+
+def scope_line(symbol: Column, loop_depth: Column, opens_loop: Column, reached: Column) -> Column:
+    """One line on what surrounds a site."""
+    loops = F.when(loop_depth > 0, F.concat(F.lit("inside "), loop_depth.cast("string"), F.when(loop_depth > 1, " loops").otherwise(" loop"))).when(opens_loop, "opens a loop, so its body runs per iteration").otherwise("not in a loop")
+    return F.concat_ws("  ·  ", F.concat(F.lit("enclosing: "), symbol), loops, F.concat(F.lit("reached by: "), reached))
+
+
+JVM = "java kt kts scala groovy"
+# Signs of data access in files that no rule found; name, extensions (none: any), pattern. None of them names an engine.
 SIGNALS = (
-    ("jpa-entity", "unknown", r"@Entity\b"), ("jpa-criteria", "unknown", r"\bCriteriaBuilder\b"), ("spring-data-repository", "unknown", r"\bextends\s+\w*Repository<"), ("jpa-fetch-strategy", "unknown", r"FetchType\.(LAZY|EAGER)"),
-    ("django-model", "unknown", r"\bmodels\.Model\b"), ("django-manager", "unknown", r"\bmodels\.Manager\b"), ("sqlalchemy-model", "unknown", r"\bdeclarative_base\s*\(|\bmapped_column\s*\("), ("activerecord-model", "unknown", r"<\s*(ApplicationRecord|ActiveRecord::Base)"),
-    ("activerecord-scope", "unknown", r"^\s*(has_many|belongs_to|scope)\s+:"), ("prisma-client", "unknown", r"\bPrismaClient\b"), ("typeorm-entity", "unknown", r"@(Entity|Column)\s*\("), ("orm-import", "unknown", r"\bfrom\s+['\"](typeorm|sequelize|mongoose|knex|drizzle-orm)"),
-    ("gorm-model", "unknown", r"\bgorm\.Model\b"), ("ef-core-context", "mssql", r":\s*DbContext\b"),
-)
+    ("jpa-entity", JVM, r"@Entity\b|@Table\s*\(|@MappedSuperclass\b"),
+    ("jpa-criteria", JVM, r"CriteriaBuilder|CriteriaQuery|\bRoot<|EntityManager\b|Specification<|JPAQueryFactory"),
+    ("spring-data-repository", JVM, r"extends\s+(?:Jpa|Crud|Paging(?:AndSorting)?|Mongo|R2dbc)Repository\b|@Repository\b"),
+    ("jpa-fetch-strategy", JVM, r"@(?:One|Many)To(?:One|Many)\b|FetchType\.(?:LAZY|EAGER)|@BatchSize\b|@EntityGraph\b"),
+    ("django-model", "py", r"class\s+\w+\s*\(\s*(?:models\.Model|Model)\s*\)|from\s+django\.db\s+import|models\.(?:ForeignKey|ManyToManyField|OneToOneField)\s*\("),
+    ("django-manager", "py", r"class\s+\w*(?:Manager|QuerySet)\s*\(|\.get_queryset\s*\(|Q\s*\(|F\s*\("),
+    ("sqlalchemy-model", "py", r"declarative_base\s*\(|__tablename__\s*=|relationship\s*\(|Column\s*\("),
+    ("activerecord-model", "rb", r"<\s*(?:ApplicationRecord|ActiveRecord::Base)\b|\b(?:has_many|belongs_to|has_one|has_and_belongs_to_many)\b"),
+    ("activerecord-scope", "rb", r"\bscope\s+:\w+\s*,\s*->"),
+    ("prisma-client", "", r"from\s+['\"]@prisma\/client['\"]|new\s+PrismaClient\b|Prisma\.\w+WhereInput"),
+    ("typeorm-entity", "", r"@Entity\s*\(|@Column\s*\(|@ManyToOne\s*\(|getRepository\s*\(|DataSource\b"),
+    ("orm-import", "", r"from\s+['\"](?:sequelize|typeorm|drizzle-orm|knex|mongoose|@mikro-orm\/\w+)['\"]|require\(['\"](?:sequelize|knex|mongoose)['\"]\)"),
+    ("gorm-model", "go", r"gorm\.Model\b|gorm:\"|\bPreload\s*\("),
+    ("ef-core-context", "cs", r":\s*DbContext\b|DbSet<|OnModelCreating\b|\.Include\s*\("),
+)
+# Paths that are data access whatever stands in the file; lines worth reading in such files.
+PATH_HINTS = r"(?i:(^|/)(?:repositor(?:y|ies)|daos?|entities|models?|schemas?|persistence|store|stores)/)|(?:Repository|Dao|DAO|Entity|Mapper)\.(?:java|kt|scala|cs|ts)$"
+TELLING = r"@(?:Entity|Table|Query|OneToMany|ManyToOne|ManyToMany|OneToOne|EntityGraph|BatchSize|Column|Index)\b|FetchType\.|CriteriaBuilder|createQuery|\.objects\.|select_related|prefetch_related|relationship\s*\(|has_many|belongs_to|scope\s+:|\.include\s*\(|Preload\s*\(|DbSet<|prisma\.\w+\.|getRepository|createQueryBuilder"
+COLD_PATH = r"(?i)(^|/)migrations?/|(^|/)seeds?/|(^|/)fixtures?/|(^|/)tests?/|(^|/)spec/|[._-]test\.|[._-]spec\."
+SAMPLE_LINES, LINES_BEFORE, LINES_AFTER, SAMPLE_PRIORITY, COLD_PRIORITY = 120, 2, 4, 0.38, 0.1
 
 
 def relevant_files(files: DataFrame, covered: DataFrame) -> DataFrame:
-    """(path, reasons): files that no site covers but that show signs of data access, all of them in order."""
-    left = files.join(covered.select("path").distinct(), "path", "left_anti")
-    reasons = F.filter(F.array(*[F.when(F.col("content").rlike(f"(?m){p}"), F.lit(n)) for n, _, p in SIGNALS]), lambda x: x.isNotNull())
-    return left.select("path", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    """(path, reasons, engine): files that no site covers but that show signs of data access, all of them in order; only a file without any counts by its path.
+
+    The paths grow with the corpus: both sides are merged."""
+    left = files.join(covered.select("path").distinct().hint("merge"), "path", "left_anti")
+    for_it = lambda exts: extension(F.col("path")).isin(*exts.split()) if exts else F.lit(True)
+    signs = F.filter(F.array(*[F.when(for_it(exts) & F.col("content").rlike(p), F.lit(n)) for n, exts, p in SIGNALS]), lambda x: x.isNotNull())
+    reasons = F.when(F.size(signs) > 0, signs).when(F.col("path").rlike(PATH_HINTS), F.array(F.lit("path")))
+    return left.select("path", "content", reasons.alias("reasons"), F.lit("unknown").alias("engine")).filter("reasons IS NOT NULL")
+
+
+def sampled_files(relevant: DataFrame) -> DataFrame:
+    """A site for each file of relevant_files that has telling lines: these lines with those around them, runs of lines apart from each other by a note."""
+    lines = F.split("content", "\n", -1)
+    told = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(TELLING), i)), lambda i: i.isNotNull())
+    near = F.flatten(F.transform(told, lambda i: F.sequence(F.greatest(i - LINES_BEFORE, F.lit(0)), F.least(i + LINES_AFTER, F.size("_lines") - 1))))
+    rows = relevant.withColumn("_lines", lines).withColumn("_keep", F.slice(F.array_sort(F.array_distinct(near)), 1, SAMPLE_LINES)).filter(F.size("_keep") > 0)
+    before = lambda k: F.get("_keep", k - 1)
+    gap = lambda i, k: F.when((k > 0) & (i != before(k) + 1), F.concat(F.lit("… (lines "), (before(k) + 2).cast("string"), F.lit("–"), i.cast("string"), F.lit(" omitted)\n")))
+    pieces = F.transform("_keep", lambda i, k: F.concat(F.coalesce(gap(i, k), F.lit("")), F.get("_lines", i)))
+    cold = F.col("path").rlike(COLD_PATH)
+    return rows.select(
+        "path",
+        (F.get("_keep", F.lit(0)) + 1).alias("start_line"),
+        (F.element_at("_keep", -1) + 1).alias("end_line"),
+        F.concat(F.lit("relevance("), F.size("reasons").cast("string"), F.lit(")")).alias("detector"),
+        "engine",
+        F.lit("orm").alias("access_style"),
+        F.lit(MIN_CONFIDENCE).alias("confidence"),
+        F.when(cold, COLD_PRIORITY).otherwise(SAMPLE_PRIORITY).alias("priority"),
+        F.array(F.when(cold, "0.10 whole-file sample in migration/test code").otherwise("0.38 whole-file sample: no single query site to score")).alias("reasons"),
+        F.lit(0).alias("loop_depth"),
+        F.lit(False).alias("opens_loop"),
+        F.lit(None).cast("string").alias("symbol"),
+        F.lit("unknown").alias("trigger"),
+        F.array_join(pieces, "\n").alias("excerpt"),
+        F.lit(1).alias("matched"),
+    )
+
+
+def both_tiers(files: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """Sites of candidates, and after them samples of the relevant files that have none; each counts as matched."""
+    first = candidates(files, profile)
+    return first.unionByName(sampled_files(relevant_files(files, first)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Reasons in their order, severities by rank, and wordings of counted facts.
 REASONS = ("no-op", "invented-symbol", "not-data-access", "wrong-direction", "unsupported-assumption", "cold-path", "unsupported-speculation", "immaterial")
 SEVERITIES = ("critical", "high", "medium", "low", "info")
-ROUND_TRIPS = ("n-plus-one", "chatty-loop", "over-fetching")
+ROUND_TRIPS = ("round-trip", "n-plus-one", "batching")
 NARROWING = r"(?i)fewer column|named column"
 SUBSTANTIVE = r"(?i)out of the loop|database call|per-row lookup|caps the result|eager loading|unbounded"
 LEAST_SAMPLES, SUPPORT = 3, 0.5
@@ -76,7 +76,9 @@ def severity_matrix(judged: DataFrame, level: str, kind: str, kinds: list[str])
     return judged.groupBy(F.col(level).alias("severity")).pivot(kind, kinds).agg(F.count(F.lit(1))).fillna(0)
 
 
-def unknown_names(accessed: DataFrame, vocabulary: DataFrame, name: str, least_files: int, files: int) -> DataFrame:
-    """Accessed names that no file of the corpus has; none at all for a corpus too small to be a vocabulary."""
+def unknown_names(accessed: DataFrame, vocabulary: DataFrame, name: str, files: DataFrame, least_files: int) -> DataFrame:
+    """Accessed names that no file of the corpus has; none at all where files are too few to be a vocabulary."""
     found = accessed.join(vocabulary.select(name).distinct(), name, "left_anti")
-    return found if files >= least_files else found.limit(0)
+    # One row: how many files there are.
+    enough = files.agg(F.count("*").alias("_files")).filter(F.col("_files") >= least_files)
+    return found.join(F.broadcast(enough), F.lit(True), "left_semi")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 def keep_at_least(df: DataFrame, score: str, floor: float, least: int, order: list[Column]) -> DataFrame:
     """Rows at or above the floor, or the best `least` rows if they are more."""
-    above = df.filter(F.col(score) >= floor)
-    best = df.orderBy(*order).limit(least)
-    n = above.agg(F.count("*").alias("_above"))
-    # One number decides which of the two it is.
-    return above.join(F.broadcast(n.filter(F.col("_above") >= least)), F.lit(True)).drop("_above").unionByName(best.join(F.broadcast(n.filter(F.col("_above") < least)), F.lit(True)).drop("_above"))
+    # The place of a row tells both: whether it is among the best, and whether the floor's number of rows reaches it.
+    above = df.agg(F.count(F.when(F.col(score) >= floor, 1)).alias("_above"))
+    ranked = global_rank(df, order, "_place")
+    return ranked.join(F.broadcast(above), F.lit(True)).filter(F.when(F.col("_above") >= least, F.col(score) >= floor).otherwise(F.col("_place") < least)).drop("_place", "_above")
 
 
 def newest(df: DataFrame, time: str, now: Column, ttl_seconds: int, keys: list[str], k: int, *tie: str) -> DataFrame:
@@ -47,19 +48,60 @@ def fixed_passes(df: DataFrame, order: list[Column], size: int) -> DataFrame:
 def pack_chunks(df: DataFrame, key: str, order: str, tokens: str, capacity: int, most: int, overhead: int = 60) -> DataFrame:
     """(key, order, chunk): a key's rows in order, packed greedily: a chunk closes when it has `most` rows or the next one would exceed its capacity.
 
-    Packing is a fold over a key's rows, so each key is a group of its own (a scan); keys are packed side by side.
+    Packing is a fold over a key's rows: they come sorted to one task, which holds the open chunk's three numbers and nothing else.
     """
     kinds = dict(df.select(key, order).dtypes)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        chunk, n, used, out = 0, 0, 0, []
-        for cost in rows[tokens] + overhead:
-            if n and (n >= most or used + cost > capacity):
-                chunk, n, used = chunk + 1, 0, 0
-            n, used = n + 1, used + cost
-            out.append(chunk)
-        return pd.DataFrame({key: rows[key], order: rows[order], "chunk": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, n, used = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for k, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                cost += overhead
+                if k != now or not n:
+                    now, chunk, n, used = k, 0, 0, 0
+                elif n >= most or used + cost > capacity:
+                    chunk, n, used = chunk + 1, 0, 0
+                n, used = n + 1, used + cost
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], [key, order, "chunk"])
+
+    return df.select(key, order, tokens).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, chunk long")
+
+
+def chunk_capacity(context: Column, overhead: Column, output: Column) -> Column:
+    """Tokens of a request that sites may fill: four fifths of what the context leaves, 1,500 at least."""
+    return F.greatest(F.lit(1500), F.floor((context - overhead - output) * 0.8)).cast("long")
+
+
+# Shares that an estimate assumes.
+FLAG_RATE, OUTPUT_SHARE = 0.1, 0.35
+
+
+def estimate(sites: DataFrame, tokens: str, samples: int, output: int, price_in: float, price_out: float) -> DataFrame:
+    """(triage_tokens, author_tokens, output_tokens, cost) of analysing sites: each is read `samples` times, and one in ten written up; prices are for a million tokens."""
+    total = F.coalesce(F.sum(tokens), F.lit(0))
+    told = sites.agg((total * samples).alias("triage_tokens"), F.ceil(total * FLAG_RATE).cast("long").alias("author_tokens"), F.ceil(F.count("*") * FLAG_RATE * output * OUTPUT_SHARE).cast("long").alias("output_tokens"))
+    return told.withColumn("cost", F.round(((F.col("triage_tokens") + F.col("author_tokens")) * price_in + F.col("output_tokens") * price_out) / 1e6, 4))
+
+
+def shown_with_rest(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows, each with how many are left out: the limit is the feature."""
+    total = df.agg(F.count("*").alias("_n"))
+    return df.orderBy(*order).limit(k).join(F.broadcast(total), F.lit(True)).withColumn("left_out", F.greatest(F.col("_n") - k, F.lit(0))).drop("_n")
+
+
+def store_summary(entries: DataFrame, time: str, now: Column, ttl_seconds: int, kind: str) -> DataFrame:
+    """One row: entries that are alive, the age of the oldest, and their kinds."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(time)
+    return entries.filter(age.between(0, ttl_seconds - 1)).agg(F.count("*").alias("live"), F.max(age).alias("oldest_seconds"), F.array_sort(F.collect_set(kind)).alias("kinds"))
+
+
+def budget_left(passes: DataFrame, done: Column, site: str, path: str) -> DataFrame:
+    """One row: sites and distinct files that passes not done still hold."""
+    return passes.agg(F.count(F.when(~done, 1)).alias("passes_left"), F.count_distinct(F.when(~done, F.col(site))).alias("sites_left"), F.count_distinct(F.when(~done, F.col(path))).alias("files_left"))
 
-    return df.select(key, order, tokens).groupBy(key).applyInPandas(pack, f"{key} {kinds[key]}, {order} {kinds[order]}, chunk long")
 
+def cache_key(*parts: Column) -> Column:
+    """A key of parts, in which no part runs into the next."""
+    return F.sha2(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("\u0001")) for p in parts]), "\u0000"), 256)

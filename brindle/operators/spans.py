@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +21,36 @@ def merge_fixed(hits: DataFrame, keys: list[str], start: str, end: str, gap: int
     return grouped.groupBy(*keys, "_span").agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count("*").alias("hits")).drop("_span")
 
 
-def folded_spans(hits: Column, gap: int = WINDOW, fragment_gap: int = FRAGMENT_WINDOW) -> Column:
-    """Spans of one file from its array of hits struct(start, ord, end, fragment, ...), as array<struct<start, end, fragment, hits>>.
+def folded_spans(hits: DataFrame, key: str, gap: int = WINDOW, fragment_gap: int = FRAGMENT_WINDOW) -> DataFrame:
+    """(key, first, last, fragment, hits): spans of rows (key, start, ord, end, fragment).
 
     The wider gap holds if this hit or any hit already in the span is a fragment, so the gap depends on the span so far: a
-    fold, not a lag. The array is one file's hits, which the per-rule cap bounds.
+    fold, not a lag. A key's hits come sorted to one task, which holds the open span and nothing else, however many there are.
     """
-    ordered = F.array_sort(hits)
-    one = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["fragment"].alias("fragment"), F.array(h).alias("hits"))
-
-    def step(spans: Column, h: Column) -> Column:
-        last = F.element_at(spans, -1)
-        wide = h["fragment"] | last["fragment"]
-        joins = h["start"] <= last["end"] + F.when(wide, fragment_gap).otherwise(gap)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"), wide.alias("fragment"), F.concat(last["hits"], F.array(h)).alias("hits"))
-        return F.when(joins, F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(grown))).otherwise(F.concat(spans, F.array(one(h))))
-
-    first = F.array(one(F.element_at(ordered, 1)))
-    return F.when(F.size(ordered) > 0, F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), first, step))
+    kind = dict(hits.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # key, first, last, fragment, hits of the open span
+        for b in batches:
+            out = []
+            for k, start, end, fragment in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if now is not None and k == now[0] and start <= now[2] + (fragment_gap if fragment or now[3] else gap):
+                    now = (k, now[1], max(now[2], end), now[3] or fragment, now[4] + 1)
+                else:
+                    if now is not None:
+                        out.append(now)
+                    now = (k, start, end, fragment, 1)
+            yield _span_rows(out, key, b.schema.field(0).type)
+        if now is not None:
+            yield _span_rows([now], key, b.schema.field(0).type)
+
+    ordered = hits.repartition(key).sortWithinPartitions(key, "start", "ord").select(key, F.col("start").cast("long"), F.col("end").cast("long"), "fragment")
+    return ordered.mapInArrow(run, f"{key} {kind}, first long, last long, fragment boolean, hits long")
+
+
+def _span_rows(rows: list[tuple], name: str, key: pa.DataType) -> pa.RecordBatch:
+    kinds = [key, pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], [name, "first", "last", "fragment", "hits"])
 
 
 def line_runs(df: DataFrame, keys: list[str], line: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.calls import orm_shape, query_dsl
+from brindle.functions.calls import query_dsl, with_call_shapes
 from brindle.functions.engines import ENGINES, FAMILIES, dialect_of, engine_from_path, family_of
 from brindle.operators import ddl, detect, profile
 from brindle.tables import table
@@ -45,10 +45,52 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.hits(code_files(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("hits"), F.count_distinct("path").alias("files"))
 
 
-def relevant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What tier two finds in files without a site: content by kind of file, and the signs in it.
+_SIGNS = (
+    ("class M(models.Model):\n    owner = models.ForeignKey(U)\n    class OrderManager(Manager):\n        pass\n", "django-model,django-manager"),
+    ("import { PrismaClient } from '@prisma/client'\nexport class X { @Column() a: string }\n", "prisma-client,typeorm-entity"),
+    ("class M < ApplicationRecord\n  belongs_to :x\n  scope :recent, -> { 1 }\nend\n", "activerecord-model,activerecord-scope"),
+    ("-- nothing", None),
+)
+
+
+def _signed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
-    odd = files.withColumn("content", F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("class M(models.Model):\n    objects = models.Manager()\n"), F.col("o_custkey").cast("string"))).otherwise("pass"))
-    return detect.relevant_files(odd, files.filter("o_custkey % 9 = 0")).select("path", F.array_join("reasons", ",").alias("reasons"))
+    k = F.col("o_custkey") % 4
+    told = F.when(k == 0, _SIGNS[0][0]).when(k == 1, _SIGNS[1][0]).when(k == 2, _SIGNS[2][0]).otherwise(_SIGNS[3][0])
+    path = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("src/models/"), F.col("path"))).otherwise(F.col("path"))
+    return files.select("o_custkey", path.alias("path"), F.when(F.col("o_custkey") % 3 == 0, told).otherwise("pass").alias("content"))
+
+
+def relevant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _signed_files(spark, sf_dir)
+    return detect.relevant_files(files, files.filter("o_custkey % 9 = 0")).select("path", F.array_join("reasons", ",").alias("reasons"), "engine")
+
+
+def sampled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the relevant files: in twenty lines after the first, a telling one again."""
+    files = _signed_files(spark, sf_dir)
+    longer = files.withColumn("content", F.concat("content", F.array_join(F.array_repeat(F.lit("x\n"), 20), ""), F.lit("y = Order.objects.first()")))
+    found = detect.sampled_files(detect.relevant_files(longer, files.filter("o_custkey % 9 = 0")))
+    return found.select("path", "start_line", "end_line", "detector", "priority", F.regexp_count("excerpt", F.lit("omitted")).alias("gaps"), F.size(F.split("excerpt", "\n")).alias("lines"))
+
+
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a file for each customer, how many sites the rules match and how many are kept: a statement for each order, far apart from each other, and a weak sign."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"))
+    body = F.array_join(F.transform(F.array_repeat(F.lit(0), F.col("n") * 4), lambda x, i: F.concat(F.lit('a = "SELECT x FROM t'), i.cast("string"), F.lit(' WHERE y"'))), "\n" + "b = 1\n" * 25)
+    files = o.select(F.concat(F.lit("jobs/c"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+    return detect.scan(files).select("path", "matched", "below_confidence", "low_priority", "found", F.size("sites").alias("kept"))
+
+
+def detect_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.scan_totals(detect.scan(code_files(spark, sf_dir)))
+
+
+def scope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What surrounds the first site of each file."""
+    found = detect.scan(code_files(spark, sf_dir).filter("o_custkey % 4 < 2")).select("path", F.get("sites", F.lit(0)).alias("s"))
+    return found.select("path", detect.scope_line(F.col("s.symbol"), F.col("s.loop_depth"), F.col("s.opens_loop"), F.col("s.trigger")).alias("line"))
 
 
 def ddl_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +105,40 @@ def index_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ddl.index_advice(proposed, declared)
 
 
+#: A snippet of each library and of each query language; {} is the part's key.
+_SNIPPETS = (
+    "for o in ids:\n    Order.objects.filter(id={}).values('a', 'b').order_by('a')[:5].count()",
+    "ids.each do |i|\n  Order.where(id: {}).order(:a).limit(3).pluck(:a)\nend",
+    "session.query(A).options(joinedload(A.b)).filter(A.id.in_([{}])).all()",
+    "await prisma.order.findMany({{ where: {{ id: {} }}, select: {{ a: true }}, take: 4, orderBy: {{ a: 'asc' }} }})",
+    "Order.findAll({{ where: {{ id: {} }}, attributes: ['a', 'b'], limit: 2 }})",
+    "repo.createQueryBuilder('o').leftJoinAndSelect('o.b', 'b').where('o.id = {}').take(7).getMany()",
+    'db.Where("id IN ?", {}).Preload("B").Order("a").Find(&x)',
+    "@OneToMany(fetch = FetchType.LAZY)\nprivate List<B> b{};",
+    "for (var i in ids) {{ ctx.AsNoTracking().Where(o => o.Id == {}).OrderBy(o => o.A).ToListAsync(); }}",
+    "Order.find({{ id: {} }}).populate('b').select('a b').lean()",
+    "rows = await db.orders.find({{'id': {}}}, {{'a': 1}}).sort('a').to_list(10)",
+    "db.orders.aggregate([{{ $match: {{ id: {} }} }}])",
+    "index.query(top_k={}, vector=v)",
+    '{{"bool": {{"must_not": {}}}}}',
+    "MATCH (o:Order) WHERE o.id = {} RETURN o",
+    "client.send(new GetItemCommand({{ TableName: 'o', Key: {} }}))",
+    "redis.hgetall('o:{}')",
+    "x = {} + 1",
+)
+
+
 def call_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = code_files(spark, sf_dir).select("path", orm_shape(F.col("content"), F.lit(1)).alias("s"), query_dsl(F.col("content")).alias("dsl"))
-    return s.select("path", "s.dialect", F.col("s.calls").cast("long").alias("calls"), "s.batched", "s.per_iteration", "dsl")
+    """A snippet for each part: what its calls do, or its query language."""
+    k = (F.col("p_partkey") % len(_SNIPPETS)).cast("int")
+    texts = F.array(*[F.lit(t.format("\0")) for t in _SNIPPETS])
+    p = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.get(texts, k), F.lit("\0"), F.col("p_partkey").cast("string")).alias("code"))
+    c = F.col("c")
+    listed = lambda n: F.when(c.isNotNull(), F.array_join(F.coalesce(c[n], F.array().cast("array<string>")), "|"))
+    return with_call_shapes(p, F.lit(0), c=F.col("code")).select(
+        "p_partkey", c["dialect"].alias("dialect"), c["calls"].alias("calls"), c["trips"].alias("trips"), c["per_iteration"].alias("per_iteration"), c["batched"].alias("batched"), listed("terminals").alias("terminals"), listed("eager").alias("eager"),
+        listed("projection").alias("projection"), c["row_limit"].alias("row_limit"), F.when(c.isNotNull(), F.size(c["predicates"])).alias("predicates"), listed("order_by").alias("order_by"), c["fetch_mode"].alias("fetch_mode"), query_dsl(F.col("code")).alias("dsl"),
+    )
 
 
 def engine_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +165,31 @@ def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"], "left")
 
 
-QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, ddl_indexes, index_advice, call_shapes, engine_declarations, engine_families, paired_turns)}
+QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, sampled_files, scan_counters, detect_totals, scope_lines, ddl_indexes, index_advice, call_shapes, engine_declarations, engine_families, paired_turns)}
 _DECLARED = "(SELECT o_orderkey AS ord, 't' || (o_orderkey % 20) AS tab, ['a', 'b' || (o_orderkey % 3)] AS cols FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3)"
+_SIGNED = """(SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'src/models/' ELSE '' END || CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path
+    FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey))"""
 ORACLE_SQL = {
-    "relevant_files": """SELECT CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path, 'django-model,django-manager' AS reasons
-        FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey) WHERE o_custkey % 3 = 0 AND o_custkey % 9 <> 0""",
+    "relevant_files": f"""SELECT path, CASE WHEN o_custkey % 3 = 0 AND o_custkey % 4 < 3 THEN list_extract(['{_SIGNS[0][1]}', '{_SIGNS[1][1]}', '{_SIGNS[2][1]}'], o_custkey % 4 + 1) ELSE 'path' END AS reasons, 'unknown' AS engine
+        FROM {_SIGNED} f WHERE o_custkey % 9 <> 0 AND (o_custkey % 3 = 0 AND o_custkey % 4 < 3 OR o_custkey % 5 = 0)""",
+    "sampled_files": f"""SELECT path, CASE k WHEN 0 THEN 23 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 19 END AS start_line, CASE k WHEN 0 THEN 25 WHEN 1 THEN 23 WHEN 2 THEN 25 ELSE 21 END AS end_line, CASE WHEN k < 3 THEN 'relevance(2)' ELSE 'relevance(1)' END AS detector,
+          0.38e0 AS priority, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS gaps, CASE k WHEN 1 THEN 10 WHEN 2 THEN 11 ELSE 3 END AS lines
+        FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 4 ELSE 4 END AS k FROM {_SIGNED} f) WHERE o_custkey % 9 <> 0 AND (k < 3 OR o_custkey % 5 = 0)""",
+    "scan_counters": """SELECT 'jobs/c' || o_custkey || '.py' AS path, CAST(n AS INTEGER) AS matched, 0 AS below_confidence, CAST(greatest(n - 40, 0) AS INTEGER) AS low_priority, CAST(n AS INTEGER) AS found, CAST(least(n, 40) AS INTEGER) AS kept
+        FROM (SELECT o_custkey, 4 * count(*) AS n FROM orders GROUP BY 1)""",
+    "scope_lines": """SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' ELSE 'src/s' || c || '.ts' END AS path, CASE k WHEN 0 THEN 'enclosing: C' || c || 'View.total  ·  inside 1 loop  ·  reached by: request-handler' ELSE 'enclosing: S' || c || '.all  ·  inside 1 loop  ·  reached by: unknown' END AS line
+        FROM (SELECT DISTINCT o_custkey AS c, o_custkey % 4 AS k FROM orders JOIN customer ON c_custkey = o_custkey) WHERE k < 2""",
     "ddl_indexes": "SELECT 'db/migrate/m' || o_custkey || '.sql' AS path, 'sql' AS source, 'ix_' || o_orderkey AS name, 't' || (o_orderkey % 20) AS tab, 'a,b' || (o_orderkey % 3) AS cols, false AS uniq FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3",
     "index_advice": f"""WITH p AS (SELECT p_partkey AS id, 't' || (p_partkey % 25) AS tab, CASE WHEN p_partkey % 2 = 0 THEN ['a'] ELSE ['a', 'b' || (p_partkey % 4)] END AS cols FROM part)
         SELECT id, min(CASE WHEN d.cols = p.cols THEN ord END) AS duplicate_of, min(CASE WHEN len(d.cols) > len(p.cols) AND d.cols[1:len(p.cols)] = p.cols THEN ord END) AS covered_by FROM p LEFT JOIN {_DECLARED} d ON d.tab = p.tab GROUP BY id""",
-    "call_shapes": """WITH f AS (SELECT o_custkey AS c, o_custkey % 4 AS k, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
-        SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' WHEN 1 THEN 'src/s' || c || '.ts' WHEN 2 THEN 'jobs/j' || c || '.rb' ELSE 'db/migrate/m' || c || '.sql' END AS path, CASE k WHEN 1 THEN 'prisma' WHEN 2 THEN 'activerecord' END AS dialect,
-          CASE WHEN k IN (1, 2) THEN n ELSE 0 END AS calls, false AS batched, k IN (1, 2) AS per_iteration, CAST(NULL AS VARCHAR) AS dsl FROM f""",
+    "call_shapes": """SELECT p_partkey, s.* EXCLUDE (k) FROM part JOIN (VALUES
+        (0, 'django', 2, 1, true, false, 'values|count', '', 'a|b', 5, 1, '''a''', NULL, NULL), (1, 'activerecord', 2, 2, true, false, 'pluck', '', 'a', 3, 1, ':a', NULL, NULL), (2, 'sqlalchemy', 2, 1, false, true, 'all', 'joinedload', '', NULL, 1, '', NULL, NULL),
+        (3, 'prisma', 1, 1, false, false, 'findMany', 'select', 'a', 4, 1, '{ a: ''asc'' }', NULL, NULL), (4, 'sequelize', 1, 1, false, false, 'findAll', '', 'a|b', 2, 1, '', NULL, NULL), (5, 'typeorm', 1, 1, false, false, 'getMany', 'leftJoinAndSelect', '', 7, 1, '', NULL, NULL),
+        (6, 'gorm', 1, 1, false, true, 'Find', '', '', NULL, 1, '"a"', NULL, NULL), (7, 'hibernate', 0, 0, false, false, '', '', '', NULL, 0, '', 'lazy', NULL), (8, 'efcore', 1, 1, true, false, 'ToListAsync', '', '', NULL, 1, 'o => o.A', NULL, NULL),
+        (9, 'mongoose', 1, 2, false, false, 'find', '', 'a|b', NULL, 1, '', NULL, NULL), (10, 'pymongo', 2, 1, false, false, 'to_list', '', 'a|1', 10, 1, '''a''', NULL, NULL),
+        (11, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'aggregation-pipeline'), (12, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'vector-search'), (13, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'search-dsl'),
+        (14, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'graph-traversal'), (15, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'object-query'), (16, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'kv-command'),
+        (17, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) s(k, dialect, calls, trips, per_iteration, batched, terminals, eager, projection, row_limit, predicates, order_by, fetch_mode, dsl) ON p_partkey % 18 = k""",
     "engine_declarations": """SELECT 'svc' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/package.json' WHEN 2 THEN '/docker-compose.yml' ELSE '/application.yml' END AS path,
         CASE p_partkey % 5 WHEN 0 THEN 'postgres' WHEN 1 THEN 'mysql' WHEN 2 THEN 'redis' ELSE 'oracle' END AS engine, CAST(CASE p_partkey % 5 WHEN 2 THEN 60 WHEN 3 THEN 100 ELSE 70 END AS INTEGER) AS authority,
         CASE p_partkey % 5 WHEN 0 THEN 'psycopg2==' || p_partkey WHEN 1 THEN '{"mysql2": "3"}' WHEN 2 THEN 'image: redis:7' ELSE 'url: jdbc:oracle:thin' END AS quote FROM part WHERE p_partkey % 5 <> 4""",

@@ -66,9 +66,8 @@ def span_merge_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_merge_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as hits of a user's file; errors are fragments, with the wider gap."""
-    hit = F.struct(_epoch("ts").alias("start"), F.col("event_id").alias("ord"), (_epoch("ts") + F.length("event_type")).alias("end"), (F.col("event_type") == "error").alias("fragment"))
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(spans.folded_spans(F.collect_list(hit), GAP, FRAGMENT_GAP).alias("spans"))
-    return per.select("user_id", F.explode("spans").alias("s")).select("user_id", F.col("s.start").alias("first"), F.col("s.end").alias("last"), F.size("s.hits").cast("long").alias("hits"), F.col("s.fragment").alias("fragment"))
+    hits = table(spark, sf_dir, "events").select("user_id", _epoch("ts").alias("start"), F.col("event_id").alias("ord"), (_epoch("ts") + F.length("event_type")).alias("end"), (F.col("event_type") == "error").alias("fragment"))
+    return spans.folded_spans(hits, "user_id", GAP, FRAGMENT_GAP)
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

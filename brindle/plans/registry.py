@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import code_queries, file_queries, log_queries, rank_queries, review_queries
+from brindle.plans import capture_queries, code_queries, file_queries, finding_queries, log_queries, rank_queries, review_queries
 
-_MODULES = (log_queries, file_queries, rank_queries, review_queries, code_queries)
+_MODULES = (log_queries, file_queries, rank_queries, review_queries, code_queries, capture_queries, finding_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.shapes import normalise_shape
-from brindle.functions.statements import equivalence, sql_shape
+from brindle.functions.statements import equivalence, with_sql_shapes
 from brindle.operators import evidence, gate, matching, metrics, profile
 from brindle.plans.log_queries import _STATEMENTS, _sql_shape, statements
 from brindle.tables import table
@@ -115,7 +115,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "proposed": F.when(k % 11 == 0, " ").when(k % 11 == 1, F.regexp_replace(original, " +", " ")).otherwise("q_in(y)"),
         "invented": k % 13 == 0,
         "data_access": k % 17 != 0,
-        "category": F.when(k % 3 == 0, "n-plus-one").when(k % 3 == 1, "missing-index").otherwise("over-fetching"),
+        "category": F.when(k % 3 == 0, "n-plus-one").when(k % 3 == 1, "missing-index").otherwise("batching"),
         "count_a": (k % 4).cast("int"),
         "count_b": (k % 5).cast("int"),
         "leaves_loop": k % 2 == 0,
@@ -138,7 +138,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FINDINGS = """(SELECT o_orderkey, kind, CASE
     WHEN trim(proposed) = '' THEN 'no-op' WHEN trim(regexp_replace(original, '[ \\t\\r\\n]+', ' ', 'g')) = trim(regexp_replace(proposed, '[ \\t\\r\\n]+', ' ', 'g')) THEN 'no-op'
     WHEN k % 13 = 0 THEN 'invented-symbol' WHEN k % 17 = 0 THEN 'not-data-access'
-    WHEN category IN ('n-plus-one', 'over-fetching') AND (k % 4 > 0 OR k % 5 > 0) AND k % 5 >= k % 4 AND k % 2 <> 0 THEN 'wrong-direction'
+    WHEN category IN ('n-plus-one', 'batching') AND (k % 4 > 0 OR k % 5 > 0) AND k % 5 >= k % 4 AND k % 2 <> 0 THEN 'wrong-direction'
     WHEN k % 19 = 0 THEN 'unsupported-assumption' WHEN trigger = 'migration' AND kind = 'equivalent' AND NOT schema_object THEN 'cold-path'
     WHEN k % 2 = 1 AND k % 7 >= 4 AND (k % 4) / 3.0e0 < 0.5e0 THEN 'unsupported-speculation'
     WHEN k % 7 = 0 AND NOT per_iteration AND NOT schema_object THEN 'immaterial' END AS reason,
@@ -147,7 +147,7 @@ _FINDINGS = """(SELECT o_orderkey, kind, CASE
       WHEN NOT schema_object AND trigger = 'migration' THEN 'info' WHEN per_iteration AND trigger = 'request-handler' THEN CASE WHEN n > 0 THEN 'high' ELSE 'medium' END
       WHEN per_iteration THEN CASE WHEN n > 0 THEN 'medium' ELSE 'low' END WHEN category = 'n-plus-one' THEN 'low' WHEN schema_object THEN CASE WHEN n > 0 THEN 'medium' ELSE 'low' END WHEN n = 0 THEN 'low' ELSE 'medium' END AS level
     FROM (SELECT o_orderkey, o_orderkey AS k, original, CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 11 = 1 THEN regexp_replace(original, ' +', ' ', 'g') ELSE 'q_in(y)' END AS proposed,
-        CASE o_orderkey % 3 WHEN 0 THEN 'n-plus-one' WHEN 1 THEN 'missing-index' ELSE 'over-fetching' END AS category, CASE o_orderstatus WHEN 'F' THEN 'request-handler' WHEN 'P' THEN 'migration' ELSE 'unknown' END AS trigger,
+        CASE o_orderkey % 3 WHEN 0 THEN 'n-plus-one' WHEN 1 THEN 'missing-index' ELSE 'batching' END AS category, CASE o_orderstatus WHEN 'F' THEN 'request-handler' WHEN 'P' THEN 'migration' ELSE 'unknown' END AS trigger,
         CASE WHEN o_orderkey % 4 = 0 THEN 'behavioural' ELSE 'equivalent' END AS kind, o_orderkey % 3 = 1 AS schema_object, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 7 < 4 THEN 2 ELSE 0 END AS n, o_custkey % 3 = 0 AS per_iteration
       FROM (SELECT *, 'for x in y:  q(' || o_custkey || ')' AS original FROM orders)))))"""
 
@@ -210,7 +210,7 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_brand").alias("prefix"), F.col("p_size").cast("long").alias("price")).groupBy("prefix").agg(F.max("price").alias("price"))
+    prices = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#17'").select(F.col("p_brand").alias("prefix"), F.col("p_size").cast("long").alias("price")).groupBy("prefix").agg(F.max("price").alias("price"))
     short = prices.select(F.substring("prefix", 1, 7).alias("prefix"), "price").groupBy("prefix").agg((F.max("price") + 1000).alias("price"))
     models = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("-2024")).alias("model"))
     return matching.longest_prefix(models, prices.join(short, "prefix", "left_anti").unionByName(short), "model", "prefix", "price").select("p_partkey", "price")
@@ -219,26 +219,32 @@ def price_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def statement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, a, b): a statement for each order, and a rewrite of it."""
     k = F.col("o_orderkey")
-    a = F.concat(F.lit("SELECT a, b, max(c) FROM t JOIN u ON t.x = u.x WHERE k = "), k.cast("string"), F.lit(" AND n = 'it''s, (x)' GROUP BY a, b ORDER BY a ASC, b -- done"))
+    a = F.concat(F.lit("SELECT a, b, max(coalesce(c, (0))) FROM t JOIN u ON t.x = u.x WHERE k = "), k.cast("string"), F.lit(" AND n = 'it''s, (x) -- \\' y' GROUP BY a, b ORDER BY a ASC, b -- done"))
+    dml = F.concat(F.lit("UPDATE t SET a = (SELECT 1 WHERE 2 = 2) WHERE k = "), k.cast("string"))
+    first = F.when(k % 16 == 8, dml).when(k % 16 == 9, dml).when(k % 16 == 10, "CREATE INDEX i ON t (a)").when(k % 16 == 11, " ").otherwise(a)
     b = (
-        F.when(k % 8 == 0, F.lower(F.concat(a, F.lit("\n"))))
-        .when(k % 8 == 1, F.replace(a, F.lit("a, b, max(c)"), F.lit("*")))
-        .when(k % 8 == 2, F.replace(a, F.lit(" -- done"), F.lit(" LIMIT 10")))
-        .when(k % 8 == 3, F.replace(a, F.lit("SELECT a"), F.lit("SELECT DISTINCT a")))
-        .when(k % 8 == 4, F.replace(a, F.lit("k = "), F.lit("k >= ")))
-        .when(k % 8 == 5, F.lit("DELETE FROM t WHERE k = 1"))
-        .when(k % 8 == 6, F.replace(a, F.lit(" GROUP BY"), F.lit(" /* x */ GROUP  BY")))
-        .otherwise(F.lit("q.filter(k=1)"))
+        F.when(k % 16 == 0, F.lower(F.concat(F.replace(a, F.lit("AND n"), F.lit("and n")), F.lit("\n"))))
+        .when(k % 16 == 1, F.replace(a, F.lit("a, b, max(coalesce(c, (0)))"), F.lit("*")))
+        .when(k % 16 == 2, F.replace(a, F.lit(" -- done"), F.lit(" LIMIT 10")))
+        .when(k % 16 == 3, F.replace(a, F.lit("SELECT a"), F.lit("SELECT DISTINCT a")))
+        .when(k % 16 == 4, F.replace(a, F.lit("k = "), F.lit("k >= ")))
+        .when(k % 16 == 5, F.lit("DELETE FROM t WHERE k = 1"))
+        .when(k % 16 == 6, F.replace(a, F.lit(" GROUP BY"), F.lit(" /* from x */ GROUP  BY")))
+        .when(k % 16 == 7, F.lit("q.filter(k=1)"))
+        .when(k % 16 == 8, F.replace(dml, F.lit("SELECT 1"), F.lit("SELECT 3")))
+        .when(k % 16 == 9, F.concat(dml, F.lit(" AND b > 0")))
+        .when(k % 16 == 10, F.lit("drop index i"))
+        .when(k % 16 == 12, F.replace(a, F.lit("(0)"), F.lit("(1)")))
+        .when(k % 16 == 13, F.replace(a, F.lit("SELECT a"), F.lit("SELECT TOP 5 a")))
+        .when(k % 16 == 14, F.concat(F.replace(a, F.lit(" -- done"), F.lit("")), F.lit(" UNION SELECT 1, 2, 3 FROM v")))
+        .otherwise(a)
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", first.alias("a"), b.alias("b"))
 
 
 def sql_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = statement_pairs(spark, sf_dir).select("o_orderkey", sql_shape(F.col("a")).alias("a"), sql_shape(F.col("b")).alias("b"))
-    return p.select("o_orderkey", equivalence(F.col("a"), F.col("b")).alias("status"), F.col("b.kind").alias("kind"), F.array_join("b.projection", "|").alias("projection"), F.col("b.joins").cast("long").alias("joins"))
-
-
-_PAIR_STATUS = "CASE k % 8 WHEN 0 THEN 'machine-verified' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'partially-verified' WHEN 3 THEN 'contradicted' WHEN 4 THEN 'partially-verified' WHEN 5 THEN 'contradicted' WHEN 6 THEN 'machine-verified' ELSE 'contradicted' END"
+    p = with_sql_shapes(statement_pairs(spark, sf_dir), sa=F.col("a"), sb=F.col("b")).select("o_orderkey", "sb", equivalence(F.col("sa"), F.col("sb")).alias("e"))
+    return p.select("o_orderkey", "e.status", F.array_join(F.concat("e.hard", "e.soft", "e.undecided"), "+").alias("deltas"), F.coalesce("sb.kind", F.lit("-")).alias("kind"), F.array_join("sb.projection", "|").alias("projection"), F.col("sb.joins").cast("long").alias("joins"))
 
 
 def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +252,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     names = p.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
     types = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
-    return gate.unknown_names(names, types, "word", 25, 1_000).groupBy("word").agg(F.count("*").alias("n"))
+    return gate.unknown_names(names, types, "word", p, 25).groupBy("word").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -295,8 +301,14 @@ ORACLE_SQL = {
     "bench_metrics": f"SELECT * FROM {_METRICS} m",
     "bench_gates": f"SELECT b.metric, v.value, b.bound, coalesce(CASE WHEN side = 'least' THEN v.value >= bound ELSE v.value <= bound END, false) AS passed FROM (VALUES ('precision', 'least', 0.4e0), ('recall', 'most', 0.4e0), ('absent', 'least', 0.1e0)) b(metric, side, bound) LEFT JOIN (SELECT metric, CASE WHEN metric = 'precision' THEN min(low) ELSE max(high) END AS value FROM {_METRICS} m GROUP BY 1) v ON v.metric = b.metric",
     "set_equality": "SELECT p_partkey, p_partkey % 3 <> 2 AS same, CAST(CASE WHEN p_partkey % 3 = 1 THEN len(list_distinct(string_split(p_type, ' '))) ELSE 0 END AS BIGINT) AS added FROM part",
-    "price_prefix": """WITH p AS (SELECT p_brand AS prefix, max(CAST(p_size AS BIGINT)) AS price FROM part WHERE p_partkey % 50 = 0 GROUP BY 1), s AS (SELECT substring(prefix, 1, 7) AS prefix, max(price) + 1000 AS price FROM p GROUP BY 1),
+    "price_prefix": """WITH p AS (SELECT p_brand AS prefix, max(CAST(p_size AS BIGINT)) AS price FROM part WHERE p_brand <> 'Brand#17' GROUP BY 1), s AS (SELECT substring(prefix, 1, 7) AS prefix, max(price) + 1000 AS price FROM p GROUP BY 1),
         t AS (SELECT * FROM p WHERE prefix NOT IN (SELECT prefix FROM s) UNION ALL SELECT * FROM s), m AS (SELECT p_partkey, p_brand || '-2024' AS model FROM part) SELECT p_partkey, (SELECT arg_max(price, length(prefix)) FROM t WHERE starts_with(model, prefix)) AS price FROM m""",
-    "sql_equivalence": f"SELECT o_orderkey, {_PAIR_STATUS} AS status, CASE k % 8 WHEN 5 THEN 'delete' WHEN 7 THEN 'other' ELSE 'select' END AS kind, CASE k % 8 WHEN 1 THEN '*' WHEN 5 THEN '' WHEN 7 THEN '' ELSE 'a|b|max§' END AS projection, CAST(CASE WHEN k % 8 IN (5, 7) THEN 0 ELSE 1 END AS BIGINT) AS joins FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)",
+    "sql_equivalence": """WITH k AS (SELECT o_orderkey, o_orderkey % 16 AS k FROM orders), r AS (SELECT * FROM (VALUES
+        (0, 'partially-verified', 'where+from', 'select', 'a|b|max(coalesce(c, (0)))', 1), (1, 'contradicted', 'projection', 'select', '*', 1), (2, 'partially-verified', 'row-limit', 'select', 'a|b|max(coalesce(c, (0)))', 1),
+        (3, 'contradicted', 'distinct', 'select', 'a|b|max(coalesce(c, (0)))', 1), (4, 'partially-verified', 'where', 'select', 'a|b|max(coalesce(c, (0)))', 1), (5, 'contradicted', 'statement', 'delete', '', 0),
+        (6, 'machine-verified', '', 'select', 'a|b|max(coalesce(c, (0)))', 1), (7, 'unverifiable', '', 'other', '', 0), (8, 'partially-verified', 'values', 'update', '', 0), (9, 'unverifiable', 'where', 'update', '', 0),
+        (10, 'machine-verified', '', 'ddl-index', '', 0), (11, 'unverifiable', '', 'select', 'a|b|max(coalesce(c, (0)))', 1), (12, 'contradicted', 'projection', 'select', 'a|b|max(coalesce(c, (1)))', 1),
+        (13, 'partially-verified', 'row-limit', 'select', 'a|b|max(coalesce(c, (0)))', 1), (14, 'contradicted', 'set-ops', 'select', 'a|b|max(coalesce(c, (0)))', 1), (15, 'machine-verified', '', 'select', 'a|b|max(coalesce(c, (0)))', 1)) r(k, status, deltas, kind, projection, joins))
+        SELECT o_orderkey, status, deltas, kind, projection, CAST(joins AS BIGINT) AS joins FROM k JOIN r USING (k)""",
     "vocabulary_gap": "WITH n AS (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part), t AS (SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part) SELECT word, count(*) AS n FROM n WHERE word NOT IN (SELECT word FROM t) GROUP BY 1",
 }

@@ -9,10 +9,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brindle.functions import paths, text
-from brindle.functions.calls import orm_shape, query_dsl
+from brindle.functions.calls import call_deltas, query_dsl, with_call_shapes
 from brindle.functions.running import global_rank, running_total
 from brindle.functions.scoring import priority
-from brindle.functions.statements import equivalence, sql_shape
+from brindle.functions.statements import equivalence, split_top_level, strip_literals, top_level, with_sql_shapes
 from brindle.functions.urls import repository
 from brindle.operators import ddl, evidence, gate, matching, metrics, profile, ranking, spans
 
@@ -55,11 +55,13 @@ def test_folded_spans_agree_with_a_loop(spark):
     files[99] = [(300, 310, False), (600, 610, True), (900, 910, False), (1200, 1210, False)]
     rows = [(f, s, k, e, g) for f, hits in files.items() for k, (s, e, g) in enumerate(hits)]
     df = spark.createDataFrame(rows, "file int, start int, ord int, end int, fragment boolean")
-    got = df.groupBy("file").agg(spans.folded_spans(F.collect_list(F.struct("start", "ord", "end", "fragment"))).alias("s")).collect()
-    for r in got:
-        hits = [(s, e, g) for f, s, k, e, g in sorted(rows, key=lambda x: (x[1], x[2])) if f == r["file"]]
-        assert [(s["start"], s["end"], s["fragment"]) for s in r["s"]] == fold(hits, 120, 400)
-    assert [(s["start"], s["end"]) for r in got if r["file"] == 99 for s in r["s"]] == [(300, 1210)]
+    got = spans.folded_spans(df.repartition(5), "file").collect()
+    for f in files:
+        hits = [(s, e, g) for g_, s, k, e, g in sorted(rows, key=lambda x: (x[1], x[2])) if g_ == f]
+        assert sorted((r["first"], r["last"], r["fragment"]) for r in got if r["file"] == f) == sorted(fold(hits, 120, 400))
+    assert sum(r["hits"] for r in got) == len(rows)
+    assert [(r["first"], r["last"]) for r in got if r["file"] == 99] == [(300, 1210)]
+    assert spans.folded_spans(df.limit(0), "file").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -124,7 +126,34 @@ def test_text_helpers(spark):
     ],
 )
 def test_equivalence(spark, a, b, status):
-    assert value(spark, equivalence(sql_shape(F.lit(a)), sql_shape(F.lit(b)))) == status
+    rows = with_sql_shapes(spark.createDataFrame([(a, b)], "a string, b string"), x=F.col("a"), y=F.col("b"))
+    assert rows.select(equivalence(F.col("x"), F.col("y")).alias("e")).first()["e"]["status"] == status
+
+
+def test_brackets_and_literals_at_any_depth(spark):
+    deep = "f(" * 40 + "a, b" + ")" * 40
+    assert value(spark, split_top_level(top_level(F.lit(f"x, {deep} , 'a,(b'"))) ) == ["x", deep, "'§'"]
+    assert value(spark, strip_literals(F.lit("a -- 'x'\n'it''s -- \\' no' \"q -- r\" /* ' */ `w`"))) == "a \n'§' \"q -- r\"   \"w\""
+    shape = with_sql_shapes(spark.createDataFrame([("SELECT a, (SELECT b FROM c WHERE d LIMIT 2) AS e FROM t x WHERE f IN (SELECT 1 FROM g) LIMIT 3",)], "s string"), x=F.col("s")).first()["x"]
+    assert (shape["projection"], shape["source"], shape["where"], shape["limit"]) == (["a", "(select b from c where d limit 2) as e"], "t x", "f IN (SELECT 1 FROM g)", "3")
+
+
+@pytest.mark.parametrize(
+    "a,b,status,hard,soft,undecided",
+    [
+        ("for o in q:\n  A.objects.filter(id=o).count()", "A.objects.filter(id__in=q)", "partially-verified", [], ["terminal"], ["consumption"]),
+        ("A.objects.values('a').filter(b=1)", "A.objects.values('b').filter(b=1)", "contradicted", ["projection"], [], []),
+        ("A.objects.filter(b=1).first()", "A.objects.filter(b=1).count()", "contradicted", ["terminal"], ["row-limit"], []),
+        ("A.objects.filter(b=1).order_by('x').all()", "A.objects.filter(b=1).all()", "partially-verified", [], ["order-by"], []),
+        ("A.objects.filter(b=1).all()", "A.objects.filter(c=1).distinct().all()", "contradicted", ["distinct"], [], ["predicates"]),
+        ("A.objects.filter(b=1).all()", "A.objects.filter(b=1).all()", "machine-verified", [], [], []),
+        ("A.objects.filter(b=1).all()", "A.objects.filter(b=1).update(c=2)", "contradicted", ["writes"], [], []),
+    ],
+)
+def test_equivalence_of_calls(spark, a, b, status, hard, soft, undecided):
+    rows = with_call_shapes(spark.createDataFrame([(a, b)], "a string, b string"), F.lit(0), x=F.col("a"), y=F.col("b"))
+    e = rows.select(call_deltas(F.col("x"), F.col("y")).alias("e")).first()["e"]
+    assert (e["status"], e["hard"], e["soft"], e["undecided"]) == (status, hard, soft, undecided)
 
 
 def test_long_literals_do_not_overflow(spark):
@@ -141,12 +170,12 @@ def test_repository(spark):
 
 
 def test_calls(spark):
-    s = value(spark, orm_shape(F.lit("for x in y:\n  A.objects.get(id=x).b.count()"), F.lit(1)))
-    assert (s["dialect"], s["calls"], s["per_iteration"]) == ("django", 2, True)
-    s = value(spark, orm_shape(F.lit("A.objects.filter(id__in=y).count()"), F.lit(1)))
-    assert (s["batched"], s["per_iteration"]) == (True, False)
-    assert value(spark, orm_shape(F.lit("x = 1"), F.lit(0)))["dialect"] is None
-    assert value(spark, query_dsl(F.lit("redis.get('a')"))) == "kv-command"
+    texts = ["for x in y:\n  A.objects.get(id=x).b.count()", "A.objects.filter(id__in=y).count()", "x = 1", None]
+    rows = with_call_shapes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), F.lit(1), s=F.col("t")).orderBy("i").collect()
+    assert (rows[0]["s"]["dialect"], rows[0]["s"]["trips"], rows[0]["s"]["per_iteration"]) == ("django", 2, True)
+    assert (rows[1]["s"]["batched"], rows[1]["s"]["per_iteration"]) == (True, False)
+    assert rows[2]["s"] is None and rows[3]["s"] is None
+    assert value(spark, query_dsl(F.lit("redis.hgetall('a')"))) == "kv-command"
     assert value(spark, query_dsl(F.lit("d.get('a')"))) is None
 
 
@@ -161,8 +190,8 @@ def test_ddl(spark):
         "path string, content string",
     )
     got = {(r["source"], r["tab"], tuple(r["cols"]), r["uniq"]) for r in ddl.index_facts(files).collect()}
-    assert got == {("sql", "t", ("a", "id"), True), ("prisma", "U", ("a", "b"), False), ("rails", "users", ("a", "b"), True), ("alembic", "users", ("a",), False)}
-    assert [(r["tab"], r["cols"]) for r in ddl.table_facts(files).collect()] == [("t", ["id", "a"])]
+    assert got == {("key", "T", ("id",), True), ("sql", "t", ("a", "id"), True), ("prisma", "U", ("a", "b"), False), ("rails", "users", ("a", "b"), True), ("alembic", "users", ("a",), False)}
+    assert sorted((r["tab"], r["cols"]) for r in ddl.table_facts(files).collect()) == [("t", ["id", "a"]), ("u", ["id"])]
 
 
 def test_tolerance_join_meets_every_pair_once(spark):
