@@ -9,34 +9,36 @@ from pyspark.sql import functions as F
 
 # File kinds by extension or name, and path patterns. All patterns are matched without regard to case.
 MAX_FILE_BYTES = 512 * 1024
-SKIPPED_DIRS = ("node_modules/", "vendor/", "dist/", "build/", ".git/", "target/", "__pycache__/", ".next/", "coverage/", ".venv/", "venv/", "site-packages/")
-SKIPPED_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "so", "dylib", "dll", "exe", "bin", "class", "jar", "wasm", "pyc", "o", "a", "lock", "map", "snap")
-LOCKFILES = r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|go\.sum|cargo\.lock)$"
+SKIPPED_DIRS = ("node_modules/", "vendor/", "dist/", "build/", "target/", ".git/", "venv/", ".venv/", "site-packages/", "__pycache__/", "coverage/", ".next/", ".nuxt/", "bower_components/", "third_party/", "Pods/")
+SKIPPED_EXTENSIONS = (
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "avif", "mp4", "mov", "mp3", "wav", "pdf", "zip", "gz", "tar", "bz2", "7z", "rar", "woff", "woff2", "ttf", "eot", "otf", "so", "dylib", "dll", "exe", "bin", "class", "jar", "wasm", "pyc", "o", "a", "lock", "map", "min.js", "snap",
+)
+LOCKFILES = r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|go\.sum|Cargo\.lock)$"
 PROSE_EXTENSIONS = ("md", "markdown", "mdx", "rst", "txt", "adoc", "asciidoc", "org", "tex", "po", "pot", "mo", "csv", "tsv", "log", "lock", "svg")
 STYLE_EXTENSIONS = ("css", "scss", "sass", "less", "styl", "stylus", "pcss", "postcss")
 BUILD_SCRIPTS = ("mvnw", "gradlew", "gradle", "configure", "bootstrap")
 SHELL_EXTENSIONS = ("bat", "cmd", "ps1", "sh", "bash", "zsh", "fish", "nu")
 ALWAYS_SCRIPTS = ("bat", "cmd", "ps1")
 EXTENSIONLESS_CODE = ("rakefile", "gemfile")
-LOCALE_PATH = r"(^|/)(locales?|i18n|intl|translations?|lang|messages)/|(^|/)lc_messages/"
+LOCALE_PATH = r"(^|/)(?:locales?|i18n|intl|translations?|lang|messages)/|(^|/)LC_MESSAGES/"
 SCHEMA_PATHS = (
-    r"schema\.prisma$", r"(^|/)migrations?/", r"(^|/)db/", r"(^|/)models?/", r"(^|/)entities/", r"\.(sql|ddl|hql|cql|psql)$", r"(^|/)(schema|structure)\.(sql|rb|py|ts|js|json|graphql)$",
-    r"alembic|flyway|liquibase|goose|knexfile|sequelize|typeorm", r"(^|/)dbt_project\.ya?ml$", r"(^|/)models?/.*\.ya?ml$", r"index(es)?\.(sql|json|ya?ml)$",
+    r"schema\.prisma$", r"(^|/)migrations?/", r"(^|/)db/", r"(^|/)models?/", r"(^|/)entities/", r"\.(?:sql|ddl|hql|cql|psql)$", r"(^|/)(schema|structure)\.(sql|rb|py|ts|js|json|graphql)$",
+    r"alembic|flyway|liquibase|goose|knexfile|sequelize|typeorm", r"(^|/)dbt_project\.ya?ml$", r"(^|/)models?/.*\.ya?ml$", r"index(?:es)?\.(?:sql|json|ya?ml)$",
 )
 MIGRATION_TOOL_PATH = r"(^|/)alembic/|(^|/)db/migrate/|(^|/)liquibase/|(^|/)flyway/|(^|/)goose/"
 SEED_PATH = r"(^|/)seeds?/|(^|/)fixtures?/|(^|/)factories/"
-DDL_FILE = r"(^|/)(schema|structure|data|seed|seeds|fixtures|initial|init)[a-z0-9_.-]*\.(sql|ddl|psql|hql|cql)$"
-DDL_DIR = r"(^|/)(db|database|sql|ddl)/([^/]+/)?[a-z0-9_.-]+\.(sql|ddl|psql)$"
-SCHEMA_FILE = r"\.prisma$|(^|/)(schema|structure)\.(rb|py|ts|js|json|graphql|graphqls|hcl)$"
-MIGRATION_ROOT = r"^[a-z0-9_.-]*migrat(e|ion)[a-z0-9_.-]*/"
-MIGRATION_DIR = r"(^|/)[a-z0-9_.-]*migrat(e|ion)[a-z0-9_.-]*/"
-VERSIONED_FILE = r"(^|/)v?[0-9][a-z0-9_.-]*\.(go|rb|py|sql|ts|js|mjs|php|cs|java|kt|ex)$"
-TEST_PATH = r"(^|/)tests?/|(^|/)spec/|[._-]test\.|[._-]spec\.|_tests?\.py$"
-TEST_CLASS = r"Test\.(java|kt|cs|scala)$|Tests\.(java|kt|cs)$"
-HANDLER_PATH = r"(^|/)(controllers?|handlers?|resolvers?|endpoints?|routes?|views?|api)/|(^|/)views\.py$"
-JOB_PATH = r"(^|/)(tasks|jobs|workers|commands|consumers|crons?|schedulers?)/"
-HANDLER_SYMBOL = r"(View|Controller|Handler|Resource|Resolver|Endpoint|Route|Api|Serializer)$"
-JOB_SYMBOL = r"(Command|Job|Task|Worker|Consumer)$"
+DDL_FILE = r"(^|/)(?:schema|structure|data|seed|seeds|fixtures|initial|init)[\w.-]*\.(?:sql|ddl|psql|hql|cql)$"
+DDL_DIR = r"(^|/)(?:db|database|sql|ddl)/(?:[^/]+/)?[\w.-]+\.(?:sql|ddl|psql)$"
+SCHEMA_FILE = r"\.prisma$|(^|/)(?:schema|structure)\.(?:rb|py|ts|js|json|graphql|graphqls|hcl)$"
+MIGRATION_ROOT = r"^[\w.-]*migrat(?:e|ion)[\w.-]*/"
+MIGRATION_DIR = r"(^|/)[\w.-]*migrat(?:e|ion)[\w.-]*/"
+VERSIONED_FILE = r"(^|/)(?:v?\d[\w.-]*)\.(?:go|rb|py|sql|ts|js|mjs|php|cs|java|kt|ex)$"
+TEST_PATH = r"(^|/)tests?/|(^|/)spec/|[._-]test\.|[._-]spec\.|_tests?\.py$|Test\.(?:java|kt|cs|scala)$|Tests\.(?:java|kt|cs)$"
+HANDLER_PATH = r"(^|/)(?:controllers?|handlers?|resolvers?|endpoints?|routes?|views?|api)/|(^|/)views\.py$"
+JOB_PATH = r"(^|/)(?:tasks|jobs|workers|commands|consumers|crons?|schedulers?)/"
+# Ends of names, with regard to case.
+HANDLER_SYMBOL = r"(?:View|Controller|Handler|Resource|Resolver|Endpoint|Route|Api|Serializer)$"
+JOB_SYMBOL = r"Command$|Job$|Task$|Worker$|Consumer$"
 
 
 def base_name(path: Column) -> Column:
@@ -49,7 +51,7 @@ def extension(path: Column) -> Column:
 
 
 def _like(path: Column, pattern: str) -> Column:
-    return F.lower(path).rlike(pattern)
+    return path.rlike("(?i)" + pattern)
 
 
 def is_scannable(path: Column, size: Column) -> Column:
@@ -81,7 +83,7 @@ def is_schema_file(path: Column) -> Column:
 def path_kinds(path: Column) -> dict[str, Column]:
     """Whether a path is that of a migration, a test, a request handler or a job."""
     migration = _like(path, MIGRATION_TOOL_PATH) | _like(path, SEED_PATH) | _like(path, DDL_FILE) | _like(path, DDL_DIR) | _like(path, SCHEMA_FILE) | _like(path, MIGRATION_ROOT) | (_like(path, MIGRATION_DIR) & _like(path, VERSIONED_FILE))
-    return {"migration": migration, "test": _like(path, TEST_PATH) | path.rlike(TEST_CLASS), "handler": _like(path, HANDLER_PATH), "job": _like(path, JOB_PATH)}
+    return {"migration": migration, "test": _like(path, TEST_PATH), "handler": _like(path, HANDLER_PATH), "job": _like(path, JOB_PATH)}
 
 
 def trigger_of(kinds: dict[str, Column], symbol: Column, has_handler_decorator: Column) -> Column:

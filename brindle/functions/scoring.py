@@ -11,8 +11,8 @@ MAX_PER_FILE = 40
 # Weights and patterns of the priority score.
 BASE, LOOP, HANDLER, MIGRATION, TEST, TERMINAL, UNBOUNDED_FETCH, BATCHED, SCHEMA = 0.4, 0.35, 0.15, -0.4, -0.45, 0.1, 0.1, -0.15, -0.3
 MIGRATION_PATH = r"(?i)(^|/)migrations?/|(^|/)seeds?/|(^|/)fixtures?/|(^|/)factories/|(^|/)db/migrate/"
-TEST_PATH = r"(?i)(^|/)tests?/|(^|/)spec/|[._-]test\.|[._-]spec\.|_tests?\.py$|Tests?\.(java|kt|cs|scala)$"
-PER_ROW_TERMINAL = r"\.\s*(count|exists)\s*\(|\.\s*aggregate\s*\(|\bCOUNT\s*\(|\.\s*Count\s*\(|\.\s*first\s*\(|\.\s*get\s*\("
+TEST_PATH = r"(?i)(^|/)tests?/|(^|/)spec/|[._-]test\.|[._-]spec\.|_tests?\.py$|Tests?\.(?:java|kt|cs|scala)$"
+PER_ROW_TERMINAL = r"\.\s*(?:count|exists)\s*\(|\.\s*aggregate\s*\(|\bCOUNT\s*\(|\.\s*Count\s*\(|\.\s*first\s*\(|\.\s*get\s*\("
 UNBOUNDED = r"(?i)\.\s*all\s*\(\s*\)|\bSELECT\s+\*|\.\s*findAll\s*\(|\.\s*ToList\s*\(\s*\)|\.\s*fetchall\s*\("
 HAS_LIMIT = r"(?i)\bLIMIT\b|\.\s*limit\s*\(|\[\s*:\s*\d+\s*\]|\.\s*take\s*\(|\bTOP\s+\d+|\.\s*first\s*\("
 ALREADY_BATCHED = r"select_related|prefetch_related|\.\s*Include\s*\(|\bPreload\s*\(|joinedload|selectinload|\.\s*includes\s*\(|\.\s*populate\s*\(|\bwith\s*:\s*\[|\bin_bulk\s*\(|__in\b"

@@ -169,7 +169,15 @@ QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, s
 _DECLARED = "(SELECT o_orderkey AS ord, 't' || (o_orderkey % 20) AS tab, ['a', 'b' || (o_orderkey % 3)] AS cols FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3)"
 _SIGNED = """(SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'src/models/' ELSE '' END || CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path
     FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey))"""
+#: Files by kind k, with their number of lines n that hold a statement: each file is one site, since its lines stand close together.
+_FILES = "(SELECT o_custkey AS c, o_custkey % 4 AS k, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"
 ORACLE_SQL = {
+    "detect_pipeline": f"""SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' WHEN 1 THEN 'src/s' || c || '.ts' WHEN 2 THEN 'jobs/j' || c || '.rb' ELSE 'db/migrate/m' || c || '.sql' END AS path, a AS start_line, CAST(a + n - 1 AS INTEGER) AS end_line, detector, 'unknown' AS engine, style AS access_style,
+          round(least(0.99e0, best + 0.05e0 * (h * n - 1)), 4) AS confidence, priority, reasons, CAST(CASE WHEN k < 3 THEN 1 ELSE 0 END AS INTEGER) AS loop_depth, CASE k WHEN 0 THEN 'C' || c || 'View.total' WHEN 1 THEN 'S' || c || '.all' WHEN 2 THEN 'J' || c || 'Job.run' END AS symbol, trigger, 1 AS matched
+        FROM {_FILES} f JOIN (VALUES (0, 5, 'python-dbapi+sql-in-string-literal', 'raw-sql', 0.75e0, 2, 0.9e0, '+0.35 in a loop; +0.15 request handler', 'request-handler'), (1, 5, 'prisma', 'orm', 0.9e0, 1, 0.75e0, '+0.35 in a loop', 'unknown'), (2, 4, 'activerecord', 'orm', 0.75e0, 2, 0.75e0, '+0.35 in a loop', 'job'),
+          (3, 1, 'sql-file', 'ddl-migration', 0.95e0, 1, 0.0e0, '-0.40 migration path; -0.30 schema definition', 'migration')) v(g, a, detector, style, best, h, priority, reasons, trigger) ON k = g""",
+    "rule_hits": f"SELECT rule, CAST(sum(h * n) AS BIGINT) AS hits, count(*) AS files FROM {_FILES} f JOIN (VALUES (0, 0, 1), (64, 0, 1), (71, 1, 1), (76, 2, 2), (1, 3, 1)) v(rule, g, h) ON k = g GROUP BY 1",
+    "detect_totals": f"SELECT count(*) AS matched, CAST(0 AS BIGINT) AS below_confidence, CAST(0 AS BIGINT) AS low_priority, CAST(0 AS BIGINT) AS truncated FROM {_FILES} f",
     "relevant_files": f"""SELECT path, CASE WHEN o_custkey % 3 = 0 AND o_custkey % 4 < 3 THEN list_extract(['{_SIGNS[0][1]}', '{_SIGNS[1][1]}', '{_SIGNS[2][1]}'], o_custkey % 4 + 1) ELSE 'path' END AS reasons, 'unknown' AS engine
         FROM {_SIGNED} f WHERE o_custkey % 9 <> 0 AND (o_custkey % 3 = 0 AND o_custkey % 4 < 3 OR o_custkey % 5 = 0)""",
     "sampled_files": f"""SELECT path, CASE k WHEN 0 THEN 23 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 19 END AS start_line, CASE k WHEN 0 THEN 25 WHEN 1 THEN 23 WHEN 2 THEN 25 ELSE 21 END AS end_line, CASE WHEN k < 3 THEN 'relevance(2)' ELSE 'relevance(1)' END AS detector,

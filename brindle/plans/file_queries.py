@@ -32,9 +32,9 @@ FILES = f"""(SELECT doc_id, list_extract([{_quoted(FOLDERS)}], CAST(doc_id % {le
 _EXT = "list_extract(string_split(lower(path), '.'), -1)"
 _NAME = "list_extract(string_split(lower(path), '/'), -1)"
 _SCRIPT = f"({_NAME} IN ({_quoted(P.BUILD_SCRIPTS)}) OR (contains({_NAME}, '.') AND ({_EXT} IN ({_quoted(P.ALWAYS_SCRIPTS)}) OR ({_EXT} IN ({_quoted(P.SHELL_EXTENSIONS)}) AND regexp_replace({_NAME}, '\\.[^.]*$', '') IN ({_quoted(P.BUILD_SCRIPTS)})))))"
-_LOCALE = f"regexp_matches(lower(path), '{P.LOCALE_PATH}')"
+_LOCALE = f"regexp_matches(path, '{P.LOCALE_PATH}', 'i')"
 _PROSE = f"({_EXT} IN ({_quoted(P.PROSE_EXTENSIONS + P.STYLE_EXTENSIONS)}) OR {_SCRIPT} OR {_LOCALE} OR ({_NAME} <> '' AND NOT contains({_NAME}, '.') AND {_NAME} NOT IN ({_quoted(P.EXTENSIONLESS_CODE)})))"
-_SCANNABLE = f"(size <= {P.MAX_FILE_BYTES} AND NOT ({' OR '.join(f'contains(lower(path), {_quoted((d,))})' for d in P.SKIPPED_DIRS)}) AND NOT regexp_matches(lower(path), '{P.LOCKFILES}') AND {_EXT} NOT IN ({_quoted(P.SKIPPED_EXTENSIONS)}))"
+_SCANNABLE = f"(size <= {P.MAX_FILE_BYTES} AND NOT ({' OR '.join(f'contains(lower(path), {_quoted((d,))})' for d in P.SKIPPED_DIRS)}) AND NOT regexp_matches(path, '{P.LOCKFILES}', 'i') AND {_EXT} NOT IN ({_quoted(P.SKIPPED_EXTENSIONS)}))"
 
 
 def scannable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +80,11 @@ def trigger_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", P.trigger(F.col("path"), symbol, F.col("doc_id") % 17 == 0).alias("trigger"))
 
 
-_TRIGGER = f"""SELECT doc_id, CASE WHEN regexp_matches(lower(path), '{P.MIGRATION_TOOL_PATH}') OR regexp_matches(lower(path), '{P.SEED_PATH}') OR regexp_matches(lower(path), '{P.DDL_FILE}') OR regexp_matches(lower(path), '{P.DDL_DIR}')
-    OR regexp_matches(lower(path), '{P.SCHEMA_FILE}') OR regexp_matches(lower(path), '{P.MIGRATION_ROOT}') OR (regexp_matches(lower(path), '{P.MIGRATION_DIR}') AND regexp_matches(lower(path), '{P.VERSIONED_FILE}')) THEN 'migration'
-  WHEN regexp_matches(lower(path), '{P.TEST_PATH}') OR regexp_matches(path, '{P.TEST_CLASS}') THEN 'test'
-  WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 OR regexp_matches(lower(path), '{P.HANDLER_PATH}') THEN 'request-handler'
-  WHEN regexp_matches(lower(path), '{P.JOB_PATH}') OR (doc_id % 13 = 0) THEN 'job' ELSE 'unknown' END AS trigger FROM {FILES} f"""
+_TRIGGER = f"""SELECT doc_id, CASE WHEN regexp_matches(path, '{P.MIGRATION_TOOL_PATH}', 'i') OR regexp_matches(path, '{P.SEED_PATH}', 'i') OR regexp_matches(path, '{P.DDL_FILE}', 'i') OR regexp_matches(path, '{P.DDL_DIR}', 'i')
+    OR regexp_matches(path, '{P.SCHEMA_FILE}', 'i') OR regexp_matches(path, '{P.MIGRATION_ROOT}', 'i') OR (regexp_matches(path, '{P.MIGRATION_DIR}', 'i') AND regexp_matches(path, '{P.VERSIONED_FILE}', 'i')) THEN 'migration'
+  WHEN regexp_matches(path, '{P.TEST_PATH}', 'i') THEN 'test'
+  WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 OR regexp_matches(path, '{P.HANDLER_PATH}', 'i') THEN 'request-handler'
+  WHEN regexp_matches(path, '{P.JOB_PATH}', 'i') OR (doc_id % 13 = 0) THEN 'job' ELSE 'unknown' END AS trigger FROM {FILES} f"""
 
 
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import ddl, gate, recipes, review
+from brindle.functions.engines import FAMILIES
+from brindle.operators import ddl, recipes, review
 from brindle.plans.code_queries import code_files
 from brindle.tables import table
 
@@ -170,7 +173,17 @@ _GROUNDED = f"""(SELECT id, j, CASE WHEN j % 7 IN (1, 5) THEN 'rejected' WHEN j
     CASE WHEN j % 7 = 4 THEN 'partially-verified' ELSE list_extract(['contradicted', 'partially-verified', 'partially-verified', 'contradicted', 'machine-verified'], j % 5 + 1) END AS status FROM {_BASE} b)"""
 _JUDGED_SQL = f"""(SELECT id, coalesce(CASE WHEN k = 6 AND n < 2 THEN NULL ELSE list_extract([{', '.join("NULL" if r is None else f"'{r}'" for *_, r in _JUDGED)}], k + 1) END, 'published') AS reason, CASE WHEN k IN (6, 7, 9) THEN 'high' ELSE 'low' END AS severity
     FROM (SELECT o_custkey AS id, CAST(CAST(o_custkey / 4 AS INTEGER) % {len(_JUDGED)} AS INTEGER) AS k, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 0 GROUP BY 1))"""
-_quoted = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def _quoted(v: str | bool | None) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+
+
+def _rows(rows: Iterable[tuple]) -> str:
+    """Rows of a VALUES list."""
+    return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+
+
 ORACLE_SQL = {
     "grounded_findings": f"""SELECT id, grounding, kind, CASE j % 7 WHEN 2 THEN 'line-outside-file' WHEN 3 THEN 'excerpt-not-there' WHEN 4 THEN 'original-not-there' WHEN 5 THEN 'evidence-file-missing' WHEN 6 THEN 'quote-not-there' ELSE '' END AS citations,
           concat_ws(',', CASE WHEN status = 'contradicted' THEN 'reclassified' WHEN j % 7 = 4 OR j % 5 = 2 THEN 'needs-review' END, CASE WHEN j % 7 <> 4 AND j % 5 = 1 THEN 'not-machine-checkable' END, CASE WHEN j % 3 = 0 THEN 'argument-incomplete' END,
@@ -183,6 +196,13 @@ ORACLE_SQL = {
         ORDER BY kind = 'behavioural', CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, CASE grounding WHEN 'verified' THEN 0 WHEN 'needs-verification' THEN 1 ELSE 2 END, id LIMIT 10""",
     "parsed_answers": """SELECT o_orderkey AS id, CAST(n - 1 AS INTEGER) AS at, 't' || o_orderkey AS title, CAST(n AS INTEGER) AS line, CASE WHEN o_orderkey % 2 = 1 THEN 'CREATE INDEX i ON t (a)' END AS migration, o_orderkey % 5 = 2 AS repaired
         FROM orders, (VALUES (1), (2)) v(n) WHERE o_orderkey % 5 IN (0, 1) OR o_orderkey % 5 = 2 AND n = 1""",
+    "engine_recipes": f"""WITH u AS (SELECT s_suppkey, list_extract(['postgres', 'mysql', 'duckdb', 'redis', 'snowflake', 'nonesuch'], CAST(s_suppkey % 6 + 1 AS INTEGER)) AS engine, list_extract(['n-plus-one', 'missing-index', 'redundant-index', 'other'], CAST(s_suppkey % 4 + 1 AS INTEGER)) AS category FROM supplier),
+        m AS (SELECT * FROM (VALUES {_rows((e, f) for f, names in FAMILIES for e in names.split())}) m(engine, family)), e AS (SELECT * FROM (VALUES {_rows((k, *v) for k, v in recipes.ENGINE_RECIPES.items())}) e(engine, plan, measure)),
+        f AS (SELECT * FROM (VALUES {_rows((k, *v) for k, v in recipes.FAMILY_RECIPES.items())}) f(family, plan, measure)), c AS (SELECT * FROM (VALUES {_rows(recipes.CLAIMS)}) c(category, for_engine, for_family, claim, replaces)),
+        t AS (SELECT u.*, coalesce(m.family, 'rdbms') AS family FROM u LEFT JOIN m ON m.engine = u.engine),
+        b AS (SELECT s_suppkey, arg_min(struct_pack(claim, replaces), CASE WHEN for_engine IS NOT NULL THEN 0 WHEN for_family IS NOT NULL THEN 1 ELSE 2 END) AS c FROM t JOIN c ON c.category = t.category AND (c.for_engine = t.engine OR c.for_engine IS NULL AND (c.for_family IS NULL OR c.for_family = t.family)) GROUP BY 1)
+        SELECT t.s_suppkey, CASE WHEN b.c.replaces THEN NULL ELSE coalesce(e.plan, f.plan) END AS plan, CASE WHEN b.c.replaces THEN NULL ELSE coalesce(e.measure, f.measure) END AS measure, b.c.claim AS claim, coalesce(b.c.replaces, false) AS replaces_plan, b.c IS NULL AS generic
+        FROM t LEFT JOIN e ON e.engine = t.engine LEFT JOIN f ON f.family = t.family LEFT JOIN b ON b.s_suppkey = t.s_suppkey""",
     "declared_tables": "SELECT 't' || p_partkey AS tab, 'id,price,note' AS cols FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'm' || p_partkey, 'id,a' FROM part WHERE p_partkey % 4 = 1",
     "declared_indexes": """SELECT list_extract(['a/x', 'b/y', 'c/z', 'd/w'], f + 1) || k || list_extract(['.sql', '.prisma', '.rb', '.py'], f + 1) AS path, source, replace(name, '#', CAST(k AS VARCHAR)) AS name, replace(tab, '#', CAST(k AS VARCHAR)) AS tab, cols, uniq
         FROM (SELECT p_partkey AS k, p_partkey % 4 AS f FROM part) JOIN (VALUES (0, 'key', 'T#_primary', 'T#', 'id', true), (0, 'key', 'T#_unique', 'T#', 'price|note', true), (0, 'sql', 'iu#', 'T#', 'price|lower(note)', true), (1, 'prisma', 'M#_a_id', 'M#', 'a|id', false), (1, 'prisma', 'M#_a', 'M#', 'a', true),
