@@ -78,3 +78,24 @@ def recipe_for(uses: DataFrame) -> DataFrame:
     told = told.select(*uses.columns, F.coalesce("_plan_e", "_plan_f").alias("_plan"), F.coalesce("_measure_e", "_measure_f").alias("_measure"), fits.alias("_fits"))
     claim, instead = _chosen(F.col("_fits"), "claim"), F.coalesce(_chosen(F.col("_fits"), "replaces_plan"), F.lit(False))
     return told.select(*uses.columns, F.when(~instead, F.col("_plan")).alias("plan"), F.when(~instead, F.col("_measure")).alias("measure"), claim.alias("claim"), instead.alias("replaces_plan"), claim.isNull().alias("generic"))
+
+
+#: How the statements that code runs are counted, by library.
+COUNTERS = {
+    "django": "CaptureQueriesContext(connection)",
+    "activerecord": "ActiveSupport::Notifications on sql.active_record",
+    "sqlalchemy": "an event listener on before_cursor_execute",
+    "prisma": "a client with log: ['query']",
+    "sequelize": "the logging option",
+    "typeorm": "the logging option of the data source",
+    "gorm": "a logger at level Info",
+    "hibernate": "Statistics.getPrepareStatementCount()",
+    "efcore": "LogTo with the command category",
+    "mongoose": "mongoose.set('debug', true)",
+    "pymongo": "a CommandListener",
+}
+
+
+def counter_of(dialect: Column) -> Column:
+    """What counts the statements of a library's calls; for any other, the database's own log."""
+    return F.coalesce(*[F.when(dialect == d, F.lit(c)) for d, c in COUNTERS.items()], F.lit("the database's statement log"))

@@ -99,7 +99,7 @@ def _plain(c: str) -> str:
 
 def _loosely(h: str, q: str) -> str:
     starts = f"range(0, length({q}) - {X.WINDOW_CHARS} + 1, {X.WINDOW_CHARS})"
-    return f"(length({q}) > 0 AND (contains({h}, {q}) OR CASE WHEN length({q}) >= {2 * X.WINDOW_CHARS} THEN len(list_filter({starts}, lambda i: contains({h}, substring({q}, CAST(i + 1 AS INTEGER), {X.WINDOW_CHARS})))) >= {X.CONTAINED_SHARE} * len({starts}) ELSE false END))"
+    return f"({q} = '' OR contains({h}, {q}) OR CASE WHEN length({q}) >= {X.WINDOW_CHARS} THEN len(list_filter({starts}, lambda i: contains({h}, substring({q}, CAST(i + 1 AS INTEGER), {X.WINDOW_CHARS})))) >= {X.CONTAINED_SHARE} * len({starts}) ELSE false END)"
 
 
 _CITATIONS = f"""WITH p AS (SELECT page_id, {_plain('html')} AS h, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import text
 from brindle.functions.paths import is_schema_file
-from brindle.operators import metrics, profile, ranking, report
+from brindle.operators import metrics, profile, ranking, recipes, report
 from brindle.plans.code_queries import code_files
+from brindle.sources import sinks
 from brindle.tables import table
 
 NOW = "2024-01-20 00:00:00"
@@ -17,8 +19,8 @@ _KEPT = 5
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for each order, and one in which a line went and two came."""
     k = F.col("o_orderkey").cast("string")
-    text = lambda *parts: F.array_join(F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts]), "\n")
-    pairs = table(spark, sf_dir, "orders").select("o_orderkey", text("a", k, "b", "c").alias("before"), text("a", "b", "x", "c", F.concat(F.lit("y"), k)).alias("after"))
+    lines = lambda *parts: F.array_join(F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts]), "\n")
+    pairs = table(spark, sf_dir, "orders").select("o_orderkey", lines("a", k, "b", "c").alias("before"), lines("a", "b", "x", "c", F.concat(F.lit("y"), k)).alias("after"))
     return report.diff_rows(pairs, "o_orderkey", "before", "after")
 
 
@@ -108,12 +110,71 @@ def observed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.observed_names(s, c, p)
 
 
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on orders as findings of their customer's file, without the files' sections; those of a priority are held back."""
+    o = table(spark, sf_dir, "orders")
+    level = F.when(F.col("o_custkey") % 3 == 0, "high").otherwise("low")
+    rows = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path"), F.col("o_orderkey").alias("start_line"), level.alias("severity"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("title"), F.lit("a").alias("original"), F.lit("b").alias("proposed"),
+                    F.when(F.col("o_orderkey") % 4 == 0, "behavioural").otherwise("equivalent").alias("kind"), F.when(F.col("o_orderkey") % 5 == 0, "no-op").when(F.col("o_orderkey") % 5 == 1, "cold-path").alias("reason"))
+    coverage = o.agg(F.count_distinct("o_custkey").alias("files"), F.count_distinct("o_custkey").alias("read"), F.count("*").alias("matched"))
+    return sinks.document(rows.filter("reason IS NULL"), rows.filter("reason IS NOT NULL"), coverage).filter("part <> 2")
+
+
+def patch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of orders as findings, a line of three changed."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.lit("a.py").alias("path"), k.alias("start_line"), F.concat(F.lit("x\n"), k.cast("string"), F.lit("\ny")).alias("original"), F.lit("x\nz\ny").alias("proposed"), F.when(k % 4 == 0, "behavioural").otherwise("equivalent").alias("kind"))
+    return sinks.patches(rows)
+
+
+def patch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.left_out(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 4 == 0, "behavioural").otherwise("equivalent").alias("kind")))
+
+
+def evidence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as captures: of those of one user and kind the latest stays, and of all that stay, each user's three newest."""
+    latest = ranking.latest_by_key(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return ranking.top_k(latest, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 3).select("user_id", "event_type", "event_id")
+
+
+def masked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.mask_key(F.concat(F.lit("key-"), F.repeat(F.lit("x"), (F.col("c_custkey") % 9).cast("int")), F.col("c_custkey").cast("string"))).alias("shown"))
+
+
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line that says something, of texts with line numbers in front."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", text.first_significant_line(F.concat(F.lit("1 | x\n 2| "), F.when(k % 2 == 0, "short").otherwise("select everything"), F.lit("\n3| the third line "), k.cast("string"))).alias("line"))
+
+
+def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "orders")
+    return li.select("o_orderkey", text.percent(F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_orderkey") % 200) / 100)).alias("share"), text.dollars(F.round("o_totalprice", 2)).alias("cost"), text.milliseconds(F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 1000) / 10)).alias("time"))
+
+
+def statement_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts the statements of each part's snippet."""
+    names = F.array(*[F.lit(d) for d in (*recipes.COUNTERS, "other")])
+    return table(spark, sf_dir, "part").select("p_partkey", recipes.counter_of(F.get(names, (F.col("p_partkey") % (len(recipes.COUNTERS) + 1)).cast("int"))).alias("counter"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, adjudicated_runs, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
+    for f in (report_parts, patch_export, patch_counts, evidence_store, masked_keys, first_lines, formatted, statement_counters, diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, adjudicated_runs, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
 }
 _VERDICT = "(SELECT o_orderkey AS id, list_extract(['regression', 'confirmed', 'no-difference', 'insufficient-evidence'], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS verdict FROM orders WHERE o_orderkey % 4 IN (0, 2))"
+_ORDERS = "(SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 5 WHEN 0 THEN 'no-op' WHEN 1 THEN 'cold-path' END AS reason, CASE WHEN o_custkey % 3 = 0 THEN 'high' ELSE 'low' END AS severity, o_orderkey % 4 = 0 AS b FROM orders)"
 ORACLE_SQL = {
+    "report_parts": f"""SELECT 0 AS part, '' AS key, count(DISTINCT o_custkey) || ' of ' || count(DISTINCT o_custkey) || ' files read, ' || count(*) || ' sites matched' AS text FROM orders
+        UNION ALL SELECT 1, severity, '| ' || severity || ' | ' || count(*) FILTER (WHERE NOT b) || ' | ' || count(*) FILTER (WHERE b) || ' |' FROM {_ORDERS} o WHERE reason IS NULL GROUP BY severity
+        UNION ALL SELECT 3, reason, reason || ': ' || count(*) || ', the first t' || arg_min(k, ('c' || c, k)) || ' (' || min('c' || c) || ':' || arg_min(k, ('c' || c, k)) || ')' FROM {_ORDERS} o WHERE reason IS NOT NULL GROUP BY reason""",
+    "patch_export": """SELECT 'a.py' AS path, o_orderkey AS start_line, E'--- a/a.py\\n+++ b/a.py\\n@@ -' || o_orderkey || ',3 +' || o_orderkey || E',3 @@\\n x\\n-' || o_orderkey || E'\\n+z\\n y\\n' AS patch FROM orders WHERE o_orderkey % 4 <> 0""",
+    "patch_counts": "SELECT count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS patches, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS left_out FROM orders",
+    "evidence_store": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, event_type, event_id FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3""",
+    "masked_keys": "SELECT c_custkey, CASE WHEN length(k) <= 8 THEN repeat('*', length(k)) ELSE left(k, 4) || repeat('*', length(k) - 8) || right(k, 4) END AS shown FROM (SELECT c_custkey, 'key-' || repeat('x', c_custkey % 9) || c_custkey AS k FROM customer)",
+    "first_lines": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'the third line ' || p_partkey ELSE 'select everything' END AS line FROM part",
+    "formatted": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 200 AS VARCHAR) || '%' ELSE '–' END AS share, '$' || format('{:,.2f}', round(o_totalprice, 2)) AS cost, CASE WHEN o_orderkey % 3 > 0 THEN format('{:.1f}', (o_orderkey % 1000) / 10.0e0) || 'ms' ELSE 'unknown' END AS time FROM orders",
+    "statement_counters": "SELECT p_partkey, list_extract([" + ", ".join("'" + c.replace("'", "''") + "'" for c in (*recipes.COUNTERS.values(), "the database's statement log")) + f"], CAST(p_partkey % {len(recipes.COUNTERS) + 1} + 1 AS INTEGER)) AS counter FROM part",
     "diff_lines": """SELECT o_orderkey, v.place AS "at", kind, left_no, right_no, replace(text, '#', CAST(o_orderkey AS VARCHAR)) AS text FROM orders, (VALUES (0, 'ctx', 1, 1, 'a'), (1, 'del', 2, NULL, '#'), (2, 'ctx', 3, 2, 'b'), (3, 'add', NULL, 3, 'x'), (4, 'ctx', 4, 4, 'c'), (5, 'add', NULL, 5, 'y#')) v(place, kind, left_no, right_no, text)""",
     "fixture_export": f"SELECT id, 'own-repo-src-a-b.py-' || id || '.json' AS file, verdict, 't' || id AS title, 'time 3 -> 4' AS second FROM {_VERDICT} v",
     "issue_export": f"""SELECT id, '### A finding that measurement ' || CASE verdict WHEN 'regression' THEN 'contradicted' ELSE 'did not support' END || E'\\n\\n**Repository:** Own/Repo @ abcdef01\\n**Finding:** t' || id || E'\\n**Place:** src/a b.py:3\\n\\n**Measured**\\n- blocks 1 -> 2\\n- time 3 -> 4\\n\\n'

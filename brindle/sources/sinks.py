@@ -28,7 +28,7 @@ def html(report: str) -> str:
 
 
 def patches(findings: DataFrame) -> DataFrame:
-    """(path, start_line, patch): a unified diff for each finding that keeps its output; others are left out."""
+    """(path, start_line, patch): a unified diff for each finding that keeps its output; others are left out (left_out counts them)."""
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -41,3 +41,24 @@ def patches(findings: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "start_line": b["start_line"], "patch": texts})
 
     return findings.filter("kind = 'equivalent'").select("path", F.col("start_line").cast("long").alias("start_line"), "original", "proposed").mapInPandas(diff, "path string, start_line long, patch string")
+
+
+def left_out(findings: DataFrame) -> DataFrame:
+    """One row: how many findings have a patch, and how many have none because their output may change."""
+    keeps = F.col("kind") == "equivalent"
+    return findings.agg(F.count(F.when(keeps, 1)).alias("patches"), F.count(F.when(~keeps, 1)).alias("left_out"))
+
+
+def document(findings: DataFrame, held: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(part, key, text): a report in parts, in order of part and key: 0 what was read, 1 findings by severity and kind, 2 a section for each file, 3 what was held back, by reason.
+
+    findings: the columns of markdown; held: reason, path, start_line, title; coverage: one row of files, read and matched. A part is a row of its
+    own, so that no task holds the report.
+    """
+    read = coverage.select(F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string("%s of %s files read, %s sites matched", "read", "files", "matched").alias("text"))
+    counted = findings.groupBy("severity").pivot("kind", ["equivalent", "behavioural"]).agg(F.count(F.lit(1))).fillna(0)
+    summary = counted.select(F.lit(1).alias("part"), F.col("severity").alias("key"), F.format_string("| %s | %d | %d |", "severity", "equivalent", "behavioural").alias("text"))
+    files = markdown(findings).select(F.lit(2).alias("part"), F.col("path").alias("key"), F.col("report").alias("text"))
+    suppressed = held.groupBy("reason").agg(F.count("*").alias("n"), F.min(F.struct("path", "start_line", "title")).alias("first"))
+    back = suppressed.select(F.lit(3).alias("part"), F.col("reason").alias("key"), F.format_string("%s: %d, the first %s (%s:%d)", F.col("reason"), F.col("n"), F.col("first.title"), F.col("first.path"), F.col("first.start_line")).alias("text"))
+    return read.unionByName(summary).unionByName(files).unionByName(back)
