@@ -378,6 +378,33 @@ def test_whole_licences_and_interrupted_ones(spark):
     assert sum(s["end"] - s["start"] + 1 > 0.8 * whole for s in got[5]["spans"]) == 200
 
 
+def test_base_columns_agree_with_sql(spark, sf_dir):
+    """The columns of op5 and op6 that SQL can say."""
+    import duckdb
+
+    from brindle.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    rules = con.execute(r"""SELECT doc_id, len(w), length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')), len(regexp_extract_all(t, '[#*$%&|<>]')), len(l) - len(list_distinct(l)) FROM (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents)""").fetchall()
+    got = queries.op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines").collect()
+    assert sorted(map(tuple, got)) == sorted(rules)
+    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS at, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in license_scan.PHRASES)
+    base = con.execute(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents), p AS ({places})
+        SELECT w.doc_id, len(words), count(p.at), min(p.at), max(p.at), coalesce(array_to_string(list_sort(list_distinct(list(p.label) FILTER (WHERE p.label IS NOT NULL))), ','), '') FROM w LEFT JOIN p ON p.doc_id = w.doc_id GROUP BY w.doc_id, words""").fetchall()
+    got = queries.op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(base, key=repr)
+
+
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, rows without an id, clashing columns."""
+    rows = [(1, "a b c d e f g h " * 3, "c", 1), (1, "a b c d e f g h " * 3, "c", 1), (None, "x y z", "c", 1), (None, None, None, None), (None, "x y z", "c", 1), (2, "word " * 30_000, "c", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, bucket int")
+    got = Counter((r["doc_id"], r["n_words"], r["base_failed"]) for r in quality.quality_apart(d, spark.createDataFrame([(1,), (None,)], "doc_id long")).collect())
+    assert got == Counter([(1, 24, True), (1, 24, True), (None, 3, True), (None, 0, True), (None, 3, True), (2, 30_000, True)])
+
+
 def test_licences_of_odd_rows(spark):
     rows = [(1, "CC BY", "clash", "x", 1), (1, "CC BY", "clash", "x", 1), (None, "all rights reserved", "clash", "x", 1), (None, None, None, None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, labels string, spans string, score int")
