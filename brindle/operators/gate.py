@@ -82,3 +82,12 @@ def unknown_names(accessed: DataFrame, vocabulary: DataFrame, name: str, files:
     # One row: how many files there are.
     enough = files.agg(F.count("*").alias("_files")).filter(F.col("_files") >= least_files)
     return found.join(F.broadcast(enough), F.lit(True), "left_semi")
+
+
+def headline(judged: DataFrame, reason: str) -> DataFrame:
+    """One row: how many findings are published, and how many are held back for which reasons, in the order of the reasons."""
+    counts = judged.agg(F.count(F.when(F.col(reason).isNull(), 1)).alias("published"), F.count(reason).alias("held"), *[F.count(F.when(F.col(reason) == r, 1)).alias(f"_{k}") for k, r in enumerate(REASONS)])
+    parts = F.filter(F.array(*[F.when(F.col(f"_{k}") > 0, F.concat(F.col(f"_{k}").cast("string"), F.lit(f" {r}"))) for k, r in enumerate(REASONS)]), lambda x: x.isNotNull())
+    none = (F.col("published") == 0) & (F.col("held") == 0)
+    text = F.when(none, "No findings").when(F.col("held") == 0, F.format_string("%d published, none held back", "published")).otherwise(F.concat(F.format_string("%d published, %d held back: ", "published", "held"), F.array_join(parts, ", ")))
+    return counts.select("published", "held", text.alias("headline"))

@@ -65,13 +65,38 @@ def reconciled(sent: DataFrame, answered: DataFrame, key: str, order: str) -> Da
     return s.join(a, F.col("_s") == F.col("_a"), "full").select(F.coalesce("_s", "_a").alias(key), status.alias("status"), "first_answer")
 
 
-def longest_prefix(rows: DataFrame, table: DataFrame, name: str, prefix: str, value: str) -> DataFrame:
-    """Every row with the value of the longest prefix of its name in a table, by equality on each of the name's beginnings; null without one."""
+# What may follow a model's name and leave it the same model: dates, channels, revisions.
+VERSION_TOKEN = r"(?:\d{8}|\d{6}|\d{3}|\d{4}-\d{2}-\d{2}|latest|preview|stable|exp|experimental|v\d+)"
+VERSION_REST = rf"(?i)^[-@]+{VERSION_TOKEN}(?:[-@]+{VERSION_TOKEN})*[-@]*$"
+
+
+def longest_prefix(rows: DataFrame, table: DataFrame, name: str, prefix: str, value: str, rest: str | None = None) -> DataFrame:
+    """Every row with the value of the longest prefix of its name in a table, by equality on each of the name's beginnings; null without one.
+
+    rest: a pattern that what follows the prefix must match, where anything follows."""
     beginnings = rows.select(F.col(name).alias("_full")).distinct().select("_full", F.explode(F.transform(F.sequence(F.lit(1), F.length("_full")), lambda n: F.substring("_full", F.lit(1), n))).alias(prefix))
-    best = beginnings.join(table, prefix).groupBy("_full").agg(F.max_by(value, F.length(prefix)).alias(value))
+    found = beginnings.join(table, prefix)
+    if rest is not None:
+        after = F.substring("_full", F.length(prefix) + 1, F.length("_full"))
+        found = found.filter((after == "") | after.rlike(rest))
+    best = found.groupBy("_full").agg(F.max_by(value, F.length(prefix)).alias(value))
     return rows.join(best, rows[name] == best["_full"], "left").drop("_full")
 
 
+def price_for(models: DataFrame, prices: DataFrame, model: str = "model", base: str = "base", price: str = "price") -> DataFrame:
+    """models with the price of the longest base (base, price) that is the model itself, or the model without a date, a channel or a revision; null for any other suffix."""
+    return longest_prefix(models, prices, model, base, price, VERSION_REST)
+
+
+def authored_sites(authored: DataFrame, sites: DataFrame, keys: list[str], a: str, b: str, tolerance: int, row_key: str, claimed: str, site: str) -> DataFrame:
+    """(row_key, site): the site that each authored row is about: the one it names (claimed) if there is such a site, else the first one near what it cites; null without either."""
+    known = sites.select(F.col(site).alias("_site"))
+    named = authored.join(known, authored[claimed] == F.col("_site"))
+    rest = authored.join(named.select(row_key), row_key, "left_anti")
+    near = nearest_within(rest, sites, keys, a, b, tolerance, [row_key], [site])
+    return named.select(row_key, F.col("_site").alias(site)).unionByName(near.select(row_key, site))
+
+
 def same_set(a: Column, b: Column) -> Column:
     """Equality of two lists without regard to order, case, quotes and white space; repeats count."""
     plain = lambda x: F.regexp_replace(F.lower(x), "[\"'` \t\r\n]", "")

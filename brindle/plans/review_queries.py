@@ -9,6 +9,7 @@ from brindle.functions.shapes import normalise_shape
 from brindle.functions.statements import equivalence, with_sql_shapes
 from brindle.operators import evidence, gate, matching, metrics, profile
 from brindle.plans.log_queries import _STATEMENTS, _sql_shape, statements
+from brindle.sources import files
 from brindle.tables import table
 
 NOW, HEAD = "2024-01-20 00:00:00", 3
@@ -47,9 +48,12 @@ def tier_two_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_scope_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites in changed files only: orders of customers of one segment."""
-    changed = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(changed, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    """Sites in changed files only: orders of customers of one segment, committed, and of another one, in the working copy, of which some are removed."""
+    c = table(spark, sf_dir, "customer").withColumn("path", F.col("c_custkey"))
+    committed = c.filter("c_mktsegment = 'BUILDING'").select("path", F.lit("modified").alias("status"))
+    dirty = c.filter("c_mktsegment = 'MACHINERY'").select("path", F.when(F.col("c_custkey") % 2 == 0, "removed").otherwise("added").alias("status"))
+    sites = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("path"))
+    return files.changed(sites, committed, dirty).select("o_orderkey", F.col("path").alias("o_custkey"))
 
 
 def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +100,27 @@ def nearest_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest_within(s, o, ["file"], "at", "line", 6, ["s_suppkey"], ["o_orderkey"]).select("s_suppkey", "o_orderkey")
 
 
+def authored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order that each supplier is about: a third of them name one, some of which are not there; the others cite a file and a line."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("file"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("line"), "o_orderkey")
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("file"), F.floor(F.abs("s_acctbal") / 2).cast("long").alias("at"), "s_suppkey", F.when(k % 3 == 0, F.when(k % 2 == 0, k + 1).otherwise(-k)).alias("claimed"))
+    return matching.authored_sites(s, o, ["file"], "at", "line", 6, "s_suppkey", "claimed", "o_orderkey")
+
+
+def model_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of parts as models: a brand with a date, a channel, both, another kind's name, or nothing after it."""
+    k = F.col("p_partkey") % 6
+    suffix = F.when(k == 0, "-20250929").when(k == 1, "-latest").when(k == 2, "-2024-05-13").when(k == 3, "-mini").when(k == 4, "@20250101-preview").otherwise("")
+    models = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", suffix).alias("model"))
+    prices = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("base")).agg(F.max("p_size").cast("long").alias("price"))
+    return matching.price_for(models, prices).select("p_partkey", "price")
+
+
+def gate_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.headline(_findings(spark, sf_dir), "reason")
+
+
 def reconcile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
     answered = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), "o_orderkey")
@@ -257,7 +282,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, merge_catalogs, tolerance_match, nearest_site, reconcile_ids, triage_support,
+    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
               gate_cascade, judged_findings, severity_matrix, staleness, side_compare, plan_totals, bench_metrics, bench_gates, set_equality, price_prefix, sql_equivalence, vocabulary_gap)
 }
 _SHAPED = f"(SELECT o_orderkey, o_custkey, {_sql_shape('sql')} AS shape FROM {_STATEMENTS} s)"
@@ -274,7 +299,7 @@ ORACLE_SQL = {
         SELECT engine, authority, first_seen, engine = (SELECT prime FROM t) AS primary, (SELECT n FROM t) > 1 AS ambiguous FROM b""",
     "pick_engine": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 7 = 0 THEN lower(string_split(p_type, ' ')[1]) END, CASE WHEN p_partkey % 5 = 0 THEN lower(p_brand) END, CASE WHEN p_size > 25 AND p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, CASE WHEN p_partkey % 2 <> 0 THEN 'postgres' END, CASE WHEN p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, 'unknown') AS engine FROM part",
     "tier_two_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
-    "changed_scope_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "changed_scope_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY' AND c_custkey % 2 <> 0)",
     "index_prefix_cover": f"WITH i AS (SELECT * FROM {_INDEXES} x) SELECT a.id, min(b.id) AS covered_by FROM i a JOIN i b ON a.tab = b.tab AND len(b.cols) > len(a.cols) AND b.cols[1:len(a.cols)] = a.cols AND a.id <> b.id WHERE NOT a.uniq GROUP BY 1",
     "catalog_full_outer": """WITH o AS (SELECT s_nationkey AS k FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) SELECT 'trade' AS tab, 'ix_' || lower(n_name) AS name, CAST(n_nationkey AS VARCHAR) AS cols, CASE WHEN n_nationkey < 10 AND n_nationkey IN (SELECT k FROM o) THEN 'both' ELSE 'declared' END AS origin FROM nation
         UNION ALL SELECT 'trade', 'obs_' || k, '-', 'observed' FROM o WHERE k >= 10 UNION ALL SELECT 'trade', 'obs_' || k, CAST(k AS VARCHAR), 'observed' FROM o WHERE k < 10 AND k NOT IN (SELECT n_nationkey FROM nation)""",
@@ -282,6 +307,12 @@ ORACLE_SQL = {
         SELECT nation, arg_min(balance, ord) FILTER (WHERE balance IS NOT NULL) AS balance, arg_min(segment, ord) FILTER (WHERE segment IS NOT NULL) AS segment FROM u GROUP BY nation""",
     "tolerance_match": f"SELECT o.file, count(*) AS pairs, count(DISTINCT o_orderkey) AS real, count(DISTINCT s_suppkey) AS found FROM {_TOL} <= 3 GROUP BY 1",
     "nearest_site": f"SELECT x.s_suppkey, y.o_orderkey FROM supplier x LEFT JOIN (SELECT s_suppkey, o_orderkey FROM {_TOL} <= 6 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(line - at_line), o_orderkey) = 1) y ON x.s_suppkey = y.s_suppkey",
+    "authored_sites": f"""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 1 ELSE -s_suppkey END END AS claimed FROM supplier),
+        n AS (SELECT s_suppkey, o_orderkey FROM {_TOL} <= 6 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(line - at_line), o_orderkey) = 1)
+        SELECT s.s_suppkey, coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey FROM s LEFT JOIN orders o ON o.o_orderkey = s.claimed LEFT JOIN n ON n.s_suppkey = s.s_suppkey""",
+    "model_prices": "SELECT p_partkey, CASE WHEN p_partkey % 6 <> 3 THEN b.price END AS price FROM part JOIN (SELECT p_brand, max(CAST(p_size AS BIGINT)) AS price FROM part GROUP BY 1) b USING (p_brand)",
+    "gate_headline": f"""WITH r AS (SELECT reason, count(*) AS n FROM {_FINDINGS} f GROUP BY 1), o AS (SELECT * FROM (VALUES {', '.join(f"('{r}', {k})" for k, r in enumerate(gate.REASONS))}) o(reason, k))
+        SELECT (SELECT n FROM r WHERE reason IS NULL) AS published, CAST(sum(n) AS BIGINT) AS held, (SELECT n FROM r WHERE reason IS NULL) || ' published, ' || sum(n) || ' held back: ' || string_agg(n || ' ' || r.reason, ', ' ORDER BY k) AS headline FROM r JOIN o ON o.reason = r.reason""",
     "reconcile_ids": """WITH s AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0), a AS (SELECT o_custkey AS id, min(o_orderkey) AS first_answer FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT coalesce(s.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'unaccounted' WHEN s.id IS NULL THEN 'invented' ELSE 'answered' END AS status, first_answer FROM s FULL JOIN a ON s.id = a.id""",
     "triage_support": """WITH p AS (SELECT user_id, event_id % 3 AS sample, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS f FROM events GROUP BY 1, 2), c AS (SELECT user_id, CAST(sum(f) AS BIGINT) AS flagged FROM p GROUP BY 1)
