@@ -75,6 +75,12 @@ def sampled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "start_line", "end_line", "detector", "priority", F.regexp_count("excerpt", F.lit("omitted")).alias("gaps"), F.size(F.split("excerpt", "\n")).alias("lines"))
 
 
+def tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of all files, and samples of those in which no rule finds one."""
+    files = code_files(spark, sf_dir).select("path", "content").unionByName(_signed_files(spark, sf_dir).select(F.concat(F.lit("x/"), "path").alias("path"), "content"))
+    return detect.both_tiers(files).select("path", F.col("detector").startswith("relevance").alias("sampled"), "access_style")
+
+
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a file for each customer, how many sites the rules match and how many are kept: a statement for each order, far apart from each other, and a weak sign."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"))
@@ -165,7 +171,7 @@ def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"], "left")
 
 
-QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, sampled_files, scan_counters, detect_totals, scope_lines, ddl_indexes, index_advice, call_shapes, engine_declarations, engine_families, paired_turns)}
+QUERIES = {f.__name__: f for f in (detect_pipeline, rule_hits, relevant_files, sampled_files, tier_union, scan_counters, detect_totals, scope_lines, ddl_indexes, index_advice, call_shapes, engine_declarations, engine_families, paired_turns)}
 _DECLARED = "(SELECT o_orderkey AS ord, 't' || (o_orderkey % 20) AS tab, ['a', 'b' || (o_orderkey % 3)] AS cols FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3)"
 _SIGNED = """(SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'src/models/' ELSE '' END || CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path
     FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey))"""
@@ -183,6 +189,8 @@ ORACLE_SQL = {
     "sampled_files": f"""SELECT path, CASE k WHEN 0 THEN 23 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 19 END AS start_line, CASE k WHEN 0 THEN 25 WHEN 1 THEN 23 WHEN 2 THEN 25 ELSE 21 END AS end_line, CASE WHEN k < 3 THEN 'relevance(2)' ELSE 'relevance(1)' END AS detector,
           0.38e0 AS priority, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS gaps, CASE k WHEN 1 THEN 10 WHEN 2 THEN 11 ELSE 3 END AS lines
         FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 4 ELSE 4 END AS k FROM {_SIGNED} f) WHERE o_custkey % 9 <> 0 AND (k < 3 OR o_custkey % 5 = 0)""",
+    "tier_union": f"""SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' WHEN 1 THEN 'src/s' || c || '.ts' WHEN 2 THEN 'jobs/j' || c || '.rb' ELSE 'db/migrate/m' || c || '.sql' END AS path, false AS sampled, CASE k WHEN 0 THEN 'raw-sql' WHEN 3 THEN 'ddl-migration' ELSE 'orm' END AS access_style FROM {_FILES} f
+        UNION ALL SELECT 'x/' || path, true, 'orm' FROM {_SIGNED} s WHERE o_custkey % 3 = 0 AND o_custkey % 4 IN (1, 2)""",
     "scan_counters": """SELECT 'jobs/c' || o_custkey || '.py' AS path, CAST(n AS INTEGER) AS matched, 0 AS below_confidence, CAST(greatest(n - 40, 0) AS INTEGER) AS low_priority, CAST(n AS INTEGER) AS found, CAST(least(n, 40) AS INTEGER) AS kept
         FROM (SELECT o_custkey, 4 * count(*) AS n FROM orders GROUP BY 1)""",
     "scope_lines": """SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' ELSE 'src/s' || c || '.ts' END AS path, CASE k WHEN 0 THEN 'enclosing: C' || c || 'View.total  ·  inside 1 loop  ·  reached by: request-handler' ELSE 'enclosing: S' || c || '.all  ·  inside 1 loop  ·  reached by: unknown' END AS line
