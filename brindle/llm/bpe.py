@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.memory import tidy
+
 VOCABULARY = "word_bpe_49k.json"
 #: White space as the tokenizer's own patterns see it.
 _SPACE = r"[\t-\r \x85\xa0  -     　]"
@@ -245,6 +247,11 @@ class Bpe:
                 known.keep(c, ids)
         return np.frombuffer(b"".join([here[c] for c in chunks]), np.int32)
 
+    def forget(self) -> None:
+        """Drops all that is remembered of texts."""
+        self.chunks, self.words = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
+        self._compatible = {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' names joined by one space, as a tokenizer without a decoder does, in UTF-8."""
         return gather(ids, *self.names)
@@ -280,6 +287,12 @@ def codec(path: str) -> Bpe:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops what the worker's vocabularies remember of texts."""
+    for b in _loaded.values():
+        b.forget()
+
+
 def encoded(batches: Iterable[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """For each few rows (id, text): the ids column and every text's token ids."""
     bpe = codec(path)
@@ -312,7 +325,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array([x.decode() for x in texts], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, forget), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -334,4 +347,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

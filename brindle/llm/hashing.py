@@ -49,6 +49,11 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _made[base]
 
 
+def forget() -> None:
+    """Drops the powers that the worker keeps."""
+    _made.clear()
+
+
 def prefix_hash(data: np.ndarray, base: int) -> np.ndarray:
     """Polynomial sums of the bytes before each place: len(data) + 1 numbers."""
     up, _, value = powers(base, len(data) + 1)

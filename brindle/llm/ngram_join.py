@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.hot import hot_keys, join_hot
 from brindle.llm.components import connected_components
-from brindle.llm.hashing import mix, shingles
+from brindle.llm.hashing import forget, mix, shingles
+from brindle.llm.memory import tidy
 from brindle.session import cut
 
 WIDTH = 5
@@ -80,7 +81,7 @@ def shingle_classes(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 )
                 at += part.num_rows
 
-    return cut(rows.mapInArrow(run, "doc_id long, key long, text_hash long, n_shingles long, class binary"), "classes")
+    return cut(rows.mapInArrow(tidy(run, forget), "doc_id long, key long, text_hash long, n_shingles long, class binary"), "classes")
 
 
 _BITS = 48
@@ -212,8 +213,8 @@ def shared_counts(rows: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
         if rows:
             yield summed(rows)
 
-    counted = rows.mapInArrow(send, _SENT).repartitionById(2**bits, "part").mapInArrow(merge, _FOUND)
-    return counted.repartition("name").sortWithinPartitions("name").mapInArrow(add, "class binary, shared long")
+    counted = rows.mapInArrow(tidy(send, forget), _SENT).repartitionById(2**bits, "part").mapInArrow(tidy(merge, forget), _FOUND)
+    return counted.repartition("name").sortWithinPartitions("name").mapInArrow(tidy(add, forget), "class binary, shared long")
 
 
 class PrefixTree:
@@ -381,7 +382,7 @@ def _candidates(rows: DataFrame, classes: DataFrame, width: int, percent: int) -
     # One text of each class is read; a key that repeats may bring texts of other classes, which the second join drops.
     many = hot_keys(classes.groupBy("key").agg(F.count("*").alias("n")), ["key"])
     texts = join_hot(rows.select("key", "text"), kept.select("key").distinct(), ["key"], many, ["text"], "left_semi")
-    sets = texts.select("key", "text").mapInArrow(run, "class binary, tokens array<long>").dropDuplicates(["class"])
+    sets = texts.select("key", "text").mapInArrow(tidy(run, forget), "class binary, tokens array<long>").dropDuplicates(["class"])
     return cut(sets.join(kept.select("class").hint("merge"), "class", "left_semi"), "sets")
 
 
@@ -423,7 +424,7 @@ def _linked(blocks: DataFrame, percent: int) -> DataFrame:
             yield joined(rows)
 
     order = ["cluster", "block", "class"]
-    return blocks.select("cluster", "block", "probe", "class", "group", "tokens").repartition("cluster", "block").sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary")
+    return blocks.select("cluster", "block", "probe", "class", "group", "tokens").repartition("cluster", "block").sortWithinPartitions(*order).mapInArrow(tidy(run, forget), "a binary, b binary")
 
 
 def _pieces(member: DataFrame, shingles_a_piece: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from brindle.llm.memory import tidy
+
 # Identity terms by group. A term is swapped for the next ones of its group.
 IDENTITY_GROUPS = (
     ("women", "men", "people"),
@@ -152,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     identity = sorted({x for g in IDENTITY_GROUPS for t in g for x in word_features(t)})
     # Every feature of the sample is counted and told; the telling ones, of at most max_rows texts, are collected.
-    counts = sample.select("text", "toxic").mapInArrow(class_counts, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.select("text", "toxic").mapInArrow(tidy(class_counts), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     names = _telling(counts, sizes, identity, settings)
     index = {n: i for i, n in enumerate(names)}
     swaps = [swap_table(k) for k in range(1, settings.swaps + 1)]
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([w]), pa.array([[sorted(f) for f in out]], pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "weight", "variants"])
 
     # Bounded: max_rows rows, (1 + swaps) variants of each, of the telling features. A row stands for itself, also where its id repeats.
-    got = sorted((tuple(r) for r in sample.mapInArrow(rows, "doc_id long, toxic int, weight double, variants array<array<int>>").collect()), key=lambda r: (r[0], r[1], r[3]))
+    got = sorted((tuple(r) for r in sample.mapInArrow(tidy(rows), "doc_id long, toxic int, weight double, variants array<array<int>>").collect()), key=lambda r: (r[0], r[1], r[3]))
     sample.unpersist()
     return _fitted(got, names, settings)
 
@@ -247,7 +249,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             z = np.array([bias + weights[sorted(f)].sum() if (f := reader.features(t or "")) else bias for t in b.column(place).to_pylist()], float)
             yield b.append_column("_score", pa.array(1 / (1 + np.exp(-z))))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
