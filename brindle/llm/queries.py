@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
+from brindle.llm import bpe, exact_dedup, html_extract, license_scan, merkle, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from brindle.tables import table
 
 
@@ -51,6 +51,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -62,10 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
