@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, exact_dedup, html_extract, license_scan, merkle, mixing, ngram_join, quality, simhash, suffix_dedup, token_counts, toxicity
+from brindle.llm import bpe, exact_dedup, html_extract, license_scan, merkle, mixing, ngram_join, quality, ranked_search, simhash, suffix_dedup, token_counts, toxicity
 from brindle.tables import table
 
 
@@ -59,6 +59,10 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_ranked_search": ranked_search.ORACLE_SQL,
 }
