@@ -387,7 +387,7 @@ def test_base_columns_agree_with_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     rules = con.execute(r"""SELECT doc_id, len(w), length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')), len(regexp_extract_all(t, '[#*$%&|<>]')), len(l) - len(list_distinct(l)) FROM (
-        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents)""").fetchall()
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents)""").fetchall()
     got = queries.op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines").collect()
     assert sorted(map(tuple, got)) == sorted(rules)
     places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS at, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in license_scan.PHRASES)
