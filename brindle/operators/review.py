@@ -15,6 +15,7 @@ from brindle.functions.hot import hot_keys, join_hot
 from brindle.functions.paths import path_kinds, trigger_of
 from brindle.functions.statements import collapsed, equivalence, with_sql_shapes
 from brindle.functions.text import contains_loosely, first_significant_line, missing_dimensions, slice_lines
+from brindle.operators import answers as read
 from brindle.operators import detect, gate
 
 #: Lines around a citation in which its excerpt may stand.
@@ -306,21 +307,10 @@ def report_order() -> list[Column]:
 
 def plausible(answers: DataFrame) -> DataFrame:
     """Of parsed answers (title, original, path, migration, ...) those with a title, a quoted original and a place; a migration that only echoes a placeholder, or defines nothing, is null."""
-    placeholder = F.lower(F.trim("migration")).rlike(r"^(?:omit|none|n/?a|null|string|optional|-|\.\.\.)$")
-    defines = F.col("migration").rlike(r"(?i)\b(?:create|alter|drop|add|add_index|add_column|createIndex|@@index|rename)\b")
-    return answers.filter(F.col("title").isNotNull() & F.col("original").isNotNull() & F.col("path").isNotNull()).withColumn("migration", F.when(~placeholder & defines, F.col("migration")))
-
-
-ANSWER = "struct<findings:array<struct<title:string,original:string,path:string,line:int,proposed:string,migration:string>>>"
+    return answers.filter(F.col("title").isNotNull() & F.col("original").isNotNull() & F.col("path").isNotNull()).withColumn("migration", read.migration(F.col("migration")))
 
 
 def answers(responses: DataFrame) -> DataFrame:
-    """(id, at, title, original, path, line, proposed, migration, repaired) of model responses (id, raw): fences are taken off, text before the first object is left out, and a list that was cut off ends after its last whole element."""
-    body = F.regexp_replace(F.regexp_replace("raw", r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", "")
-    object_ = F.regexp_extract(F.when(F.contains("raw", F.lit("```")), body).otherwise(F.col("raw")), r"(?s)\{.*", 0)
-    # A whole document ends at its last brace; of a cut one, what follows the last whole element is left out.
-    whole = F.regexp_extract(object_, r"(?s)^.*\}", 0)
-    repaired = F.concat(F.regexp_extract(object_, r"(?s)^.*\}(?=\s*,|\s*\]|\s*$|\s*,?\s*\{)", 0), F.lit("]}"))
-    read = responses.select("id", F.from_json(F.when(F.try_parse_json(whole).isNotNull(), whole), ANSWER).alias("w"), F.from_json(F.when(F.try_parse_json(repaired).isNotNull(), repaired), ANSWER).alias("r"))
-    told = read.select("id", F.coalesce("w.findings", "r.findings").alias("f"), (F.col("w.findings").isNull() & F.col("r.findings").isNotNull()).alias("repaired"))
-    return told.select("id", "repaired", F.posexplode("f").alias("at", "x")).select("id", "at", "x.*", "repaired")
+    """(id, at, title, original, path, line, proposed, migration, repaired) of model responses (id, raw) whose findings are flat: the first object counts, and a
+    list that was cut off ends after its last whole element. Titles, originals and paths are texts or null; a line may be a number in quotes."""
+    return read.flat(responses)
