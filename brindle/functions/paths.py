@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -59,6 +60,12 @@ def is_scannable(path: Column, size: Column) -> Column:
     return (size <= MAX_FILE_BYTES) & ~vendored & ~_like(path, LOCKFILES) & ~extension(path).isin(*SKIPPED_EXTENSIONS)
 
 
+def scannable(path: str, size: int) -> bool:
+    """is_scannable of one path."""
+    lower = path.lower()
+    return size <= MAX_FILE_BYTES and not any(d.lower() in lower for d in SKIPPED_DIRS) and re.search(LOCKFILES, path, re.IGNORECASE) is None and lower.rsplit(".", 1)[-1] not in SKIPPED_EXTENSIONS
+
+
 def is_build_script(path: Column) -> Column:
     name, ext = base_name(path), extension(path)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")

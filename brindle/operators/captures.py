@@ -51,7 +51,7 @@ def _text_nodes(raw: Column) -> Column:
 
 
 def plan_texts(captures: DataFrame) -> DataFrame:
-    """(capture_id, node, depth, node_type, relation, estimated_rows, actual_rows, total_ms, loops, blocks_hit, blocks_read, rows_removed, sort_method, timed)
+    """(capture_id, node, indent, node_type, relation, estimated_rows, actual_rows, total_ms, loops, blocks_hit, blocks_read, rows_removed, sort_method)
     of the plans in text form among captures (capture_id, raw): nodes in pre-order from 0; rows and times of all loops together.
     A text without a plan has no rows. Numbers that a plan does not tell are null.
     """
@@ -77,61 +77,87 @@ def plan_texts(captures: DataFrame) -> DataFrame:
     return told
 
 
+def _plan(raw: str) -> dict | None:
+    """The plan of the first JSON document in a text, which begins at its first bracket; what follows it is left out. None if there is no such document, or its Plan is no object."""
+    start = min((k for k in (raw.find("["), raw.find("{")) if k >= 0), default=-1)
+    try:
+        document = json.JSONDecoder().raw_decode(raw, start)[0] if start >= 0 else None
+    except (ValueError, RecursionError):
+        return None
+    first = document[0] if isinstance(document, list) and document else document
+    plan = first.get("Plan") if isinstance(first, dict) else None
+    return plan if isinstance(plan, dict) else None
+
+
 def _json_nodes(plan: dict) -> list[dict]:
-    """Nodes of a plan in JSON form, in pre-order."""
+    """Nodes of a plan in JSON form, in pre-order; a field of the wrong type is null, and what is no node has no row."""
+
+    def number(node: dict, key: str) -> float | None:
+        v = node.get(key)
+        return v if isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < 1 << 62 else None
+
+    def whole(node: dict, key: str) -> int | None:
+        v = number(node, key)
+        return None if v is None else int(v)
+
+    def said(node: dict, key: str) -> str | None:
+        v = node.get(key)
+        return v if isinstance(v, str) and v else None
+
     out, stack = [], [(plan, 0)]
     while stack:
         node, depth = stack.pop()
-        loops, rows, ms = node.get("Actual Loops"), node.get("Actual Rows"), node.get("Actual Total Time")
-        sort, space = node.get("Sort Method"), node.get("Sort Space Used")
+        loops, rows, ms = number(node, "Actual Loops"), number(node, "Actual Rows"), number(node, "Actual Total Time")
+        sort, space = said(node, "Sort Method"), node.get("Sort Space Used")
         times = 1 if loops is None else loops
         out.append(
             {
                 "depth": depth,
-                "node_type": str(node.get("Node Type", "Unknown")),
-                "relation": node.get("Relation Name") or node.get("Index Name"),
-                "estimated_rows": node.get("Plan Rows"),
+                "node_type": "Unknown" if node.get("Node Type") is None else str(node["Node Type"]),
+                "relation": said(node, "Relation Name") or said(node, "Index Name"),
+                "estimated_rows": whole(node, "Plan Rows"),
                 "actual_rows": None if rows is None else float(rows * times),
                 "total_ms": None if ms is None else float(ms * times),
-                "loops": loops,
-                "blocks_hit": node.get("Shared Hit Blocks"),
-                "blocks_read": node.get("Shared Read Blocks"),
-                "rows_removed": node.get("Rows Removed by Filter"),
+                "loops": None if loops is None else int(loops),
+                "blocks_hit": whole(node, "Shared Hit Blocks"),
+                "blocks_read": whole(node, "Shared Read Blocks"),
+                "rows_removed": whole(node, "Rows Removed by Filter"),
                 "sort_method": f"{sort} {node.get('Sort Space Type')}: {space}kB" if sort and space else sort,
             }
         )
-        stack += [(child, depth + 1) for child in reversed(node.get("Plans") or [])]
+        children = node.get("Plans")
+        stack += [(child, depth + 1) for child in reversed(children if isinstance(children, list) else []) if isinstance(child, dict)]
     return out
 
 
 def plan_documents(captures: DataFrame) -> DataFrame:
-    """The columns of plan_texts, and depth, for the plans in JSON form among captures (capture_id, raw); text that is no JSON has no rows."""
+    """The columns of plan_texts with depth in place of indent, for the plans in JSON form among captures (capture_id, raw).
+
+    The first JSON document counts, whatever follows it; a text without one, or whose Plan is no object, has no rows. Fields of the wrong type are null.
+    """
     kind = pa.list_(pa.struct([("depth", pa.int32()), ("node_type", pa.string()), ("relation", pa.string()), ("estimated_rows", pa.int64()), ("actual_rows", pa.float64()), ("total_ms", pa.float64()), ("loops", pa.int64()), ("blocks_hit", pa.int64()), ("blocks_read", pa.int64()), ("rows_removed", pa.int64()), ("sort_method", pa.string())]))
     id_kind = dict(captures.dtypes)["capture_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = []
-            for raw in b.column(1).to_pylist():
-                document = json.loads(raw)
-                first = document[0] if isinstance(document, list) else document
-                nodes.append(_json_nodes(first["Plan"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, kind)], ["capture_id", "nodes"])
-
-    from_bracket = F.regexp_extract("raw", r"(?s)[\[{].*", 0)
-    document = F.try_parse_json(from_bracket)
-    plan = F.coalesce(F.try_variant_get(document, "$[0].Plan", "variant"), F.try_variant_get(document, "$.Plan", "variant"))
-    read = captures.select("capture_id", from_bracket.alias("raw"), plan.isNotNull().alias("_is")).filter("_is").select("capture_id", "raw")
+            plans = [_plan(raw) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else _json_nodes(p) for p in plans], kind)], ["capture_id", "nodes"])
+
+    read = captures.select("capture_id", "raw").filter(F.contains("raw", F.lit('"Plan"')))
     return read.mapInArrow(run, f"capture_id {id_kind}, nodes {_NODES}").select("capture_id", F.posexplode("nodes").alias("node", "n")).select("capture_id", "node", "n.*")
 
 
+def plan_nodes(captures: DataFrame) -> DataFrame:
+    """(capture_id, node, node_type, ..., sort_method): the nodes of each capture's plan, in JSON or else in text form."""
+    as_json = plan_documents(captures)
+    text = captures.join(as_json.select("capture_id").distinct().hint("merge"), "capture_id", "left_anti")
+    return as_json.drop("depth").unionByName(plan_texts(text).drop("indent"))
+
+
 def plan_summary(captures: DataFrame) -> DataFrame:
     """(capture_id, nodes, blocks_read, blocks_hit, rows_removed, seq_scans, disk_sorts, buffers, timed, root_ms, total_ms, planning_ms) of each
     capture with a plan, in JSON or else in text form."""
-    as_json = plan_documents(captures)
-    text = captures.join(as_json.select("capture_id").distinct().hint("merge"), "capture_id", "left_anti")
-    every = as_json.drop("depth").unionByName(plan_texts(text).drop("indent"))
-    totals = every.groupBy("capture_id").agg(
+    totals = plan_nodes(captures).groupBy("capture_id").agg(
         F.count("*").alias("nodes"),
         F.sum("blocks_read").alias("blocks_read"),
         F.sum("blocks_hit").alias("blocks_hit"),

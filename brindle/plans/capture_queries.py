@@ -33,6 +33,25 @@ def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumn("node", F.col("node") == 0).withColumnRenamed("node", "root")
 
 
+def odd_plan_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capture_id, raw): a capture for each order, as people paste them: with a row count after it, a plan that is none, fields of other types, nodes in nodes, JSON that breaks off, and text with a bracket before the plan."""
+    k = F.col("o_orderkey")
+    forms = [
+        _text('QUERY PLAN\n-----\n [\n  {"Plan": {"Node Type": "Seq Scan", "Relation Name": "a', k, '", "Plan Rows": ', k, '}}\n]\n(1 row)\n'),
+        F.lit('[{"Plan": null}]'),
+        F.lit('{"Plan": "Seq Scan"}'),
+        _text('{"Plan": {"Node Type": 5, "Plan Rows": "many", "Actual Loops": true, "Relation Name": ["x"], "Plans": [{"Node Type": "Hash", "Actual Rows": 2, "Actual Loops": 3, "Plans": [{"Index Name": "i', k, '"}, 7, null]}, "none"]}} and more'),
+        _text('[{"Plan": {"Node Type": "Seq\nSeq Scan on t', k, "  (cost=0.00..1.00 rows=", k, " width=8)"),
+        _text("Seq Scan on u  (cost=0.00..1.00 rows=", k, " width=8)\n  Filter: (a = ANY ('{1}'::int[]))\n"),
+        F.lit('[] "Plan"'),
+    ]
+    return table(spark, sf_dir, "orders").select(k.alias("capture_id"), F.get(F.array(*forms), (k % len(forms)).cast("int")).alias("raw"))
+
+
+def odd_plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.plan_nodes(odd_plan_captures(spark, sf_dir)).select("capture_id", "node", "node_type", "relation", "estimated_rows", "actual_rows", "loops")
+
+
 def plan_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captures.plan_summary(plan_captures(spark, sf_dir))
     return found.withColumns({"seq_scans": F.array_join("seq_scans", ","), "disk_sorts": F.array_join("disk_sorts", ",")})
@@ -115,7 +134,7 @@ def log_capture_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.log_shapes(captures.query_logs(log_captures(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (plan_nodes, plan_summaries, capture_verdicts, catalog_indexes, catalog_statistics, unknowable_left, observed_advice, query_logs, log_capture_shapes)}
+QUERIES = {f.__name__: f for f in (plan_nodes, odd_plan_nodes, plan_summaries, capture_verdicts, catalog_indexes, catalog_statistics, unknowable_left, observed_advice, query_logs, log_capture_shapes)}
 _PLANS = """(SELECT l_orderkey AS capture_id, count(*) + 1 AS nodes, CAST(sum(l_linenumber) AS BIGINT) AS blocks_read, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS blocks_hit, CAST(sum(l_suppkey) AS BIGINT) AS rows_removed,
     array_to_string(list_sort(list_distinct(list('t' || (l_partkey % 5)))), ',') AS seq_scans, CASE WHEN l_orderkey % 2 = 0 THEN 'external merge Disk: 10kB' ELSE 'external merge  Disk: 10kB' END AS disk_sorts, true AS buffers, true AS timed,
     count(*) + 0.75e0 AS root_ms, count(*) + 0.25e0 AS total_ms, 0.5e0 AS planning_ms FROM lineitem GROUP BY 1)"""
@@ -126,6 +145,8 @@ ORACLE_SQL = {
     "plan_nodes": """SELECT l_orderkey AS capture_id, false AS root, 'Seq Scan' AS node_type, 't' || (l_partkey % 5) AS relation, CAST(l_quantity AS BIGINT) AS estimated_rows, CAST(CAST(l_quantity AS INTEGER) * (l_suppkey % 3 + 1) AS DOUBLE) AS actual_rows,
           (l_linenumber + 0.5e0) * (l_suppkey % 3 + 1) AS total_ms, CAST(l_suppkey % 3 + 1 AS BIGINT) AS loops, CAST(l_quantity AS BIGINT) AS blocks_hit, CAST(l_linenumber AS BIGINT) AS blocks_read, CAST(l_suppkey AS BIGINT) AS rows_removed, CAST(NULL AS VARCHAR) AS sort_method FROM lineitem
         UNION ALL SELECT l_orderkey, true, 'Sort', NULL, count(*), CAST(count(*) AS DOUBLE), count(*) + 0.75e0, 1, NULL, NULL, NULL, CASE WHEN l_orderkey % 2 = 0 THEN 'external merge Disk: 10kB' ELSE 'external merge  Disk: 10kB' END FROM lineitem GROUP BY 1""",
+    "odd_plan_nodes": """SELECT k AS capture_id, CAST(node AS INTEGER) AS node, node_type, CASE WHEN by_key THEN relation || k ELSE relation END AS relation, CASE WHEN m IN (0, 4, 5) THEN k END AS estimated_rows, CAST(actual_rows AS DOUBLE) AS actual_rows, CAST(loops AS BIGINT) AS loops
+        FROM (SELECT o_orderkey AS k, o_orderkey % 7 AS m FROM orders) o JOIN (VALUES (0, 0, 'Seq Scan', 'a', true, NULL, NULL), (3, 0, '5', NULL, false, NULL, NULL), (3, 1, 'Hash', NULL, false, 6, 3), (3, 2, 'Unknown', 'i', true, NULL, NULL), (4, 0, 'Seq Scan', 't', true, NULL, NULL), (5, 0, 'Seq Scan', 'u', false, NULL, NULL)) v(m, node, node_type, relation, by_key, actual_rows, loops) USING (m)""",
     "plan_summaries": f"SELECT * FROM {_PLANS} p",
     "capture_verdicts": f"""WITH e AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1), p AS (SELECT * FROM {_PLANS} p),
         j AS (SELECT o_custkey, x.nodes AS na, y.nodes AS nb, x.capture_id IS NOT NULL AND y.capture_id IS NOT NULL AS plans,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.paths import MAX_FILE_BYTES, is_scannable
+from brindle.functions.paths import MAX_FILE_BYTES, is_scannable, scannable
 
 #: Bytes of text that one archive may unpack to.
 MAX_ARCHIVE_BYTES = 256 * 1024 * 1024
@@ -26,7 +26,7 @@ def from_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def from_archives(spark: SparkSession, glob: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
-    """(archive, path, size, content, cut, reason) of the regular files in tar archives, packed or not, without their root folder. Files that are not scanned are never unpacked.
+    """(archive, path, size, content, cut, reason) of the regular files in tar archives, packed or not, without their root folder. Files that are not scanned are never unpacked, and use up nothing of max_bytes.
 
     An archive is unpacked by one task, member by member (Spark hands over archives of up to 2 GB); what lies beyond max_bytes of it is left
     out and flagged as cut. An archive that can't be read, or breaks off, has a row without a path that gives the reason, after what was read of it.
@@ -43,7 +43,7 @@ def from_archives(spark: SparkSession, glob: str, max_bytes: int = MAX_ARCHIVE_B
                     with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
                         for m in tar:
                             path = m.name.split("/", 1)[-1] if "/" in m.name else m.name
-                            if not m.isfile() or m.size > MAX_FILE_BYTES:
+                            if not m.isfile() or not scannable(path, m.size):
                                 continue
                             total += m.size
                             keep = total <= max_bytes
@@ -53,8 +53,7 @@ def from_archives(spark: SparkSession, glob: str, max_bytes: int = MAX_ARCHIVE_B
                     yield row(name, None, len(raw), None, False, f"{type(error).__name__}: {error}")
 
     raw = spark.read.format("binaryFile").load(glob).select("path", "content")
-    read = raw.mapInPandas(unpack, "archive string, path string, size long, content string, cut boolean, reason string")
-    return read.filter(F.col("path").isNull() | is_scannable(F.col("path"), F.col("size")))
+    return raw.mapInPandas(unpack, "archive string, path string, size long, content string, cut boolean, reason string")
 
 
 def listed(spark: SparkSession, folder: str, most: int) -> DataFrame:

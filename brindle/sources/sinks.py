@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.report import line_diff
+
+_MARKS = {"ctx": " ", "del": "-", "add": "+"}
+
 
 def to_json(findings: DataFrame, folder: str) -> None:
     """One JSON object a line, in as many files as there are tasks."""
@@ -28,16 +31,15 @@ def html(report: str) -> str:
 
 
 def patches(findings: DataFrame) -> DataFrame:
-    """(path, start_line, patch): a unified diff for each finding that keeps its output; others are left out (left_out counts them)."""
+    """(path, start_line, patch): a unified diff for each finding that keeps its output, by the lines that line_diff tells; a null text is empty; others are left out (left_out counts them)."""
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
             for path, line, a, p in zip(b["path"], b["start_line"], b["original"], b["proposed"]):
-                before, after = a.split("\n"), p.split("\n")
-                body = [x for x in difflib.ndiff(before, after) if x[:2] != "? "]
-                lines = [x[0] + x[2:] for x in body]
-                texts.append(f"--- a/{path}\n+++ b/{path}\n@@ -{line},{len(before)} +{line},{len(after)} @@\n" + "\n".join(lines) + "\n")
+                rows = line_diff(a or "", p or "")
+                before, after = (sum(kind != other for kind, *_ in rows) for other in ("add", "del"))
+                texts.append(f"--- a/{path}\n+++ b/{path}\n@@ -{line},{before} +{line},{after} @@\n" + "\n".join(_MARKS[kind] + text for kind, _, _, text in rows) + "\n")
             yield pd.DataFrame({"path": b["path"], "start_line": b["start_line"], "patch": texts})
 
     return findings.filter("kind = 'equivalent'").select("path", F.col("start_line").cast("long").alias("start_line"), "original", "proposed").mapInPandas(diff, "path string, start_line long, patch string")
