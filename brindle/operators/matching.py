@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
+from brindle.operators.report import observed_names
+from brindle.session import cut
+
 
 def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tolerance: int, how: str = "inner") -> DataFrame:
     """Rows with equal keys whose numbers a (left) and b (right) differ by at most the tolerance.
@@ -51,6 +55,89 @@ def merged_catalogs(declared: DataFrame, observed: DataFrame, table: str, name:
     return mine.unionByName(rest)
 
 
+def _plain(name: Column) -> Column:
+    """A name in lower case, without a quote at either end."""
+    return F.regexp_replace(F.lower(name), r"^[\"`]|[\"`]$", "")
+
+
+def _same_columns(columns: Column) -> Column:
+    """Lists of columns that are alike, whatever their case and quotes, as one text; null without columns, which match nothing."""
+    return F.when(F.size(columns) > 0, F.to_json(F.transform(columns, _plain)))
+
+
+def grounded_catalog(declared: DataFrame, observed: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(tab, name, cols, uniq, origin, scans, size_bytes, observed, live_rows, distinct, null_fraction, width): declared indexes and those of a database as one catalog.
+
+    declared: id, tab, name, cols, uniq; observed: tab, name, cols, uniq, scans, size_bytes, ord; tables: tab, live_rows; columns: tab, col, distinct, null_fraction,
+    width. A declared index is 'both' if an observed one of its table has its name or its columns; the first in ord counts, and several declared ones may
+    match the same. It takes the observed name, and the observed columns where there are any. Observed indexes whose table and name no match has follow as 'observed'. observed
+    tells whether the captures cover the table at all; live_rows are the table's, the other figures those of the leading column. Statistics that repeat
+    count once, the last in order of their values. Tables with very many indexes are dealt in parts where they meet their figures; names are compared
+    by equality, so that no two indexes of a table meet but for a shared name or column list. Null tables match nothing.
+    """
+    key = lambda d, on: d.select("*", _plain(F.col("tab")).alias("_t"), on.alias("_k"))
+    o = observed.select(F.struct("tab", "name", "cols", "uniq", "scans", "size_bytes").alias("_o"), F.col("ord").alias("_ord"), "tab", "name", "cols")
+    d = declared.withColumn("_row", F.monotonically_increasing_id())
+    d = cut(d, "declared")
+    matches = []
+    for on in (_plain(F.col("name")), _same_columns(F.col("cols"))):
+        left, right = key(d.select("_row", "tab", "name", "cols"), on), key(o, on).groupBy("_t", "_k").agg(F.min(F.struct("_ord", "_o")).alias("_first"))
+        matches.append(left.select("_row", "_t", "_k").join(right.hint("merge"), ["_t", "_k"]).select("_row", "_first"))
+    claimed = cut(matches[0].union(matches[1]).groupBy("_row").agg(F.min("_first").alias("_first")), "claimed")
+    mine = d.join(claimed.hint("merge"), "_row", "left").select(
+        "tab",
+        F.coalesce(F.nullif(F.col("_first._o.name"), F.lit("")), "name").alias("name"),
+        F.when(F.size("_first._o.cols") > 0, F.col("_first._o.cols")).otherwise(F.col("cols")).alias("cols"),
+        "uniq",
+        F.when(F.col("_first").isNotNull(), "both").otherwise("declared").alias("origin"),
+        F.col("_first._o.scans").alias("scans"),
+        F.col("_first._o.size_bytes").alias("size_bytes"),
+    )
+    taken = claimed.select(_plain(F.col("_first._o.tab")).alias("_t"), _plain(F.col("_first._o.name")).alias("_k")).distinct()
+    rest = key(observed, _plain(F.col("name"))).join(taken.hint("merge"), ["_t", "_k"], "left_anti").select("tab", "name", "cols", "uniq", F.lit("observed").alias("origin"), "scans", "size_bytes")
+    every = cut(mine.unionByName(rest).withColumns({"_t": _plain(F.col("tab")), "_c": _plain(F.get("cols", F.lit(0)))}), "catalog")
+    seen = observed_names(*[x.select(_plain(F.col("tab")).alias("tab")) for x in (observed, tables, columns)]).select(F.col("tab").alias("_t"), F.lit(True).alias("_seen"))
+    counts = tables.filter("live_rows IS NOT NULL").groupBy(_plain(F.col("tab")).alias("_t")).agg(F.max("live_rows").alias("live_rows"))
+    known = seen.join(counts.hint("merge"), "_t", "left")
+    figures = columns.groupBy(_plain(F.col("tab")).alias("_t"), _plain(F.col("col")).alias("_c")).agg(F.max(F.struct("distinct", "null_fraction", "width")).alias("_f"))
+    told = join_hot(every, known, ["_t"], hot_keys(every.groupBy("_t").agg(F.count("*").alias("n")), ["_t"]), ["name"], "left")
+    hot = hot_keys(every.groupBy("_t", "_c").agg(F.count("*").alias("n")), ["_t", "_c"])
+    told = join_hot(told, figures, ["_t", "_c"], hot, ["name"], "left")
+    return told.select("tab", "name", "cols", "uniq", "origin", "scans", "size_bytes", F.coalesce("_seen", F.lit(False)).alias("observed"), "live_rows", "_f.distinct", "_f.null_fraction", "_f.width")
+
+
+#: Characters of a key that are looked up; shorter keys are looked up whole.
+GRAM = 6
+
+
+def contained(texts: DataFrame, keys: DataFrame, text: str, key: str, gram: int = GRAM) -> DataFrame:
+    """Rows of texts with the rows of keys whose key stands in the text, as a join of equality on pieces of `gram` characters.
+
+    Of each key the piece is looked up that the fewest keys have, so that keys that begin alike, or share a folder, don't meet every text that does; a
+    text stands under each of its different pieces, of the lengths that pieces have, and what meets is checked. Empty and null keys and texts meet nothing.
+    """
+    named = keys.filter(F.length(key) > 0).withColumn("_key", F.monotonically_increasing_id())
+    named = cut(named, "keys")
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    size = F.least(F.length(key), F.lit(gram))
+    held = named.select("_key", F.explode(pieces(F.col(key), size)).alias("_piece"))
+    rare = held.join(held.groupBy("_piece").agg(F.count("*").alias("_n")).hint("merge"), "_piece").groupBy("_key").agg(F.min(F.struct("_n", "_piece")).alias("_p"))
+    looked = cut(named.join(rare.select("_key", F.col("_p._piece").alias("_piece")).hint("merge"), "_key").drop("_key"), "looked")
+    # At most `gram` lengths.
+    lengths = [r[0] for r in looked.select(F.length("_piece").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
+        return texts.limit(0).join(keys.limit(0))
+    t = F.col(text)
+    every = F.concat(*[F.when(F.length(t) >= n, pieces(t, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in lengths])
+    return texts.withColumn("_piece", F.explode(every)).join(looked.hint("merge"), "_piece").filter(F.contains(t, F.col(key))).drop("_piece")
+
+
+def adjudicated(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """runs (run, path) with the adjudication (key, adjudicated, ord) whose key stands anywhere in the run's path, across folders too: the first in order."""
+    first = contained(runs.select("run", "path"), verdicts, "path", "key").groupBy("run").agg(F.min_by("adjudicated", "ord").alias("adjudicated"))
+    return runs.join(first, "run", "left")
+
+
 def coalesced(parts: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """One row per key: of each field the first value that is not null, in order. Field-wise minima of (order, value) need no sort."""
     first = lambda f: F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f)

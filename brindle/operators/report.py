@@ -94,15 +94,6 @@ def scorecard(summary: DataFrame, keys: list[str]) -> DataFrame:
     return summary.groupBy(*keys).agg(F.array_join(cells, " | ").alias("line"))
 
 
-def adjudicated(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """runs (run, path) with the adjudication (key, adjudicated, ord) whose key is one of the folders of the run's path: the first in order.
-
-    A key is a folder's name, so that the join is one of equality on the parts of the path."""
-    parts = runs.select("run", F.explode(F.array_distinct(F.split("path", "/"))).alias("key"))
-    first = parts.join(verdicts, "key").groupBy("run").agg(F.min_by("adjudicated", "ord").alias("adjudicated"))
-    return runs.join(first, "run", "left")
-
-
 def schema_first(files: DataFrame, is_schema: Column, k: int) -> DataFrame:
     """The first k files to read: schema files before others, then by path; the limit is the feature."""
     return files.withColumn("is_schema", is_schema).orderBy(F.col("is_schema").desc(), "path").limit(k)

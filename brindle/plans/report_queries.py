@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text
 from brindle.functions.paths import is_schema_file
-from brindle.operators import metrics, profile, ranking, recipes, report
+from brindle.operators import matching, metrics, profile, ranking, recipes, report
 from brindle.plans.code_queries import code_files
 from brindle.sources import sinks
 from brindle.tables import table
@@ -57,11 +57,22 @@ def metric_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjudicated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as runs in a folder of their customer; adjudications are by customer, some twice."""
+    """Orders as runs in a folder of their customer; adjudications are by customer, some twice, and name the folder with what ends it."""
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.concat(F.lit("runs/c"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"))
     c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    verdicts = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("adjudicated"), F.lit(2).alias("ord")).unionByName(c.filter("c_custkey % 4 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.lit("first").alias("adjudicated"), F.lit(1).alias("ord")))
-    return report.adjudicated(runs, verdicts).select("run", "adjudicated")
+    key = F.concat(F.lit("/c"), F.col("c_custkey").cast("string"), F.lit("/")).alias("key")
+    verdicts = c.select(key, F.col("c_mktsegment").alias("adjudicated"), F.lit(2).alias("ord")).unionByName(c.filter("c_custkey % 4 = 0").select(key, F.lit("first").alias("adjudicated"), F.lit(1).alias("ord")))
+    return matching.adjudicated(runs, verdicts).select("run", "adjudicated")
+
+
+def adjudicated_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs named by clerk, priority and order; adjudications name the clerk's number, parts of a name, or parts of two folders."""
+    o = table(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_orderkey").alias("run"), F.concat_ws("/", F.lit("runs"), F.concat(F.lit("clerk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")), F.regexp_replace(F.lower("o_orderpriority"), " ", ""), F.col("o_orderkey").cast("string")).alias("path"))
+    s, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    key = F.when(s % 5 == 0, F.concat(F.lit("clerk#"), F.lpad(n, 9, "0"), F.lit("/"))).when(s % 5 == 1, F.concat(F.lit("high/"), n)).when(s % 5 == 2, F.concat(F.lit("-"), n)).when(s % 5 == 3, "").otherwise(F.concat(F.lit("0"), n, F.lit("/1-urgent")))
+    verdicts = table(spark, sf_dir, "supplier").select(key.alias("key"), F.col("s_name").alias("adjudicated"), s.alias("ord"))
+    return matching.adjudicated(runs, verdicts).select("run", "adjudicated")
 
 
 def schema_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +171,7 @@ def statement_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (report_parts, patch_export, patch_counts, evidence_store, masked_keys, first_lines, formatted, statement_counters, diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, adjudicated_runs, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
+    for f in (report_parts, patch_export, patch_counts, evidence_store, masked_keys, first_lines, formatted, statement_counters, diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, adjudicated_runs, adjudicated_within, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
 }
 _VERDICT = "(SELECT o_orderkey AS id, list_extract(['regression', 'confirmed', 'no-difference', 'insufficient-evidence'], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS verdict FROM orders WHERE o_orderkey % 4 IN (0, 2))"
 _ORDERS = "(SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 5 WHEN 0 THEN 'no-op' WHEN 1 THEN 'cold-path' END AS reason, CASE WHEN o_custkey % 3 = 0 THEN 'high' ELSE 'low' END AS severity, o_orderkey % 4 = 0 AS b FROM orders)"
@@ -183,6 +194,9 @@ ORACLE_SQL = {
         SELECT string_agg(engine || ' (part ' || first_seen || ')', ', ' ORDER BY n) FILTER (WHERE n <= 6) AS described, greatest(count(*) - 6, 0) AS more FROM r""",
     "metric_scorecard": """WITH r AS (SELECT l_returnflag, l_linenumber, round(sum(CASE WHEN l_discount > 0.05e0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, round(avg(v), 4) AS m, min(v) AS a, max(v) AS b FROM r GROUP BY 1)
         SELECT l_returnflag, 'precision ' || CAST(round(m * 100) AS INTEGER) || '%' || CASE WHEN a = b THEN '' ELSE ' (' || CAST(round(a * 100) AS INTEGER) || '%–' || CAST(round(b * 100) AS INTEGER) || '%)' END || ' | recall 100%' AS line FROM s""",
+    "adjudicated_within": """WITH r AS (SELECT o_orderkey AS run, concat_ws('/', 'runs', 'clerk#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0'), replace(lower(o_orderpriority), ' ', ''), CAST(o_orderkey AS VARCHAR)) AS path FROM orders),
+        v AS (SELECT s_suppkey AS ord, s_name, CASE s_suppkey % 5 WHEN 0 THEN 'clerk#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '/' WHEN 1 THEN 'high/' || s_suppkey WHEN 2 THEN '-' || s_suppkey WHEN 3 THEN '' ELSE '0' || s_suppkey || '/1-urgent' END AS key FROM supplier)
+        SELECT run, (SELECT arg_min(s_name, ord) FROM v WHERE key <> '' AND contains(path, key)) AS adjudicated FROM r""",
     "adjudicated_runs": "SELECT o_orderkey AS run, CASE WHEN c_custkey IS NULL OR o_custkey % 2 <> 0 THEN NULL WHEN o_custkey % 4 = 0 THEN 'first' ELSE c_mktsegment END AS adjudicated FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "schema_first": """SELECT path, k = 3 AS is_schema FROM (SELECT DISTINCT o_custkey % 4 AS k, CASE o_custkey % 4 WHEN 0 THEN 'app/views/v' || o_custkey || '.py' WHEN 1 THEN 'src/s' || o_custkey || '.ts' WHEN 2 THEN 'jobs/j' || o_custkey || '.rb' ELSE 'db/migrate/m' || o_custkey || '.sql' END AS path
         FROM orders JOIN customer ON c_custkey = o_custkey) ORDER BY k = 3 DESC, path LIMIT 12""",

@@ -78,6 +78,21 @@ def catalog_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.lower("tab").alias("tab"), "name", F.array_join("cols", ",").alias("cols"), "origin")
 
 
+def grounded_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as declared indexes, customers as observed ones, with statistics by supplier and nation: several declared indexes want one observed, by name or by columns."""
+    of = lambda k, cell: F.array(cell(k % 7), cell(k % 3))
+    lower, upper = (lambda n: F.concat(F.lit("c"), n.cast("string"))), (lambda n: F.concat(F.lit('"C'), n.cast("string"), F.lit('"')))
+    p, c, n = F.col("p_partkey"), F.col("c_custkey"), F.col("n_nationkey")
+    tab = lambda k, size: F.concat(F.lit("t"), (k % size).cast("string"))
+    declared = table(spark, sf_dir, "part").select(p.alias("id"), tab(p, 50).alias("tab"), F.concat(F.lit("IX_"), p.cast("string")).alias("name"), of(p, lower).alias("cols"), (p % 2 == 0).alias("uniq"))
+    name = F.when(c % 3 == 0, F.concat(F.lit("`ix_"), c.cast("string"), F.lit("`"))).otherwise(F.concat(F.lit("obs_"), (c % 40).cast("string")))
+    observed = table(spark, sf_dir, "customer").select(F.upper(tab(c, 50)).alias("tab"), name.alias("name"), F.when(c % 3 == 2, F.array().cast("array<string>")).otherwise(of(c, upper)).alias("cols"), F.lit(False).alias("uniq"), c.alias("scans"), F.lit(None).cast("long").alias("size_bytes"), c.alias("ord"))
+    tables = table(spark, sf_dir, "supplier").select(tab(F.col("s_suppkey"), 60).alias("tab"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey")).alias("live_rows"))
+    columns = table(spark, sf_dir, "nation").select(tab(n, 25).alias("tab"), lower(n % 7).alias("col"), n.cast("double").alias("distinct"), F.lit(0.5).alias("null_fraction"), F.lit(None).cast("double").alias("width"))
+    found = matching.grounded_catalog(declared, observed, tables, columns)
+    return found.select("tab", "name", F.array_join("cols", ",").alias("cols"), "uniq", "origin", "scans", "observed", "live_rows", "distinct", "null_fraction")
+
+
 def merge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation the first balance and the first segment that is not null, suppliers before customers."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("balance"), F.lit(None).cast("string").alias("segment"))
@@ -282,7 +297,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
+    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, grounded_catalog, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
               gate_cascade, judged_findings, severity_matrix, staleness, side_compare, plan_totals, bench_metrics, bench_gates, set_equality, price_prefix, sql_equivalence, vocabulary_gap)
 }
 _SHAPED = f"(SELECT o_orderkey, o_custkey, {_sql_shape('sql')} AS shape FROM {_STATEMENTS} s)"
@@ -301,6 +316,14 @@ ORACLE_SQL = {
     "tier_two_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "changed_scope_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY' AND c_custkey % 2 <> 0)",
     "index_prefix_cover": f"WITH i AS (SELECT * FROM {_INDEXES} x) SELECT a.id, min(b.id) AS covered_by FROM i a JOIN i b ON a.tab = b.tab AND len(b.cols) > len(a.cols) AND b.cols[1:len(a.cols)] = a.cols AND a.id <> b.id WHERE NOT a.uniq GROUP BY 1",
+    "grounded_catalog": """WITH d AS (SELECT p_partkey AS k, 't' || (p_partkey % 50) AS t, 'IX_' || p_partkey AS name, 'c' || (p_partkey % 7) || ',c' || (p_partkey % 3) AS cols, p_partkey % 2 = 0 AS uniq FROM part),
+        o AS (SELECT c_custkey AS k, 't' || (c_custkey % 50) AS t, CASE WHEN c_custkey % 3 = 0 THEN 'ix_' || c_custkey ELSE 'obs_' || (c_custkey % 40) END AS n, CASE WHEN c_custkey % 3 = 0 THEN '`ix_' || c_custkey || '`' ELSE 'obs_' || (c_custkey % 40) END AS name, CASE WHEN c_custkey % 3 <> 2 THEN '"C' || (c_custkey % 7) || '","C' || (c_custkey % 3) || '"' ELSE '' END AS cols FROM customer),
+        m AS (SELECT d.k, min(o.k) AS ok FROM d JOIN o ON d.t = o.t AND (lower(d.name) = o.n OR d.cols = replace(lower(o.cols), '"', '')) GROUP BY d.k),
+        every AS (SELECT d.t AS tab, coalesce(o.name, d.name) AS name, CASE WHEN o.cols <> '' THEN o.cols ELSE d.cols END AS cols, d.uniq, CASE WHEN o.k IS NULL THEN 'declared' ELSE 'both' END AS origin, o.k AS scans, d.t FROM d LEFT JOIN m ON m.k = d.k LEFT JOIN o ON o.k = m.ok
+          UNION ALL SELECT upper(o.t), o.name, o.cols, false, 'observed', o.k, o.t FROM o WHERE NOT EXISTS (SELECT 1 FROM m JOIN o c ON c.k = m.ok WHERE c.t = o.t AND c.n = o.n))
+        SELECT e.tab, e.name, e.cols, e.uniq, e.origin, e.scans, e.t IN (SELECT t FROM o UNION ALL SELECT 't' || (s_suppkey % 60) FROM supplier UNION ALL SELECT 't' || n_nationkey FROM nation) AS observed,
+          (SELECT max(s_suppkey) FROM supplier WHERE s_suppkey % 4 > 0 AND 't' || (s_suppkey % 60) = e.t) AS live_rows, CAST(n_nationkey AS DOUBLE) AS distinct, CASE WHEN n_nationkey IS NOT NULL THEN 0.5e0 END AS null_fraction
+        FROM every e LEFT JOIN nation ON 't' || n_nationkey = e.t AND 'c' || (n_nationkey % 7) = replace(lower(split_part(e.cols, ',', 1)), '"', '')""",
     "catalog_full_outer": """WITH o AS (SELECT s_nationkey AS k FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) SELECT 'trade' AS tab, 'ix_' || lower(n_name) AS name, CAST(n_nationkey AS VARCHAR) AS cols, CASE WHEN n_nationkey < 10 AND n_nationkey IN (SELECT k FROM o) THEN 'both' ELSE 'declared' END AS origin FROM nation
         UNION ALL SELECT 'trade', 'obs_' || k, '-', 'observed' FROM o WHERE k >= 10 UNION ALL SELECT 'trade', 'obs_' || k, CAST(k AS VARCHAR), 'observed' FROM o WHERE k < 10 AND k NOT IN (SELECT n_nationkey FROM nation)""",
     "merge_catalogs": """WITH u AS (SELECT s_nationkey AS nation, s_suppkey AS ord, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_nationkey, c_custkey + 1000000000, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END FROM customer)

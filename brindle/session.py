@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that Spark hands to Python at once, where a session has its default: rows are whole texts, and a batch stands in the memory of both sides.
+ARROW_ROWS, _ARROW_DEFAULT = 1000, "10000"
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Paths of the tables that cut has written, by application.
 _written: dict[str, list[str]] = {}
 
@@ -38,9 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands ARROW_ROWS rows to Python at once, unless it was told another number than Spark's own."""
+    if spark.conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends in files that no lost executor takes away."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)

@@ -250,3 +250,32 @@ def test_severity_is_capped_last(spark):
     assert value(spark, gate.capped(F.lit("high"), F.lit(False), F.lit(3), F.lit(1), F.lit(0))) == "medium"
     assert value(spark, gate.capped(F.lit("high"), F.lit(True), F.lit(3), F.lit(3), F.lit(0))) == "low"
     assert value(spark, gate.capped(F.lit("high"), F.lit(False), F.lit(2), F.lit(0), F.lit(0))) == "high"
+
+
+def test_keys_inside_texts(spark):
+    texts = ["runs/alpha-17/x", "runs/alpha-1/7", "alpha", "", None, "zzz" * 50, "日本/é-1"]
+    keys = ["alpha-1", "a-1/7", "alpha-17/x and more", "", None, "z", "zzzzzz", "本/é", "alpha-1", "runs/alpha-1"]
+    t = spark.createDataFrame(list(enumerate(texts)), "run int, path string")
+    k = spark.createDataFrame(list(enumerate(keys)), "ord int, key string")
+    want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(keys) if x and y and y in x)
+    for gram in (1, 3, 6, 40):
+        assert sorted((r["run"], r["ord"]) for r in matching.contained(t, k, "path", "key", gram).collect()) == want
+    told = {r["run"]: r["adjudicated"] for r in matching.adjudicated(t, k.withColumn("adjudicated", F.concat(F.lit("v"), F.col("ord")))).collect()}
+    assert told == {0: "v0", 1: "v0", 2: None, 3: None, 4: None, 5: "v5", 6: "v7"}
+    assert matching.contained(t, k.limit(0), "path", "key").count() == 0 and matching.contained(t.limit(0), k, "path", "key").count() == 0
+
+
+def test_one_catalog_of_declared_and_observed(spark):
+    index = "tab string, name string, cols array<string>, uniq boolean"
+    declared = [(1, "t", "ix_a", ["a"], True), (2, "T", "ix_b", ["b", "a"], False), (3, "t", "other", ["A"], False), (4, "u", "ix_a", ["a"], False), (5, None, "ix_a", ["a"], False), (6, "t", "nothing", [], False)]
+    observed = [('"T"', "IX_A", ["a"], True, 7, 100, 0), ("t", "live", ["b", "a"], False, None, None, 1), ("t", "usage", [], False, 3, None, 2), ("t", "IX_A", ["z"], False, None, None, 3), ("t", "live", ["q"], False, None, None, 4)]
+    rows = matching.grounded_catalog(
+        spark.createDataFrame(declared, "id int, " + index), spark.createDataFrame(observed, index + ", scans long, size_bytes long, ord int"), spark.createDataFrame([("t", 50), ("T", 40), ("v", None)], "tab string, live_rows long"),
+        spark.createDataFrame([("t", "A", -1.0, 0.5, None)], "tab string, col string, distinct double, null_fraction double, width double"),
+    ).collect()
+    got = sorted((r["tab"], r["name"], r["cols"], r["origin"], r["scans"], r["observed"], r["live_rows"], r["distinct"]) for r in rows if r["tab"])
+    assert got == sorted([
+        ("t", "IX_A", ["a"], "both", 7, True, 50, -1.0), ("T", "live", ["b", "a"], "both", None, True, 50, None), ("t", "IX_A", ["a"], "both", 7, True, 50, -1.0), ("u", "ix_a", ["a"], "declared", None, False, None, None),
+        ("t", "nothing", [], "declared", None, True, 50, None), ("t", "usage", [], "observed", 3, True, 50, None),
+    ])
+    assert [(r["name"], r["origin"], r["observed"]) for r in rows if r["tab"] is None] == [("ix_a", "declared", False)]
