@@ -77,7 +77,7 @@ def plan_texts(captures: DataFrame) -> DataFrame:
     return told
 
 
-def _plan(raw: str) -> dict | None:
+def plan_of(raw: str) -> dict | None:
     """The plan of the first JSON document in a text, which begins at its first bracket; what follows it is left out. None if there is no such document, or its Plan is no object."""
     start = min((k for k in (raw.find("["), raw.find("{")) if k >= 0), default=-1)
     try:
@@ -89,7 +89,7 @@ def _plan(raw: str) -> dict | None:
     return plan if isinstance(plan, dict) else None
 
 
-def _json_nodes(plan: dict) -> list[dict]:
+def json_nodes(plan: dict) -> list[dict]:
     """Nodes of a plan in JSON form, in pre-order; a field of the wrong type is null, and what is no node has no row."""
 
     def number(node: dict, key: str) -> float | None:
@@ -140,8 +140,8 @@ def plan_documents(captures: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            plans = [_plan(raw) for raw in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else _json_nodes(p) for p in plans], kind)], ["capture_id", "nodes"])
+            plans = [plan_of(raw) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else json_nodes(p) for p in plans], kind)], ["capture_id", "nodes"])
 
     read = captures.select("capture_id", "raw").filter(F.contains("raw", F.lit('"Plan"')))
     return read.mapInArrow(run, f"capture_id {id_kind}, nodes {_NODES}").select("capture_id", F.posexplode("nodes").alias("node", "n")).select("capture_id", "node", "n.*")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that Spark hands to Python at once, where a session has its default: rows are whole texts, and a batch stands in the memory of both sides.
 ARROW_ROWS, _ARROW_DEFAULT = 1000, "10000"
 _ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a file where the number of rows is known.
+ROWS_A_FILE = 250_000
 #: Paths of the tables that cut has written, by application.
 _written: dict[str, list[str]] = {}
 
@@ -47,13 +49,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends in files that no lost executor takes away."""
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: the lineage ends in files that no lost executor takes away.
+
+    rows: what df has at most, where that is known: a small table is then written in few files, ROWS_A_FILE rows each, however many tasks made it."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // ROWS_A_FILE))
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
