@@ -162,14 +162,14 @@ def read_page(page: str) -> Page:
             at = end
     flush()
     stack.cut(0, len(out))
-    return Page(out, stack.said + [(f, k, k + 1) for k, b in enumerate(out) for f in _looks(b, k, len(out))])
+    return Page(out, stack.said + [(f, k, k + 1) for k, b in enumerate(out) for f in _looks(b)] + _surroundings(out))
 
 
 def leaf_blocks(page: str) -> list[Block]:
     return read_page(page).blocks
 
 
-def _looks(b: Block, k: int, blocks: int) -> list[str]:
+def _looks(b: Block) -> list[str]:
     """What a block's text and nearest elements look like."""
     n = len(b.text)
     share = b.linked / n
@@ -179,13 +179,42 @@ def _looks(b: Block, k: int, blocks: int) -> list[str]:
         "size:" + str(min(8, n.bit_length())),
         "links:" + ("none" if not share else "some" if share < 0.5 else "most"),
         "sentences:" + str(min(3, sum(1 for _ in islice(_SENTENCE.finditer(b.text), 3)))),
-        "place:" + ("first" if k == 0 else "last" if k == blocks - 1 else "inner"),
     ]
     if "©" in b.text or "|" in b.text and n < 120:
         out.append("sign")
     return out
 
 
+#: Characters of a block that reads as running text, if at most a third of them are links.
+_LONG = 60
+
+
+def _surroundings(blocks: list[Block]) -> list[tuple[str, int, int]]:
+    """What stands next to each block: running text, and how many blocks of links in a row it is one of."""
+    long = [len(b.text) >= _LONG and 3 * b.linked <= len(b.text) for b in blocks]
+    most = [2 * b.linked >= len(b.text) for b in blocks]
+    before, after = [False] * len(blocks), [False] * len(blocks)
+    for k in range(1, len(blocks)):
+        before[k] = before[k - 1] or long[k - 1]
+    for k in range(len(blocks) - 2, -1, -1):
+        after[k] = after[k + 1] or long[k + 1]
+    out, k = [], 0
+    while k < len(blocks):
+        end = k + 1
+        while end < len(blocks) and most[end] == most[k]:
+            end += 1
+        if most[k]:
+            beside = (k > 0 and long[k - 1]) + (end < len(blocks) and long[end])
+            out += [(f"run:{min(3, end - k)}", k, end), (f"run beside:{beside}", k, end)]
+        k = end
+    for k, b in enumerate(blocks):
+        where = "between" if before[k] and after[k] else "after" if before[k] else "ahead" if after[k] else "alone"
+        kind = "long" if long[k] else "links" if most[k] else "short"
+        tag = b.near[-1] if b.near else "-"
+        out += [(f"{kind} {where}", k, k + 1), (f"{kind} in {tag}", k, k + 1)]
+    return out
+
+
 @dataclass
 class Crf:
     """A binary chain: weights of features for 'main text' over 'other', and of the four transitions and two starts."""
@@ -309,6 +338,12 @@ _AFTER = (
     '<div class="ad sponsored"><p>{}</p></div>',
 )
 _INSIDE = ('<div class="ad">{}</div>', '<aside class="promo"><p>{}</p></aside>', '<div class="share"><a href="#">{}</a></div>', '<form class="subscribe"><p>{}</p><input></form>', '<div class="notice"><p>{}</p></div>')
+# Layouts that name nothing, and names that say nothing: then texts, links and neighbours have to tell. # takes a drawn name.
+_PLAIN_FRAMES = (("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ('<div class="#">', "</div>"), ('<div id="#"><div class="#">', "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>"), ('<table class="#"><tr><td width="70%"><div>', "</div></td></tr></table>"))
+_PLAIN_BEFORE = ("<ul>{li}</ul>", "<div><ul>{li}</ul></div>", '<div class="#">{a}</div>', "<p>{a}</p>", "<table><tr><td>{a}</td></tr></table>")
+_PLAIN_AFTER = ("<p>© {}</p>", "<div>© {} | {a}</div>", "<ul>{li}</ul>", '<div class="#"><p>© {}</p></div>', "<p>{a}</p>")
+_NAMES = ("wrapper", "wrap", "container", "row", "col", "page", "box", "inner", "outer", "text", "block", "site", "center", "grid")
+_WHOLE = (("", ""), ("", ""), ("", ""), ('<div id="#">', "</div>"), ('<div class="#"><div class="#">', "</div></div>"), ("<div>", "</div>"))
 _MARK = "\x02"
 
 
@@ -317,23 +352,47 @@ def laid_out(texts: list[str], seed: int) -> str:
     draw = random.Random(seed)
     short = lambda: html_lib.escape(" ".join(draw.choice(texts).split()[: draw.randint(1, 6)]) or "x")
     any_text = lambda: short() if draw.random() < 0.6 else html_lib.escape(draw.choice(texts))
+    name = lambda: draw.choice(_NAMES) if draw.random() < 0.7 else "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(1, 7)))
+    link = lambda text: f'<a href="/{draw.randint(0, 99)}">{text}</a>'
 
     def fill(piece: str) -> str:
-        piece = piece.replace("{li}", "".join(f'<li><a href="/{k}">{short()}</a></li>' for k in range(draw.randint(2, 7))))
+        piece = piece.replace("{li}", "".join(f"<li>{link(short())}</li>" for _ in range(draw.randint(2, 7))))
+        piece = piece.replace("{a}", draw.choice((" | ", " ", " · ")).join(link(short()) for _ in range(draw.randint(2, 6))))
         while "{}" in piece:
             piece = piece.replace("{}", any_text(), 1)
-        return piece
-
-    opened, closed = draw.choice(_FRAMES)
-    own = [f"<{t}>{_MARK}{x}</{t}>" for t, x in [(draw.choice(("h1", "h1", "h2")), short()), *((draw.choice(("p", "p", "p", "p", "li", "blockquote", "h2", "pre", "td")), any_text() if draw.random() < 0.3 else html_lib.escape(x)) for x in texts)]]
-    own = [f"<ul>{x}</ul>" if x.startswith("<li") else f"<table><tr>{x}</tr></table>" if x.startswith("<td") else x for x in own]
+        return re.sub(r'(class|id)="#"', lambda m: f'{m[1]}="{name()}"', piece)
+
+    def part(x: str) -> str:
+        """A text of the main part: plain, with a link inside, or a link alone."""
+        tag = draw.choice(("p", "p", "p", "p", "p", "li", "blockquote", "h2", "h3", "pre", "td", "div"))
+        body, n = html_lib.escape(x), draw.random()
+        if n < 0.12 and " " in body:
+            first, rest = body.split(" ", 1)
+            body = f"{first} {link(short())} {rest}"
+        elif n < 0.18:
+            tag, body = draw.choice(("li", "li", "p")), link(short())
+        elif n < 0.35:
+            body = any_text()
+        return f"<{tag}>{_MARK}{body}</{tag}>"
+
+    plain = draw.random() < 0.5
+    opened, closed = draw.choice(_PLAIN_FRAMES if plain else _FRAMES)
+    head = [f"<{t}>{_MARK}{short()}</{t}>" for t in (("h1",), ("h1",), ("h2",), ())[draw.randrange(4)]]
+    # Some pages have little to say.
+    chosen = texts if draw.random() < 0.75 else draw.sample(texts, min(len(texts), draw.randint(1, 3)))
+    own = [*head, *map(part, chosen)]
+    # A list or a table holds what stands in it one after the other.
+    own = ["<ul>" + x + "</ul>" if x.startswith("<li") else f"<table><tr>{x}</tr></table>" if x.startswith("<td") else x for x in own]
     for _ in range(draw.choice((0, 0, 1, 2))):
-        own.insert(draw.randint(1, len(own)), fill(draw.choice(_INSIDE)))
-    before = [fill(x) for x in draw.sample(_BEFORE, draw.randint(1, 4))]
-    after = [fill(x) for x in draw.sample(_AFTER, draw.randint(1, 4))]
-    if draw.random() < 0.2:  # comments within the frame
+        own.insert(draw.randint(min(1, len(own)), len(own)), fill(draw.choice(_INSIDE)))
+    few = draw.randint(0 if plain else 1, 2 if plain else 4)
+    before = [fill(x) for x in draw.sample(_PLAIN_BEFORE if plain and draw.random() < 0.6 else _BEFORE, few)]
+    after = [fill(x) for x in draw.sample(_PLAIN_AFTER if plain and draw.random() < 0.6 else _AFTER, draw.randint(0 if plain else 1, 2 if plain else 4))]
+    if not plain and draw.random() < 0.2:  # comments within the frame
         own.append(fill(_AFTER[4]))
-    return f"<html><head><title>{short()}</title></head><body>{''.join(before)}{opened}{''.join(own)}{closed}{''.join(after)}</body></html>"
+    start, end = draw.choice(_WHOLE)
+    title = f"<head><title>{short()}</title></head>" if draw.random() < 0.7 else ""
+    return f"<html>{title}<body>{fill(start)}{''.join(before)}{fill(opened)}{''.join(own)}{closed}{''.join(after)}{end}</body></html>"
 
 
 _OTHER = frozenset("nav header footer aside form menu select button textarea head title".split())
@@ -371,7 +430,7 @@ def training_pages(htmls: list[str], layouts: int = 3) -> tuple[list[Page], list
 
 
 def fit(pages: DataFrame, max_pages: int = 200, html_col: str = "html", id_col: str = "page_id") -> Crf:
-    """A model trained on at most max_pages whole pages, those with the smallest hashes of their ids and contents."""
+    """A model trained on at most max_pages whole pages, those with the smallest hashes of their ids and contents: bounded in pages, not in their lengths."""
     keyed = pages.filter(F.length(html_col) > 0).withColumn("_h", F.xxhash64(F.lit("fit"), id_col, F.md5(html_col)))
     # Only the hashes go through the top-k of every task; then the pages of those at most max_pages rows are read.
     picked = keyed.select("_h").distinct().orderBy("_h").limit(max_pages)

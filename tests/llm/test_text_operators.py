@@ -477,6 +477,21 @@ def test_labelled_pages_without_article(spark, sf_dir):
     assert [got[i] for i in range(len(known))] == [p["text"] for p in known]
 
 
+def test_repeated_rows_and_rows_without_ids(spark):
+    """Pages and texts are read one by one: rows that repeat, and rows without an id, stay as they are."""
+    page = "<html><body><article><p>One two three four five six.</p></article></body></html>"
+    rows = [(1, "u", page, "clash", "x"), (1, "u", page, "clash", "x"), (None, None, page, "clash", "x"), (None, "v", None, None, None), (1, "w", "", "clash", "x")]
+    model = html_extract.Crf({"in:article": 5.0, "in:p": -1.0}, [[0, 0], [0, 0]], [0, 0])
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string"), model).collect()
+    said = "One two three four five six."
+    assert Counter(map(tuple, got)) == Counter([(1, "u", said, len(said))] * 2 + [(None, None, said, len(said)), (None, "v", "", 0), (1, "w", "", 0)])
+    texts = spark.createDataFrame([(1, "abc def", "c"), (1, "abc def", "c"), (None, "abc def", "c"), (None, None, "c"), (1, "", "c")], "doc_id long, text string, ids_sha256 string")
+    sums = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.digests(texts).collect())
+    empty = hashlib.sha256(b"").hexdigest()
+    (known,) = {k[1:] for k in sums if k[2] != empty}
+    assert sums == Counter([(1, *known)] * 2 + [(None, *known), (None, 0, empty), (1, 0, empty)])
+
+
 def test_blocks_of_odd_markup():
     blocks = lambda x: [b.text for b in html_extract.leaf_blocks(x)]
     assert blocks("<p>a<script src=/x/ >var a=1</script>b<style/>p{}</style >c") == ["abc"]
