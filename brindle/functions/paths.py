@@ -63,7 +63,7 @@ def is_scannable(path: Column, size: Column) -> Column:
 def scannable(path: str, size: int) -> bool:
     """is_scannable of one path."""
     lower = path.lower()
-    return size <= MAX_FILE_BYTES and not any(d.lower() in lower for d in SKIPPED_DIRS) and re.search(LOCKFILES, path, re.IGNORECASE) is None and lower.rsplit(".", 1)[-1] not in SKIPPED_EXTENSIONS
+    return size <= MAX_FILE_BYTES and not any(d in lower for d in SKIPPED_DIRS) and re.search(LOCKFILES, path, re.IGNORECASE) is None and lower.rsplit(".", 1)[-1] not in SKIPPED_EXTENSIONS
 
 
 def is_build_script(path: Column) -> Column:

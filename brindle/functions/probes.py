@@ -24,12 +24,12 @@ PROBES: tuple[tuple[int, str, tuple[tuple[str, str], ...]], ...] = (
         ("postgres", r"""^\s*["']?(?:psycopg2(?:-binary)?|asyncpg|psycopg)\b"""), ("mysql", r"""^\s*["']?(?:mysqlclient|PyMySQL|mysql-connector-python|aiomysql)\b"""), ("mariadb", r"""^\s*["']?mariadb\b"""), ("mongodb", r"""^\s*["']?pymongo\b|^\s*["']?motor\b"""),
         ("redis", r"""^\s*["']?(?:redis|aioredis)\b"""), ("elasticsearch", r"""^\s*["']?elasticsearch\b"""), ("opensearch", r"""^\s*["']?opensearch-py\b"""), ("snowflake", r"""^\s*["']?snowflake-connector-python\b"""), ("bigquery", r"""^\s*["']?google-cloud-bigquery\b"""),
         ("cassandra", r"""^\s*["']?cassandra-driver\b"""), ("pgvector", r"""^\s*["']?pgvector\b"""), ("clickhouse", r"""^\s*["']?clickhouse-(?:driver|connect)\b"""), ("duckdb", r"""^\s*["']?duckdb\b"""), ("influxdb", r"""^\s*["']?influxdb\b"""), ("neo4j", r"""^\s*["']?neo4j\b"""),
-        ("pinecone", r"""^\s*["']?(?:pinecone-client|pinecone)\b"""), ("qdrant", r"""^\s*["']?qdrant-client\b"""), ("weaviate", r"""^\s*["']?weaviate-client\b"""), ("milvus", r"""^\s*["']?pymilvus\b"""), ("chroma", r"""^\s*["']?chromadb\b"""),
+        ("pinecone", r"""^\s*["']?(?:pinecone-client|pinecone)\b"""), ("qdrant", r"""^\s*["']?qdrant-client\b"""), ("weaviate", r"""^\s*["']?(?:weaviate-client)\b"""), ("milvus", r"""^\s*["']?(?:pymilvus)\b"""), ("chroma", r"""^\s*["']?chromadb\b"""),
     )),
     (70, r"(^|/)package\.json$", (
-        ("postgres", r'"(?:pg|postgres|pg-promise|@vercel/postgres)"\s*:'), ("mysql", r'"(?:mysql|mysql2)"\s*:'), ("mariadb", r'"mariadb"\s*:'), ("mongodb", r'"(?:mongodb|mongoose)"\s*:'), ("redis", r'"(?:redis|ioredis)"\s*:'), ("elasticsearch", r'"@elastic/elasticsearch"\s*:'),
-        ("opensearch", r'"@opensearch-project/opensearch"\s*:'), ("sqlite", r'"(?:better-sqlite3|sqlite3)"\s*:'), ("mssql", r'"(?:mssql|tedious)"\s*:'), ("snowflake", r'"snowflake-sdk"\s*:'), ("bigquery", r'"@google-cloud/bigquery"\s*:'), ("dynamodb", r'"@aws-sdk/(?:client-dynamodb|lib-dynamodb)"\s*:'),
-        ("cassandra", r'"cassandra-driver"\s*:'), ("neo4j", r'"neo4j-driver"\s*:'), ("pinecone", r'"@pinecone-database/pinecone"\s*:'), ("qdrant", r'"@qdrant/js-client-rest"\s*:'), ("weaviate", r'"(?:weaviate-ts-client|weaviate-client)"\s*:'), ("chroma", r'"chromadb"\s*:'), ("clickhouse", r'"(?:clickhouse|@clickhouse/client)"\s*:'),
+        ("postgres", r'"(?:pg|postgres|pg-promise|@vercel/postgres)"\s*:'), ("mysql", r'"(?:mysql|mysql2)"\s*:'), ("mariadb", r'"mariadb"\s*:'), ("mongodb", r'"(?:mongodb|mongoose)"\s*:'), ("redis", r'"(?:redis|ioredis)"\s*:'), ("elasticsearch", r'"(?:@elastic/elasticsearch)"\s*:'),
+        ("opensearch", r'"(?:@opensearch-project/opensearch)"\s*:'), ("sqlite", r'"(?:better-sqlite3|sqlite3)"\s*:'), ("mssql", r'"(?:mssql|tedious)"\s*:'), ("snowflake", r'"snowflake-sdk"\s*:'), ("bigquery", r'"@google-cloud/bigquery"\s*:'), ("dynamodb", r'"@aws-sdk/(?:client-dynamodb|lib-dynamodb)"\s*:'),
+        ("cassandra", r'"(?:cassandra-driver)"\s*:'), ("neo4j", r'"(?:neo4j-driver)"\s*:'), ("pinecone", r'"@pinecone-database/pinecone"\s*:'), ("qdrant", r'"(?:@qdrant/js-client-rest)"\s*:'), ("weaviate", r'"(?:weaviate-ts-client|weaviate-client)"\s*:'), ("chroma", r'"(?:chromadb)"\s*:'), ("clickhouse", r'"(?:clickhouse|@clickhouse/client)"\s*:'),
     )),
     (70, r"(^|/)(?:go\.mod|pom\.xml|build\.gradle(?:\.kts)?|Gemfile|Cargo\.toml|[\w.-]+\.csproj)$", (
         ("postgres", r"lib/pq|jackc/pgx|postgresql-\d|org\.postgresql|tokio-postgres|\bpg\b\s*[,)]|Npgsql"), ("mysql", r"go-sql-driver/mysql|mysql-connector-j|com\.mysql|mysql2?\s*[,(]|MySqlConnector"), ("mariadb", r"mariadb-java-client|mariadb\b"), ("sqlite", r"mattn/go-sqlite3|sqlite-jdbc|rusqlite|sqlite3\b"),
@@ -40,6 +40,6 @@ PROBES: tuple[tuple[int, str, tuple[tuple[str, str], ...]], ...] = (
     (60, r"(^|/)(?:docker-compose[\w.-]*\.ya?ml|compose[\w.-]*\.ya?ml)$", (
         ("postgres", r"""image:\s*["']?(?:postgres|postgis|bitnami/postgresql)"""), ("mysql", r"""image:\s*["']?(?:mysql|bitnami/mysql|percona)"""), ("mariadb", r"""image:\s*["']?mariadb"""), ("mongodb", r"""image:\s*["']?mongo"""), ("redis", r"""image:\s*["']?redis"""),
         ("elasticsearch", r"""image:\s*["']?(?:elasticsearch|docker\.elastic\.co)"""), ("opensearch", r"""image:\s*["']?opensearchproject"""), ("clickhouse", r"""image:\s*["']?(?:clickhouse|yandex/clickhouse)"""), ("cassandra", r"""image:\s*["']?cassandra"""), ("neo4j", r"""image:\s*["']?neo4j"""),
-        ("timescaledb", r"""image:\s*["']?(?:timescale|timescaledb)"""), ("mssql", r"""image:\s*["']?(?:mcr\.microsoft\.com/mssql|mssql)"""),
+        ("timescaledb", r"""image:\s*["']?(?:timescale|timescaledb)"""), ("mssql", r"""image:\s*["']?(?:mcr\.microsoft\.com/mssql|mssql)"""), ("unknown", r"""image:\s*["']?(?:qdrant|weaviate|milvus|chromadb)"""),
     )),
 )

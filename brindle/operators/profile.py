@@ -9,7 +9,7 @@ from brindle.functions.engines import dialect_of
 from brindle.functions.probes import MAX_CHARS, PROBES
 
 # Engines that hold no primary data, and engines that are one dialect.
-AUXILIARY = ("redis", "memcached", "elasticsearch", "opensearch", "etcd")
+AUXILIARY = ("redis", "memcached", "elasticsearch", "opensearch", "solr", "etcd")
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -34,13 +34,15 @@ def declarations(files: DataFrame) -> DataFrame:
 def engine_profile(declared: DataFrame, engine: str, authority: str, order: str) -> DataFrame:
     """(engine, authority, first_seen, primary, ambiguous): each engine with its highest authority, at the place where it was first declared.
 
-    The primary engine is the first of the highest authority that is no auxiliary store; ambiguous if one of another dialect has the same authority.
+    The primary engine is the first of the highest authority that is no auxiliary store, or, where all of them are, the first; ambiguous if two that are no
+    auxiliary stores are of different dialects there.
     """
     best = declared.groupBy(F.col(engine).alias("engine")).agg(F.max(authority).alias("authority"), F.min(order).alias("first_seen"))
-    stores = best.filter(~F.col("engine").isin(*AUXILIARY))
-    # One row: the highest authority, its first engine, and how many have it.
-    top = stores.groupBy().agg(F.max("authority").alias("_top"))
-    at_top = stores.join(F.broadcast(top), F.col("authority") == F.col("_top")).groupBy().agg(F.min_by("engine", "first_seen").alias("_primary"), F.count_distinct(dialect_of(F.col("engine"))).alias("_n"))
+    # One row: the highest authority, its first engine, and how many dialects have it.
+    top = best.groupBy().agg(F.max("authority").alias("_top"))
+    store = ~F.col("engine").isin(*AUXILIARY)
+    first = F.coalesce(F.min_by(F.when(store, F.col("engine")), F.when(store, F.col("first_seen"))), F.min_by("engine", "first_seen"))
+    at_top = best.join(F.broadcast(top), F.col("authority") == F.col("_top")).groupBy().agg(first.alias("_primary"), F.count_distinct(F.when(store, dialect_of(F.col("engine")))).alias("_n"))
     return best.join(F.broadcast(at_top), F.lit(True), "left").select("engine", "authority", "first_seen", (F.col("engine") == F.col("_primary")).alias("primary"), (F.col("_n") > 1).alias("ambiguous"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import text
+from brindle.functions import markdown, text
 from brindle.functions.paths import is_schema_file
 from brindle.operators import matching, metrics, profile, ranking, recipes, report
 from brindle.plans.code_queries import code_files
@@ -56,6 +56,16 @@ def metric_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.scorecard(metrics.summary(runs, ["l_returnflag"], ["precision", "recall"]), ["l_returnflag"])
 
 
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of markdown for each part: headings, a table, a list, a fence, a quote and inline marks."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    md = F.concat(
+        F.lit("# "), name, F.lit(" & co\n\n| Type | Size |\n|---|---:|\n| "), F.col("p_type"), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n- `x<"), k, F.lit("`\n\n- **bold** _"), k, F.lit("_\n- two\n## Code\n```sql\nSELECT a FROM t WHERE b < "), k,
+        F.when(F.col("p_partkey") % 3 == 0, "").otherwise("\n- no item\n```\n> said \"so\"\n---\nlast"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", markdown.html(md).alias("html"))
+
+
 def adjudicated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs in a folder of their customer; adjudications are by customer, some twice, and name the folder with what ends it."""
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.concat(F.lit("runs/c"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"))
@@ -171,7 +181,7 @@ def statement_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (report_parts, patch_export, patch_counts, evidence_store, masked_keys, first_lines, formatted, statement_counters, diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, adjudicated_runs, adjudicated_within, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
+    for f in (report_parts, patch_export, patch_counts, evidence_store, masked_keys, first_lines, formatted, statement_counters, diff_lines, fixture_export, issue_export, profile_line, metric_scorecard, report_html, adjudicated_runs, adjudicated_within, schema_first, store_summary, budget_left, estimate, chunk_capacity, shown_with_rest, cache_keys, observed_names)
 }
 _VERDICT = "(SELECT o_orderkey AS id, list_extract(['regression', 'confirmed', 'no-difference', 'insufficient-evidence'], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS verdict FROM orders WHERE o_orderkey % 4 IN (0, 2))"
 _ORDERS = "(SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 5 WHEN 0 THEN 'no-op' WHEN 1 THEN 'cold-path' END AS reason, CASE WHEN o_custkey % 3 = 0 THEN 'high' ELSE 'low' END AS severity, o_orderkey % 4 = 0 AS b FROM orders)"
@@ -194,6 +204,9 @@ ORACLE_SQL = {
         SELECT string_agg(engine || ' (part ' || first_seen || ')', ', ' ORDER BY n) FILTER (WHERE n <= 6) AS described, greatest(count(*) - 6, 0) AS more FROM r""",
     "metric_scorecard": """WITH r AS (SELECT l_returnflag, l_linenumber, round(sum(CASE WHEN l_discount > 0.05e0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, round(avg(v), 4) AS m, min(v) AS a, max(v) AS b FROM r GROUP BY 1)
         SELECT l_returnflag, 'precision ' || CAST(round(m * 100) AS INTEGER) || '%' || CASE WHEN a = b THEN '' ELSE ' (' || CAST(round(a * 100) AS INTEGER) || '%–' || CAST(round(b * 100) AS INTEGER) || '%)' END || ' | recall 100%' AS line FROM s""",
+    "report_html": """SELECT p_partkey, '<h1>' || p_name || ' &amp; co</h1>' || chr(10) || '<table>' || chr(10) || '<tr><td>Type</td><td>Size</td></tr>' || chr(10) || '<tr><td>' || p_type || '</td><td>' || p_size || '</td></tr>' || chr(10) || '<li><code>x&lt;' || p_partkey || '</code></li>' || chr(10) || '</table>' || chr(10)
+        || '<ul>' || chr(10) || '<li><strong>bold</strong> <em>' || p_partkey || '</em></li>' || chr(10) || '<li>two</li>' || chr(10) || '</ul>' || chr(10) || '<h2>Code</h2>' || chr(10) || '<pre><code>' || chr(10) || 'SELECT a FROM t WHERE b &lt; ' || p_partkey || chr(10)
+        || CASE WHEN p_partkey % 3 = 0 THEN '</code></pre>' ELSE '- no item' || chr(10) || '</code></pre>' || chr(10) || '<blockquote>said &quot;so&quot;</blockquote>' || chr(10) || '<hr>' || chr(10) || '<p>last</p>' END AS html FROM part""",
     "adjudicated_within": """WITH r AS (SELECT o_orderkey AS run, concat_ws('/', 'runs', 'clerk#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0'), replace(lower(o_orderpriority), ' ', ''), CAST(o_orderkey AS VARCHAR)) AS path FROM orders),
         v AS (SELECT s_suppkey AS ord, s_name, CASE s_suppkey % 5 WHEN 0 THEN 'clerk#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '/' WHEN 1 THEN 'high/' || s_suppkey WHEN 2 THEN '-' || s_suppkey WHEN 3 THEN '' ELSE '0' || s_suppkey || '/1-urgent' END AS key FROM supplier)
         SELECT run, (SELECT arg_min(s_name, ord) FROM v WHERE key <> '' AND contains(path, key)) AS adjudicated FROM r""",

@@ -27,11 +27,21 @@ def n_plus_one_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("o_custkey").agg(F.sum("n").alias("statements"), F.max("n").alias("most"), F.bool_or("repeated").alias("flagged"))
 
 
+_SIX = ("redis", "solr", "postgres", "mariadb", "mysql", "duckdb")
+
+
 def engine_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.lower(F.element_at(F.split("p_type", " "), -1)).alias("engine"), (F.lit(100) - F.col("p_size") % 4 * 10).cast("int").alias("authority"), F.col("p_partkey").alias("ord"))
     return profile.engine_profile(p, "engine", "authority", "ord")
 
 
+def auxiliary_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as declarations of six engines: only caches and search engines have the highest authority, and the first of them is the primary engine."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.get(F.array(*[F.lit(e) for e in _SIX]), (k % 6).cast("int")).alias("engine"), F.when(k % 6 < 2, 100).otherwise(90 - F.col("p_size") % 2 * 10).cast("int").alias("authority"), k.alias("ord"))
+    return profile.engine_profile(p, "engine", "authority", "ord")
+
+
 def pick_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     words = F.split("p_type", " ")
@@ -297,7 +307,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, grounded_catalog, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
+    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, auxiliary_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, grounded_catalog, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
               gate_cascade, judged_findings, severity_matrix, staleness, side_compare, plan_totals, bench_metrics, bench_gates, set_equality, price_prefix, sql_equivalence, vocabulary_gap)
 }
 _SHAPED = f"(SELECT o_orderkey, o_custkey, {_sql_shape('sql')} AS shape FROM {_STATEMENTS} s)"
@@ -312,6 +322,8 @@ ORACLE_SQL = {
     "engine_profile": f"""WITH p AS (SELECT lower(list_extract(string_split(p_type, ' '), -1)) AS engine, CAST(100 - p_size % 4 * 10 AS INTEGER) AS authority, p_partkey AS ord FROM part), b AS (SELECT engine, max(authority) AS authority, min(ord) AS first_seen FROM p GROUP BY 1),
         s AS (SELECT * FROM b WHERE engine NOT IN ({', '.join(f"'{x}'" for x in profile.AUXILIARY)})), t AS (SELECT arg_min(engine, first_seen) AS prime, count(*) AS n FROM s WHERE authority = (SELECT max(authority) FROM s))
         SELECT engine, authority, first_seen, engine = (SELECT prime FROM t) AS primary, (SELECT n FROM t) > 1 AS ambiguous FROM b""",
+    "auxiliary_profile": f"""WITH p AS (SELECT {list(_SIX)}[p_partkey % 6 + 1] AS engine, CAST(CASE WHEN p_partkey % 6 < 2 THEN 100 ELSE 90 - p_size % 2 * 10 END AS INTEGER) AS authority, p_partkey AS ord FROM part), b AS (SELECT engine, max(authority) AS authority, min(ord) AS first_seen FROM p GROUP BY 1)
+        SELECT engine, authority, first_seen, engine = (SELECT arg_min(engine, first_seen) FROM b WHERE authority = 100) AS primary, false AS ambiguous FROM b""",
     "pick_engine": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 7 = 0 THEN lower(string_split(p_type, ' ')[1]) END, CASE WHEN p_partkey % 5 = 0 THEN lower(p_brand) END, CASE WHEN p_size > 25 AND p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, CASE WHEN p_partkey % 2 <> 0 THEN 'postgres' END, CASE WHEN p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, 'unknown') AS engine FROM part",
     "tier_two_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "changed_scope_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY' AND c_custkey % 2 <> 0)",

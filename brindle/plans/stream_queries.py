@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.streaming import stores
+from brindle.session import shared_folder
+from brindle.streaming import keyed, stores
 from brindle.tables import table
 
 _DAY = 86_400_000
@@ -38,9 +41,19 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.cache_reads(cache_events(spark, sf_dir), CACHE_TTL)
 
 
-QUERIES = {"session_store": session_store, "cache_hits": cache_hits}
+def upserted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and kind, as a stored table holds it that takes in all events in three batches, the second one twice."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("stored"), "event_id")
+    store = keyed.KeyedTable(spark, f"{shared_folder(spark)}/upserted-{uuid.uuid4().hex}", rows.schema, ["user_id", "event_type"], "stored", buckets=16)
+    for number, part in enumerate((0, 1, 1, 2)):
+        store.upsert(rows.filter(F.col("event_id") % 3 == part), None if number == 2 else number)
+    return store.read()
+
+
+QUERIES = {"session_store": session_store, "cache_hits": cache_hits, "upserted_events": upserted_events}
 
 ORACLE_SQL = {
+    "upserted_events": "WITH e AS (SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS stored, event_id FROM events) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY stored DESC, event_id DESC) = 1",
     "session_store": f"""WITH RECURSIVE a AS (SELECT user_id AS owner, epoch_us(ts) // 1000 AS "at", ts, event_id AS event, CASE WHEN event_type IN ('signup', 'click') THEN 'start' WHEN event_type = 'purchase' THEN 'finish' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'cancel' ELSE 'touch' END AS action FROM events),
         n AS (SELECT *, count(*) FILTER (WHERE action = 'start') OVER (PARTITION BY owner ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS n FROM a),
         e AS (SELECT n.owner, n."at", n.action, coalesce(s.event, -1) AS session, row_number() OVER (PARTITION BY n.owner ORDER BY n."at", n.event) AS i

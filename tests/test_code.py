@@ -112,3 +112,19 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_unscanned_files_use_up_nothing(spark, tmp_path):
+    with tarfile.open(tmp_path / "r.tar.gz", "w:gz") as tar:
+        for name, text in [*((f"root/node_modules/m{k}.js", "x" * 1000) for k in range(5)), ("root/src/a.py", "import b"), ("root/p.png", "x" * 5000)]:
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    got = files.from_archives(spark, str(tmp_path / "r.tar.gz"), max_bytes=3000).collect()
+    assert [(r["path"], r["content"], r["cut"]) for r in got] == [("src/a.py", "import b", False)]
+
+
+def test_patches_of_null_texts(spark):
+    rows = spark.createDataFrame([("a.py", 1, None, "x", "equivalent"), ("a.py", 2, "a\nb\nc", "a\nc\nd", "equivalent"), ("a.py", 3, "y", None, "behavioural")], "path string, start_line int, original string, proposed string, kind string")
+    got = {r["start_line"]: r["patch"].split("\n")[2:] for r in sinks.patches(rows).collect()}
+    assert got == {1: ["@@ -1,1 +1,1 @@", "-", "+x", ""], 2: ["@@ -2,3 +2,3 @@", " a", "-b", " c", "+d", ""]}

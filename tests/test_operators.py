@@ -279,3 +279,18 @@ def test_one_catalog_of_declared_and_observed(spark):
         ("t", "nothing", [], "declared", None, True, 50, None), ("t", "usage", [], "observed", 3, True, 50, None),
     ])
     assert [(r["name"], r["origin"], r["observed"]) for r in rows if r["tab"] is None] == [("ix_a", "declared", False)]
+
+
+def test_primary_engine_among_caches(spark):
+    frame = lambda rows: spark.createDataFrame([(e, a, k) for k, (e, a) in enumerate(rows)], "e string, a int, o int")
+    told = lambda rows: {r["engine"]: (r["primary"], r["ambiguous"]) for r in profile.engine_profile(frame(rows), "e", "a", "o").collect()}
+    assert told([("solr", 90), ("postgres", 90)]) == {"solr": (False, False), "postgres": (True, False)}
+    assert told([("redis", 100), ("postgres", 90)]) == {"redis": (True, False), "postgres": (False, False)}
+    assert told([("redis", 100), ("etcd", 100)]) == {"redis": (True, False), "etcd": (False, False)}
+    assert told([("mysql", 90), ("postgres", 90), ("pgvector", 90)])["mysql"] == (True, True)
+
+
+def test_which_paths_are_scanned(spark):
+    rows = [("src/a.py", 5), ("node_modules/x.js", 5), ("a/Pods/x.m", 5), ("x.PNG", 5), ("yarn.lock", 5), ("a/GO.SUM", 5), ("big.py", 10**9), ("noext", 1), ("build/x.py", 1), ("rebuild/x.py", 1), ("a.b.lock", 1), ("", 0)]
+    got = spark.createDataFrame(rows, "p string, s long").select("p", "s", paths.is_scannable(F.col("p"), F.col("s")).alias("y")).collect()
+    assert [r["y"] for r in got] == [paths.scannable(p, s) for p, s in rows]
