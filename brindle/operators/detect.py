@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from re import _parser as re_parser
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,13 +171,19 @@ def _open_block(code: list[str], k: int) -> list[str]:
 
 
 def matches(path: str, text: str, cap: int = MATCHES_PER_RULE) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of every match of every rule that is for the file's extension, in the order of the text and of the rules."""
+    """(start, rule, end) of every match of every rule that is for the file's extension, in the order of the text and of the rules.
+
+    One pass of an automaton over the text tells which rules it can match at all; only those are tried, and the text without strings is made only if one of them needs it.
+    """
     ext = _ext(path)
-    with_strings, code = masked(path, text, False), masked(path, text, True)
+    with_strings, code = masked(path, text, False), None
+    possible = _possible(with_strings)
     found = []
     for k, pattern, exts, anywhere in _compiled():
-        if exts and ext not in exts:
+        if not possible[k] or exts and ext not in exts:
             continue
+        if not anywhere and code is None:
+            code = masked(path, text, True)
         for n, m in enumerate(pattern.finditer(with_strings if anywhere else code)):
             if n == cap:
                 break
@@ -188,6 +196,73 @@ def _compiled() -> list[tuple[int, re.Pattern, tuple[str, ...], bool]]:
     return [(k, re.compile(r.pattern, re.ASCII if r.cased else re.ASCII | re.IGNORECASE), extensions(r), r.anywhere) for k, r in enumerate(RULES)]
 
 
+def factors(pattern: str) -> frozenset[str] | None:
+    """Texts in lower case of which every match of a pattern holds one, whatever the case; None if the pattern asks for none of two letters or more."""
+    return _factors_of(re_parser.parse(pattern))
+
+
+def _factors_of(parsed: Iterable) -> frozenset[str] | None:
+    found: list[frozenset[str]] = []
+    run = ""
+
+    def ended() -> None:
+        nonlocal run
+        if len(run) > 1:
+            found.append(frozenset((run,)))
+        run = ""
+
+    for op, argument in parsed:
+        name = str(op)
+        if name == "LITERAL" and 32 < argument < 127:
+            run += chr(argument).lower()
+            continue
+        if name == "AT":  # takes no character
+            continue
+        ended()
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _factors_of(argument[3])
+        elif name == "ATOMIC_GROUP":
+            inner = _factors_of(argument)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and argument[0] > 0:
+            inner = _factors_of(argument[2])
+        elif name == "BRANCH":
+            sides = [_factors_of(side) for side in argument[1]]
+            inner = None if any(side is None for side in sides) else frozenset().union(*sides)
+        if inner is not None:
+            found.append(inner)
+    ended()
+    # The rarest are likely the longest, and few.
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+@lru_cache(1)
+def _automaton() -> tuple[ahocorasick.Automaton, tuple[bool, ...]]:
+    """An automaton of all rules' factors, each with the rules it stands for; and which rules have none, so that any text may match them."""
+    rules_of: dict[str, list[int]] = {}
+    always = []
+    for k, r in enumerate(RULES):
+        told = factors(r.pattern)
+        always.append(told is None)
+        for f in told or ():
+            rules_of.setdefault(f, []).append(k)
+    automaton = ahocorasick.Automaton()
+    for f, rules in rules_of.items():
+        automaton.add_word(f, rules)
+    automaton.make_automaton()
+    return automaton, tuple(always)
+
+
+def _possible(text: str) -> list[bool]:
+    """Of each rule, whether the text can match it. Masking only blanks, and no factor holds a blank, so that the text with strings speaks for the one without."""
+    automaton, always = _automaton()
+    told = list(always)
+    for _, rules in automaton.iter(text.lower()):
+        for k in rules:
+            told[k] = True
+    return told
+
+
 def spans(found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
     """(start, end, rules) of hits that stand close together; closer is wider where the hit, or one before it in the span, is a fragment."""
     out: list[list] = []

@@ -128,3 +128,24 @@ def test_patches_of_null_texts(spark):
     rows = spark.createDataFrame([("a.py", 1, None, "x", "equivalent"), ("a.py", 2, "a\nb\nc", "a\nc\nd", "equivalent"), ("a.py", 3, "y", None, "behavioural")], "path string, start_line int, original string, proposed string, kind string")
     got = {r["start_line"]: r["patch"].split("\n")[2:] for r in sinks.patches(rows).collect()}
     assert got == {1: ["@@ -1,1 +1,1 @@", "-", "+x", ""], 2: ["@@ -2,3 +2,3 @@", " a", "-b", " c", "+d", ""]}
+
+
+@pytest.mark.parametrize("pattern,told", [(r"\bselect\s+(?:a|b)", {"select"}), (r"(?:foo|ba[rz]x+|quux)y?", {"foo", "ba", "quux"}), (r"(?:foo|x)", None), (r"a?b*[cd]", None), (r"(?:abc)+?def(?=gh)", {"abc"}), (r"(?!never)(?i:Mixed)Case", {"mixed"}), (r"a\.b", {"a.b"}), (r"one two", {"one"})])
+def test_factors_of_patterns(pattern, told):
+    assert detect.factors(pattern) == (frozenset(told) if told else None)
+
+
+def test_the_automaton_loses_no_match(spark, sf_dir):
+    """Texts made of pieces of the rules themselves, in any case: the same matches as all patterns one by one."""
+    import random
+
+    from brindle.plans.code_queries import code_files
+
+    rnd = random.Random(6)
+    pieces = [f for r in RULES for f in detect.factors(r.pattern) or ()] + ["(", ")", '"', "'", " ", "\n", "FROM t WHERE x = 1", "SELECT a", "`", "{", "}", ".", "$1", "%s", "ı", "İ", "K"]
+    texts = [(f"f{k}.{rnd.choice(['py', 'js', 'sql', 'java', 'rb', 'go', 'cql', 'cypher', 'xml'])}", "".join((p.upper() if rnd.random() < 0.3 else p) + rnd.choice(["", " ", "("]) for p in rnd.choices(pieces, k=rnd.randint(0, 60)))) for k in range(400)]
+    texts += [(r["path"], r["content"]) for r in code_files(spark, sf_dir).collect()]
+    for path, text in texts:
+        ext, with_strings, code = path.rsplit(".", 1)[-1].lower(), detect.masked(path, text, False), detect.masked(path, text, True)
+        plain = [(m.start(), k, m.end()) for k, p, exts, anywhere in detect._compiled() if not exts or ext in exts for m in list(p.finditer(with_strings if anywhere else code))[: detect.MATCHES_PER_RULE]]
+        assert detect.matches(path, text) == sorted(plain, key=lambda h: h[:2])
