@@ -16,7 +16,8 @@ from brindle.functions.paths import path_kinds, trigger_of
 from brindle.functions.statements import collapsed, equivalence, with_sql_shapes
 from brindle.functions.text import contains_loosely, first_significant_line, missing_dimensions, slice_lines
 from brindle.operators import answers as read
-from brindle.operators import detect, gate
+from brindle.operators import ddl, detect, gate
+from brindle.session import cut
 
 #: Lines around a citation in which its excerpt may stand.
 DRIFT = 5
@@ -97,6 +98,15 @@ def grounded(findings: DataFrame, files: DataFrame, advice: DataFrame | None = N
     verified), citations and analysis (the notes of both kinds), the evidence that holds, the kind (behavioural where the output demonstrably
     changes), the equivalence, and the scope of the cited line.
     """
+    return _grounded(findings, files, advice).drop(*_SHAPES)
+
+
+#: Statements and calls of both sides, read once.
+_SHAPES = ("_a", "_b", "_oa", "_ob")
+
+
+def _grounded(findings: DataFrame, files: DataFrame, advice: DataFrame | None) -> DataFrame:
+    """grounded, with the shapes of both sides."""
     many = hot_keys(findings.groupBy("path").agg(F.count("*").alias("n")), ["path"])
     cited = join_hot(findings, files.select("path", "content"), ["path"], many, ["id"], "left")
     held = checked_evidence(findings, files)
@@ -134,7 +144,16 @@ def grounded(findings: DataFrame, files: DataFrame, advice: DataFrame | None = N
     out = rows.select("*", citations.alias("citations"), analysis.alias("analysis"), fatal.alias("_fatal"))
     status = F.when(F.col("_fatal"), "rejected").when(F.size("citations") == 0, "verified").otherwise("needs-verification")
     kind = F.when(claims & (F.size(e["hard"]) > 0), "behavioural").otherwise(F.col("kind"))
-    return out.withColumns({"grounding": status, "kind": kind}).drop("_fatal", "evidence", "_a", "_b", "_oa", "_ob", "missing_file", "missing_quote").withColumnRenamed("held", "evidence")
+    return out.withColumns({"grounding": status, "kind": kind}).drop("_fatal", "evidence", "missing_file", "missing_quote").withColumnRenamed("held", "evidence")
+
+
+def reviewed(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with everything that files say of them, in one plan: the columns of grounded, where the indexes that a finding proposes are held against those that the files
+    declare, and those of with_facts (counted, unmeasured, steps, questionable). Statements and calls are read once. findings also has an engine.
+    """
+    proposed = ddl.proposed_indexes(findings.select("id", F.concat_ws("\n", "migration", "proposed").alias("text")))
+    rows = _grounded(findings, files, ddl.index_advice(proposed, cut(ddl.index_facts(files), "indexes")))
+    return _counted(rows, [c for c in rows.columns if c not in _SHAPES])
 
 
 def with_facts(rows: DataFrame, loop_depth: Column) -> DataFrame:
@@ -144,7 +163,11 @@ def with_facts(rows: DataFrame, loop_depth: Column) -> DataFrame:
     settle it, in order; questionable: nothing is counted, and the gain depends on data.
     """
     told = with_sql_shapes(rows, _a=F.col("original"), _b=F.col("proposed"))
-    told = with_call_shapes(told, loop_depth, _oa=F.col("original"), _ob=F.col("proposed"))
+    return _counted(with_call_shapes(told, loop_depth, _oa=F.col("original"), _ob=F.col("proposed")), rows.columns)
+
+
+def _counted(told: DataFrame, columns: list[str]) -> DataFrame:
+    """with_facts of rows that have the shapes of both sides."""
     a, b, x, y = F.col("_a"), F.col("_b"), F.col("_oa"), F.col("_ob")
     sql = lambda s: s["kind"].isNotNull() & (s["kind"] != "other")
     both = (a["kind"] == "select") & (b["kind"] == "select")
@@ -197,7 +220,7 @@ def with_facts(rows: DataFrame, loop_depth: Column) -> DataFrame:
         (~(claim & instead) & ~sql(a) & x.isNull() & y.isNull(), "engine-recipe"),
         (sql(a) | (x.isNull() & y.isNull()), "statistics"),
     )
-    return told.select(*rows.columns, "counted", "unmeasured", steps.alias("steps"), ((F.size("counted") == 0) & depends).alias("questionable"))
+    return told.select(*columns, "counted", "unmeasured", steps.alias("steps"), ((F.size("counted") == 0) & depends).alias("questionable"))
 
 
 # Categories that an instrument of their own measures, and those of them that a plan can't speak to.

@@ -41,6 +41,25 @@ def grounded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", "grounding", "kind", F.array_join("citations", ",").alias("citations"), F.array_join("analysis", ",").alias("analysis"), F.greatest(F.coalesce(F.size("evidence"), F.lit(0)), F.lit(0)).alias("evidence"), "loop_depth", "symbol", "trigger", F.col("equivalence.status").alias("status"))
 
 
+_SCHEMA = "CREATE TABLE t0 (a int, b int);\nCREATE INDEX i0 ON t0 (b);\nCREATE INDEX i1 ON t1 (b, c);\nCREATE INDEX i3 ON t3 (c);\nCREATE UNIQUE INDEX i4 ON t4 (b);\n"
+
+
+def reviewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each customer's file that proposes an index: one that is there already, one that a longer one covers, one with and one without evidence; half of them change the statement."""
+    k, j = F.col("c_custkey"), (F.col("c_custkey") % 5).cast("string")
+    statement = F.concat(F.lit("SELECT a, b FROM t"), j, F.lit(" WHERE b = 1"))
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.concat(F.lit("svc/c"), k.cast("string"), F.lit(".py")).alias("path"), F.lit(1).alias("line"), F.lit(1).alias("end_line"), statement.alias("excerpt"), statement.alias("original"),
+        F.when(k % 2 == 0, statement).otherwise(F.concat(F.lit("SELECT a FROM t"), j, F.lit(" WHERE b = 1 LIMIT 9"))).alias("proposed"), F.when(k % 2 == 0, "equivalent").otherwise("behavioural").alias("kind"), F.lit("missing-index").alias("category"), F.lit("postgres").alias("engine"),
+        F.lit("").alias("argument"), F.lit("Needs CREATE INDEX first").alias("rationale"), F.when(k % 3 > 0, F.concat(F.lit("CREATE INDEX n ON t"), j, F.lit(" (b)"))).alias("migration"),
+        F.when(k % 4 == 0, F.array(F.struct(F.lit("db/schema.sql").alias("file"), F.lit("CREATE TABLE t0").alias("quote"), F.lit("schema").alias("kind")))).otherwise(F.array().cast("array<struct<file:string,quote:string,kind:string>>")).alias("evidence"),
+    )
+    code = rows.select("path", F.concat(F.lit("rows = db.execute(\""), "original", F.lit("\")\n")).alias("content"))
+    files = code.unionByName(spark.range(1).select(F.lit("db/schema.sql").alias("path"), F.lit(_SCHEMA).alias("content")))
+    told = review.reviewed(rows, files)
+    return told.select("id", "grounding", "kind", F.array_join("analysis", ",").alias("analysis"), F.array_join("counted", "; ").alias("counted"), F.array_join("unmeasured", ",").alias("unmeasured"), "questionable", F.col("equivalence.status").alias("status"))
+
+
 #: Pairs of texts, by key: category, engine, original, proposed, what is counted, how much is unmeasured, and the instruments.
 _CHANGES = (
     ("full-scan", "postgres", "SELECT * FROM t", "SELECT a, b FROM t LIMIT 5", "2 named columns instead of every column; Caps the result at 5 row(s), unbounded before", 2, "plan,statistics", False),
@@ -166,7 +185,7 @@ def schema_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grounded_findings, counted_facts, judged_proposals, suppressed_by_reason, report_order, parsed_answers, engine_recipes, declared_tables, declared_indexes, schema_advice)
+    for f in (grounded_findings, reviewed_findings, counted_facts, judged_proposals, suppressed_by_reason, report_order, parsed_answers, engine_recipes, declared_tables, declared_indexes, schema_advice)
 }
 _BASE = "(SELECT o_custkey AS id, CAST(o_custkey / 4 AS INTEGER) AS j FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 0 GROUP BY 1)"
 _GROUNDED = f"""(SELECT id, j, CASE WHEN j % 7 IN (1, 5) THEN 'rejected' WHEN j % 7 = 0 THEN 'verified' ELSE 'needs-verification' END AS grounding, CASE WHEN j % 7 <> 4 AND j % 5 IN (0, 3) THEN 'behavioural' ELSE 'equivalent' END AS kind,
@@ -194,6 +213,9 @@ ORACLE_SQL = {
     "suppressed_by_reason": f"SELECT reason, count(*) AS n, min(id) AS first_id FROM {_JUDGED_SQL} j WHERE reason <> 'published' GROUP BY 1",
     "report_order": f"""SELECT id, kind, severity, grounding FROM (SELECT id, kind, CASE id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity, grounding FROM {_GROUNDED} g)
         ORDER BY kind = 'behavioural', CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, CASE grounding WHEN 'verified' THEN 0 WHEN 'needs-verification' THEN 1 ELSE 2 END, id LIMIT 10""",
+    "reviewed_findings": """SELECT c_custkey AS id, 'verified' AS grounding, CASE WHEN c_custkey % 2 = 0 THEN 'equivalent' ELSE 'behavioural' END AS kind,
+        concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'argument-incomplete' END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 0 THEN 'index-without-evidence' END, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 5 IN (0, 4) THEN 'redundant-index' WHEN c_custkey % 3 > 0 AND c_custkey % 5 = 1 THEN 'covered-index' END) AS analysis,
+        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '1 fewer column(s); Caps the result at 9 row(s), unbounded before' END AS counted, 'speed,planner-choice,existing-index,write-cost' AS unmeasured, c_custkey % 2 = 0 AS questionable, CASE WHEN c_custkey % 2 = 0 THEN 'machine-verified' ELSE 'contradicted' END AS status FROM customer""",
     "parsed_answers": """SELECT o_orderkey AS id, CAST(n - 1 AS INTEGER) AS at, 't' || o_orderkey AS title, CAST(n AS INTEGER) AS line, CASE WHEN o_orderkey % 2 = 1 THEN 'CREATE INDEX i ON t (a)' END AS migration, o_orderkey % 5 = 2 AS repaired
         FROM orders, (VALUES (1), (2)) v(n) WHERE o_orderkey % 5 IN (0, 1) OR o_orderkey % 5 = 2 AND n = 1""",
     "engine_recipes": f"""WITH u AS (SELECT s_suppkey, list_extract(['postgres', 'mysql', 'duckdb', 'redis', 'snowflake', 'nonesuch'], CAST(s_suppkey % 6 + 1 AS INTEGER)) AS engine, list_extract(['n-plus-one', 'missing-index', 'redundant-index', 'other'], CAST(s_suppkey % 4 + 1 AS INTEGER)) AS category FROM supplier),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows that Spark hands to Python at once, where a session has its default: rows are whole texts, and a batch stands in the memory of both sides.
 ARROW_ROWS, _ARROW_DEFAULT = 1000, "10000"
 _ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,15 +58,42 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    written(spark, path)
     if rows is not None:
         df = df.coalesce(-(-max(rows, 1) // ROWS_A_FILE))
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes what cut has written for a session: call it when no frame made from it is read any more."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def written(spark: SparkSession, path: str) -> str:
+    """Notes a folder below the shared one, so that clear and scratch delete it as they do what cut has written; gives the path back."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what cut has written for a session: call it when no frame made from it is read any more."""
+    _deleted(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, the function given cuts a frame that is to stay; all else that is written meanwhile is deleted at the end."""
+    app = spark.sparkContext.applicationId
+    before, stay = len(_written.get(app, [])), []
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = cut(df, "kept")
+        stay.append(_written[app][-1])
+        return out
+
+    yield kept
+    new = _written.get(app, [])[before:]
+    _written[app] = _written.get(app, [])[:before] + stay
+    _deleted(spark, [p for p in new if p not in stay])
