@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.hot import hot_keys, join_hot
 from brindle.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from brindle.session import cut
+from brindle.session import cut, scratch
 from brindle.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -90,7 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written for itself is deleted when its result is; that of the last but one is what the caller reads."""
     rows = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        rows = cut(stage(spark, rows, sf_dir), name)
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            rows = kept(stage(spark, rows, sf_dir))
     return STAGES[-1][1](spark, rows, sf_dir)
