@@ -25,13 +25,63 @@ FAMILY_RECIPES = {
 ENGINE_RECIPES = {
     "postgres": ("EXPLAIN (FORMAT JSON)", "EXPLAIN (ANALYZE, BUFFERS, FORMAT JSON)"),
     "mysql": (None, "EXPLAIN ANALYZE"),
+    "mariadb": (None, "ANALYZE FORMAT=JSON"),
     "sqlite": ("EXPLAIN QUERY PLAN", ".timer on"),
     "mssql": ("SET SHOWPLAN_XML ON", "SET STATISTICS IO, TIME ON"),
     "oracle": ("EXPLAIN PLAN FOR", "DBMS_XPLAN.DISPLAY_CURSOR"),
-    "duckdb": (None, "EXPLAIN ANALYZE"),
-    "bigquery": ("a dry run", None),
+    "db2": ("EXPLAIN PLAN FOR", "db2batch"),
+    "yugabyte": (None, "EXPLAIN (ANALYZE, DIST)"),
+    "spanner": ("execute-sql --query-mode=PLAN", "execute-sql --query-mode=PROFILE"),
+    "vitess": ("VEXPLAIN PLAN", "VEXPLAIN ALL"),
+    "snowflake": ("EXPLAIN USING TEXT", "GET_QUERY_OPERATOR_STATS(LAST_QUERY_ID())"),
+    "bigquery": ("a dry run", "INFORMATION_SCHEMA.JOBS: bytes processed and slot time"),
+    "redshift": (None, "SVL_QUERY_SUMMARY"),
+    "synapse": (None, "sys.dm_pdw_request_steps"),
+    "databricks": ("EXPLAIN FORMATTED", None),
+    "athena": (None, "EXPLAIN ANALYZE"),
+    "clickhouse": ("EXPLAIN indexes = 1", "system.query_log: read_rows and read_bytes"),
+    "spark": ("EXPLAIN FORMATTED", "the metrics of the SQL tab"),
+    "trino": (None, "EXPLAIN ANALYZE"),
+    "impala": (None, "PROFILE"),
+    "hbase": (None, "the metrics of the scan"),
+    "couchdb": ("POST _explain", "execution_stats of _find"),
+    "dynamodb": (None, "ReturnConsumedCapacity"),
+    "cosmosdb": (None, "the request charge"),
+    "scylla": (None, "system_traces.sessions"),
+    "bigtable": (None, "Key Visualizer"),
     "redis": (None, "SLOWLOG GET"),
+    "memcached": (None, "stats: hits and misses"),
+    "etcd": (None, "the request duration metrics"),
+    "ignite": ("EXPLAIN", "SYS.SQL_QUERIES_HISTORY"),
+    "neptune": ("the explain endpoint", "the profile endpoint"),
+    "arangodb": ("db._explain", "db._profileQuery"),
+    "solr": ("debugQuery=true", "debug=timing"),
+    "pgvector": ("EXPLAIN", "EXPLAIN (ANALYZE, BUFFERS), beside recall against an exact scan"),
+    "timescaledb": (None, "EXPLAIN (ANALYZE, BUFFERS)"),
+    "prometheus": (None, "the query log: samples read"),
+    "druid": ("EXPLAIN PLAN FOR", "the query metrics"),
+    "duckdb": (None, "EXPLAIN ANALYZE"),
+    "rocksdb": (None, "the perf context"),
 }
+#: What settles a claim of a category: what is looked at, what speaks for it, and what against it.
+TESTS = {
+    "missing-index": ("the scan of the table, and rows read for each row returned", "an index scan takes the place of the full scan, and fewer rows are read", "the planner keeps the full scan, or as many rows are read"),
+    "redundant-index": ("how often each of the two indexes is used", "the shorter one is never used on its own, over a whole business cycle", "a query uses the shorter one, or it enforces uniqueness"),
+    "full-scan": ("the scan of the table", "only a part of the table is read", "the predicate keeps most rows, so that a full scan is right"),
+    "n-plus-one": ("the statements of one unit of work", "their number no longer grows with the rows", "as many statements run, or they moved elsewhere"),
+    "over-fetch": ("the width and the number of rows that travel", "fewer bytes are sent for the same result", "the columns left out are read later, one by one"),
+    "unbounded-result": ("rows returned on the largest tenant", "no more rows come than are shown", "the caller needs them all"),
+    "plan-cache-miss": ("plans made for each execution", "one plan is used again and again", "the texts still differ, or planning costs next to nothing"),
+    "round-trip": ("the statements of one unit of work", "fewer statements, the same rows", "the same number, or another statement appears"),
+    "inefficient-join": ("the order and the kind of the joins, and rows that go in and out", "fewer rows reach the join", "the planner had reordered it already"),
+    "implicit-cast": ("whether the predicate is matched by an index", "the cast leaves the column, and the index is used", "no index is on the column"),
+    "sort-in-memory": ("where the sort takes place, and what it needs", "rows come in order from an index, or the sort fits in memory", "the sort stays, or spills as before"),
+    "batching": ("the statements of one unit of work, and how long its transaction is open", "fewer statements, and locks are held no longer", "one long transaction takes the place of many short ones"),
+    "transaction-scope": ("how long locks are held, and who waits", "waits grow shorter", "the work needs the lock for as long"),
+    "connection-handling": ("open connections, by state, over time", "fewer are open or idle at the same load", "as many are open, or callers wait for one"),
+}
+
+
 #: The instrument of a claim, whether it takes the place of a plan, and the engine or family that it is for; None: any.
 CLAIMS = (
     ("n-plus-one", None, None, "count the statements of one request", True),
@@ -43,8 +93,8 @@ CLAIMS = (
     ("connection-handling", "postgres", None, "pg_stat_activity by state", True),
     ("connection-handling", None, None, "open connections over time", True),
     ("transaction-scope", None, None, "lock waits and the age of transactions", True),
-    ("plan-cache", "postgres", None, "pg_stat_statements: plans and calls", False),
-    ("plan-cache", None, None, "compilations per second", False),
+    ("plan-cache-miss", "postgres", None, "pg_stat_statements: plans and calls", False),
+    ("plan-cache-miss", None, None, "compilations per second", False),
 )
 
 
@@ -80,6 +130,12 @@ def recipe_for(uses: DataFrame) -> DataFrame:
     return told.select(*uses.columns, F.when(~instead, F.col("_plan")).alias("plan"), F.when(~instead, F.col("_measure")).alias("measure"), claim.alias("claim"), instead.alias("replaces_plan"), claim.isNull().alias("generic"))
 
 
+def claim_tests(uses: DataFrame) -> DataFrame:
+    """uses (category, ...) with measures, confirms and refutes: what is looked at to settle a claim of the category, and what speaks for and against it; null for any other."""
+    of = lambda k: F.coalesce(*[F.when(F.col("category") == c, F.lit(t[k])) for c, t in TESTS.items()])
+    return uses.select("*", of(0).alias("measures"), of(1).alias("confirms"), of(2).alias("refutes"))
+
+
 #: How the statements that code runs are counted, by library.
 COUNTERS = {
     "django": "CaptureQueriesContext(connection)",

@@ -224,7 +224,7 @@ def _counted(told: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # Categories that an instrument of their own measures, and those of them that a plan can't speak to.
-CLAIM_INSTRUMENTS = ("plan-cache", "connection-handling", "transaction-scope", "redundant-index", "round-trip", "n-plus-one", "batching")
+CLAIM_INSTRUMENTS = ("plan-cache-miss", "connection-handling", "transaction-scope", "redundant-index", "round-trip", "n-plus-one", "batching")
 REPLACES_PLAN = ("connection-handling", "transaction-scope", "redundant-index", "round-trip", "n-plus-one", "batching")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.engines import FAMILIES
+from brindle.functions.engines import ENGINES, FAMILIES
 from brindle.operators import ddl, recipes, review
 from brindle.plans.code_queries import code_files
 from brindle.tables import table
@@ -152,6 +152,18 @@ def engine_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.recipe_for(uses).select("s_suppkey", "plan", "measure", "claim", "replaces_plan", "generic")
 
 
+#: Every engine, a name that is none, every category, and one that is none.
+_ENGINES, _CATEGORIES = (*ENGINES, "nonesuch"), (*recipes.TESTS, "other")
+
+
+def every_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What settles a claim of each category on each engine, and what speaks for it and against it, for parts as uses."""
+    pick = lambda names, by: F.get(F.array(*[F.lit(n) for n in names]), (by % len(names)).cast("int"))
+    k = F.col("p_partkey")
+    uses = table(spark, sf_dir, "part").select("p_partkey", pick(_ENGINES, k).alias("engine"), pick(_CATEGORIES, F.floor(k / len(_ENGINES))).alias("category"))
+    return recipes.claim_tests(recipes.recipe_for(uses)).select("p_partkey", "plan", "measure", "claim", "replaces_plan", "generic", "measures", "refutes")
+
+
 def declared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that parts declare, in SQL and as models, with the columns."""
     return ddl.table_facts(_schema_files(spark, sf_dir)).select("tab", F.array_join("cols", ",").alias("cols"))
@@ -185,7 +197,7 @@ def schema_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grounded_findings, reviewed_findings, counted_facts, judged_proposals, suppressed_by_reason, report_order, parsed_answers, engine_recipes, declared_tables, declared_indexes, schema_advice)
+    for f in (grounded_findings, reviewed_findings, counted_facts, judged_proposals, suppressed_by_reason, report_order, parsed_answers, engine_recipes, every_recipe, declared_tables, declared_indexes, schema_advice)
 }
 _BASE = "(SELECT o_custkey AS id, CAST(o_custkey / 4 AS INTEGER) AS j FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 0 GROUP BY 1)"
 _GROUNDED = f"""(SELECT id, j, CASE WHEN j % 7 IN (1, 5) THEN 'rejected' WHEN j % 7 = 0 THEN 'verified' ELSE 'needs-verification' END AS grounding, CASE WHEN j % 7 <> 4 AND j % 5 IN (0, 3) THEN 'behavioural' ELSE 'equivalent' END AS kind,
@@ -231,3 +243,9 @@ ORACLE_SQL = {
           (2, 'rails', 't#_idx', 't#', 'a|b', true), (2, 'rails', 't#_idx', 't#', 'c', false), (3, 'alembic', 'ix', 't#', 'a|b', true), (3, 'alembic', 't#_idx', 't#', 'c', false)) v(g, source, name, tab, cols, uniq) ON f = g""",
     "schema_advice": """SELECT p_partkey AS id, p_partkey % 4 = 1 AND p_partkey % 3 = 1 AS duplicate, p_partkey % 4 = 0 AND p_partkey % 3 = 0 AS covered, CASE WHEN p_partkey % 4 = 0 THEN list_extract(['', 'a', 'nope'], p_partkey % 3 + 1) WHEN p_partkey % 4 = 1 THEN list_extract(['price', '', 'nope'], p_partkey % 3 + 1) ELSE '' END AS unknown, p_partkey % 4 < 2 AS known_table FROM part""",
 }
+# The same over all engines and categories, with what tells for and against each.
+_list_sql = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_USES = f"SELECT p_partkey, {_list_sql(_ENGINES)}[CAST(p_partkey % {len(_ENGINES)} + 1 AS INTEGER)] AS engine, {_list_sql(_CATEGORIES)}[CAST(p_partkey // {len(_ENGINES)} % {len(_CATEGORIES)} + 1 AS INTEGER)] AS category FROM part"
+_BY_USE = ORACLE_SQL["engine_recipes"].replace("s_suppkey", "p_partkey")
+ORACLE_SQL["every_recipe"] = f"""SELECT r.*, x.measures, x.refutes FROM ({_BY_USE[: _BY_USE.index("u AS (")]}u AS ({_USES}),{_BY_USE[_BY_USE.index("FROM supplier),") + len("FROM supplier),") :]}) r
+    JOIN ({_USES}) u USING (p_partkey) LEFT JOIN (VALUES {_rows((c, t[0], t[2]) for c, t in recipes.TESTS.items())}) x(category, measures, refutes) ON x.category = u.category"""
