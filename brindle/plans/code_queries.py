@@ -95,7 +95,7 @@ def detect_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What surrounds the first site of each file."""
-    found = detect.scan(code_files(spark, sf_dir).filter("o_custkey % 4 < 2")).select("path", F.get("sites", F.lit(0)).alias("s"))
+    found = detect.scan(code_files(spark, sf_dir)).select("path", F.get("sites", F.lit(0)).alias("s"))
     return found.select("path", detect.scope_line(F.col("s.symbol"), F.col("s.loop_depth"), F.col("s.opens_loop"), F.col("s.trigger")).alias("line"))
 
 
@@ -193,8 +193,9 @@ ORACLE_SQL = {
         UNION ALL SELECT 'x/' || path, true, 'orm' FROM {_SIGNED} s WHERE o_custkey % 3 = 0 AND o_custkey % 4 IN (1, 2)""",
     "scan_counters": """SELECT 'jobs/c' || o_custkey || '.py' AS path, CAST(n AS INTEGER) AS matched, 0 AS below_confidence, CAST(greatest(n - 40, 0) AS INTEGER) AS low_priority, CAST(n AS INTEGER) AS found, CAST(least(n, 40) AS INTEGER) AS kept
         FROM (SELECT o_custkey, 4 * count(*) AS n FROM orders GROUP BY 1)""",
-    "scope_lines": """SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' ELSE 'src/s' || c || '.ts' END AS path, CASE k WHEN 0 THEN 'enclosing: C' || c || 'View.total  ·  inside 1 loop  ·  reached by: request-handler' ELSE 'enclosing: S' || c || '.all  ·  inside 1 loop  ·  reached by: unknown' END AS line
-        FROM (SELECT DISTINCT o_custkey AS c, o_custkey % 4 AS k FROM orders JOIN customer ON c_custkey = o_custkey) WHERE k < 2""",
+    "scope_lines": """SELECT CASE k WHEN 0 THEN 'app/views/v' || c || '.py' WHEN 1 THEN 'src/s' || c || '.ts' WHEN 2 THEN 'jobs/j' || c || '.rb' ELSE 'db/migrate/m' || c || '.sql' END AS path,
+        CASE k WHEN 0 THEN 'enclosing: C' || c || 'View.total  ·  inside 1 loop  ·  reached by: request-handler' WHEN 1 THEN 'enclosing: S' || c || '.all  ·  inside 1 loop  ·  reached by: unknown' WHEN 2 THEN 'enclosing: J' || c || 'Job.run  ·  inside 1 loop  ·  reached by: job' ELSE 'not in a loop  ·  reached by: migration' END AS line
+        FROM (SELECT DISTINCT o_custkey AS c, o_custkey % 4 AS k FROM orders JOIN customer ON c_custkey = o_custkey)""",
     "ddl_indexes": "SELECT 'db/migrate/m' || o_custkey || '.sql' AS path, 'sql' AS source, 'ix_' || o_orderkey AS name, 't' || (o_orderkey % 20) AS tab, 'a,b' || (o_orderkey % 3) AS cols, false AS uniq FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 4 = 3",
     "index_advice": f"""WITH p AS (SELECT p_partkey AS id, 't' || (p_partkey % 25) AS tab, CASE WHEN p_partkey % 2 = 0 THEN ['a'] ELSE ['a', 'b' || (p_partkey % 4)] END AS cols FROM part)
         SELECT id, min(CASE WHEN d.cols = p.cols THEN ord END) AS duplicate_of, min(CASE WHEN len(d.cols) > len(p.cols) AND d.cols[1:len(p.cols)] = p.cols THEN ord END) AS covered_by FROM p LEFT JOIN {_DECLARED} d ON d.tab = p.tab GROUP BY id""",
