@@ -227,7 +227,8 @@ def test_retention_packing_and_floor(spark):
 def test_profile_and_support(spark):
     d = spark.createDataFrame([("redis", 100, 1), ("mysql", 90, 2), ("postgres", 90, 3), ("mysql", 60, 0)], "e string, a int, o int")
     got = {r["engine"]: (r["authority"], r["primary"], r["ambiguous"]) for r in profile.engine_profile(d, "e", "a", "o").collect()}
-    assert got == {"redis": (100, False, True), "mysql": (90, True, True), "postgres": (90, False, True)}
+    # Only a cache has the highest authority: it is the primary engine, and what stands below it is no rival.
+    assert got == {"redis": (100, True, False), "mysql": (90, False, False), "postgres": (90, False, False)}
     one = spark.createDataFrame([("mysql", 90, 2), ("mariadb", 90, 3)], "e string, a int, o int")
     assert {r["ambiguous"] for r in profile.engine_profile(one, "e", "a", "o").collect()} == {False}
     v = spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, False), (2, 2, False)], "site int, sample int, f boolean")
