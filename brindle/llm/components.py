@@ -9,32 +9,33 @@ from brindle.functions.hot import hot_keys, join_hot
 from brindle.session import cut
 
 
-def _least(pairs: DataFrame, key: str, value: str) -> DataFrame:
+def _least(pairs: DataFrame, key: str, value: str, rows: int) -> DataFrame:
     """(key, m, n): the smallest value of each key, and its rows."""
-    return cut(pairs.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least")
+    return cut(pairs.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least", rows)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b), of any one type that has an order: the component is its smallest node.
 
     Alternating stars: every node links its larger neighbours to the smallest node it knows, then its smaller ones, until
-    nothing changes; each round works on at most as many edges as there are. A hot node's edges are dealt in parts
-    where they meet its smallest neighbour. Rounds grow with the logarithm of the longest path.
+    nothing changes; each round works on at most as many edges as there are, and is written in as many files as they fill. A hot node's edges are dealt in parts
+    where they meet its smallest neighbour. Rounds grow with the logarithm of the longest path; no edges take none.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    size, before = pairs.count(), None
+    while size:
         # Large star: neighbours above a node go to the smallest of it and its neighbours.
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = _least(both, "u", "v")
+        least = _least(both, "u", "v", 2 * size)
         large = join_hot(both.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), ["u"], hot_keys(least, ["u"]), ["v"])
-        pairs = cut(large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        pairs = cut(large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges", size)
         # Small star: a node and those below it go to the smallest of them.
-        lowest = _least(pairs, "a", "b")
+        lowest = _least(pairs, "a", "b", size)
         joined = join_hot(pairs, lowest.select("a", "m"), ["a"], hot_keys(lowest, ["a"]), ["b"])
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        pairs = cut(small.distinct(), "edges")
+        pairs = cut(small.distinct(), "edges", 2 * size)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        size = now[0]
         if before == tuple(now):
             break
         before = tuple(now)

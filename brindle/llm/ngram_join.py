@@ -9,8 +9,8 @@
 4. Each cluster's sets, commonest shingle first, go into a prefix tree; every set walks it level by level, a branch's
    overlap is counted once for all sets below it, and branches are cut when what remains of both lengths can't reach
    the overlap needed. A large cluster is dealt in pieces. Each piece is linked in itself, then one set of each
-   linked group meets those of other pieces, and last the sets outside their cluster's largest group meet every piece: two
-   sets of one group need no link, so that no pair of pieces meets whole.
+   linked group meets those of other pieces, and last the sets outside their cluster's largest group meet the pieces that hold one of their prefix shingles: two
+   sets of one group need no link, so that no pair of pieces meets whole. Phases without anything to do are left out.
 """
 
 from __future__ import annotations
@@ -386,8 +386,8 @@ def _candidates(rows: DataFrame, classes: DataFrame, width: int, percent: int) -
     return cut(sets.join(kept.select("class").hint("merge"), "class", "left_semi"), "sets")
 
 
-def _clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """(class, cluster) of sets that share a shingle of their prefixes with another one, rarest first."""
+def _clusters(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(class, cluster) of sets that share a shingle of their prefixes with another one, rarest first; and (class, token), those shingles."""
     long = sets.select("class", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     df = cut(long.groupBy("token").agg(F.count("*").alias("n")), "frequencies")
     ordered = Window.partitionBy("class", "size").orderBy("n", "token")
@@ -397,7 +397,7 @@ def _clusters(sets: DataFrame, percent: int) -> DataFrame:
     least = cut(heads.groupBy("token").agg(F.min("class").alias("least"), F.count("*").alias("n")), "least")
     edges = join_hot(heads, least.select("token", "least"), ["token"], hot_keys(least, ["token"]), ["class"]).filter("class <> least")
     found = connected_components(edges.select(F.col("class").alias("a"), F.col("least").alias("b")))
-    return found.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    return found.select(F.col("node").alias("class"), F.col("component").alias("cluster")), heads
 
 
 def _linked(blocks: DataFrame, percent: int) -> DataFrame:
@@ -435,27 +435,47 @@ def _pieces(member: DataFrame, shingles_a_piece: int) -> DataFrame:
     return dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int"))
 
 
-def _links(sets: DataFrame, clusters: DataFrame, percent: int, shingles_a_piece: int) -> DataFrame:
-    """(a, b): links that join all linked sets."""
+def _links(sets: DataFrame, clusters: DataFrame, heads: DataFrame, percent: int, shingles_a_piece: int) -> DataFrame:
+    """(a, b): links that join all linked sets. heads: the shingles of each set's prefix that others have in theirs."""
     nobody = F.lit(None).cast("binary").alias("group")
     own = cut(_pieces(sets.withColumn("size", F.size("tokens")).join(clusters.hint("merge"), "class"), shingles_a_piece), "pieces")
     first = cut(_linked(own.select("*", F.lit(True).alias("probe"), nobody), percent), "links")
-    # Clusters of several pieces: one set of each group that a piece has linked meets the others.
     large = own.filter("pieces > 1")
+    if not large.head(1):
+        return first
+    # Clusters of several pieces: one set of each group that a piece has linked meets the others.
     grouped = cut(_grouped(large, first), "groups")
     leaders = grouped.filter("class = group").drop("pieces", "block", "group")
     second = cut(_linked(_pieces(leaders, shingles_a_piece).select("*", F.lit(True).alias("probe"), nobody), percent), "links")
-    # Sets outside their cluster's largest group meet every piece; inside it, no link is missing.
+    # Sets outside their cluster's largest group meet the pieces that hold one of their prefix shingles; inside it, no link is missing.
     grouped = cut(_grouped(large, first.union(second)), "groups")
     largest = grouped.groupBy("cluster", "group").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max(F.struct("_n", "group")).alias("_top")).select("cluster", F.col("_top.group").alias("_largest"))
     counts = own.groupBy("cluster").agg(F.count("*").alias("n"))
-    told = join_hot(grouped, largest, ["cluster"], hot_keys(counts, ["cluster"]), ["class"]).withColumn("_rest", F.col("group") != F.col("_largest"))
-    everywhere = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p != F.col("_home"))
-    guests = told.filter("_rest").withColumnRenamed("block", "_home").withColumn("block", F.explode(everywhere))
+    told = cut(join_hot(grouped, largest, ["cluster"], hot_keys(counts, ["cluster"]), ["class"]).withColumn("_rest", F.col("group") != F.col("_largest")), "told")
+    if not told.filter("_rest").head(1):
+        return cut(first.union(second), "links")
+    guests = _guests(told, heads, percent)
     third = _linked(told.select("cluster", "block", F.lit(False).alias("probe"), "class", "group", "tokens").union(guests.select("cluster", "block", F.lit(True), "class", "group", "tokens")), percent)
     return cut(first.union(second).union(third), "links")
 
 
+def _guests(told: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(cluster, block, class, group, tokens): the sets of told (cluster, block, class, group, size, tokens, _rest) that are _rest, once for each other piece that may hold a set linked with them.
+
+    Two linked sets share a shingle of their prefixes, and neither is much longer than the other. So a set goes to a piece only if that piece holds, among its sets
+    of a fitting length, one of its prefix shingles (heads: class, token), and neither all sets nor all pieces of a cluster meet. Lengths are compared by bands
+    that are wider than two linked sets may differ, so that links reach over one band at most.
+    """
+    band = F.floor(F.log("size") / math.log(max(1.5, 110 / percent))).cast("int")
+    placed = told.select("cluster", "block", "class", "_rest", band.alias("band"))
+    tokens = cut(heads.join(placed.hint("merge"), "class"), "tokens")
+    # A shingle of very many sets stands once for each piece and band, and a guest asks for each of its own once.
+    held = tokens.select("cluster", "token", "band", "block").distinct()
+    asked = tokens.filter("_rest").select("cluster", "token", "class", F.col("block").alias("_home"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    to = asked.join(held.hint("merge"), ["cluster", "token", "band"]).filter("block <> _home").select("cluster", "class", "block").distinct()
+    return told.filter("_rest").drop("block").join(to.hint("merge"), ["cluster", "class"])
+
+
 def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows (class, ...) with group: the smallest class that links reach."""
     found = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
@@ -480,7 +500,7 @@ def ngram_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     rows = _keyed(docs, id_col, text_col)
     marked = shingle_classes(rows, width)
     sets = _candidates(rows, marked, width, percent)
-    links = _links(sets, _clusters(sets, percent), percent, shingles_a_piece)
+    links = _links(sets, *_clusters(sets, percent), percent, shingles_a_piece)
     found = connected_components(links).select(F.col("node").alias("class"), "component")
     classes = marked.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     named = cut(classes.join(found.hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class")), "named")

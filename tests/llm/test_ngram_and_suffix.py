@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import components, hashing, ngram_join, suffix_dedup
 
@@ -244,3 +245,33 @@ def test_loser_tree_merges_front_coded_runs():
     merged = [owned[r][i] for r, i, _ in out]
     assert merged == sorted(every)
     assert [lcp for _, _, lcp in out][1:] == [suffix_dedup.common_prefix(a, b, 0) for a, b in zip(merged, merged[1:])]
+
+
+def test_chained_sets_meet_few_pieces(spark):
+    """A cluster of many sets that share rare shingles but do not link: each goes to a few pieces only."""
+    n, shared, rnd = 800, 6, random.Random(2)
+    # Neighbours share their six rarest shingles, far fewer than a link needs; all others are common to many sets.
+    rows = [(i, rnd.sample(range(1, 501), 40) + [-shared * i - k for k in range(shared)] + [-shared * (i + 1) - k for k in range(shared)]) for i in range(n)]
+    sets = spark.createDataFrame([(i.to_bytes(16, "big"), [int(t) for t in ts]) for i, ts in rows], "class binary, tokens array<long>")
+    clusters, heads = ngram_join._clusters(sets, 80)
+    member = ngram_join._pieces(sets.withColumn("size", F.size("tokens")).join(clusters, "class"), 300)
+    told = member.withColumn("group", F.col("class")).withColumn("_rest", F.lit(True))
+    pieces = told.select("block").distinct().count()
+    sent = ngram_join._guests(told, heads, 80).count()
+    assert pieces > 100 and told.count() == n and sent <= 4 * n
+
+
+def test_links_between_pieces_are_found(spark):
+    """Small pieces and large: the same components, also for links that only the third phase can find."""
+    rnd = random.Random(11)
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(60)] for _ in range(3)]
+    texts = []
+    for k in range(150):
+        words = list(base[k % 3])
+        words[rnd.randrange(60)] = f"x{k}"
+        if k % 5 == 0:
+            words[rnd.randrange(60)] = f"y{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = [sorted((tuple(r) for r in ngram_join.ngram_join(df, shingles_a_piece=size).collect()), key=repr) for size in (30_000, 300)]
+    assert told[0] == told[1] == plain_components(list(enumerate(texts)))
