@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
-from brindle.session import cut, shared_folder
+from brindle.session import cut, shared_folder, written
 
 #: Tokens a block of a file holds.
 BLOCK_TOKENS = 1 << 20
@@ -38,7 +38,7 @@ def write_token_files(docs: DataFrame, encode: Callable[[str], np.ndarray], end:
     of its own attempt, and only files of attempts that Spark took are in the result, so a task that is run again does no harm.
     A null text has no tokens. Rows that repeat an id, and rows without one, are documents of their own; other columns are ignored.
     """
-    folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or written(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
     kind = id_type(end)
     opened(folder)
 
