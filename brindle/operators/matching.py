@@ -30,6 +30,13 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], a: str, b
     return joined.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def found_both_ways(findings: DataFrame, truths: DataFrame, candidates: DataFrame, keys: list[str], at: str, tolerance: int) -> dict[str, DataFrame]:
+    """Semi-joins within a tolerance: `real`, findings near some truth; `found`, truths near some finding; `covered`, truths near some candidate, found or not."""
+    of = lambda t: t.select(*keys, F.col(at).alias("_at"))
+    near = lambda a, b: tolerance_join(a, of(b), keys, at, "_at", tolerance, "left_semi")
+    return {"real": near(findings, truths), "found": near(truths, findings), "covered": near(truths, candidates)}
+
+
 def prefix_covers(indexes: DataFrame, table: str, columns: str, row_id: str, unique: str) -> DataFrame:
     """(row_id, covered_by): indexes that a strictly longer one of the same table begins with; unique ones are never redundant; the first cover counts.
 
@@ -184,6 +191,19 @@ def authored_sites(authored: DataFrame, sites: DataFrame, keys: list[str], a: st
     return named.select(row_key, F.col("_site").alias(site)).unionByName(near.select(row_key, site))
 
 
+def set_changes(a: Column, b: Column) -> Column:
+    """struct(added, removed): what the list b has beside a, and a beside b, without regard to order, case, quotes and white space; each name once."""
+    plain = lambda x: F.array_distinct(F.transform(x, lambda v: F.regexp_replace(F.lower(v), "[\"'` \t\r\n]", "")))
+    return F.struct(F.array_sort(F.array_except(plain(b), plain(a))).alias("added"), F.array_sort(F.array_except(plain(a), plain(b))).alias("removed"))
+
+
+def next_requests(sent: DataFrame, answered: DataFrame, site: str, attempt: str, most: int = 2) -> DataFrame:
+    """(site, attempt): sites that no answer accounts for after their last attempt, once each, with the number of the next one; a site is asked `most` times at most."""
+    last = sent.filter(F.col(site).isNotNull()).groupBy(site).agg(F.max(attempt).alias(attempt))
+    silent = last.join(answered.select(F.col(site).alias("_s")).distinct().hint("merge"), F.col(site) == F.col("_s"), "left_anti")
+    return silent.filter(F.col(attempt) < most).select(site, (F.col(attempt) + 1).alias(attempt))
+
+
 def same_set(a: Column, b: Column) -> Column:
     """Equality of two lists without regard to order, case, quotes and white space; repeats count."""
     plain = lambda x: F.regexp_replace(F.lower(x), "[\"'` \t\r\n]", "")

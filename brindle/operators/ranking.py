@@ -85,6 +85,14 @@ def estimate(sites: DataFrame, tokens: str, samples: int, output: int, price_in:
     return told.withColumn("cost", F.round(((F.col("triage_tokens") + F.col("author_tokens")) * price_in + F.col("output_tokens") * price_out) / 1e6, 4))
 
 
+def run_totals(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, passes, input_tokens, output_tokens, elapsed_seconds) of passes (keys, started, ended, input_tokens, output_tokens): elapsed from the first start to the
+    last end, waits between passes included; passes that have not ended count up to their start."""
+    spent = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")]
+    end = F.max(F.coalesce("ended", "started"))
+    return passes.groupBy(*keys).agg(F.count("*").alias("passes"), *spent, (F.unix_timestamp(end) - F.unix_timestamp(F.min("started"))).alias("elapsed_seconds"))
+
+
 def shown_with_rest(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows, each with how many are left out: the limit is the feature."""
     total = df.agg(F.count("*").alias("_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.shapes import normalise_shape
 from brindle.functions.statements import equivalence, with_sql_shapes
-from brindle.operators import evidence, gate, matching, metrics, profile
+from brindle.operators import evidence, gate, matching, metrics, profile, ranking
 from brindle.plans.log_queries import _STATEMENTS, _sql_shape, statements
 from brindle.sources import files
 from brindle.tables import table
@@ -259,6 +259,38 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", matching.same_set(words, other).alias("same"), F.size(F.array_except(other, words)).cast("long").alias("added"))
 
 
+def projection_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that come and go between two lists written in other cases and quotes."""
+    p = table(spark, sf_dir, "part")
+    words = F.split("p_type", " ")
+    other = F.when(F.col("p_partkey") % 3 == 0, F.transform(F.slice(words, 2, 2), F.lower)).when(F.col("p_partkey") % 3 == 1, F.concat(F.transform(words, lambda w: F.concat(F.lit("`"), w, F.lit("`"))), F.array("p_brand"))).otherwise(F.array("p_brand", "p_brand"))
+    told = p.select("p_partkey", matching.set_changes(words, other).alias("c"))
+    return told.select("p_partkey", F.array_join("c.added", ",").alias("added"), F.array_join("c.removed", ",").alias("removed"))
+
+
+def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as truths, purchases as findings, purchases and sign-ups as candidates, of one user within two hours."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"))
+    of = lambda *kinds: e.filter(F.col("event_type").isin(*kinds))
+    told = matching.found_both_ways(of("purchase"), of("error"), of("purchase", "signup"), ["user_id"], "at", 7200)
+    parts = [rows.select(F.lit(name).alias("side"), "event_id") for name, rows in told.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def author_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests about customers, some asked twice; those with a finished order are answered."""
+    o = table(spark, sf_dir, "orders")
+    sent = o.select(F.col("o_custkey").alias("site"), (F.when(F.col("o_orderkey") % 7 == 0, 2).otherwise(1)).alias("attempt"))
+    return matching.next_requests(sent, o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("site")), "site", "attempt")
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as passes of their users' runs, some not ended."""
+    at = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").select("user_id", at.alias("started"), F.when(F.col("event_id") % 5 > 0, at + F.expr("INTERVAL 90 SECONDS")).alias("ended"), (F.col("event_id") % 100).alias("input_tokens"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 10).alias("output_tokens"))
+    return ranking.run_totals(e, ["user_id"])
+
+
 def price_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#17'").select(F.col("p_brand").alias("prefix"), F.col("p_size").cast("long").alias("price")).groupBy("prefix").agg(F.max("price").alias("price"))
     short = prices.select(F.substring("prefix", 1, 7).alias("prefix"), "price").groupBy("prefix").agg((F.max("price") + 1000).alias("price"))
@@ -307,7 +339,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, auxiliary_profile, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, grounded_catalog, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
+    for f in (log_shapes_top20, n_plus_one_flags, engine_profile, auxiliary_profile, projection_changes, truth_coverage, author_retries, run_totals, pick_engine, tier_two_anti, changed_scope_semi, index_prefix_cover, catalog_full_outer, grounded_catalog, merge_catalogs, tolerance_match, nearest_site, authored_sites, model_prices, gate_headline, reconcile_ids, triage_support,
               gate_cascade, judged_findings, severity_matrix, staleness, side_compare, plan_totals, bench_metrics, bench_gates, set_equality, price_prefix, sql_equivalence, vocabulary_gap)
 }
 _SHAPED = f"(SELECT o_orderkey, o_custkey, {_sql_shape('sql')} AS shape FROM {_STATEMENTS} s)"
@@ -324,6 +356,16 @@ ORACLE_SQL = {
         SELECT engine, authority, first_seen, engine = (SELECT prime FROM t) AS primary, (SELECT n FROM t) > 1 AS ambiguous FROM b""",
     "auxiliary_profile": f"""WITH p AS (SELECT {list(_SIX)}[p_partkey % 6 + 1] AS engine, CAST(CASE WHEN p_partkey % 6 < 2 THEN 100 ELSE 90 - p_size % 2 * 10 END AS INTEGER) AS authority, p_partkey AS ord FROM part), b AS (SELECT engine, max(authority) AS authority, min(ord) AS first_seen FROM p GROUP BY 1)
         SELECT engine, authority, first_seen, engine = (SELECT arg_min(engine, first_seen) FROM b WHERE authority = 100) AS primary, false AS ambiguous FROM b""",
+    "projection_changes": """WITH p AS (SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda w: lower(w)) AS a, replace(lower(p_brand), ' ', '') AS b FROM part),
+        q AS (SELECT p_partkey, a, CASE p_partkey % 3 WHEN 0 THEN a[2:3] WHEN 1 THEN list_append(a, b) ELSE [b] END AS o FROM p)
+        SELECT p_partkey, coalesce(array_to_string(list_sort(list_distinct(list_filter(o, lambda x: NOT list_contains(a, x)))), ','), '') AS added, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(o, x)))), ','), '') AS removed FROM q""",
+    "truth_coverage": """WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM events)
+        SELECT 'real' AS side, event_id FROM e WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_type = 'error' AND abs(o.t - e.t) <= 7200)
+        UNION ALL SELECT 'found', event_id FROM e WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_type = 'purchase' AND abs(o.t - e.t) <= 7200)
+        UNION ALL SELECT 'covered', event_id FROM e WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_type IN ('purchase', 'signup') AND abs(o.t - e.t) <= 7200)""",
+    "author_retries": "SELECT o_custkey AS site, CAST(2 AS INTEGER) AS attempt FROM orders GROUP BY o_custkey HAVING NOT bool_or(o_orderstatus = 'F') AND NOT bool_or(o_orderkey % 7 = 0)",
+    "run_totals": """SELECT user_id, count(*) AS passes, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(coalesce(sum(CASE WHEN event_id % 3 > 0 THEN event_id % 10 END), 0) AS BIGINT) AS output_tokens,
+        CAST(floor(epoch_us(max(CASE WHEN event_id % 5 > 0 THEN ts + INTERVAL 90 SECOND ELSE ts END)) / 1000000) - floor(epoch_us(min(ts)) / 1000000) AS BIGINT) AS elapsed_seconds FROM events GROUP BY user_id""",
     "pick_engine": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 7 = 0 THEN lower(string_split(p_type, ' ')[1]) END, CASE WHEN p_partkey % 5 = 0 THEN lower(p_brand) END, CASE WHEN p_size > 25 AND p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, CASE WHEN p_partkey % 2 <> 0 THEN 'postgres' END, CASE WHEN p_partkey % 3 <> 0 THEN lower(list_extract(string_split(p_type, ' '), -1)) END, 'unknown') AS engine FROM part",
     "tier_two_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "changed_scope_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY' AND c_custkey % 2 <> 0)",

@@ -45,6 +45,14 @@ def patches(findings: DataFrame) -> DataFrame:
     return findings.filter("kind = 'equivalent'").select("path", F.col("start_line").cast("long").alias("start_line"), "original", "proposed").mapInPandas(diff, "path string, start_line long, patch string")
 
 
+def scorecards(lines: DataFrame, folder: str, date: str, whole: bool) -> list[str]:
+    """Writes a benchmark's scorecard as JSON below folder, in a folder of its date, and as `latest` too if the run was whole; gives the folders back."""
+    targets = [f"{folder.rstrip('/')}/{date}", *([f"{folder.rstrip('/')}/latest"] if whole else [])]
+    for t in targets:
+        lines.write.mode("overwrite").json(t)
+    return targets
+
+
 def left_out(findings: DataFrame) -> DataFrame:
     """One row: how many findings have a patch, and how many have none because their output may change."""
     keeps = F.col("kind") == "equivalent"

@@ -15,6 +15,7 @@ from brindle.functions.scoring import priority
 from brindle.functions.statements import equivalence, split_top_level, strip_literals, top_level, with_sql_shapes
 from brindle.functions.urls import repository
 from brindle.operators import ddl, evidence, gate, matching, metrics, profile, ranking, spans
+from brindle.sources import sinks
 
 
 def value(spark, column):
@@ -295,3 +296,23 @@ def test_which_paths_are_scanned(spark):
     rows = [("src/a.py", 5), ("node_modules/x.js", 5), ("a/Pods/x.m", 5), ("x.PNG", 5), ("yarn.lock", 5), ("a/GO.SUM", 5), ("big.py", 10**9), ("noext", 1), ("build/x.py", 1), ("rebuild/x.py", 1), ("a.b.lock", 1), ("", 0)]
     got = spark.createDataFrame(rows, "p string, s long").select("p", "s", paths.is_scannable(F.col("p"), F.col("s")).alias("y")).collect()
     assert [r["y"] for r in got] == [paths.scannable(p, s) for p, s in rows]
+
+
+def test_what_is_asked_again(spark):
+    sent = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 1), (None, 1)], "site string, attempt int")
+    answered = spark.createDataFrame([("c",), (None,), ("x",)], "site string")
+    assert [tuple(r) for r in matching.next_requests(sent, answered, "site", "attempt").collect()] == [("a", 2)]
+    assert sorted(tuple(r) for r in matching.next_requests(sent, answered.limit(0), "site", "attempt", 3).collect()) == [("a", 2), ("b", 3), ("c", 2)]
+
+
+def test_findings_truths_and_candidates(spark):
+    side = lambda *rows: spark.createDataFrame(list(rows), "f string, at int")
+    told = matching.found_both_ways(side(("a", 10), ("a", 11), ("b", 5), (None, 1)), side(("a", 12), ("b", 9), ("c", 1), (None, 1)), side(("a", 12), ("b", 8), ("a", 12)), ["f"], "at", 2)
+    assert {k: sorted((r["f"], r["at"]) for r in v.collect()) for k, v in told.items()} == {"real": [("a", 10), ("a", 11)], "found": [("a", 12)], "covered": [("a", 12), ("b", 9)]}
+
+
+def test_scorecards_are_dated(spark, tmp_path):
+    lines = spark.createDataFrame([("x", "precision 50%")], "k string, line string")
+    assert len(sinks.scorecards(lines, str(tmp_path), "2026-01-01", True)) == 2
+    sinks.scorecards(lines.withColumn("line", F.lit("precision 0%")), str(tmp_path), "2026-01-02", False)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["2026-01-01", "2026-01-02", "latest"] and spark.read.json(str(tmp_path / "latest")).first()["line"] == "precision 50%"
