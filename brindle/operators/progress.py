@@ -65,7 +65,7 @@ class Passes:
 
     def cancel(self) -> None:
         self._stop.set()
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     @property
     def cancelled(self) -> bool:
@@ -73,7 +73,10 @@ class Passes:
 
     def run(self, passes: dict[str, Callable[[], DataFrame]]) -> list[str]:
         """Runs the passes in order, and returns the names of those that are whole; a failure that is no cancellation is raised."""
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
+        over = threading.Event()
+        watch = threading.Thread(target=self._interrupting, args=(over,), daemon=True)
+        watch.start()
         try:
             for name, made in passes.items():
                 if self.cancelled:
@@ -87,9 +90,17 @@ class Passes:
                     break
                 self.done.append(name)
         finally:
-            self.spark.removeTag(self.tag)
+            over.set()
+            watch.join()
+            self.spark.sparkContext.removeJobTag(self.tag)
         return self.done
 
+    def _interrupting(self, over: threading.Event) -> None:
+        """Until the run is over: what still begins after a cancellation, since its job was not there yet, is interrupted too."""
+        while not over.wait(0.2):
+            if self.cancelled:
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
     def _removed(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.target}/pass={name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
