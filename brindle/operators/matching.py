@@ -115,6 +115,8 @@ def grounded_catalog(declared: DataFrame, observed: DataFrame, tables: DataFrame
 
 #: Characters of a key that are looked up; shorter keys are looked up whole.
 GRAM = 6
+#: Words of 64 bits of the table that tells which pieces may be looked up: at most so many rows are broadcast.
+WORDS = 1 << 19
 
 
 def contained(texts: DataFrame, keys: DataFrame, text: str, key: str, gram: int = GRAM) -> DataFrame:
@@ -136,7 +138,12 @@ def contained(texts: DataFrame, keys: DataFrame, text: str, key: str, gram: int
         return texts.limit(0).join(keys.limit(0))
     t = F.col(text)
     every = F.concat(*[F.when(F.length(t) >= n, pieces(t, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in lengths])
-    return texts.withColumn("_piece", F.explode(every)).join(looked.hint("merge"), "_piece").filter(F.contains(t, F.col(key))).drop("_piece")
+    # A text has hundreds of pieces, and most are looked up by no key: a table of bits by hash, of bounded size, leaves them out where the text is read.
+    hashed = F.xxhash64("_piece")
+    word, bit = F.pmod(hashed, F.lit(WORDS)).alias("_word"), F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    bits = looked.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    some = texts.withColumn("_piece", F.explode(every)).withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word").filter(F.getbit("_bits", F.col("_bit")) == 1).drop("_word", "_bits", "_bit")
+    return some.join(looked.hint("merge"), "_piece").filter(F.contains(t, F.col(key))).drop("_piece")
 
 
 def adjudicated(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
