@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
 from brindle.functions.statements import shown, split_top_level, top_level
 
 # Declarations; groups are told beside each. Text in brackets is hidden while the first two are looked for.
@@ -93,10 +94,14 @@ def proposed_indexes(texts: DataFrame) -> DataFrame:
 def index_advice(proposed: DataFrame, declared: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(id, duplicate_of, covered_by, unknown, known_table) for proposed indexes (id, tab, cols): the first declared one (ord) with the same columns,
     the first longer one that begins with them, and, with tables (tab, cols), the columns that the table does not declare."""
-    d = declared.select(F.lower("tab").alias("_t"), F.col("ord").alias("_ord"), F.col("cols").alias("_cols"), F.explode(F.transform(F.sequence(F.lit(1), F.size("cols")), lambda n: F.slice("cols", 1, n))).alias("_prefix"))
+    keys = ["_t", "_prefix"]
+    d = declared.select(F.lower("tab").alias("_t"), F.col("ord").alias("_ord"), F.size("cols").alias("_size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("cols")), lambda n: F.slice("cols", 1, n))).alias("_prefix"))
     p = proposed.select("id", F.lower("tab").alias("_t"), F.col("cols").alias("_prefix"))
-    same = F.size("_cols") == F.size("_prefix")
-    hits = p.join(d, ["_t", "_prefix"]).groupBy("id").agg(F.min(F.when(same, F.col("_ord"))).alias("duplicate_of"), F.min(F.when(~same, F.col("_ord"))).alias("covered_by"))
+    same = F.col("_size") == F.size("_prefix")
+    # One row for each beginning of declared columns: a proposal meets one row, however many indexes begin alike.
+    first = d.groupBy(*keys).agg(F.min(F.when(same, F.col("_ord"))).alias("_same"), F.min(F.when(~same, F.col("_ord"))).alias("_longer"))
+    met = join_hot(p, first, keys, hot_keys(p.groupBy(*keys).agg(F.count("*").alias("n")), keys), ["id"])
+    hits = met.groupBy("id").agg(F.min("_same").alias("duplicate_of"), F.min("_longer").alias("covered_by"))
     told = proposed.select("id", "tab", "cols").join(hits, "id", "left")
     if tables is None:
         return told.select("id", "duplicate_of", "covered_by")

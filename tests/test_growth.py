@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.operators import matching
+from brindle.operators import ddl, matching
 
 N = 300
 
@@ -30,3 +30,11 @@ def test_pieces_without_a_key_are_not_shuffled(spark):
     told = matching.contained(spark.createDataFrame(texts, "run int, path string"), spark.createDataFrame(keys, "ord int, key string"), "path", "key")
     assert most(told, "Exchange", "shuffleRecordsWritten") <= 4 * N
     assert sorted((r.run, r.ord) for r in told.collect()) == sorted((k, o) for k, p in texts for o, key in keys if key in p)
+
+
+def test_proposals_meet_a_beginning_once(spark):
+    proposed = spark.createDataFrame([(k, "T", ["a"] if k % 2 else ["a", "b"]) for k in range(N)], "id int, tab string, cols array<string>")
+    declared = spark.createDataFrame([("t", ["a", "b"] if k % 3 else ["a", "b", "c"], k) for k in range(N)], "tab string, cols array<string>, ord long")
+    told = ddl.index_advice(proposed, declared)
+    assert most(told, "Join", "numOutputRows") <= 2 * N
+    assert {tuple(r)[1:] for r in told.collect() if r.id % 2} == {(None, 0)} and {tuple(r)[1:] for r in told.collect() if r.id % 2 == 0} == {(1, 0)}
