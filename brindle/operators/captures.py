@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.hot import hot_keys, join_hot
 from brindle.functions.shapes import normalise_shape
 from brindle.functions.statements import split_top_level, top_level
 from brindle.operators.evidence import CHANGE, relative_change
@@ -341,8 +342,11 @@ def against_observed(proposed: DataFrame, indexes: DataFrame, columns: DataFrame
     covered = indexes.select(low("tab").alias("_t")).union(columns.select(low("tab"))).union(tables.select(low("tab"))).filter("_t <> '<unknown>'").distinct()
     names = F.transform("cols", lambda c: F.lower(c))
     live = indexes.filter(F.size("cols") > 0).select(low("tab").alias("_t"), "name", "ord", names.alias("_all"), F.explode(F.transform(F.sequence(F.lit(1), F.size("cols")), lambda n: F.slice(names, 1, n))).alias("_c"))
-    exact = F.size("_all") == F.size("_c")
-    found = p.join(live, ["_t", "_c"]).groupBy("id").agg(F.min(F.struct((~exact).alias("longer"), "ord", "name")).alias("_f"))
+    longer = F.size("_all") > F.size("_c")
+    # One row for each beginning of observed columns: a proposal meets one row, however many indexes begin alike.
+    first = live.groupBy("_t", "_c").agg(F.min(F.struct(longer.alias("longer"), "ord", "name")).alias("_first"))
+    met = join_hot(p, first, ["_t", "_c"], hot_keys(p.groupBy("_t", "_c").agg(F.count("*").alias("n")), ["_t", "_c"]), ["id"])
+    found = met.groupBy("id").agg(F.min("_first").alias("_f"))
     distinct = columns.groupBy(low("tab").alias("_t"), low("col").alias("_lead")).agg(F.min("distinct").alias("distinct"))
     rows = tables.groupBy(low("tab").alias("_t")).agg(F.min("live_rows").alias("live_rows"))
     told = p.withColumn("_lead", F.get("_c", F.lit(0))).join(covered.withColumn("_seen", F.lit(True)), "_t", "left").join(found, "id", "left").join(distinct, ["_t", "_lead"], "left").join(rows, "_t", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.operators import ddl, matching
+from brindle.operators import captures, ddl, matching
 
 N = 300
 
@@ -38,3 +38,12 @@ def test_proposals_meet_a_beginning_once(spark):
     told = ddl.index_advice(proposed, declared)
     assert most(told, "Join", "numOutputRows") <= 2 * N
     assert {tuple(r)[1:] for r in told.collect() if r.id % 2} == {(None, 0)} and {tuple(r)[1:] for r in told.collect() if r.id % 2 == 0} == {(1, 0)}
+
+
+def test_observed_indexes_meet_a_beginning_once(spark):
+    proposed = spark.createDataFrame([(k, "T", ["A"] if k % 2 else ["a", "b"]) for k in range(N)], "id int, tab string, cols array<string>")
+    seen = spark.createDataFrame([("t", f"i{k}", ["a", "b"] if k % 3 else ["a", "b", "c"], k) for k in range(N)], "tab string, name string, cols array<string>, ord long")
+    none = spark.createDataFrame([], "tab string, col string, distinct double, live_rows long")
+    told = captures.against_observed(proposed, seen, none, none)
+    assert most(told, "Join", "numOutputRows") <= 2 * N
+    assert {(r.id % 2, r.existing, r.how) for r in told.collect()} == {(1, "i0", "covering"), (0, "i1", "exact")}
