@@ -40,11 +40,16 @@ def found_both_ways(findings: DataFrame, truths: DataFrame, candidates: DataFram
 def prefix_covers(indexes: DataFrame, table: str, columns: str, row_id: str, unique: str) -> DataFrame:
     """(row_id, covered_by): indexes that a strictly longer one of the same table begins with; unique ones are never redundant; the first cover counts.
 
-    Every index stands under each of its own proper prefixes, so that the join is one of equality.
+    Every index stands under each of its own proper prefixes, so that the join is one of equality. Of each prefix the first two ids are kept, since an index
+    is not its own cover: what an index meets does not grow with the number of those that begin alike.
     """
-    prefixes = indexes.filter(F.size(columns) > 1).select(F.lower(table).alias("_t"), F.col(row_id).alias("_by"), F.explode(F.transform(F.sequence(F.lit(1), F.size(columns) - 1), lambda n: F.slice(F.col(columns), 1, n))).alias("_prefix"))
+    keys = ["_t", "_prefix"]
+    prefixes = indexes.filter(F.size(columns) > 1).select(F.lower(table).alias("_t"), F.explode(F.transform(F.sequence(F.lit(1), F.size(columns) - 1), lambda n: F.slice(F.col(columns), 1, n))).alias("_prefix"), F.col(row_id).alias("_by"))
+    first = prefixes.distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_by"))).filter("_n <= 2")
+    covers = first.groupBy(*keys).agg(F.collect_list("_by").alias("_covers"))
     short = indexes.filter(~F.col(unique)).select(F.lower(table).alias("_t"), row_id, F.col(columns).alias("_prefix"))
-    return short.join(prefixes, ["_t", "_prefix"]).filter(F.col(row_id) != F.col("_by")).groupBy(row_id).agg(F.min("_by").alias("covered_by"))
+    met = join_hot(short, covers, keys, hot_keys(short.groupBy(*keys).agg(F.count("*").alias("n")), keys), [row_id])
+    return met.select(row_id, F.explode("_covers").alias("_by")).filter(F.col(row_id) != F.col("_by")).groupBy(row_id).agg(F.min("_by").alias("covered_by"))
 
 
 def merged_catalogs(declared: DataFrame, observed: DataFrame, table: str, name: str, columns: str, row_id: str) -> DataFrame:

@@ -47,3 +47,17 @@ def test_observed_indexes_meet_a_beginning_once(spark):
     told = captures.against_observed(proposed, seen, none, none)
     assert most(told, "Join", "numOutputRows") <= 2 * N
     assert {(r.id % 2, r.existing, r.how) for r in told.collect()} == {(1, "i0", "covering"), (0, "i1", "exact")}
+
+
+def test_covers_of_a_prefix_are_two_at_most(spark):
+    rows = [(k, "t" if k % 5 else "T", ["a"] if k % 2 else ["a", "b"], k % 7 == 0) for k in range(N)]
+    # An id of two rows is not its own cover.
+    rows += [(N, "u", ["a"], False), (N, "u", ["a", "b"], False), (N + 1, "u", ["a", "b"], False), (N + 1, "u", ["a", "c"], False), (N + 2, "v", ["a"], False), (N + 2, "v", ["a", "b"], False)]
+    want = {}
+    for k, t, c, u in rows:
+        for j, s, d, _ in rows:
+            if not u and t.lower() == s.lower() and len(d) > len(c) and d[: len(c)] == c and j != k:
+                want[k] = min(j, want.get(k, j))
+    told = matching.prefix_covers(spark.createDataFrame(rows, "id int, tab string, cols array<string>, uniq boolean"), "tab", "cols", "id", "uniq")
+    assert most(told, "Join", "numOutputRows") <= 2 * N
+    assert {r.id: r.covered_by for r in told.collect()} == want and N + 2 not in want
