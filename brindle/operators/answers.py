@@ -1,6 +1,6 @@
 """Answers of models read as tables: fences and talk around them, lists that were cut off, and fields of the wrong type.
 
-A text is split into strings, brackets and what is between, and one fold over these pieces knows the open brackets at every place: where the first object ends
+A text is split at its brackets, and one fold over these pieces knows the open brackets at every place: where the first object ends
 and, for a text that was cut off, where its last whole element does and what has to be closed after it. Fields are read one by one from a variant, so that a
 wrong type costs a field, not the answer.
 """
@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Strings (a last one may lack its end), brackets, and stretches without either; a backslash takes the next character with it everywhere.
-_PIECE = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?+\z)|[{}\[\]]|(?:[^"{}\[\]\\]++|\\.)++|\\\z'
+# A bracket with what stands before it: strings (a last one may lack its end) and stretches without either; a backslash takes the next character with it
+# everywhere. A piece begins where the one before it ends, never in the middle of a string.
+_PIECE = r'(?s)\G(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?+\z)|[^"{}\[\]\\]++|\\.)*+[{}\[\]]'
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 # Severities, what stands for no migration, and the words that define something.
@@ -30,12 +31,13 @@ def _walked(text: Column) -> Column:
 
     def step(s: Column, piece: Column) -> Column:
         after = s["pos"] + F.length(piece)
-        opens, closes = piece.isin("{", "["), piece.isin("}", "]")
-        braces = s["braces"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
-        open_ = F.when(opens, F.concat(F.when(piece == "{", "}").otherwise("]"), s["open"])).when(closes, F.substring(s["open"], 2, 1 << 30)).otherwise(s["open"])
+        brace, bracket = piece.endswith("{"), piece.endswith("[")
+        closes, closed = ~(brace | bracket), piece.endswith("}")
+        braces = s["braces"] + F.when(brace, 1).when(closed, -1).otherwise(0)
+        open_ = F.when(brace, F.concat(F.lit("}"), s["open"])).when(bracket, F.concat(F.lit("]"), s["open"])).otherwise(F.substring(s["open"], 2, 1 << 30))
         whole = closes & (F.length(open_) == 2)
         now = F.struct(
-            after.alias("pos"), braces.alias("braces"), open_.alias("open"), F.when((piece == "}") & (braces == 0), after).alias("end"),
+            after.alias("pos"), braces.alias("braces"), open_.alias("open"), F.when(closed & (braces == 0), after).alias("end"),
             F.when(whole, after).otherwise(s["cut"]).alias("cut"), F.when(whole, open_).otherwise(s["closers"]).alias("closers"),
         )
         return F.when(s["end"].isNotNull(), s).otherwise(now)
@@ -48,12 +50,15 @@ def documents(responses: DataFrame) -> DataFrame:
     empty, no-object or not-json. A key that an object repeats makes it no JSON."""
     fenced = F.regexp_extract("raw", _FENCE, 1)
     text = F.trim(F.when(F.col("raw").rlike(_FENCE), fenced).otherwise(F.coalesce("raw", F.lit(""))), F.lit(" \t\r\n\x0b\x0c"))
-    rows = responses.select("id", text.alias("_text")).withColumn("_from", F.regexp_extract("_text", r"(?s)\{.*+", 0))
-    rows = rows.withColumn("_w", _walked(F.col("_from")))
-    whole = F.try_parse_json(F.when(F.col("_w.end").isNotNull(), F.substring("_from", F.lit(1), F.col("_w.end"))).otherwise(F.col("_from")))
+    # Each step is read by several others: as the only element of an array that is exploded it is made once, and no filter is put before it.
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    rows = once(responses.select("id", "raw"), "_text", text).drop("raw")
+    rows = once(rows, "_from", F.regexp_extract("_text", r"(?s)\{.*+", 0))
+    rows = once(rows, "_w", _walked(F.col("_from")))
+    # A text whose first object does not end is no JSON.
+    rows = once(rows, "_whole", F.try_parse_json(F.when(F.col("_w.end").isNotNull(), F.substring("_from", F.lit(1), F.col("_w.end")))))
     mended = F.try_parse_json(F.when(F.col("_w.cut").isNotNull(), F.concat(F.substring("_from", F.lit(1), F.col("_w.cut")), F.col("_w.closers"))))
-    rows = rows.select("id", "_text", "_from", "_w", whole.alias("_whole"))
-    rows = rows.select("id", "_text", "_from", "_whole", F.when(F.col("_whole").isNull(), mended).alias("_mended"))
+    rows = once(rows, "_mended", F.when(F.col("_whole").isNull(), mended))
     error = F.when(F.col("_text") == "", "empty").when(F.col("_from") == "", "no-object").when(F.col("_whole").isNull() & F.col("_mended").isNull(), "not-json")
     return rows.select("id", F.coalesce("_whole", "_mended").alias("document"), (F.col("_whole").isNull() & F.col("_mended").isNotNull()).alias("repaired"), error.alias("error"))
 
@@ -61,7 +66,7 @@ def documents(responses: DataFrame) -> DataFrame:
 def listed(responses: DataFrame, name: str) -> DataFrame:
     """(id, items, repaired, error): the list of this name in each response, an array of variants; error is also no-list."""
     items = _let(F.try_variant_get("document", f"$.{name}", "variant"), lambda v: F.when(kind_of(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")))
-    read = documents(responses).select("id", items.alias("items"), "repaired", "error")
+    read = documents(responses).select("id", F.explode(F.array(items)).alias("items"), "repaired", "error")
     return read.select("id", "items", "repaired", F.coalesce("error", F.when(F.col("items").isNull(), "no-list")).alias("error"))
 
 
