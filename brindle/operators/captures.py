@@ -39,43 +39,50 @@ def _number(text: Column, pattern: str, kind: str = "bigint", group: int = 1) ->
     return F.regexp_extract(text, pattern, group).try_cast(kind)
 
 
-def _text_nodes(raw: Column) -> Column:
-    """Nodes of a plan in text form, each with the lines up to the next node; a second root ends the plan."""
-    lines = F.split(raw, r"\r?\n")
-    is_node = lambda x: x.rlike(NODE)
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(is_node(x), F.struct(i.alias("at"), F.length(F.regexp_extract(x, NODE, 1)).alias("indent")))), lambda h: h.isNotNull())
+def _text_nodes(read: DataFrame) -> DataFrame:
+    """read (raw and other columns) with _own in place of raw: the nodes of a plan in text form (indent, head, text), each with the lines up to the next node; a
+    second root ends the plan. Null without a text.
+
+    Each step is read by several others: as the only element of an array that is exploded it is made once.
+    """
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    is_node = lambda x: F.contains(x, F.lit("(cost=")) & x.rlike(NODE)
+    rows = once(read, "_lines", F.split("raw", r"\r?\n")).drop("raw")
+    rows = once(rows, "_heads", F.filter(F.transform("_lines", lambda x, i: F.when(is_node(x), F.struct(i.alias("at"), F.length(F.regexp_extract(x, NODE, 1)).alias("indent")))), lambda h: h.isNotNull()))
     # Nodes indented no more than the first one are roots of their own.
-    roots = F.filter(F.transform(heads, lambda h, k: F.when((k > 0) & (h["indent"] <= F.get(heads, F.lit(0))["indent"]), k)), lambda k: k.isNotNull())
-    own = F.slice(heads, 1, F.coalesce(F.get(roots, F.lit(0)), F.size(heads)))
-    end = lambda k: F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
-    return F.transform(own, lambda h, k: F.struct(h["indent"].alias("indent"), F.array_join(F.slice(lines, h["at"] + 1, end(k) - h["at"]), "\n").alias("text")))
+    roots = F.filter(F.transform("_heads", lambda h, k: F.when((k > 0) & (h["indent"] <= F.get("_heads", F.lit(0))["indent"]), k)), lambda k: k.isNotNull())
+    own = F.slice("_heads", 1, F.coalesce(F.get(roots, F.lit(0)), F.size("_heads")))
+    end = lambda k: F.coalesce(F.get("_heads", k + 1)["at"], F.size("_lines"))
+    text = lambda h, k: F.array_join(F.slice("_lines", h["at"] + 1, end(k) - h["at"]), "\n").alias("text")
+    return once(rows, "_own", F.transform(own, lambda h, k: F.struct(h["indent"].alias("indent"), F.get("_lines", h["at"]).alias("head"), text(h, k)))).drop("_lines", "_heads")
 
 
-def plan_texts(captures: DataFrame) -> DataFrame:
-    """(capture_id, node, indent, node_type, relation, estimated_rows, actual_rows, total_ms, loops, blocks_hit, blocks_read, rows_removed, sort_method)
-    of the plans in text form among captures (capture_id, raw): nodes in pre-order from 0; rows and times of all loops together.
-    A text without a plan has no rows. Numbers that a plan does not tell are null.
-    """
-    nodes = captures.select("capture_id", F.posexplode(_text_nodes(F.col("raw"))).alias("node", "n")).select("capture_id", "node", "n.*")
-    head = F.get(F.split("text", "\n"), F.lit(0))
+def _text_fields(n: Column | None = None) -> list[Column]:
+    """What a node of _text_nodes tells, from node_type to sort_method; n: the node, else its columns."""
+    head, text = (F.col("head"), F.col("text")) if n is None else (n["head"], n["text"])
     loops = _number(head, ACTUAL, group=3)
-    first = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    told = nodes.select(
-        "capture_id",
-        "node",
-        "indent",
+    first = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return [
         F.trim(F.regexp_extract(head, NODE, 2)).alias("node_type"),
         F.nullif(F.replace(F.regexp_extract(head, NODE, 3), F.lit('"'), F.lit("")), F.lit("")).alias("relation"),
         _number(head, ESTIMATE).alias("estimated_rows"),
         (_number(head, ACTUAL, "double", 2) * loops).alias("actual_rows"),
         (_number(head, ACTUAL, "double") * loops).alias("total_ms"),
         loops.alias("loops"),
-        _number(F.col("text"), HIT).alias("blocks_hit"),
-        _number(F.col("text"), READ).alias("blocks_read"),
-        _number(F.col("text"), REMOVED).alias("rows_removed"),
+        _number(text, HIT).alias("blocks_hit"),
+        _number(text, READ).alias("blocks_read"),
+        _number(text, REMOVED).alias("rows_removed"),
         F.trim(first(SORT)).alias("sort_method"),
-    )
-    return told
+    ]
+
+
+def plan_texts(captures: DataFrame) -> DataFrame:
+    """(capture_id, node, indent, node_type, relation, estimated_rows, actual_rows, total_ms, loops, blocks_hit, blocks_read, rows_removed, sort_method)
+    of the plans in text form among captures (capture_id, raw): nodes in pre-order from 0; rows and times of all loops together.
+    A text without a plan has no rows. Numbers that a plan does not tell are null.
+    """
+    nodes = _text_nodes(captures.select("capture_id", "raw")).select("capture_id", F.posexplode("_own").alias("node", "n")).select("capture_id", "node", "n.*")
+    return nodes.select("capture_id", "node", "indent", *_text_fields())
 
 
 def plan_of(raw: str) -> dict | None:
@@ -136,42 +143,61 @@ def plan_documents(captures: DataFrame) -> DataFrame:
 
     The first JSON document counts, whatever follows it; a text without one, or whose Plan is no object, has no rows. Fields of the wrong type are null.
     """
+    return _documents(captures.filter(F.contains("raw", F.lit('"Plan"')))).select("capture_id", F.posexplode("_nodes").alias("node", "n")).select("capture_id", "node", "n.*")
+
+
+def _documents(captures: DataFrame) -> DataFrame:
+    """(capture_id, raw, _nodes): the nodes of a plan in JSON form, and raw null, or _nodes null and raw as it is."""
     kind = pa.list_(pa.struct([("depth", pa.int32()), ("node_type", pa.string()), ("relation", pa.string()), ("estimated_rows", pa.int64()), ("actual_rows", pa.float64()), ("total_ms", pa.float64()), ("loops", pa.int64()), ("blocks_hit", pa.int64()), ("blocks_read", pa.int64()), ("rows_removed", pa.int64()), ("sort_method", pa.string())]))
     id_kind = dict(captures.dtypes)["capture_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            plans = [plan_of(raw) for raw in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else json_nodes(p) for p in plans], kind)], ["capture_id", "nodes"])
+            raws = b.column(1).to_pylist()
+            plans = [plan_of(raw) if raw is not None and '"Plan"' in raw else None for raw in raws]
+            left = pa.array([raw if p is None else None for raw, p in zip(raws, plans)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), left, pa.array([None if p is None else json_nodes(p) for p in plans], kind)], ["capture_id", "raw", "_nodes"])
+
+    return captures.select("capture_id", "raw").mapInArrow(run, f"capture_id {id_kind}, raw string, _nodes {_NODES}")
+
 
-    read = captures.select("capture_id", "raw").filter(F.contains("raw", F.lit('"Plan"')))
-    return read.mapInArrow(run, f"capture_id {id_kind}, nodes {_NODES}").select("capture_id", F.posexplode("nodes").alias("node", "n")).select("capture_id", "node", "n.*")
+def _plans(read: DataFrame) -> DataFrame:
+    """A row for each row of _documents (with what other columns it has), and _plan, its nodes in JSON or else in text form: one pass, without a join of the two."""
+    rows = _text_nodes(read)
+    fields = "node_type relation estimated_rows actual_rows total_ms loops blocks_hit blocks_read rows_removed sort_method".split()
+    plan = F.coalesce(F.transform("_nodes", lambda n: F.struct(*[n[f].alias(f) for f in fields])), F.transform("_own", lambda n: F.struct(*_text_fields(n))))
+    return rows.select(*[c for c in rows.columns if c not in ("_nodes", "_own")], F.explode(F.array(plan)).alias("_plan"))
 
 
 def plan_nodes(captures: DataFrame) -> DataFrame:
     """(capture_id, node, node_type, ..., sort_method): the nodes of each capture's plan, in JSON or else in text form."""
-    as_json = plan_documents(captures)
-    text = captures.join(as_json.select("capture_id").distinct().hint("merge"), "capture_id", "left_anti")
-    return as_json.drop("depth").unionByName(plan_texts(text).drop("indent"))
+    return _plans(_documents(captures)).select("capture_id", F.posexplode("_plan").alias("node", "n")).select("capture_id", "node", "n.*")
 
 
 def plan_summary(captures: DataFrame) -> DataFrame:
     """(capture_id, nodes, blocks_read, blocks_hit, rows_removed, seq_scans, disk_sorts, buffers, timed, root_ms, total_ms, planning_ms) of each
-    capture with a plan, in JSON or else in text form."""
-    totals = plan_nodes(captures).groupBy("capture_id").agg(
-        F.count("*").alias("nodes"),
-        F.sum("blocks_read").alias("blocks_read"),
-        F.sum("blocks_hit").alias("blocks_hit"),
-        F.sum("rows_removed").alias("rows_removed"),
-        F.array_sort(F.collect_set(F.when(F.col("node_type") == "Seq Scan", F.col("relation")))).alias("seq_scans"),
-        F.array_sort(F.collect_set(F.when(F.col("sort_method").rlike("(?i)disk|external"), F.col("sort_method")))).alias("disk_sorts"),
-        F.bool_or(F.col("blocks_read").isNotNull() | F.col("blocks_hit").isNotNull()).alias("buffers"),
-        F.bool_or((F.col("node") == 0) & F.col("total_ms").isNotNull()).alias("timed"),
-        F.max(F.when(F.col("node") == 0, F.col("total_ms"))).alias("root_ms"),
-    )
+    capture with a plan, in JSON or else in text form. A capture is a row from its text to its summary: nothing is shuffled."""
     either = lambda text, key: F.coalesce(_number(F.col("raw"), text, "double"), _number(F.col("raw"), rf'"{key}":\s*([\d.]+)', "double"))
-    times = captures.select("capture_id", either(EXECUTION, "Execution Time").alias("total_ms"), either(PLANNING, "Planning Time").alias("planning_ms"))
-    return totals.join(times.hint("merge"), "capture_id")
+    # The times are read before the text is left out: they go to the next step beside the id.
+    timed = captures.select(F.struct("capture_id", either(EXECUTION, "Execution Time").alias("total_ms"), either(PLANNING, "Planning Time").alias("planning_ms")).alias("capture_id"), "raw")
+    rows = _plans(_documents(timed)).filter(F.size("_plan") > 0)
+    total = lambda f: F.aggregate("_plan", F.lit(None).cast("bigint"), lambda t, n: F.coalesce(t + n[f], n[f], t))
+    names = lambda test, f: F.array_sort(F.array_distinct(F.filter(F.transform("_plan", lambda n: F.when(test(n), n[f])), lambda v: v.isNotNull())))
+    root_ms = F.get("_plan", F.lit(0))["total_ms"]
+    return rows.select(
+        "capture_id.capture_id",
+        F.size("_plan").cast("bigint").alias("nodes"),
+        total("blocks_read").alias("blocks_read"),
+        total("blocks_hit").alias("blocks_hit"),
+        total("rows_removed").alias("rows_removed"),
+        names(lambda n: n["node_type"] == "Seq Scan", "relation").alias("seq_scans"),
+        names(lambda n: n["sort_method"].rlike("(?i)disk|external"), "sort_method").alias("disk_sorts"),
+        F.exists("_plan", lambda n: n["blocks_read"].isNotNull() | n["blocks_hit"].isNotNull()).alias("buffers"),
+        root_ms.isNotNull().alias("timed"),
+        root_ms.alias("root_ms"),
+        "capture_id.total_ms",
+        "capture_id.planning_ms",
+    )
 
 
 def plan_changes(a: str, b: str) -> tuple[Column, Column]:

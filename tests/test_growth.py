@@ -61,3 +61,12 @@ def test_covers_of_a_prefix_are_two_at_most(spark):
     told = matching.prefix_covers(spark.createDataFrame(rows, "id int, tab string, cols array<string>, uniq boolean"), "tab", "cols", "id", "uniq")
     assert most(told, "Join", "numOutputRows") <= 2 * N
     assert {r.id: r.covered_by for r in told.collect()} == want and N + 2 not in want
+
+
+def test_plans_are_read_in_one_pass(spark):
+    rows = [(1, '[{"Plan": {"Node Type": "Seq Scan", "Relation Name": "a", "Shared Read Blocks": 3, "Plans": [{"Node Type": "Hash"}]}, "Execution Time": 2.5}]'), (2, 'Sort  (cost=0.00..9.00 rows=1 width=8) (actual time=0.1..2.5 rows=3 loops=2)\n  Sort Method: external merge\n  ->  Seq Scan on t  (cost=0.00..1.00 rows=1 width=8)\nPlanning Time: 0.5 ms'), (3, 'not a "Plan"'), (4, None)]
+    told = captures.plan_summary(spark.createDataFrame(rows, "capture_id int, raw string"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+    got = {r.capture_id: (r.nodes, r.blocks_read, r.seq_scans, r.disk_sorts, r.buffers, r.timed, r.root_ms, r.total_ms, r.planning_ms) for r in told.collect()}
+    assert got == {1: (2, 3, ["a"], [], True, False, None, 2.5, None), 2: (2, None, ["t"], ["external merge"], False, True, 5.0, None, 0.5)}
