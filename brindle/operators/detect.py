@@ -21,6 +21,7 @@ from brindle.functions.paths import extension, is_prose, path_kinds, trigger_of
 from brindle.functions.rules import RULES, SYNTAX, extensions
 from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, cold_paths, confidence, priority_sum, priority_told
 from brindle.operators.spans import FRAGMENT_WINDOW, WINDOW
+from brindle.session import cut
 
 #: Matches of one rule in one file that count.
 MATCHES_PER_RULE = 501
@@ -40,6 +41,7 @@ BRACE_LOOP = re.compile(r"^\s*(?:for|while|do)\b|\bfor\s*\(|\bwhile\s*\(|\.\s*(?
 BRACE_NAME = re.compile(
     r"(?:function\s+([A-Za-z_$]\w*)|(?:async\s+)?([A-Za-z_$]\w*)\s*\([^)]*\)\s*(?::\s*[\w<>,\[\]\s|]+)?\s*\{|(?:class|interface|struct|enum)\s+([A-Za-z_$]\w*)|func\s+(?:\([^)]*\)\s*)?([A-Za-z_$]\w*)|(?:public|private|protected|internal|static|final|override|virtual|async|\s)+[\w<>,\[\]\.]+\s+([A-Za-z_$]\w*)\s*\()"
 )
+BRACES = re.compile(r"[{}]")
 DECORATOR = re.compile(
     r"@(?:app|blueprint|bp|router|api)\.(?:route|get|post|put|patch|delete)\b|@(?:Get|Post|Put|Patch|Delete|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping)\s*\(|@rpc_method\b|@api_view\b|@require_(?:GET|POST|http_methods)\b|@HttpGet\b|\[HttpGet\]|\[HttpPost\]"
 )
@@ -114,15 +116,18 @@ def scopes(path: str, text: str, wanted: set[int]) -> dict[int, Scope]:
     stack: list[tuple[int, str | None, str | None, int]] = []  # depth, loop header, name, line
     depth, out = 0, {}
 
+    told: dict[str, tuple[str | None, str | None]] = {}
+
     def block(header: str, level: int, line: int) -> tuple[int, str | None, str | None, int]:
-        if loop.search(header):
-            return level, header.strip(), None, line
-        m = name.search(header)
-        return level, None, next((g for g in m.groups() if g), None) if m else None, line
+        if header not in told:
+            m = None if loop.search(header) else name.search(header)
+            told[header] = (header.strip(), None) if loop.search(header) else (None, next((g for g in m.groups() if g), None) if m else None)
+        return level, *told[header], line
 
     for k, line in enumerate(code):
         if by_indent and line.strip():
-            level = sum(4 if c == "\t" else 1 for c in line[: len(line) - len(line.lstrip(" \t"))])
+            indent = line[: len(line) - len(line.lstrip(" \t"))]
+            level = len(indent) + 3 * indent.count("\t")
             while stack and stack[-1][0] >= level:
                 stack.pop()
         if k in wanted:
@@ -142,7 +147,7 @@ def scopes(path: str, text: str, wanted: set[int]) -> dict[int, Scope]:
         header = line
         if line.strip() == "{":
             header = next((x for x in code[max(0, k - HEADER_LINES) : k][::-1] if x.strip()), line)
-        for c in line:
+        for c in BRACES.findall(line):
             if c == "{":
                 depth += 1
                 stack.append(block(header, depth, k) if header else (depth, None, None, k))
@@ -482,6 +487,8 @@ def sampled_files(relevant: DataFrame) -> DataFrame:
 
 
 def both_tiers(files: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Sites of candidates, and after them samples of the relevant files that have none; each counts as matched."""
-    first = candidates(files, profile)
+    """Sites of candidates, and after them samples of the relevant files that have none; each counts as matched.
+
+    The sites are written once: the files that they cover are read from them, not from a second scan."""
+    first = cut(candidates(files, profile), "sites")
     return first.unionByName(sampled_files(relevant_files(files, first)))

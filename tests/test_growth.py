@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.operators import captures, ddl, matching
+from pyspark.sql import functions as F
+
+from brindle.operators import captures, ddl, detect, matching
+from brindle.plans import code_queries
 
 N = 300
 
@@ -70,3 +73,16 @@ def test_plans_are_read_in_one_pass(spark):
     assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
     got = {r.capture_id: (r.nodes, r.blocks_read, r.seq_scans, r.disk_sorts, r.buffers, r.timed, r.root_ms, r.total_ms, r.planning_ms) for r in told.collect()}
     assert got == {1: (2, 3, ["a"], [], True, False, None, 2.5, None), 2: (2, None, ["t"], ["external merge"], False, True, 5.0, None, 0.5)}
+
+
+def test_both_tiers_scan_once(spark):
+    files = spark.createDataFrame([("a.py", 'x = "SELECT a FROM t WHERE b"'), ("models/b.py", "class M(models.Model):\n    owner = models.ForeignKey(U)\n    n = M.objects.all")], "path string, content string")
+    told = detect.both_tiers(files)
+    assert "MapInArrow" not in told._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.detector.startswith("relevance")) for r in told.collect()} == {("a.py", False), ("models/b.py", True)}
+
+
+def test_small_tables_make_files_in_many_parts(spark, sf_dir):
+    for name in ("detect_pipeline", "scan_counters"):
+        parts = code_queries.QUERIES[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1
