@@ -23,8 +23,8 @@ from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, cold_paths,
 from brindle.operators.spans import FRAGMENT_WINDOW, WINDOW
 from brindle.session import cut
 
-#: Matches of one rule in one file that count.
-MATCHES_PER_RULE = 501
+#: Matches of one rule in one file that count: None, all of them.
+MATCHES_PER_RULE = None
 CONTEXT_LINES = 6
 #: Lines that a Ruby block without an indented body may be above; lines in which a decorator may stand; lines from a lone brace up to its header.
 BLOCK_LINES, DECORATOR_LINES, HEADER_LINES = 40, 6, 3
@@ -175,7 +175,7 @@ def _open_block(code: list[str], k: int) -> list[str]:
     return opened[-1:]
 
 
-def matches(path: str, text: str, cap: int = MATCHES_PER_RULE) -> list[tuple[int, int, int]]:
+def matches(path: str, text: str) -> list[tuple[int, int, int]]:
     """(start, rule, end) of every match of every rule that is for the file's extension, in the order of the text and of the rules.
 
     One pass of an automaton over the text tells which rules it can match at all; only those are tried, and the text without strings is made only if one of them needs it.
@@ -189,10 +189,7 @@ def matches(path: str, text: str, cap: int = MATCHES_PER_RULE) -> list[tuple[int
             continue
         if not anywhere and code is None:
             code = masked(path, text, True)
-        for n, m in enumerate(pattern.finditer(with_strings if anywhere else code)):
-            if n == cap:
-                break
-            found.append((m.start(), k, m.end()))
+        found += [(m.start(), k, m.end()) for m in pattern.finditer(with_strings if anywhere else code)]
     return sorted(found, key=lambda h: h[:2])
 
 
@@ -284,12 +281,12 @@ def spans(found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]
     return [tuple(s) for s in out]
 
 
-def hits(files: DataFrame, cap: int = MATCHES_PER_RULE) -> DataFrame:
+def hits(files: DataFrame) -> DataFrame:
     """(path, rule, start, end): every match of every rule in files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, k, s, e) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, k, e in matches(p, t or "", cap)]
+            rows = [(p, k, s, e) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, k, e in matches(p, t or "")]
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["path", "rule", "start", "end"])
 

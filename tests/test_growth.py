@@ -86,3 +86,15 @@ def test_small_tables_make_files_in_many_parts(spark, sf_dir):
     for name in ("detect_pipeline", "scan_counters"):
         parts = code_queries.QUERIES[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts > 1
+
+
+def code_tables(spark, folder, orders: int) -> str:
+    """Tables of four customers, one for each kind of file, with so many orders each."""
+    spark.range(4).selectExpr("id AS c_custkey", "'B' AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(4 * orders).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_all_matches_of_a_rule_count_in_a_site(spark, tmp_path):
+    told = {r.path: (r.start_line, r.end_line, r.matched) for r in code_queries.detect_pipeline(spark, code_tables(spark, tmp_path, 700)).collect()}
+    assert told == {"app/views/v0.py": (5, 704, 1), "src/s1.ts": (5, 704, 1), "jobs/j2.rb": (4, 703, 1), "db/migrate/m3.sql": (1, 700, 1)}
