@@ -98,3 +98,8 @@ def code_tables(spark, folder, orders: int) -> str:
 def test_all_matches_of_a_rule_count_in_a_site(spark, tmp_path):
     told = {r.path: (r.start_line, r.end_line, r.matched) for r in code_queries.detect_pipeline(spark, code_tables(spark, tmp_path, 700)).collect()}
     assert told == {"app/views/v0.py": (5, 704, 1), "src/s1.ts": (5, 704, 1), "jobs/j2.rb": (4, 703, 1), "db/migrate/m3.sql": (1, 700, 1)}
+
+
+def test_totals_count_all_matches_of_a_rule(spark):
+    text = ("\n" + "b = 1\n" * 25).join(f'a = "SELECT x FROM t{i} WHERE y"' for i in range(700))
+    assert tuple(detect.scan_totals(detect.scan(spark.createDataFrame([("a.py", text)], "path string, content string"))).first()) == (700, 0, 660, 1)
