@@ -103,3 +103,9 @@ def test_all_matches_of_a_rule_count_in_a_site(spark, tmp_path):
 def test_totals_count_all_matches_of_a_rule(spark):
     text = ("\n" + "b = 1\n" * 25).join(f'a = "SELECT x FROM t{i} WHERE y"' for i in range(700))
     assert tuple(detect.scan_totals(detect.scan(spark.createDataFrame([("a.py", text)], "path string, content string"))).first()) == (700, 0, 660, 1)
+
+
+def test_tiers_hold_a_late_site_of_high_priority(spark):
+    text = ("\n" + "b = 1\n" * 25).join(f'a = "SELECT x FROM t{i} WHERE y"' for i in range(700)) + "\n" + "b = 1\n" * 25 + 'for i in ids:\n    a = "SELECT x FROM t WHERE y"\n'
+    told = detect.both_tiers(spark.createDataFrame([("a.py", text)], "path string, content string"))
+    assert told.orderBy(told.priority.desc()).first().start_line == 26 * 700 + 2 and told.count() == 40
