@@ -6,9 +6,9 @@ A file is one task's work from its text to its best sites: nothing is shuffled.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from re import _parser as re_parser
 
 import ahocorasick
@@ -21,7 +21,7 @@ from brindle.functions.paths import extension, is_prose, path_kinds, trigger_of
 from brindle.functions.rules import RULES, SYNTAX, extensions
 from brindle.functions.scoring import MAX_PER_FILE, MIN_CONFIDENCE, cold_paths, confidence, priority_sum, priority_told
 from brindle.operators.spans import FRAGMENT_WINDOW, WINDOW
-from brindle.session import cut
+from brindle.session import cut, small_batches
 
 #: Matches of one rule in one file that count: None, all of them.
 MATCHES_PER_RULE = None
@@ -48,41 +48,56 @@ DECORATOR = re.compile(
 
 
 @lru_cache(None)
-def _masker(ext: str) -> re.Pattern | None:
-    """One pattern for a language's comments (group 1) and strings (groups 2 and 3: quote and body)."""
+def _masker(ext: str) -> tuple[re.Pattern, frozenset[int]] | None:
+    """One pattern for a language's comments (no group) and strings (a group for the body, by quote), and the groups of triple quotes. Each branch begins with a
+    letter of its own, so that a search goes from mark to mark."""
     for exts, line, block, quotes, escapes in SYNTAX:
         if ext in exts.split():
-            comments = []
+            branches = []
             if block:
                 opens, closes = block.split()
-                comments.append(rf"{re.escape(opens)}[\s\S]*?(?:{re.escape(closes)}|\Z)")
+                branches.append(rf"{re.escape(opens)}[\s\S]*?(?:{re.escape(closes)}|\Z)")
             if line:
-                comments.append(rf"{re.escape(line)}[^\n]*")
-            body = r"(?:\\[\s\S]|(?!\2)[\s\S])*+" if escapes else r"(?:(?!\2)[\s\S])*+"
-            return re.compile(rf"({'|'.join(comments)})|({'|'.join(map(re.escape, quotes.split()))})({body})(?:\2|\Z)")
+                branches.append(rf"{re.escape(line)}[^\n]*")
+            for quote in quotes.split():
+                c = re.escape(quote[0])
+                body = [rf"[^{c}\\]++", r"\\[\s\S]?"] if escapes else [rf"[^{c}]++"]
+                if len(quote) == 3:
+                    body.append(rf"{c}(?!{c}{c})")
+                branches.append(rf"{re.escape(quote)}((?:{'|'.join(body)})*+)(?:{re.escape(quote)}|\Z)")
+            return re.compile("|".join(branches)), frozenset(k for k, q in enumerate(quotes.split(), 1) if len(q) == 3)
     return None
 
 
 def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
+    return re.sub(r"[^\n]", " ", text) if "\n" in text else " " * len(text)
 
 
-def masked(path: str, text: str, strings: bool) -> str:
-    """text with comments, and string bodies if asked, as spaces; every other character keeps its place. A triple-quoted string that opens its line
+def masks(path: str, text: str) -> tuple[str, str]:
+    """text with comments as spaces, and with string bodies as spaces too; every other character keeps its place. A triple-quoted string that opens its line
     documents and is blanked like a comment. Files of unknown languages stay as they are."""
-    pattern = _masker(_ext(path))
-    if pattern is None:
-        return text
+    masker = _masker(_ext(path))
+    if masker is None:
+        return text, text
+    pattern, triple = masker
+    pieces: tuple[list[str], list[str]] = ([], [])
+    done = [0, 0]
+    for m in pattern.finditer(text):
+        of = m.lastindex
+        start, end = m.span() if of is None else m.span(of)
+        # What a string is blanked in: only the text without strings, or both where it documents.
+        both = of is None or of in triple and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+        blank = _blank(text[start:end])
+        for k in (0, 1) if both else (1,):
+            pieces[k].append(text[done[k] : start])
+            pieces[k].append(blank)
+            done[k] = end
+    return tuple("".join(pieces[k]) + text[done[k] :] for k in (0, 1))
 
-    def replace(m: re.Match) -> str:
-        if m[1] is not None:
-            return _blank(m[0])
-        documents = len(m[2]) == 3 and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
-        if not (strings or documents):
-            return m[0]
-        return m[2] + _blank(m[3]) + m[0][len(m[2]) + len(m[3]) :]
 
-    return pattern.sub(replace, text)
+def masked(path: str, text: str, strings: bool) -> str:
+    """One of masks: that without strings, if asked."""
+    return masks(path, text)[bool(strings)]
 
 
 def _ext(path: str) -> str:
@@ -103,46 +118,68 @@ class Scope:
         return ".".join(self.names) or None
 
 
-def scopes(path: str, text: str, wanted: set[int]) -> dict[int, Scope]:
+def scopes(path: str, text: str, wanted: set[int], code: str | None = None) -> dict[int, Scope]:
     """The scopes of the wanted lines (from 0), in one pass with a stack of open blocks: by indentation, or by braces.
 
     A line that holds nothing but a brace opens the block of the line above it. In Ruby a loop whose body is not indented counts too, and in
-    languages of indentation a comprehension that stands on the line itself.
+    languages of indentation a comprehension that stands on the line itself. code: the text without strings, where it is known.
     """
-    code = masked(path, text, True).split("\n")
     ext = _ext(path)
-    by_indent = ext in INDENTED
-    loop, name = (RB_LOOP, RB_NAME) if ext == "rb" else (EX_LOOP, EX_NAME) if ext in ("ex", "exs") else (PY_LOOP, PY_NAME) if by_indent else (BRACE_LOOP, BRACE_NAME)
-    stack: list[tuple[int, str | None, str | None, int]] = []  # depth, loop header, name, line
-    depth, out = 0, {}
-
+    code = (masked(path, text, True) if code is None else code).split("\n")
+    del code[max(wanted, default=-1) + 1 :]
+    loop, name = (RB_LOOP, RB_NAME) if ext == "rb" else (EX_LOOP, EX_NAME) if ext in ("ex", "exs") else (PY_LOOP, PY_NAME) if ext in INDENTED else (BRACE_LOOP, BRACE_NAME)
     told: dict[str, tuple[str | None, str | None]] = {}
 
-    def block(header: str, level: int, line: int) -> tuple[int, str | None, str | None, int]:
+    def block(header: str) -> tuple[str | None, str | None]:
+        """What a header opens: a loop, or a scope of some name."""
         if header not in told:
             m = None if loop.search(header) else name.search(header)
             told[header] = (header.strip(), None) if loop.search(header) else (None, next((g for g in m.groups() if g), None) if m else None)
-        return level, *told[header], line
+        return told[header]
 
+    def scope(k: int, opened: list[tuple[str, int]]) -> Scope:
+        blocks = [(*block(header), line) for header, line in opened]
+        headers = [b[0] for b in reversed(blocks) if b[0] is not None]
+        if not headers and ext == "rb":
+            headers = _open_block(code, k)
+        if not headers and ext in INDENTED and COMPREHENSION.search(code[k]):
+            headers = [code[k].strip()]
+        named = [b for b in blocks if b[1]]
+        return Scope(headers, [b[1] for b in named], named[-1][2] if named else None, bool(loop.search(code[k])))
+
+    return (_by_indent if ext in INDENTED else _by_brace)(code, wanted, block, scope)
+
+
+def _by_indent(code: list[str], wanted: set[int], block: Callable, scope: Callable) -> dict[int, Scope]:
+    stack: list[tuple[int, str, int]] = []  # level, header, line
+    out = {}
+    seen: dict[str, tuple[int, bool] | tuple[()]] = {}
     for k, line in enumerate(code):
-        if by_indent and line.strip():
-            indent = line[: len(line) - len(line.lstrip(" \t"))]
-            level = len(indent) + 3 * indent.count("\t")
-            while stack and stack[-1][0] >= level:
+        known = seen.get(line)
+        if known is None:
+            known = ()
+            if line.strip():
+                indent = line[: len(line) - len(line.lstrip(" \t"))]
+                opens = block(line)
+                known = (len(indent) + 3 * indent.count("\t"), opens[0] is not None or bool(opens[1]))
+            seen[line] = known
+        if known:
+            while stack and stack[-1][0] >= known[0]:
                 stack.pop()
         if k in wanted:
-            headers = [s[1] for s in reversed(stack) if s[1] is not None]
-            if not headers and ext == "rb":
-                headers = _open_block(code, k)
-            if not headers and by_indent and COMPREHENSION.search(line):
-                headers = [line.strip()]
-            named = [s for s in stack if s[2]]
-            out[k] = Scope(headers, [s[2] for s in named], named[-1][3] if named else None, bool(loop.search(line)))
-        if by_indent:
-            if line.strip():
-                b = block(line, level, k)
-                if b[1] is not None or b[2]:
-                    stack.append(b)
+            out[k] = scope(k, [s[1:] for s in stack])
+        if known and known[1]:
+            stack.append((known[0], line, k))
+    return out
+
+
+def _by_brace(code: list[str], wanted: set[int], block: Callable, scope: Callable) -> dict[int, Scope]:
+    stack: list[tuple[int, str, int]] = []  # depth, header, line; what a header says is only asked while its block is open
+    depth, out = 0, {}
+    for k, line in enumerate(code):
+        if k in wanted:
+            out[k] = scope(k, [s[1:] for s in stack if s[1]])
+        if "{" not in line and "}" not in line:
             continue
         header = line
         if line.strip() == "{":
@@ -150,9 +187,9 @@ def scopes(path: str, text: str, wanted: set[int]) -> dict[int, Scope]:
         for c in BRACES.findall(line):
             if c == "{":
                 depth += 1
-                stack.append(block(header, depth, k) if header else (depth, None, None, k))
+                stack.append((depth, header, k))
                 header = ""
-            elif c == "}":
+            else:
                 while stack and stack[-1][0] >= depth:
                     stack.pop()
                 depth = max(0, depth - 1)
@@ -175,20 +212,14 @@ def _open_block(code: list[str], k: int) -> list[str]:
     return opened[-1:]
 
 
-def matches(path: str, text: str) -> list[tuple[int, int, int]]:
+def matches(path: str, text: str, masks_of: tuple[str, str] | None = None) -> list[tuple[int, int, int]]:
     """(start, rule, end) of every match of every rule that is for the file's extension, in the order of the text and of the rules.
 
-    One pass of an automaton over the text tells which rules it can match at all; only those are tried, and the text without strings is made only if one of them needs it.
+    One pass of an automaton over the lines of the text, each once, tells which rules it can match at all; only those are tried. masks_of: the text's masks, where they are known.
     """
-    ext = _ext(path)
-    with_strings, code = masked(path, text, False), None
-    possible = _possible(with_strings)
+    with_strings, code = masks(path, text) if masks_of is None else masks_of
     found = []
-    for k, pattern, exts, anywhere in _compiled():
-        if not possible[k] or exts and ext not in exts:
-            continue
-        if not anywhere and code is None:
-            code = masked(path, text, True)
+    for k, pattern, anywhere in _tried(_ext(path), _factors_in(with_strings)):
         found += [(m.start(), k, m.end()) for m in pattern.finditer(with_strings if anywhere else code)]
     return sorted(found, key=lambda h: h[:2])
 
@@ -238,31 +269,66 @@ def _factors_of(parsed: Iterable) -> frozenset[str] | None:
     return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
 
 
+def needs(pattern: str) -> list[list[frozenset[str]]]:
+    """Of each side of a pattern (the branches it consists of, or itself), what every match of it holds in lower case: a text of each of these sets. Texts may be one letter long."""
+    sides = [re_parser.parse(pattern)]
+    while any(len(s) == 1 and str(s[0][0]) == "BRANCH" for s in sides):
+        sides = [x for s in sides for x in (s[0][1][1] if len(s) == 1 and str(s[0][0]) == "BRANCH" else [s])]
+    return [_needs_of(s) for s in sides]
+
+
+def _needs_of(parsed: Iterable) -> list[frozenset[str]]:
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, argument in [*parsed, ("END", None)]:
+        name = str(op)
+        if name == "LITERAL" and 32 < argument < 127:
+            run += chr(argument).lower()
+            continue
+        if name == "AT":  # takes no character
+            continue
+        if run:
+            found.append(frozenset((run,)))
+            run = ""
+        if name == "SUBPATTERN":
+            found += _needs_of(argument[3])
+        elif name == "ATOMIC_GROUP":
+            found += _needs_of(argument)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and argument[0] > 0:
+            found += _needs_of(argument[2])
+        elif name == "BRANCH":
+            sides = [max(_needs_of(side), key=lambda f: (min(map(len, f)), -len(f)), default=None) for side in argument[1]]
+            if None not in sides:
+                found.append(frozenset().union(*sides))
+    return found
+
+
 @lru_cache(1)
-def _automaton() -> tuple[ahocorasick.Automaton, tuple[bool, ...]]:
-    """An automaton of all rules' factors, each with the rules it stands for; and which rules have none, so that any text may match them."""
-    rules_of: dict[str, list[int]] = {}
-    always = []
-    for k, r in enumerate(RULES):
-        told = factors(r.pattern)
-        always.append(told is None)
-        for f in told or ():
-            rules_of.setdefault(f, []).append(k)
+def _needed() -> tuple[list[list[list[frozenset[str]]]], ahocorasick.Automaton, tuple[str, ...]]:
+    """What each rule needs; an automaton of the texts of two letters or more that rules need; and those of one letter."""
+    told = [needs(r.pattern) for r in RULES]
+    words = {f for rule in told for side in rule for one in side for f in one}
     automaton = ahocorasick.Automaton()
-    for f, rules in rules_of.items():
-        automaton.add_word(f, rules)
+    for w in words:
+        if len(w) > 1:
+            automaton.add_word(w, w)
     automaton.make_automaton()
-    return automaton, tuple(always)
+    return told, automaton, tuple(sorted(w for w in words if len(w) == 1))
+
 
+def _factors_in(text: str) -> frozenset[str]:
+    """The texts that rules need of those in a text. None holds a blank: lines that repeat tell nothing new, and the text with strings speaks for the one without."""
+    _, automaton, letters = _needed()
+    lines = "\n".join(dict.fromkeys(text.lower().split("\n")))
+    return frozenset([w for _, w in automaton.iter(lines)] + [c for c in letters if c in lines])
 
-def _possible(text: str) -> list[bool]:
-    """Of each rule, whether the text can match it. Masking only blanks, and no factor holds a blank, so that the text with strings speaks for the one without."""
-    automaton, always = _automaton()
-    told = list(always)
-    for _, rules in automaton.iter(text.lower()):
-        for k in rules:
-            told[k] = True
-    return told
+
+@lru_cache(10_000)
+def _tried(ext: str, found: frozenset[str]) -> list[tuple[int, re.Pattern, bool]]:
+    """The rules for an extension that a text with these factors can match."""
+    told = _needed()[0]
+    possible = lambda k: any(all(one & found for one in side) for side in told[k])
+    return [(k, pattern, anywhere) for k, pattern, exts, anywhere in _compiled() if (not exts or ext in exts) and possible(k)]
 
 
 def spans(found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
@@ -303,44 +369,68 @@ _SITE_SQL = "detector string, dialect string, style string, symbol string, excer
 
 def sites(path: str, text: str) -> list[dict]:
     """A file's spans with what the rules and the surroundings say of each."""
-    found = spans(matches(path, text))
+    both = masks(path, text)
+    found = spans(matches(path, text, both))
     if not found:
         return []
     lines = text.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    line_of = lambda at: bisect_right(starts, at, 0, len(lines)) - 1
-    around = scopes(path, text, {line_of(s) for s, _, _ in found})
-    first_at: dict[str, int] = {}
-    for k, line in enumerate(lines):
-        first_at.setdefault(line.strip(), k)
+    firsts, line, at = [], 0, 0
+    for start, _, _ in found:  # in the order of the text
+        line, at = line + text.count("\n", at, start), start
+        firsts.append(line)
+    around = scopes(path, text, set(firsts), both[1])
+    first_at = _first_lines(lines, {h for scope in around.values() for h in scope.headers})
     out = []
-    for start, end, rules in found:
-        a, z = line_of(start), line_of(end)
+    for a, (start, end, rules) in zip(firsts, found):
+        z = a + text.count("\n", start, end)
         scope = around[a]
-        by_confidence = sorted((RULES[k] for k in rules), key=lambda r: -r.confidence)
-        named = [r.engine for r in by_confidence if r.engine != "unknown"]
+        detector, style, best, dialect, named = _of_rules(tuple(rules))
         out.append(
             {
-                "detector": "+".join(dict.fromkeys(RULES[k].name for k in rules)),
-                "dialect": next((r.engine for r in by_confidence if r.name in DIALECT_RULES and r.engine != "unknown"), None),
-                "style": by_confidence[0].style,
+                "detector": detector,
+                "dialect": dialect,
+                "style": style,
                 "symbol": scope.symbol,
                 "excerpt": _excerpt(lines, a, z, scope, first_at),
                 "start_line": a + 1,
                 "end_line": z + 1,
                 "n": len(rules),
                 "loop_depth": len(scope.headers),
-                "best": by_confidence[0].confidence / 100,
+                "best": best,
                 "opens_loop": scope.opens,
                 "decorated": bool(DECORATOR.search("\n".join(_above(lines, a, scope)))),
-                "named": list(dict.fromkeys(named)),
+                "named": named,
             }
         )
     return out
 
 
+@lru_cache(10_000)
+def _told_by(rules: tuple[int, ...]) -> tuple[str, str, float, str | None, list[str]]:
+    """Detector, style, confidence, dialect and engines that distinct rules, in the order of their first hits, tell of a span."""
+    by_confidence = sorted((RULES[k] for k in rules), key=lambda r: -r.confidence)
+    named = [r.engine for r in by_confidence if r.engine != "unknown"]
+    dialect = next((r.engine for r in by_confidence if r.name in DIALECT_RULES and r.engine != "unknown"), None)
+    return "+".join(dict.fromkeys(RULES[k].name for k in rules)), by_confidence[0].style, by_confidence[0].confidence / 100, dialect, list(dict.fromkeys(named))
+
+
+def _of_rules(rules: Iterable[int]) -> tuple[str, str, float, str | None, list[str]]:
+    return _told_by(tuple(dict.fromkeys(rules)))
+
+
+def _first_lines(lines: list[str], headers: set[str]) -> dict[str, int]:
+    """Of each header, the first line that is it, white space around aside."""
+    out: dict[str, int] = {}
+    if headers:
+        for k, line in enumerate(lines):
+            stripped = line.strip()
+            if stripped in headers and stripped not in out:
+                out[stripped] = k
+                if len(out) == len(headers):
+                    break
+    return out
+
+
 def _above(lines: list[str], a: int, scope: Scope) -> list[str]:
     """Lines where a decorator of the innermost named scope may stand, or without one, of the line."""
     end = a if scope.named_at is None else scope.named_at + 1
@@ -356,6 +446,47 @@ def _excerpt(lines: list[str], a: int, z: int, scope: Scope, first_at: dict[str,
     return "\n".join([*heads, f"      … (lines above {low + 1} omitted)", *body] if heads else body)
 
 
+def strengths(path: str, text: str) -> list[dict]:
+    """Of each of a file's spans, what its confidence is made of: its best rule's, and its hits."""
+    return [{"best": _of_rules(rules)[2], "n": len(rules)} for _, _, rules in spans(matches(path, text))]
+
+
+_STRENGTH, _STRENGTH_SQL = pa.struct([("best", pa.float64()), ("n", pa.int32())]), "best double, n int"
+
+
+def _spans_read(files: DataFrame, of: Callable[[str, str], list[dict]], kind: pa.StructType, sql: str) -> DataFrame:
+    """(path, spans) of every file (path, content) that has spans: what `of` says of each, as structs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, s) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := of(p, t or ""))]
+            flat = [x for _, s in rows for x in s]
+            fields = pa.StructArray.from_arrays([pa.array([x[f.name] for x in flat], f.type) for f in kind], fields=list(kind))
+            offsets = pa.array(accumulate((len(s) for _, s in rows), initial=0), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.ListArray.from_arrays(offsets, fields)], ["path", "spans"])
+
+    small_batches(files.sparkSession)
+    return files.select("path", "content").filter(~is_prose(F.col("path"))).mapInArrow(run, f"path string, spans array<struct<{sql.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def _counters(per_file: int) -> list[Column]:
+    """What the floor and the limit took of matched spans, and what they left, where found stand at or above the floor."""
+    over = F.greatest(F.col("found") - per_file, F.lit(0))
+    return [(F.col("matched") - F.col("found")).alias("below_confidence"), over.alias("low_priority"), F.col("found")]
+
+
+def _sure(x: Column) -> Column:
+    return F.round(confidence(x["best"], x["n"]), 4)
+
+
+def counted(files: DataFrame, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
+    """(path, matched, below_confidence, low_priority, found, kept): the counters of scan, kept for the size of its sites. Every rule is matched in every file; what
+    stands around a span ranks it among its file's, but changes no counter, and is not read here."""
+    read = _spans_read(files, strengths, _STRENGTH, _STRENGTH_SQL)
+    told = read.select("path", F.size("spans").alias("matched"), F.size(F.filter("spans", lambda x: _sure(x) >= floor)).alias("found"))
+    return told.select("path", "matched", *_counters(per_file), F.least("found", F.lit(per_file)).alias("kept"))
+
+
 def scan(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
     """(path, matched, below_confidence, low_priority, found, sites) of every file (path, content) with hits.
 
@@ -365,12 +496,7 @@ def scan(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX
     it is ambiguous), else the most confident rule's. profile: the rows of operators.profile.engine_profile.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, s) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := sites(p, t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.list_(_SITE))], ["path", "spans"])
-
-    read = files.select("path", "content").filter(~is_prose(F.col("path"))).mapInArrow(run, f"path string, spans array<struct<{_SITE_SQL.replace(' ', ':').replace(',:', ',')}>>")
+    read = _spans_read(files, sites, _SITE, _SITE_SQL)
     if profile is None:
         read = read.select("*", F.array().cast("array<string>").alias("_declared"), F.lit(None).cast("string").alias("_primary"), F.lit(False).alias("_ambiguous"))
     else:
@@ -386,7 +512,7 @@ def scan(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX
     declared = lambda s: F.when(F.size("_declared") > 0, F.coalesce(known(s), F.when(F.col("_ambiguous"), F.lit("unknown")).otherwise(F.nullif(F.col("_primary"), F.lit("unknown")))))
     reached = F.transform("spans", lambda s: F.struct(s.alias("s"), trigger_of(kinds, s["symbol"], s["decorated"]).alias("trigger")))
     told = F.transform(reached, lambda x: F.struct(x["s"].alias("s"), x["trigger"].alias("trigger"), priority_told(cold, x["s"]["excerpt"], x["s"]["loop_depth"], x["trigger"], x["s"]["style"]).alias("told")))
-    scored = F.transform(told, lambda x: F.struct(x["s"].alias("s"), x["trigger"].alias("trigger"), x["told"].alias("told"), priority_sum(x["told"]).alias("score"), F.round(confidence(x["s"]["best"], x["s"]["n"]), 4).alias("sure")))
+    scored = F.transform(told, lambda x: F.struct(x["s"].alias("s"), x["trigger"].alias("trigger"), x["told"].alias("told"), priority_sum(x["told"]).alias("score"), _sure(x["s"]).alias("sure")))
 
     def site(x: Column) -> Column:
         s = x["s"]
@@ -397,8 +523,7 @@ def scan(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX
         )
 
     told = read.select("path", F.size("spans").alias("matched"), F.transform(F.filter(scored, lambda x: x["sure"] >= floor), site).alias("sites"))
-    found = F.size("sites")
-    return told.select("path", "matched", (F.col("matched") - found).alias("below_confidence"), F.greatest(found - per_file, F.lit(0)).alias("low_priority"), found.alias("found"), F.slice(F.array_sort("sites"), 1, per_file).alias("sites"))
+    return told.withColumn("found", F.size("sites")).select("path", "matched", *_counters(per_file), F.slice(F.array_sort("sites"), 1, per_file).alias("sites"))
 
 
 def candidates(files: DataFrame, profile: DataFrame | None = None, per_file: int = MAX_PER_FILE, floor: float = MIN_CONFIDENCE) -> DataFrame:
@@ -408,7 +533,7 @@ def candidates(files: DataFrame, profile: DataFrame | None = None, per_file: int
 
 
 def scan_totals(scanned: DataFrame) -> DataFrame:
-    """One row: sums of the counters over all files, and how many files were truncated."""
+    """One row: sums of the counters over all files of scan or counted, and how many files were truncated."""
     return scanned.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched", "below_confidence", "low_priority")], F.count(F.when(F.col("low_priority") > 0, 1)).alias("truncated"))
 
 

@@ -109,3 +109,17 @@ def test_tiers_hold_a_late_site_of_high_priority(spark):
     text = ("\n" + "b = 1\n" * 25).join(f'a = "SELECT x FROM t{i} WHERE y"' for i in range(700)) + "\n" + "b = 1\n" * 25 + 'for i in ids:\n    a = "SELECT x FROM t WHERE y"\n'
     told = detect.both_tiers(spark.createDataFrame([("a.py", text)], "path string, content string"))
     assert told.orderBy(told.priority.desc()).first().start_line == 26 * 700 + 2 and told.count() == 40
+
+
+def test_counters_read_no_surroundings(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", ("\n" + "b = 1\n" * 25).join(f'a = "SELECT x FROM t{i} WHERE y"' for i in range(45))), ("b.py", "x = 1"), ("c.rb", "Order.where(id: 1)"), ("d.md", 'a = "SELECT x FROM t WHERE y"')], "path string, content string")
+    scanned = detect.scan(files).select("path", "matched", "below_confidence", "low_priority", "found", F.size("sites").alias("kept"))
+    assert sorted(map(tuple, detect.counted(files).collect())) == sorted(map(tuple, scanned.collect()))
+    monkeypatch.setattr(detect, "scopes", None)
+    assert detect.strengths("a.py", 'x = "SELECT a FROM t WHERE b"') == [{"best": 0.75, "n": 1}]
+
+
+def test_rules_that_lack_a_needed_text_are_not_tried():
+    assert detect.needs(r"(?:SELECT|INSERT)[\s\S]{0,9}?\$\d+|\bq\s+(?:a|bc)?x") == [[{"select", "insert"}, {"$"}], [{"q"}, {"x"}]]
+    tried = lambda text: {detect.RULES[k].name for k, _, _ in detect._tried("py", detect._factors_in(text))}
+    assert "postgres-placeholder" not in tried("SELECT a") and "postgres-placeholder" in tried("x\nSELECT a\n$1")
