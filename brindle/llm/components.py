@@ -14,16 +14,24 @@ def _least(pairs: DataFrame, key: str, value: str, rows: int) -> DataFrame:
     return cut(pairs.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least", rows)
 
 
+def _state(pairs: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are all known: each node that has an edge down has one only, to a node that has none."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    found = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    size, open_ = found.agg(F.sum("down"), F.max((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0))).first()
+    return size or 0, not open_
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b), of any one type that has an order: the component is its smallest node.
 
     Alternating stars: every node links its larger neighbours to the smallest node it knows, then its smaller ones, until
-    nothing changes; each round works on at most as many edges as there are, and is written in as many files as they fill. A hot node's edges are dealt in parts
-    where they meet its smallest neighbour. Rounds grow with the logarithm of the longest path; no edges take none.
+    only stars are left; each round works on at most as many edges as there are, and is written in as many files as they fill. A hot node's edges are dealt in parts
+    where they meet its smallest neighbour. Rounds grow with the logarithm of the longest path; stars, and no edges, take none.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    size, before = pairs.count(), None
-    while size:
+    size, done = _state(pairs)
+    while not done:
         # Large star: neighbours above a node go to the smallest of it and its neighbours.
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = _least(both, "u", "v", 2 * size)
@@ -34,11 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = join_hot(pairs, lowest.select("a", "m"), ["a"], hot_keys(lowest, ["a"]), ["b"])
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
         pairs = cut(small.distinct(), "edges", 2 * size)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        size = now[0]
-        if before == tuple(now):
-            break
-        before = tuple(now)
+        size, done = _state(pairs)
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.union(roots)

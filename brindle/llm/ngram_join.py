@@ -8,9 +8,9 @@
    classes that share a shingle of their prefixes are one cluster.
 4. Each cluster's sets, commonest shingle first, go into a prefix tree; every set walks it level by level, a branch's
    overlap is counted once for all sets below it, and branches are cut when what remains of both lengths can't reach
-   the overlap needed. A large cluster is dealt in pieces. Each piece is linked in itself, then one set of each
-   linked group meets those of other pieces, and last the sets outside their cluster's largest group meet the pieces that hold one of their prefix shingles: two
-   sets of one group need no link, so that no pair of pieces meets whole. Phases without anything to do are left out.
+   the overlap needed. A large cluster is dealt in pieces. Each piece is linked in itself and with the first piece, which makes most groups one; then one set of each
+   linked group meets those of other pieces, and last the sets outside their cluster's largest group meet the pieces that hold one of their prefix shingles
+   where enough of both sets is left for a link: two sets of one group need no link, so that no pair of pieces meets whole. Phases without anything to do are left out.
 """
 
 from __future__ import annotations
@@ -365,6 +365,22 @@ def block_links(every: list[tuple[bytes, int, np.ndarray]], probes: list[int] |
     return out
 
 
+def stars(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The links of a block as (name, smallest name that it reaches): what joins no other block's links needs no further step."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+
 def _candidates(rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(class, tokens): sets of the classes that have enough shingles in common with others."""
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
@@ -387,14 +403,15 @@ def _candidates(rows: DataFrame, classes: DataFrame, width: int, percent: int) -
 
 
 def _clusters(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(class, cluster) of sets that share a shingle of their prefixes with another one, rarest first; and (class, token), those shingles."""
+    """(class, cluster) of sets that share a shingle of their prefixes with another one, rarest first; and (class, token, left), those shingles, with how many of the set's come from there on."""
     long = sets.select("class", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    df = cut(long.groupBy("token").agg(F.count("*").alias("n")), "frequencies")
-    ordered = Window.partitionBy("class", "size").orderBy("n", "token")
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    # What one set alone has comes first in its order: it is counted, not sorted.
+    df = cut(long.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "frequencies")
+    whole = Window.partitionBy("class", "size")
     counted = join_hot(long, df, ["token"], hot_keys(df, ["token"]), ["class"])
-    heads = cut(counted.withColumn("place", F.row_number().over(ordered)).filter((F.col("place") <= prefix) & (F.col("n") > 1)).select("class", "token"), "heads")
-    least = cut(heads.groupBy("token").agg(F.min("class").alias("least"), F.count("*").alias("n")), "least")
+    left = F.count("*").over(whole) - F.row_number().over(whole.orderBy("n", "token")) + 1
+    heads = cut(counted.withColumn("left", left).filter(F.col("left") >= F.ceil(F.col("size") * percent / 100)).select("class", "token", "left"), "heads")
+    least = cut(heads.groupBy("token").agg(F.min("class").alias("least"), F.count("*").alias("n")).filter("n > 1"), "least")
     edges = join_hot(heads, least.select("token", "least"), ["token"], hot_keys(least, ["token"]), ["class"]).filter("class <> least")
     found = connected_components(edges.select(F.col("class").alias("a"), F.col("least").alias("b")))
     return found.select(F.col("node").alias("class"), F.col("component").alias("cluster")), heads
@@ -407,7 +424,7 @@ def _linked(blocks: DataFrame, percent: int) -> DataFrame:
         def joined(rows: list[tuple]) -> pa.RecordBatch:
             groups: dict = {}
             every = [(name, groups.setdefault(group if group is not None else name, len(groups)), tokens) for _, name, group, tokens in rows]
-            links = block_links(every, [k for k, r in enumerate(rows) if r[0]], percent)
+            links = stars(block_links(every, [k for k, r in enumerate(rows) if r[0]], percent))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
         now, rows = None, []
@@ -439,9 +456,13 @@ def _links(sets: DataFrame, clusters: DataFrame, heads: DataFrame, percent: int,
     """(a, b): links that join all linked sets. heads: the shingles of each set's prefix that others have in theirs."""
     nobody = F.lit(None).cast("binary").alias("group")
     own = cut(_pieces(sets.withColumn("size", F.size("tokens")).join(clusters.hint("merge"), "class"), shingles_a_piece), "pieces")
-    first = cut(_linked(own.select("*", F.lit(True).alias("probe"), nobody), percent), "links")
-    large = own.filter("pieces > 1")
-    if not large.head(1):
+    blocks, large = own.select("*", F.lit(True).alias("probe"), nobody), own.filter("pieces > 1")
+    many = bool(large.head(1))
+    if many:
+        # The first piece stands in every other one too: whatever links with one of its sets is of one group with them.
+        blocks = blocks.unionByName(large.filter("block = 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("pieces") - 1))).select("*", F.lit(False).alias("probe"), nobody))
+    first = cut(_linked(blocks, percent), "links")
+    if not many:
         return first
     # Clusters of several pieces: one set of each group that a piece has linked meets the others.
     grouped = cut(_grouped(large, first), "groups")
@@ -462,17 +483,19 @@ def _links(sets: DataFrame, clusters: DataFrame, heads: DataFrame, percent: int,
 def _guests(told: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """(cluster, block, class, group, tokens): the sets of told (cluster, block, class, group, size, tokens, _rest) that are _rest, once for each other piece that may hold a set linked with them.
 
-    Two linked sets share a shingle of their prefixes, and neither is much longer than the other. So a set goes to a piece only if that piece holds, among its sets
-    of a fitting length, one of its prefix shingles (heads: class, token), and neither all sets nor all pieces of a cluster meet. Lengths are compared by bands
-    that are wider than two linked sets may differ, so that links reach over one band at most.
+    The first piece has met all others. Two linked sets share a shingle of their prefixes, and from the first such shingle on both have as many as a link needs of
+    sets of their sizes. So a set goes to a piece only if that piece holds, among its sets of a fitting length, one of its prefix shingles (heads: class, token, left) with
+    enough left on both sides, and neither all sets nor all pieces of a cluster meet. Lengths are compared by bands that are wider than two linked sets may differ, so that links reach
+    over one band at most.
     """
     band = F.floor(F.log("size") / math.log(max(1.5, 110 / percent))).cast("int")
-    placed = told.select("cluster", "block", "class", "_rest", band.alias("band"))
+    placed = told.filter("block > 0").select("cluster", "block", "class", "size", "_rest", band.alias("band"))
     tokens = cut(heads.join(placed.hint("merge"), "class"), "tokens")
     # A shingle of very many sets stands once for each piece and band, and a guest asks for each of its own once.
-    held = tokens.select("cluster", "token", "band", "block").distinct()
-    asked = tokens.filter("_rest").select("cluster", "token", "class", F.col("block").alias("_home"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
-    to = asked.join(held.hint("merge"), ["cluster", "token", "band"]).filter("block <> _home").select("cluster", "class", "block").distinct()
+    held = tokens.groupBy("cluster", "token", "band", "block").agg(F.min("size").alias("_least"), F.max("left").alias("_most"))
+    asked = tokens.filter("_rest").select("cluster", "token", "class", "size", "left", F.col("block").alias("_home"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    enough = (100 + percent) * F.least("left", "_most") >= percent * (F.col("size") + F.col("_least"))
+    to = asked.join(held.hint("merge"), ["cluster", "token", "band"]).filter((F.col("block") != F.col("_home")) & enough).select("cluster", "class", "block").distinct()
     return told.filter("_rest").drop("block").join(to.hint("merge"), ["cluster", "class"])
 
 

@@ -275,3 +275,54 @@ def test_links_between_pieces_are_found(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     told = [sorted((tuple(r) for r in ngram_join.ngram_join(df, shingles_a_piece=size).collect()), key=repr) for size in (30_000, 300)]
     assert told[0] == told[1] == plain_components(list(enumerate(texts)))
+
+
+def near_copies(n: int, size: int, most: int, seed: int) -> list[list[int]]:
+    """Sets that keep a template but for up to `most` numbers, in the place of which they have their own."""
+    rnd, fresh = random.Random(seed), iter(range(10**6, 10**7))
+    out = []
+    for _ in range(n):
+        kept = list(range(size))
+        for k in rnd.sample(range(size), rnd.randint(0, most)):
+            kept[k] = next(fresh)
+        out.append(kept)
+    return out
+
+
+@pytest.mark.parametrize("most", [16, 40])
+def test_near_copies_that_differ_too_much_meet_no_piece(spark, most):
+    """Of 600 near copies of one text in 200 pieces, few are told to walk another piece once the first one has met all; no link is lost."""
+    rows = near_copies(600, 200, most, 5)
+    sets = spark.createDataFrame([(i.to_bytes(16, "big"), ts) for i, ts in enumerate(rows)], "class binary, tokens array<long>")
+    clusters, heads = (ngram_join.cut(x) for x in ngram_join._clusters(sets, 80))
+    links = ngram_join._links(sets, clusters, heads, 80, 6000)
+    found = {bytes(r["node"]): bytes(r["component"]) for r in ngram_join.connected_components(links).collect()}
+    as_sets, parent = [set(r) for r in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            o = len(as_sets[i] & as_sets[j])
+            if 100 * o >= 80 * (len(as_sets[i]) + len(as_sets[j]) - o):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert [found.get(i.to_bytes(16, "big"), i.to_bytes(16, "big")) for i in range(len(rows))] == [root(i).to_bytes(16, "big") for i in range(len(rows))]
+    member = ngram_join._pieces(sets.withColumn("size", F.size("tokens")).join(clusters, "class"), 6000)
+    told = member.withColumn("group", F.col("class")).withColumn("_rest", F.size(F.array_intersect("tokens", F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long")))) < 177)
+    pieces = told.select("block").distinct().count()
+    assert pieces >= 20 and ngram_join._guests(told, heads, 80).count() == 0
+
+
+def test_stars_take_no_rounds(spark, monkeypatch):
+    written = []
+    plain = components.cut
+    monkeypatch.setattr(components, "cut", lambda df, *a: written.append(a) or plain(df, *a))
+    linked = ngram_join.stars([(b"d", b"c"), (b"b", b"c"), (b"x", b"y"), (b"d", b"b")])
+    assert sorted(linked) == [(b"c", b"b"), (b"d", b"b"), (b"y", b"x")]
+    found = components.connected_components(spark.createDataFrame(linked, "a binary, b binary"))
+    assert {bytes(r["node"]): bytes(r["component"]) for r in found.collect()} == {b"b": b"b", b"c": b"b", b"d": b"b", b"x": b"x", b"y": b"x"}
+    assert len(written) == 1
